@@ -36,7 +36,7 @@ BLOCKS = ((42, 22), (21, 21), (0, 21))
 #: Fingerprints in a part of a large cell, and in a node of the index.
 CELL, NODE = 2048, 16
 #: For ``drop_near_duplicates``: 64-bit words of a code, differing bits allowed, the share of word bits that copies keep.
-CODE_WORDS, CODE_LIMIT, KEPT_BITS, MISSED = 4, 43, 0.94, 0.01
+CODE_WORDS, CODE_LIMIT, KEPT_BITS, MISSED = 4, 46, 0.94, 0.01
 
 
 def _majority(h: np.ndarray) -> np.ndarray:
