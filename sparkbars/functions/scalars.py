@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import yes
@@ -66,7 +66,21 @@ def phrase_tone(text: Column, tight: Sequence[str], loose: Sequence[str], margin
 
 
 def decimal_comma(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"\.", ""), ",", ".").try_cast("double") if hasattr(Column, "try_cast") else F.regexp_replace(x, ",", ".").cast("double")
+    """Text such as 1.234,56 as a number; null where it is none."""
+    return F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def rate_tone(df: DataFrame, rate: str, key: str, order: str) -> DataFrame:
+    """Tone and confidence of a rate's course: the mean of the last three against the three before, then its level.
+    Neutral until there are six."""
+    w = Window.partitionBy(key).orderBy(order)
+    step = F.avg(rate).over(w.rowsBetween(-2, 0)) - F.avg(rate).over(w.rowsBetween(-5, -3))
+    r, n = F.col(rate), F.count(rate).over(w.rowsBetween(-5, 0))
+    out = df.withColumn("delta", F.when(n >= 6, step))
+    d = F.col("delta")
+    tone = F.when(d.isNull(), "neutral").when(d < -0.3, "dovish").when(d > 0.3, "hawkish").when(r >= 13, "hawkish").when(r <= 7, "dovish").otherwise("neutral")
+    sure = F.when(F.abs(d) > 0.8, "high").when(F.abs(d) > 0.3, "medium").when(d.isNotNull() & ((r >= 13) | (r <= 7)), "medium").otherwise("low")
+    return out.withColumn("tone", tone).withColumn("confidence", sure)
 
 
 def symbol_match(name: Column, symbol: Column) -> Column:

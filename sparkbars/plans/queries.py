@@ -907,7 +907,7 @@ def _(s, d):
     return metrics.bootstrap(trades(s, d), ["hypothesis"], TK, 50)
 
 
-@query("pf_by_score_bucket", f"WITH {TRADES}, x AS (SELECT hypothesis, pnl, CASE WHEN asset % 100 >= 70 THEN '70+' WHEN asset % 100 >= 60 THEN '60-70' WHEN asset % 100 >= 55 THEN '55-60' END AS band FROM trades) SELECT band, hypothesis, count(*) AS trades, round({G} / nullif({L}, 0), 6) AS pf, round(100.0 * avg((pnl > 0)::INT), 6) AS win_rate FROM x WHERE band IS NOT NULL GROUP BY ROLLUP (band, hypothesis)")
+@query("pf_by_score_bucket", f"WITH {TRADES}, x AS (SELECT hypothesis, pnl, CASE WHEN asset % 100 >= 70 THEN '70+' WHEN asset % 100 >= 60 THEN '60-70' WHEN asset % 100 >= 55 THEN '55-60' END AS band FROM trades) SELECT band, hypothesis, count(*) AS trades, round({G} / nullif({L}, 0), 6) AS pf, round(100.0 * avg((pnl > 0)::INT), 6) AS win_rate FROM x WHERE band IS NOT NULL GROUP BY ROLLUP (band, hypothesis) HAVING count(*) > 0")
 def _(s, d):
     return metrics.pf_by_score_bucket(trades(s, d).withColumn("score", F.col("asset") % 100), "score", ["hypothesis"])
 
@@ -980,6 +980,17 @@ def _(s, d):
     return table(s, d, "events").select("event_id", scalars.probability_signal(F.col("value") / 100).alias("signal"))
 
 
+MONTHS = "m AS (SELECT date_trunc('month', o_orderdate) AS day, CASE WHEN month(o_orderdate) % 2 = 0 THEN 'even' ELSE 'odd' END AS series, avg(o_totalprice) / 20000 AS v FROM orders GROUP BY 1, 2)"
+
+
+@query("rate_tone", f"WITH {MONTHS}, r AS (SELECT *, round(v, 2) AS rate FROM m), w AS (SELECT *, avg(rate) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a, avg(rate) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AS b, count(rate) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS n FROM r) SELECT series, strftime(day, '%Y-%m-%d') AS day, round(rate, 6) AS rate, CASE WHEN n < 6 THEN 'neutral' WHEN a - b < -0.3 THEN 'dovish' WHEN a - b > 0.3 THEN 'hawkish' WHEN rate >= 13 THEN 'hawkish' WHEN rate <= 7 THEN 'dovish' ELSE 'neutral' END AS tone FROM w")
+def _(s, d):
+    o = table(s, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("day"), F.when(F.month("o_orderdate") % 2 == 0, "even").otherwise("odd").alias("series")).agg((F.avg("o_totalprice") / 20000).alias("v"))
+    text = F.replace(F.expr("format_number(round(v, 2), '0.00')"), F.lit("."), F.lit(","))  # rates come as text with a decimal comma
+    out = scalars.rate_tone(o.select("series", "day", scalars.decimal_comma(text).alias("rate")), "rate", "series", "day")
+    return out.select("series", "day", "rate", "tone")
+
+
 # models and engines
 
 
