@@ -8,9 +8,9 @@ parts, so that no task gets more than two parts and no link is lost. Equal finge
 
 ``near_duplicates`` links 64-bit fingerprints within two bits: such a pair agrees in one of three blocks of bits, which
 are the masks, so the result is exact. ``drop_near_duplicates`` is for shingles of five words and a similarity of 0.8:
-there distances are much larger, so it compares 256-bit fingerprints of the shingles (two texts of similarity J differ
-in about acos(2J / (1 + J)) / pi of the bits), in cells that share bits of a second fingerprint, of distinct words,
-which an edit changes less. The number of cells a document is in follows from the width that the input asks for.
+there distances are much larger, so it compares 1024-bit fingerprints of the shingles (two texts of similarity J differ
+in about acos(2J / (1 + J)) / pi of the bits, and the more bits, the closer to that), in cells that share bits of a
+second fingerprint, of distinct words, which an edit changes less. The number of cells a document is in follows from the width that the input asks for.
 
 Null and empty texts have fingerprint zero. A document of fewer words than a shingle has its whole sequence as one.
 Repeated rows have equal fingerprints, and so one component. A null doc_id takes no part in choosing the smallest.
@@ -35,8 +35,9 @@ BITS = 64
 BLOCKS = ((42, 22), (21, 21), (0, 21))
 #: Fingerprints in a part of a large cell, and in a node of the index.
 CELL, NODE = 2048, 16
-#: For ``drop_near_duplicates``: 64-bit words of a code, differing bits allowed, the share of word bits that copies keep.
-CODE_WORDS, CODE_LIMIT, KEPT_BITS, MISSED = 4, 46, 0.94, 0.01
+#: For ``drop_near_duplicates``: 64-bit words of a code, and of the code of distinct words; differing bits allowed; the
+#: share of word bits that copies keep, and the chance that they share no cell.
+CODE_WORDS, CELL_WORDS, CODE_LIMIT, KEPT_BITS, MISSED = 16, 4, 176, 0.94, 0.01
 
 
 def _majority(h: np.ndarray) -> np.ndarray:
@@ -76,12 +77,12 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def wide_simhash(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
-    """256 bits of the shingles, and 256 bits of the distinct words, as signed 64-bit numbers."""
+    """1024 bits of the shingles, and 256 bits of the distinct words, as signed 64-bit numbers."""
     w = _words(text)
     if not w:
-        return [0] * CODE_WORDS, [0] * CODE_WORDS
-    shingles, distinct = _hashes(_shingles(w, words)), _hashes(set(w))
-    return tuple(np.array([_majority(_mixed(h, k)) for k in range(1, CODE_WORDS + 1)]).view(np.int64).tolist() for h in (shingles, distinct))
+        return [0] * CODE_WORDS, [0] * CELL_WORDS
+    both = ((_hashes(_shingles(w, words)), CODE_WORDS), (_hashes(set(w)), CELL_WORDS))
+    return tuple(np.array([_majority(_mixed(h, k)) for k in range(1, n + 1)]).view(np.int64).tolist() for h, n in both)
 
 
 def with_fingerprint(docs: DataFrame, words: int = 3, text_col: str = "text", to: str = "__fp") -> DataFrame:
@@ -246,7 +247,7 @@ def word_cells(count: int, kept: float = KEPT_BITS, missed: float = MISSED) -> l
     width = min(48, max(20, math.ceil(math.log2(max(count, 2))) + 2))
     masks = math.ceil(math.log(missed) / math.log(1 - kept**width))
     bits = np.random.default_rng(42)
-    return [sorted(bits.choice(CODE_WORDS * BITS, width, replace=False).tolist()) for _ in range(masks)]
+    return [sorted(bits.choice(CELL_WORDS * BITS, width, replace=False).tolist()) for _ in range(masks)]
 
 
 def near_groups(docs: DataFrame, words: int = 5, limit: int = CODE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +265,7 @@ def near_groups(docs: DataFrame, words: int = 5, limit: int = CODE_LIMIT, id_col
     @F.pandas_udf("array<long>")
     def patterns(distinct: pd.Series) -> pd.Series:
         """The bits under each mask, as one number."""
-        bits = np.unpackbits(np.stack(distinct.to_numpy()).astype(">i8").view(np.uint8).reshape(len(distinct), -1), axis=1).astype(np.int64) if len(distinct) else np.zeros((0, 256), np.int64)
+        bits = np.unpackbits(np.stack(distinct.to_numpy()).astype(">i8").view(np.uint8).reshape(len(distinct), -1), axis=1).astype(np.int64) if len(distinct) else np.zeros((0, CELL_WORDS * BITS), np.int64)
         out = np.stack([bits[:, m] @ (1 << np.arange(len(m), dtype=np.int64)) for m in masks], axis=1)
         return pd.Series(list(out))
 
