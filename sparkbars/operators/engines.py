@@ -22,30 +22,35 @@ def greedy(entries: np.ndarray, exits: np.ndarray) -> np.ndarray:
     return keep
 
 
-def sequential_trades(bars: DataFrame, exits: Mapping[str, float], max_bars: int = 48, keys: Sequence[str] = ("symbol",), signal: str = "signal") -> DataFrame:
-    """Trades that don't overlap: a signal on a bar enters at the next one's open, with that bar's ATR; exits are tested
-    from the bar after entry, the stop first; after ``max_bars`` it closes at the close; a bar that closes a trade opens
-    none; a trade that is open at the end is dropped. Exits of all signals come from a bounded join; the scan that drops
-    overlaps sees signal rows alone.
+def sequential_trades_by_rule(bars: DataFrame, rules: Mapping[str, tuple[str, Mapping[str, float]]], max_bars: int = 48) -> DataFrame:
+    """Trades that don't overlap, of each symbol and rule (name: signal column, exits in ATRs).
+
+    A signal on a bar enters at the next one's open, with that bar's ATR; exits are tested from the bar after entry, the
+    stop first; after ``max_bars`` it closes at the close; a bar that closes a trade opens none; a trade that is open at
+    the end is dropped. All rules share the bars: only signal rows are multiplied, their exits come from one bounded
+    join, and the scan that drops overlaps sees signal rows alone.
     """
-    key = list(keys)
-    w = series(key, "ts")
-    b = bars.withColumn("idx", F.row_number().over(w) - 1).withColumn("_s", F.lag(signal).over(w)).withColumn("_a", F.lag("atr").over(w)).withColumn("_r", F.lag("regime").over(w) if "regime" in bars.columns else F.lit(None).cast("string"))
-    name = F.concat_ws("|", *(F.col(k).cast("string") for k in key))
-    t = b.filter("_s != 0 AND _a > 0").select(*key, F.col("_s").alias("direction"), F.col("ts").alias("entry_time"), F.col("idx").alias("entry_idx"), F.col("open").alias("entry_price"), F.col("_a").alias("_atr"), F.col("_r").alias("regime"))
-    t = t.withColumn("sl", F.col("entry_price") - F.col("direction") * F.col("_atr") * float(exits["sl_atr"])).withColumn("tp", F.col("entry_price") + F.col("direction") * F.col("_atr") * float(exits["tp_atr"])).drop("_atr")
-    group = name if key != ["symbol"] else F.col("symbol")
-    t = t.withColumn("_symbol", group).withColumn("trade_id", F.col("entry_idx"))
-    met = resolve_barriers(t.drop("symbol").withColumnRenamed("_symbol", "symbol") if "symbol" in t.columns else t.withColumnRenamed("_symbol", "symbol"), b.select(group.alias("symbol"), "idx", "high", "low", "close"), max_bars)
+    w = series("symbol", "ts")
+    before = {"_a": F.lag("atr").over(w), "_r": F.lag("regime").over(w) if "regime" in bars.columns else F.lit(None).cast("string")}
+    signals = {f"_s{k}": F.lag(signal).over(w) for k, (signal, _) in enumerate(rules.values())}
+    b = bars.select("symbol", "ts", "open", "high", "low", "close", (F.row_number().over(w) - 1).alias("idx"), *(c.alias(n) for n, c in (before | signals).items()))
+    every = F.array(*(F.struct(F.lit(name).alias("hypothesis"), F.col(s).alias("direction"), F.lit(float(x["sl_atr"])).alias("_sl"), F.lit(float(x["tp_atr"])).alias("_tp")) for (name, (_, x)), s in zip(rules.items(), signals)))
+    t = b.filter("_a > 0").select("symbol", F.col("ts").alias("entry_time"), F.col("idx").alias("entry_idx"), F.col("open").alias("entry_price"), "_a", F.col("_r").alias("regime"), F.explode(every).alias("_e")).select("*", "_e.*").filter("direction != 0")
+    move = F.col("direction") * F.col("_a")
+    t = t.withColumn("sl", F.col("entry_price") - move * F.col("_sl")).withColumn("tp", F.col("entry_price") + move * F.col("_tp")).withColumn("trade_id", F.concat_ws("|", "hypothesis", "entry_idx")).drop("_a", "_e", "_sl", "_tp")
+    met = resolve_barriers(t, b.select("symbol", "idx", "high", "low", "close"), max_bars)
     met = met.filter((F.col("outcome") != "TIMEOUT") | (F.col("exit_idx") - F.col("entry_idx") >= max_bars)).withColumn("pnl", F.col("direction") * (F.col("exit_price") - F.col("entry_price")))
-    rest = [c for c in met.columns if c not in ("symbol", "trade_id")]
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry_idx")
         return pdf[greedy(pdf["entry_idx"].to_numpy(), pdf["exit_idx"].to_numpy())]
 
-    out = met.select("symbol", "trade_id", *rest)
-    return out.groupBy("symbol").applyInPandas(scan, out.schema).withColumn("bars_held", F.col("exit_idx") - F.col("entry_idx"))
+    return met.groupBy("symbol", "hypothesis").applyInPandas(scan, met.schema).withColumn("bars_held", F.col("exit_idx") - F.col("entry_idx"))
+
+
+def sequential_trades(bars: DataFrame, exits: Mapping[str, float], max_bars: int = 48, signal: str = "signal") -> DataFrame:
+    """The same for one rule."""
+    return sequential_trades_by_rule(bars, {"rule": (signal, exits)}, max_bars).drop("hypothesis")
 
 
 def close_only_scan(close: np.ndarray, signal: np.ndarray, atr: np.ndarray, sl: float, tp: float, capital: float, part: float) -> list[tuple]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,34 @@ from .ewm import ewm, seeded
 
 
 
+@dataclass(frozen=True)
+class Indicator:
+    """An indicator with recurrences: columns before them, the recurrences, columns from these, recurrences of those, and
+    the results. Several are computed together, with one pass over each symbol for all recurrences of a step."""
+
+    inputs: dict[str, Column] = field(default_factory=dict)
+    first: dict[str, tuple[str, float]] = field(default_factory=dict)
+    between: dict[str, Column] = field(default_factory=dict)
+    second: dict[str, tuple[str, float]] = field(default_factory=dict)
+    results: dict[str, Column] = field(default_factory=dict)
+
+
+def with_indicators(df: DataFrame, *indicators: Indicator) -> DataFrame:
+    """``df`` with the columns of the indicators; names that begin with ``_`` are left out."""
+    def columns(out: DataFrame, part: str) -> DataFrame:
+        for one in indicators:
+            for name, c in getattr(one, part).items():
+                out = out.withColumn(name, c)
+        return out
+
+    def recurrences(out: DataFrame, part: str) -> DataFrame:
+        every = {name: x for one in indicators for name, x in getattr(one, part).items()}
+        return ewm(out, every) if every else out
+
+    out = columns(recurrences(columns(recurrences(columns(df, "inputs"), "first"), "between"), "second"), "results")
+    return out.drop(*(c for c in out.columns if c.startswith("_") and c not in df.columns))
+
+
 def true_range() -> Column:
     before = F.lag("close").over(series())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
@@ -21,9 +50,13 @@ def atr_sma(df: DataFrame, n: int = 14) -> DataFrame:
     return df.withColumn("tr", true_range()).withColumn("atr", rolling(F.avg, F.col("tr"), n))
 
 
+def atr_wilder_parts(n: int = 14, to: str = "atr_w") -> Indicator:
+    return Indicator({"_tr_seeded": seeded(true_range(), n)}, {to: ("_tr_seeded", 1 / n)})
+
+
 def atr_wilder(df: DataFrame, n: int = 14, to: str = "atr_w") -> DataFrame:
     """The plain mean of the first n true ranges, then Wilder's; null before."""
-    return ewm(df.withColumn("_tr", seeded(true_range(), n)), {to: ("_tr", 1 / n)}).drop("_tr")
+    return with_indicators(df, atr_wilder_parts(n, to))
 
 
 def atr_ratio(df: DataFrame, n: int = 20, least: int = 5, low: float = 0.2, high: float = 4.0) -> DataFrame:
@@ -34,13 +67,19 @@ def ema(df: DataFrame, column: str, *spans: int) -> DataFrame:
     return ewm(df, {f"ema{s}": (column, 2 / (s + 1)) for s in spans})
 
 
-def rsi_wilder(df: DataFrame, n: int = 14) -> DataFrame:
-    """100 - 100 / (1 + G / L) by Wilder means of gains and losses (0 at the first bar); null for the first n - 1 rows."""
+def rsi_wilder_parts(n: int = 14) -> Indicator:
     step = F.coalesce(F.col("close") - F.lag("close").over(series()), F.lit(0.0))
-    out = df.withColumn("_up", F.greatest(step, F.lit(0.0))).withColumn("_down", F.greatest(-step, F.lit(0.0))).withColumn("_n", F.row_number().over(series()))
-    out = ewm(out, {"_g": ("_up", 1 / n), "_l": ("_down", 1 / n)})
     value = F.when(F.col("_l") > 0, 100 - 100 / (1 + F.col("_g") / F.nullif("_l", F.lit(0.0)))).when(F.col("_g") > 0, 100.0).otherwise(50.0)
-    return out.withColumn("rsi_w", F.when(F.col("_n") >= n, value)).drop("_up", "_down", "_g", "_l", "_n")
+    return Indicator(
+        {"_up": F.greatest(step, F.lit(0.0)), "_down": F.greatest(-step, F.lit(0.0)), "_bar": F.row_number().over(series())},
+        {"_g": ("_up", 1 / n), "_l": ("_down", 1 / n)},
+        results={"rsi_w": F.when(F.col("_bar") >= n, value)},
+    )
+
+
+def rsi_wilder(df: DataFrame, n: int = 14) -> DataFrame:
+    """100 - 100 / (1 + G / L) by Wilder means of gains and losses (0 at the first bar); null for the first n - 1 rows."""
+    return with_indicators(df, rsi_wilder_parts(n))
 
 
 def rsi_sma(df: DataFrame, n: int = 14) -> DataFrame:
@@ -50,9 +89,17 @@ def rsi_sma(df: DataFrame, n: int = 14) -> DataFrame:
     return out.withColumn("rsi", F.when(down > 0, 100 - 100 / (1 + up / F.nullif(down, F.lit(0.0))))).drop("_s")
 
 
+def macd_parts(fast: int = 12, slow: int = 26, signal: int = 9) -> Indicator:
+    return Indicator(
+        first={"_fast": ("close", 2 / (fast + 1)), "_slow": ("close", 2 / (slow + 1))},
+        between={"macd": F.col("_fast") - F.col("_slow")},
+        second={"macd_signal": ("macd", 2 / (signal + 1))},
+        results={"macd_hist": F.col("macd") - F.col("macd_signal")},
+    )
+
+
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    out = ewm(df, {"_f": ("close", 2 / (fast + 1)), "_s": ("close", 2 / (slow + 1))}).withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
-    return ewm(out, {"macd_signal": ("macd", 2 / (signal + 1))}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return with_indicators(df, macd_parts(fast, slow, signal))
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
@@ -68,17 +115,21 @@ def bb_width_position(df: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
     return df.withColumn("bb_width", ratio(4 * sd, mid)).withColumn("bb_position", clip(ratio(c - (mid - 2 * sd), 4 * sd), 0, 1))
 
 
-def adx(df: DataFrame, n: int = 14) -> DataFrame:
-    """Wilder means of the movements and the true range, then of DX; null for the first 2n - 1 rows (DI: first n)."""
+def adx_parts(n: int = 14) -> Indicator:
     up, down = F.col("high") - F.lag("high").over(series()), F.lag("low").over(series()) - F.col("low")
-    out = df.withColumn("_p", F.when(yes((up > down) & (up > 0)), up).otherwise(0.0)).withColumn("_m", F.when(yes((down > up) & (down > 0)), down).otherwise(0.0))
-    out = out.withColumn("_t", true_range()).withColumn("_n", F.row_number().over(series()))
-    out = ewm(out, {"_sp": ("_p", 1 / n), "_sm": ("_m", 1 / n), "_st": ("_t", 1 / n)})
     plus, minus = 100 * ratio(F.col("_sp"), F.col("_st")), 100 * ratio(F.col("_sm"), F.col("_st"))
-    out = out.withColumn("plus_di", F.when(F.col("_n") >= n, plus)).withColumn("minus_di", F.when(F.col("_n") >= n, minus))
-    out = out.withColumn("_dx", 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
-    out = ewm(out, {"_adx": ("_dx", 1 / n)})
-    return out.withColumn("adx", F.when(F.col("_n") >= 2 * n - 1, F.col("_adx"))).drop("_p", "_m", "_t", "_n", "_sp", "_sm", "_st", "_dx", "_adx")
+    return Indicator(
+        {"_p": F.when(yes((up > down) & (up > 0)), up).otherwise(0.0), "_m": F.when(yes((down > up) & (down > 0)), down).otherwise(0.0), "_t": true_range(), "_bar": F.row_number().over(series())},
+        {"_sp": ("_p", 1 / n), "_sm": ("_m", 1 / n), "_st": ("_t", 1 / n)},
+        {"plus_di": F.when(F.col("_bar") >= n, plus), "minus_di": F.when(F.col("_bar") >= n, minus), "_dx": 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))},
+        {"_adx": ("_dx", 1 / n)},
+        {"adx": F.when(F.col("_bar") >= 2 * n - 1, F.col("_adx"))},
+    )
+
+
+def adx(df: DataFrame, n: int = 14) -> DataFrame:
+    """Wilder means of the movements and the true range, then of DX; null for the first 2n - 2 rows (DI: the first n - 1)."""
+    return with_indicators(df, adx_parts(n))
 
 
 def stochastic(df: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
@@ -87,23 +138,31 @@ def stochastic(df: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
     return out.withColumn("stoch_d", rolling(F.avg, F.col("stoch_k"), smooth, smooth))
 
 
+def ema_distance_parts(span: int = 50, low: float = -10, high: float = 10) -> Indicator:
+    return Indicator(first={"_e_far": ("close", 2 / (span + 1))}, results={"ema_distance": clip(ratio(F.col("close") - F.col("_e_far"), F.col("atr")), low, high), "stretch_abs": F.abs("ema_distance")})
+
+
 def ema_distance(df: DataFrame, span: int = 50, low: float = -10, high: float = 10) -> DataFrame:
     """Distance of the close from its EMA in ATRs (needs ``atr``), and its size."""
-    out = ewm(df, {"_e": ("close", 2 / (span + 1))})
-    return out.withColumn("ema_distance", clip(ratio(F.col("close") - F.col("_e"), F.col("atr")), low, high)).withColumn("stretch_abs", F.abs("ema_distance")).drop("_e")
+    return with_indicators(df, ema_distance_parts(span, low, high))
 
 
-def dual_slope_bias(df: DataFrame, span: int = 200, near: int = 5, far: int = 20) -> DataFrame:
-    out = ewm(df, {"_e": ("close", 2 / (span + 1))})
-    last = F.lag("_e", 1).over(series())
-    out = out.withColumn("slope_near", last - F.lag("_e", near + 1).over(series())).withColumn("slope_far", last - F.lag("_e", far + 1).over(series()))
+def dual_slope_bias_parts(span: int = 200, near: int = 5, far: int = 20) -> Indicator:
+    e = lambda k: F.lag("_e_slow", k).over(series())
     up, down = (F.col("slope_near") > 0) & (F.col("slope_far") > 0), (F.col("slope_near") < 0) & (F.col("slope_far") < 0)
-    return out.withColumn("bias", F.when(yes(up), 1).when(yes(down), -1).otherwise(0)).drop("_e")
+    return Indicator(first={"_e_slow": ("close", 2 / (span + 1))}, results={"slope_near": e(1) - e(near + 1), "slope_far": e(1) - e(far + 1), "bias": F.when(yes(up), 1).when(yes(down), -1).otherwise(0)})
+
+
+def dual_slope_bias(df: DataFrame, span: int = 200, near: int = 5, far: int = 20) -> DataFrame:
+    return with_indicators(df, dual_slope_bias_parts(span, near, far))
+
+
+def ema20_parts(span: int = 20, back: int = 5) -> Indicator:
+    return Indicator(first={"_e_near": ("close", 2 / (span + 1))}, results={"ema20_slope": F.col("_e_near") - F.lag("_e_near", back).over(series()), "ema20_distance": ratio(F.col("close") - F.col("_e_near"), F.col("atr"))})
 
 
 def ema20_features(df: DataFrame, span: int = 20, back: int = 5) -> DataFrame:
-    out = ewm(df, {"_e": ("close", 2 / (span + 1))})
-    return out.withColumn("ema20_slope", F.col("_e") - F.lag("_e", back).over(series())).withColumn("ema20_distance", ratio(F.col("close") - F.col("_e"), F.col("atr"))).drop("_e")
+    return with_indicators(df, ema20_parts(span, back))
 
 
 def returns(df: DataFrame, steps: Sequence[int] = (1, 5, 20), momenta: Sequence[int] = (10,)) -> DataFrame:
@@ -233,12 +292,13 @@ def cumulative_drawdown(df: DataFrame, pnl: str, key: Sequence[str] | str, order
 
 
 def lab_features(df: DataFrame) -> DataFrame:
-    """The features that regimes and rules read."""
-    out = atr_ratio(atr_sma(df))
-    out = dual_slope_bias(ema20_features(ema_distance(out)))
+    """The features that regimes and rules read: frames, and one pass for all recurrences."""
+    out = with_indicators(atr_ratio(atr_sma(df)), ema_distance_parts(), ema20_parts(), dual_slope_bias_parts())
     out = realized_vol(returns(out))
     return coherence_proxy(disorder_proxy(body_ratio(rsi_sma(bb_width_position(rolling_mean_deviation(out))))))
 
 
 def live_indicators(df: DataFrame) -> DataFrame:
-    return cross_detect(atr_wilder(stochastic(adx(bollinger(macd(rsi_wilder(df)))))))
+    """RSI, MACD, ADX and ATR by two passes for all their recurrences; bands and stochastics by frames."""
+    out = with_indicators(df, rsi_wilder_parts(), macd_parts(), adx_parts(), atr_wilder_parts())
+    return cross_detect(stochastic(bollinger(out)))

@@ -41,14 +41,9 @@ def grid_search(s: SparkSession, d: str) -> DataFrame:
 def batch_research(s: SparkSession, d: str) -> DataFrame:
     """Rules of the catalogue over all symbols: trades that don't overlap, metrics, folds, bootstrap, robustness, verdict."""
     b = I.breakout_levels(I.lab_features(hourly(s, d))).withColumn("regime", regimes.regime3())
-    keys = [f"r{k}" for k in range(3)]
-    chosen = list(rules.CATALOGUE.items())[:1] + list(rules.CATALOGUE.items())[3:5]
-    b = b.select("symbol", "ts", "open", "high", "low", "close", "atr", "regime", *(rules.entry_rule(c).alias(k) for k, (_, (c, _)) in zip(keys, chosen)))
-    out = None
-    for k, (name, (_, exits)) in zip(keys, chosen):
-        t = engines.sequential_trades(b.withColumn("signal", F.col(k)), exits).withColumn("hypothesis", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    t = out.withColumnRenamed("symbol", "asset").withColumn("fold", F.floor(F.dayofmonth("entry_time") / 11))
+    b = b.select("*", *(rules.entry_rule(config).alias(f"rule_{name}") for name, (config, _) in rules.CATALOGUE.items()))
+    t = engines.sequential_trades_by_rule(b, {name: (f"rule_{name}", exits) for name, (_, exits) in rules.CATALOGUE.items()})
+    t = t.withColumnRenamed("symbol", "asset").withColumn("fold", F.floor(F.dayofmonth("entry_time") / 11))
     by = ["asset", "hypothesis"]
     m = metrics.trade_metrics(t, by, ["entry_idx"])
     fold = t.groupBy(*by, "fold").agg(factors.profit_factor(F.col("pnl"), "floor").alias("pf"), F.count("pnl").alias("trades"))
