@@ -62,6 +62,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = rows.filter("NOT __repeat").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("__repeat")
     groups = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("last"))
+    groups = settled(groups, "groups")  # a table of its own: Spark can then split the rows of a hot group in the join
     marked = maybe.join(groups, "text_sha256").select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256")
     return alone.unionByName(marked)
 
