@@ -8,9 +8,10 @@ parts, so that no task gets more than two parts and no link is lost. Equal finge
 
 ``near_duplicates`` links 64-bit fingerprints within two bits: such a pair agrees in one of three blocks of bits, which
 are the masks, so the result is exact. ``drop_near_duplicates`` is for shingles of five words and a similarity of 0.8:
-there distances are much larger, so it compares 1024-bit fingerprints of the shingles (two texts of similarity J differ
-in about acos(2J / (1 + J)) / pi of the bits, and the more bits, the closer to that), in cells that share bits of a
-second fingerprint, of distinct words, which an edit changes less. The number of cells a document is in follows from the width that the input asks for.
+there distances are much larger, so it compares 1024-bit fingerprints of the distinct shingles (two texts of similarity J
+differ in about acos(2J / (1 + J)) / pi of the bits, and the more bits, the closer to that), in cells of texts whose
+smallest shingles agree under the hashes of a band. Two texts agree in a band with chance J ** ROWS, whichever words
+differ and however large the table is, and there are so many bands that a pair at 0.8 shares none with chance MISSED.
 
 Null and empty texts have fingerprint zero. A document of fewer words than a shingle has its whole sequence as one.
 Repeated rows have equal fingerprints, and so one component. A null doc_id takes no part in choosing the smallest.
@@ -35,9 +36,13 @@ BITS = 64
 BLOCKS = ((42, 22), (21, 21), (0, 21))
 #: Fingerprints in a part of a large cell, and in a node of the index.
 CELL, NODE = 2048, 16
-#: For ``drop_near_duplicates``: 64-bit words of a code, and of the code of distinct words; differing bits allowed; the
-#: share of word bits that copies keep, and the chance that they share no cell.
-CODE_WORDS, CELL_WORDS, CODE_LIMIT, KEPT_BITS, MISSED = 16, 4, 176, 0.94, 0.01
+#: For ``drop_near_duplicates``: 64-bit words of a code; differing bits allowed.
+CODE_WORDS, CODE_LIMIT = 16, 176
+#: The similarity that copies have at least, the hashes of a band, the chance that copies share no band, and so the bands.
+SIMILARITY, ROWS, MISSED = 0.8, 5, 0.002
+BANDS = math.ceil(math.log(MISSED) / math.log(1 - SIMILARITY**ROWS))
+#: Each row's hash of a shingle's hash h is ``_ODD * h + _ADD`` (mod 2**64).
+_ODD, _ADD = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
 def _majority(h: np.ndarray) -> np.ndarray:
@@ -76,13 +81,25 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """For each band, one number of its rows' smallest hashes over the hashes ``h``."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for part in range(0, len(h), 1 << 12):  # bounded memory for long texts
+        least = np.minimum(least, (_ODD * h[part : part + (1 << 12)] + _ADD).min(1))
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _mixed(keys ^ row, 1)
+    return keys
+
+
 def wide_simhash(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
-    """1024 bits of the shingles, and 256 bits of the distinct words, as signed 64-bit numbers."""
+    """1024 bits of the distinct shingles, and their key in each band, as signed 64-bit numbers."""
     w = _words(text)
     if not w:
-        return [0] * CODE_WORDS, [0] * CELL_WORDS
-    both = ((_hashes(_shingles(w, words)), CODE_WORDS), (_hashes(set(w)), CELL_WORDS))
-    return tuple(np.array([_majority(_mixed(h, k)) for k in range(1, n + 1)]).view(np.int64).tolist() for h, n in both)
+        return [0] * CODE_WORDS, [0] * BANDS
+    h = _hashes(set(_shingles(w, words)))
+    code = np.array([_majority(_mixed(h, k)) for k in range(1, CODE_WORDS + 1)])
+    return code.view(np.int64).tolist(), band_keys(h).view(np.int64).tolist()
 
 
 def with_fingerprint(docs: DataFrame, words: int = 3, text_col: str = "text", to: str = "__fp") -> DataFrame:
@@ -241,35 +258,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2, id_col: str
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_cells(count: int, kept: float = KEPT_BITS, missed: float = MISSED) -> list[list[int]]:
-    """Masks over the 256 bits of distinct words, each as its bits: as wide as keeps unlike documents apart (two bits more
-    than ``count`` has), and so many that a pair which keeps ``kept`` of its bits shares none with chance ``missed``."""
-    width = min(48, max(20, math.ceil(math.log2(max(count, 2))) + 2))
-    masks = math.ceil(math.log(missed) / math.log(1 - kept**width))
-    bits = np.random.default_rng(42)
-    return [sorted(bits.choice(CELL_WORDS * BITS, width, replace=False).tolist()) for _ in range(masks)]
-
-
 def near_groups(docs: DataFrame, words: int = 5, limit: int = CODE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, component_id (the smallest doc_id of its group of near duplicates)."""
 
-    @F.pandas_udf("struct<code: array<long>, distinct: array<long>>")
+    @F.pandas_udf("struct<code: array<long>, bands: array<long>>")
     def wide(texts: pd.Series) -> pd.DataFrame:
         pairs = [wide_simhash(t, words) for t in texts]
-        return pd.DataFrame({"code": [a for a, _ in pairs], "distinct": [b for _, b in pairs]})
-
-    rows = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), wide(F.col(text_col)).alias("w")).select("doc_id", "w.code", "w.distinct"), "wide")
-    prints = settled(rows.groupBy("code").agg(F.min("doc_id").alias("rep"), F.min_by("distinct", "doc_id").alias("distinct")), "prints")
-    masks = word_cells(prints.count())
-
-    @F.pandas_udf("array<long>")
-    def patterns(distinct: pd.Series) -> pd.Series:
-        """The bits under each mask, as one number."""
-        bits = np.unpackbits(np.stack(distinct.to_numpy()).astype(">i8").view(np.uint8).reshape(len(distinct), -1), axis=1).astype(np.int64) if len(distinct) else np.zeros((0, CELL_WORDS * BITS), np.int64)
-        out = np.stack([bits[:, m] @ (1 << np.arange(len(m), dtype=np.int64)) for m in masks], axis=1)
-        return pd.Series(list(out))
+        return pd.DataFrame({"code": [a for a, _ in pairs], "bands": [b for _, b in pairs]})
 
-    entries = prints.filter("rep IS NOT NULL").select(F.posexplode(patterns("distinct")).alias("mask", "value"), "rep", "code").select(F.col("mask").cast("long").alias("mask"), "value", "rep", "code")
+    rows = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), wide(F.col(text_col)).alias("w")).select("doc_id", "w.code", "w.bands"), "wide")
+    # texts of one code have all but the same shingles, and so the same bands
+    prints = settled(rows.groupBy("code").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "prints")
+    entries = prints.filter("rep IS NOT NULL").select(F.posexplode("bands").alias("mask", "value"), "rep", "code").select(F.col("mask").cast("long").alias("mask"), "value", "rep", "code")
     found = components(near_links(entries, limit))
     labels = prints.join(found, prints["rep"] == found["node"], "left").select("code", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(labels, "code").select("doc_id", "component_id")

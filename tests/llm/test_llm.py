@@ -338,6 +338,38 @@ def test_drop_near_duplicates(spark):
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("alone", [0, 3000])
+def test_near_copies_of_every_kind_are_found(spark, alone):
+    """Copies at shingle similarity 0.8 to 0.85, with few and with many other documents in the table."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    text = lambda n=250: [word() for _ in range(n)]
+    shingled = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    def edited(w, kind):
+        if kind == "cut":
+            return w[:207]
+        if kind == "appended":
+            return w + text(50)
+        if kind == "reordered":  # six passages, backwards
+            edges = [0, 40, 80, 120, 160, 205, len(w)]
+            return [x for a, b in reversed(list(zip(edges, edges[1:]))) for x in w[a:b]]
+        return [word() if k in (30, 80, 130, 180, 220) else x for k, x in enumerate(w)]
+
+    rows, kinds = [(100_000 + k, " ".join(text(30))) for k in range(alone)], ("cut", "appended", "reordered", "words")
+    for k in range(240):
+        w = text()
+        new = edited(w, kinds[k % 4])
+        a, b = shingled(w), shingled(new)
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.86
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(new))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert set(range(0, 480, 2)) <= kept and {i for i, _ in rows[:alone]} <= kept
+    for at, kind in enumerate(kinds):
+        lost = sum(2 * k + 1 in kept for k in range(at, 240, 4))
+        assert lost <= 4, (kind, lost)
+
+
 # nearest neighbours
 
 
