@@ -6,7 +6,8 @@ becomes another valid one of its format, equal values become equal however they
 and ``restore`` with the same key gives them back.
 
 Kinds: email (the letters and digits of the local part), card (13 to 19 digits, Luhn), ip (IPv4), ssn, phone (NANP),
-date (ISO, or day and month with dots or slashes). What fails validation stays as it is. Null text stays null.
+date (year first with hyphens, a time may follow, or
+slashes; day and month with dots or slashes, and month first with slashes where day first is impossible). What fails validation stays as it is. Null text stays null.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ KINDS = ("email", "ip", "card", "ssn", "phone", "date")
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d))"
+    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{1,2}-\d{1,2}(?=T\d\d)|(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
@@ -114,29 +115,46 @@ def _phone(text: str, permute: Callable) -> str | None:
     return _refill(text, f"{country}{area + 200}{exchange + 200}{line:04d}")
 
 
-#: Days from 1900 to 2099 are permuted among each other, others among all other days.
-_FROM, _TO, _LAST = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal(), date.max.toordinal()
+#: Years from 1900 to 2099 are permuted among each other, others among all other years.
+_YEARS = {"date": range(1900, 2100), "other date": [*range(1, 1900), *range(2100, 10_000)]}
 
 
-def _date(text: str, permute: Callable) -> str | None:
-    if "-" in text:
-        y, m, d = map(int, text.split("-"))
-    else:
-        d, m, y = map(int, re.split(r"[/.]", text))
+def _shape(month: int, day: int) -> tuple[bool, bool, bool]:
+    """What a date keeps, so that each spelling of it (without zeros, month first) is read again as it was written."""
+    return month > 9, day > 9, day > 12
+
+
+#: Days of a leap year by their shape.
+_DAYS = {shape: [x for x in ((m, d) for m in range(1, 13) for d in range(1, 32)) if _shape(*x) == shape and (x[1] <= 29 or x not in {(2, 30), (2, 31), (4, 31), (6, 31), (9, 31), (11, 31)})] for shape in {_shape(m, d) for m in (1, 10) for d in (1, 10, 13)}}
+
+
+def _is_date(year: int, month: int, day: int) -> bool:
     try:
-        n = date(y, m, d).toordinal()
+        return bool(date(year, month, day))
     except ValueError:
+        return False
+
+
+def _date(text: str, permute: Callable) -> str | None:
+    parts = re.split(r"[-/.]", text)
+    order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)  # where year, month and day stand
+    if "/" in text and order[0] == 2 and int(parts[1]) > 12:
+        order = (2, 0, 1)
+    y, m, d = (int(parts[k]) for k in order)
+    if not _is_date(y, m, d):
         return None
-    if _FROM <= n < _TO:
-        n = permute(n - _FROM, _TO - _FROM, "date") + _FROM
-    else:
-        n = permute(n - 1 if n < _FROM else n - 1 - (_TO - _FROM), _LAST - (_TO - _FROM), "other date")
-        n = n + 1 if n + 1 < _FROM else n + 1 + (_TO - _FROM)
-    new = date.fromordinal(n)
-    if "-" in text:
-        return f"{new.year:04d}-{new.month:02d}-{new.day:02d}"
-    sep = text[2]
-    return f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+    kind = "date" if y in _YEARS["date"] else "other date"
+    years, days = _YEARS[kind], _DAYS[_shape(m, d)]
+    x, size = years.index(y) * len(days) + days.index((m, d)), len(years) * len(days)
+    while True:  # past 29 February of common years
+        x = permute(x, size, f"{kind} {_shape(m, d)}")
+        new = (years[x // len(days)], *days[x % len(days)])
+        if _is_date(*new):
+            break
+    for k, value in zip(order, new):
+        parts[k] = str(value).zfill(len(parts[k]))
+    sep = re.search(r"[-/.]", text)[0]
+    return sep.join(parts)
 
 
 def _email(text: str, permute: Callable) -> str | None:

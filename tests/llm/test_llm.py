@@ -520,3 +520,24 @@ def test_pipeline(spark, small):
     bad = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, bad, small).count() == 0, name
+
+
+def test_dates_in_each_spelling():
+    """One day is one pseudonym however it is written, and each spelling comes back."""
+    one = ["1990-12-25", "1990/12/25", "25/12/1990", "25.12.1990", "12/25/1990"]
+    text = "at 1990-12-25T10:00:00Z, " + ", ".join(one) + "; 5/6/1990 05/06/1990 1990-6-5 5.6.1990 1990/06/05; 29/2/2024 2/29/2024 1066-10-14"
+    new, spans = pseudonyms.pseudonymise(text, KEY)
+    assert len(spans) == 14 and all(k == "date" for k, *_ in spans)
+    y, m, d = re.match(r"at (\d{4})-(\d\d)-(\d\d)T10:00:00Z, ", new).groups()
+    assert f"{y}-{m}-{d}, {y}/{m}/{d}, {d}/{m}/{y}, {d}.{m}.{y}, {m}/{d}/{y};" in new and (y, m, d) != ("1990", "12", "25")
+    d, m, y = re.search(r"; (\d)/(\d)/(\d{4}) ", new).groups()
+    assert f"; {d}/{m}/{y} 0{d}/0{m}/{y} {y}-{m}-{d} {d}.{m}.{y} {y}/0{m}/0{d};" in new
+    assert pseudonyms.pseudonymise(new, KEY, back=True)[0] == text
+    for bad in ("31/31/1990", "1990-13-01", "2023-02-29T10:00", "30/2/1990", "1990-1-1x", "1/2/19901"):
+        assert pseudonyms.pseudonymise(bad, KEY) == (bad, [])
+    import datetime
+
+    days = [datetime.date(1996, 1, 1) + datetime.timedelta(k) for k in range(1500)]
+    texts = [f"{x.month}/{x.day}/{x.year}" if x.day > 12 else f"{x.day}/{x.month}/{x.year}" for x in days]
+    there = [pseudonyms.pseudonymise(t, KEY)[0] for t in texts]
+    assert len(set(there)) == len(texts) and [pseudonyms.pseudonymise(t, KEY, back=True)[0] for t in there] == texts
