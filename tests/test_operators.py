@@ -283,3 +283,31 @@ def test_alert_handlers(spark):
     d = spark.createDataFrame([("a", at(k), "INFO" if k else "CRITICAL", f"m{k % 7}") for k in range(14)], "asset string, ts timestamp, severity string, message string")
     got = windows.alert_digest(d).first()
     assert got.digest.startswith("m0; m1") and got.more == 2
+
+
+def test_dbscan_with_a_hot_point(spark):
+    """Against brute force, with a fifth of a million rows on one point: all their pairs would not end."""
+    import numpy as np
+
+    from sparkbars.operators import ml
+
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal((1, 1), 0.15, (60, 2)), rng.normal((2.5, 0), 0.3, (40, 2)), rng.uniform(-2, 4, (60, 2)), [[0.2, 0.0], [0.4, 0.0]]])
+    hot = 200_000
+    few = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(xy)], "k long, x double, y double")
+    frame = few.union(spark.range(1000, 1000 + hot).selectExpr("id", "0D", "0D"))
+    every, w = np.concatenate([xy, [[0.0, 0.0]]]), np.array([1] * len(xy) + [hot])
+    near = ((every[:, None] - every[None]) ** 2).sum(-1) <= 0.2 * 0.2
+    n = (near * w).sum(1)
+    core = n >= 4
+    label = np.where(core, np.arange(len(every)), len(every))
+    for _ in range(len(every)):
+        label = np.where(core, np.where(near & core, label, len(every)).min(1), label)
+    got = {r.k: r for r in ml.dbscan(frame, ["x", "y"], 0.2, 4, "k").filter("k <= 1000").collect()}
+    keys = [*range(len(xy)), 1000]
+    assert [got[k].neighbours for k in keys] == n.tolist()
+    assert [got[k].kind for k in keys] == ["core" if c else "border" if (r & core).any() else "noise" for c, r in zip(core, near)]
+    pairs = {(got[k].cluster, int(x)) for k, x, c in zip(keys, label, core) if c}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
+    assert all(got[k].cluster in {got[j].cluster for j, x, c in zip(keys, r, core) if x and c} for k, r in zip(keys, near) if got[k].kind == "border")
+    assert all((got[k].cluster is None) == (got[k].kind == "noise") for k in keys)
