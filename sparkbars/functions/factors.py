@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import yes
@@ -37,15 +39,15 @@ def profit_factor_over(pnl: Column, window, convention: str = "infinite") -> Col
     return _factor(gains(pnl).over(window), losses(pnl).over(window), convention)
 
 
-def profit_factor_udaf():
-    """The same as a grouped pandas aggregate."""
+def profit_factor_udaf(df: DataFrame, keys: Sequence[str], pnl: str = "pnl", to: str = "pf") -> DataFrame:
+    """The same by a pandas function of each key's gains and losses; these sum in Spark, before the shuffle."""
 
     @F.pandas_udf("double")
-    def factor(pnl: pd.Series) -> float:
-        g, l = float(pnl[pnl > 0].sum()), float(-pnl[pnl < 0].sum())
-        return g / l if l > 0 else float("inf") if g > 0 else 0.0
+    def factor(g: pd.Series, l: pd.Series) -> pd.Series:
+        return pd.Series([a / b if b > 0 else float("inf") if a > 0 else 0.0 for a, b in zip(g, l)], dtype=float)
 
-    return factor
+    sums = df.groupBy(*keys).agg(gains(F.col(pnl)).alias("_g"), losses(F.col(pnl)).alias("_l"))
+    return sums.select(*keys, factor("_g", "_l").alias(to))
 
 
 def research_verdict(test_pf: Column, oos_pf: Column, trades: Column, robustness: Column) -> Column:

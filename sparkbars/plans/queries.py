@@ -545,7 +545,7 @@ def _(s, d):
 
 @query("profit_factor_udaf", f"WITH {TRADES} SELECT hypothesis, round({G} / nullif({L}, 0), 6) AS pf FROM trades GROUP BY 1")
 def _(s, d):
-    return trades(s, d).groupBy("hypothesis").agg(factors.profit_factor_udaf()("pnl").alias("pf"))
+    return factors.profit_factor_udaf(trades(s, d), ["hypothesis"])
 
 
 @query("equity_metrics", "WITH e AS (SELECT o_custkey, o_orderdate, o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS equity FROM orders), r AS (SELECT *, equity / nullif(lag(equity) OVER w, 0) - 1 AS r, (max(equity) OVER w - equity) / nullif(max(equity) OVER w, 0) AS dd FROM e WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT o_custkey, count(r) AS n, round(avg(r) / nullif(stddev_pop(r), 0) * sqrt(6240), 4) AS sharpe, round(arg_max(equity, (o_orderdate, o_orderkey)) / nullif(arg_min(equity, (o_orderdate, o_orderkey)), 0) - 1, 6) AS total_return, round(max(dd), 6) AS max_drawdown FROM r GROUP BY 1")

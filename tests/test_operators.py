@@ -311,3 +311,13 @@ def test_dbscan_with_a_hot_point(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
     assert all(got[k].cluster in {got[j].cluster for j, x, c in zip(keys, r, core) if x and c} for k, r in zip(keys, near) if got[k].kind == "border")
     assert all((got[k].cluster is None) == (got[k].kind == "noise") for k in keys)
+
+
+def test_profit_factor_udaf_sums_before_python(spark, small):
+    from sparkbars.functions import factors
+    from sparkbars.plans import queries
+
+    plan = queries.QUERIES["profit_factor_udaf"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan
+    t = spark.createDataFrame([("a", 3.0), ("a", -2.0), ("a", None), ("b", 1.0), ("c", 0.0), ("d", None)], "k string, pnl double")
+    assert dict(factors.profit_factor_udaf(t, ["k"]).collect()) == {"a": 1.5, "b": float("inf"), "c": 0.0, "d": 0.0}
