@@ -1,11 +1,15 @@
 """Exact duplicates by a two-pass Bloom filter, in DataFrame operations only.
 
-Pass 1 sets two cells for each text's digest and keeps the cells that were set more than once, as bitmaps.
-Pass 2 looks every row up: a row with a cell that was set once is the only one of its text and passes straight
-through. Only the rest shuffle, and are grouped by their digest.
+Pass 1 counts, for a single cell of each text's digest, the rows that set it; counts combine before the shuffle, and
+nothing but cell numbers shuffles. The cells that more than one row set make a Bloom filter. Pass 2 looks every row up:
+one that the filter does not know is the only one of its text and passes straight through, without a shuffle. The rest
+shuffle, and are grouped by their digest.
+
+The filter holds repeated cells alone, and is broadcast. Its size is bounded: at the bound it lets more rows through to
+the exact grouping, so neither results nor the plan depend on it.
 
 Null text counts as empty. Empty tables give empty results. Of rows that repeat a doc_id with an equal text one is
-kept; a null doc_id counts as smaller than any other.
+kept; a null doc_id counts as smaller than any other. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -13,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settled
+from .common import ascii_lower, bloom_bits, bloom_filter, maybe_in, settled
 
-#: Cells of the filter for each row, and the least number of cells.
-CELLS_PER_ROW, LEAST_CELLS = 16, 1 << 16
-#: Up to so many bytes the filter's bitmaps are broadcast; larger ones are joined by bitmap number.
+#: Cells for each row: by so many, a row that is alone shares its cell with chance 1 / 64.
+CELLS_PER_ROW, LEAST_CELLS = 64, 1 << 16
+#: The most bytes of the filter's bitmaps.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -25,40 +29,20 @@ def text_digest(text: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256)
 
 
-def _cells(digest: str, cells: int) -> list[Column]:
-    """Two cells of a digest; numbers from 1, as Spark's bitmap functions count them."""
-    return [F.pmod(F.xxhash64(F.lit(k), F.col(digest)), F.lit(cells)) + 1 for k in (1, 2)]
-
-
-def repeated_cells(rows: DataFrame, digest: str, cells: int) -> DataFrame:
-    """Bitmaps (``bucket``, ``bits``) of the cells that more than one row sets; counts combine before the shuffle."""
-    cell = rows.select(F.explode(F.array(*_cells(digest, cells))).alias("cell"))
-    often = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return often.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-
-
-def flag_possible_repeats(rows: DataFrame, digest: str, count: int, filtered: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``rows`` with ``__repeat``: false only where no other row has the same digest.
-
-    count: rows that the filter is sized for. filtered: the narrow rows that the filter is built from, if not ``rows``.
-    The bitmaps take ``2 * count`` bytes: they are broadcast up to ``broadcast_bytes``, beyond it joined by number.
-    """
-    cells = max(LEAST_CELLS, 1 << (CELLS_PER_ROW * count - 1).bit_length()) if count else LEAST_CELLS
-    bitmaps = settled(repeated_cells(rows if filtered is None else filtered, digest, cells), "repeated-cells")
-    out = rows
-    for k, cell in enumerate(_cells(digest, cells)):
-        part = bitmaps.select(F.col("bucket").alias(f"__bucket{k}"), F.col("bits").alias(f"__bits{k}"))
-        if cells // 8 <= broadcast_bytes:
-            part = F.broadcast(part)
-        out = out.withColumn(f"__bucket{k}", F.bitmap_bucket_number(cell)).withColumn(f"__at{k}", F.bitmap_bit_position(cell)).join(part, f"__bucket{k}", "left")
-    bit = " AND ".join(f"coalesce((cast(conv(hex(substring(__bits{k}, cast(__at{k} div 8 as int) + 1, 1)), 16, 10) as int) >> cast(__at{k} % 8 as int)) & 1, 0) = 1" for k in (0, 1))
-    return out.withColumn("__repeat", F.expr(bit)).drop(*[f"__{x}{k}" for x in ("bucket", "bits", "at") for k in (0, 1)])
+def flag_possible_repeats(rows: DataFrame, digest: str, narrow: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with ``__repeat``: false only where no other row has the same digest. narrow: the digests of all rows."""
+    cells = max(LEAST_CELLS, CELLS_PER_ROW * narrow.count())
+    cell = F.pmod(F.xxhash64(F.col(digest)), F.lit(cells))
+    often = settled(narrow.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell"), "repeated-cells")
+    bits = bloom_bits(often.count(), broadcast_bytes)
+    bitmaps = settled(bloom_filter(often, "cell", bits), "repeat-filter")
+    return maybe_in(rows.withColumn("__cell", cell), "__cell", bitmaps, bits, "__repeat").drop("__cell")
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays."""
     narrow = settled(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
-    rows = flag_possible_repeats(narrow, "text_sha256", narrow.count(), broadcast_bytes=broadcast_bytes)
+    rows = flag_possible_repeats(narrow, "text_sha256", narrow, broadcast_bytes)
     alone = rows.filter("NOT __repeat").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("__repeat")
     groups = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("last"))
@@ -67,11 +51,15 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return alone.unionByName(marked)
 
 
+def split_repeats(docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (``__row``) that no other row equals, and (``__row``, ``__digest``) that another may equal."""
+    rows = docs.select(F.struct("*").alias("__row"), text_digest(F.col(text_col)).alias("__digest"))
+    rows = flag_possible_repeats(rows, "__digest", settled(rows.select("__digest"), "digests"), broadcast_bytes)
+    return rows.filter("NOT __repeat").select("__row"), rows.filter("__repeat").select("__row", "__digest")
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. Rows of possibly repeated texts combine before they shuffle."""
-    rows = docs.select(F.struct("*").alias("__row"), text_digest(F.col(text_col)).alias("__digest"))
-    digests = settled(rows.select("__digest"), "digests")
-    rows = flag_possible_repeats(rows, "__digest", digests.count(), filtered=digests, broadcast_bytes=broadcast_bytes)
-    alone = rows.filter("NOT __repeat").select("__row")
+    alone, maybe = split_repeats(docs, text_col, broadcast_bytes)
     one = F.max_by("__row", F.coalesce(F.col(f"__row.{id_col}"), F.lit(-(1 << 63)))).alias("__row")
-    return alone.unionByName(rows.filter("__repeat").groupBy("__digest").agg(one).select("__row")).select("__row.*")
+    return alone.unionByName(maybe.groupBy("__digest").agg(one).select("__row")).select("__row.*")

@@ -1,13 +1,15 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, as flat neighbour arrays.
 
 Equal vectors are one node with the smallest ids of its rows, so that copies don't crowd a graph; a query needs no more
-of them than it has places. Nodes are dealt to shards of about ``SHARD``. A task builds its shard's graph in growing
-batches: each batch searches the graph so far, chooses neighbours that are nearer to the new node than to each other,
-and links back. Queries go to every shard in blocks; a shard's nearest are scored again in double precision, and the
-shards' results are merged.
-
-Rows with a null, empty or zero vector, or one with null or non-finite components, take no part; neither do vectors of
-another length than most queries' (the length must be one: others raise in the task). Null ids take no part.
+of them than it has places. Nodes are dealt to shards of about ``SHARD``, those of each length apart. A task builds its
+shard's graph in growing batches: each batch searches the graph so far, chooses neighbours that are nearer to the new node
+than to each other, and links back. A block of up to ``BLOCK`` queries goes to every shard of their length, which gets its
+index once for them all; a shard's nearest are scored again in double precision, and the shards' results are merged.
+
+Rows with a null, empty or zero vector, or one with null or non-finite components, take no part; neither do null ids. A
+query's candidates are the vectors of its own length, as cosine is defined for no others. Repeated rows count once. Of
+different vectors under one id, the one whose digest is smallest stands for it. Ties go to the smaller id. Empty tables
+give empty results. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -16,17 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
 
 #: Vectors of a shard; queries of a block; neighbours on upper levels (twice as many on the lowest); beam widths.
-SHARD, BLOCK, LINKS, BUILD_BEAM, SEARCH_BEAM = 4096, 512, 16, 64, 96
+SHARD, BLOCK, LINKS, BUILD_BEAM, SEARCH_BEAM = 32_768, 65_536, 16, 64, 128
 #: Rows of equal vectors are cut to their smallest ids in so many parts first.
 SALTS = 64
 
 
+def _dots(x: np.ndarray, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Similarities of each row of nodes to the row's query."""
+    return np.matmul(x[nodes], q[:, :, None])[:, :, 0]
+
+
 def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of all queries in step. Returns nodes (-1: none) and similarities, nearest first.
 
@@ -42,7 +49,7 @@ def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray
     done = np.ones((n, beam), bool)
     first = entries[:, :beam]
     node[:, : first.shape[1]] = first
-    sim[:, : first.shape[1]] = np.einsum("qed,qd->qe", x[first], q)
+    sim[:, : first.shape[1]] = _dots(x, first, q)
     done[:, : first.shape[1]] = False
     seen[rows[:, None], first] = True
     active = rows
@@ -60,7 +67,7 @@ def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         near[seen[active[:, None], near]] = -1
         seen[active[:, None], near] = True
-        fresh = np.where(near >= 0, np.einsum("qed,qd->qe", x[near], q[active]), -np.inf).astype(np.float32)
+        fresh = np.where(near >= 0, _dots(x, near, q[active]), -np.inf).astype(np.float32)
         every = np.concatenate([sim[active], fresh], 1)
         keep = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
         node[active] = np.take_along_axis(np.concatenate([node[active], near], 1), keep, 1)
@@ -74,11 +81,11 @@ def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray
 def _diverse(x: np.ndarray, own: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     """Of each row of candidates, up to ``most``: those nearer to the node than to any chosen before, then the nearest."""
     b, c = near.shape
-    sim = np.where(near >= 0, np.einsum("bcd,bd->bc", x[near], x[own]), -np.inf)
+    sim = np.where(near >= 0, _dots(x, near, x[own]), -np.inf)
     order = np.argsort(-sim, axis=1, kind="stable")
     near, sim = np.take_along_axis(near, order, 1), np.take_along_axis(sim, order, 1)
     v = x[near]
-    between = np.einsum("bcd,bed->bce", v, v)
+    between = np.matmul(v, v.transpose(0, 2, 1))
     chosen = np.zeros((b, c), bool)
     for k in range(c):
         closer = (np.where(chosen, between[:, k], -np.inf) > sim[:, k, None]).any(1)
@@ -155,81 +162,104 @@ def search_graph(x: np.ndarray, levels: list[np.ndarray], flat: list[np.ndarray]
     raise ValueError("a graph has at least one level")
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    v = np.stack(vectors.to_numpy()).astype(np.float64)
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(1, keepdims=True)
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
-def build_index(nodes: DataFrame, shards: int) -> DataFrame:
-    """A row for each shard: its vectors and graph. nodes: ``node`` long, ``shard`` int, ``vector`` array<double>."""
+def build_index(nodes: DataFrame) -> DataFrame:
+    """A row for each shard: its vectors and graph. nodes: ``node`` long, ``dim`` and ``shard`` int, ``vector``."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        levels, flat = build_graph(_unit(pdf.vector))
+        raw = _stacked(pdf.vector)
+        levels, flat = build_graph(_unit(raw))
         return pd.DataFrame({
-            "shard": [pdf.shard.iloc[0]], "nodes": [pdf.node.to_numpy()], "vectors": [np.stack(pdf.vector.to_numpy()).ravel()],
+            "dim": [pdf.dim.iloc[0]], "shard": [pdf.shard.iloc[0]], "nodes": [pdf.node.to_numpy()], "vectors": [raw.ravel()],
             "level_sizes": [[len(x) for x in levels]], "level_nodes": [np.concatenate(levels).astype(np.int32)],
             "neighbours": [np.concatenate([x.ravel() for x in flat]).astype(np.int32)], "widths": [[x.shape[1] for x in flat]],
         })
 
-    return nodes.groupBy("shard").applyInPandas(build, "shard int, nodes array<long>, vectors array<double>, level_sizes array<int>, level_nodes array<int>, neighbours array<int>, widths array<int>")
+    kind = nodes.schema["vector"].dataType.simpleString()
+    return nodes.groupBy("dim", "shard").applyInPandas(build, f"dim int, shard int, nodes array<long>, vectors {kind}, level_sizes array<int>, level_nodes array<int>, neighbours array<int>, widths array<int>")
 
 
-def usable(vector) -> object:
+def usable(vector) -> Column:
     """Whether a vector takes part: not null or empty, all components finite, one of them not zero."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    # scaled to its largest component, so that a sum of squares neither overflows nor vanishes
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce((F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def one_vector_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, key) without those whose id also has a smaller key: an id stands for one vector."""
+    clash = settled(rows.groupBy("id").agg(F.min("key").alias("own"), F.max("key").alias("other")).filter("own != other").select("id", "own"), "clashes")
+    return rows.join(clash, "id", "left").filter("own IS NULL OR key = own").drop("own")
+
+
+def least_ids(rows: DataFrame, most: int) -> DataFrame:
+    """(``node``, ``ids``): for each key its smallest id, and up to ``most`` of its smallest. A key with very many ids is
+    cut in ``SALTS`` parts first."""
+    part = Window.partitionBy("key", "salt").orderBy("id")
+    pairs = rows.groupBy("key", "id").agg(F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    least = pairs.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= most)
+    least = least.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("n") <= most)
+    return least.groupBy("key").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids")).select("node", "ids")
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found by cosine, ties to the smaller vec_id.
 
-    is_query: a condition on ``vectors``. The query's own row is left out, its copies are not.
+    is_query: a condition on ``vectors``. The query's own id is left out, other ids with an equal vector are not.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(F.col("id").isNotNull() & usable("vector"))
-    # -0.0 equals 0.0
-    rows = settled(rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).withColumn("key", F.sha2(F.array_join("vector", ",").cast("binary"), 256)), "vectors")
-    part = Window.partitionBy("key", "salt").orderBy("id")
-    least = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("n", F.row_number().over(part)).filter(F.col("n") <= k + 1)
-    least = least.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("n") <= k + 1)
-    nodes = least.groupBy("key").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("vector", "id").alias("vector"))
-    nodes = settled(nodes, "nodes")
-    shards = max(1, -(-nodes.count() // shard))
-    index = settled(build_index(nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "vector"), shards), "index")
-
-    queries = settled(rows.filter("q").select("id", "vector"), "queries")
+    element = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = element if element in ("float", "double") else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(F.col("id").isNotNull() & usable("vector"))
+    plain = F.transform("vector", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 equals 0.0
+    rows = settled(rows.withColumn("key", F.sha2(F.array_join(plain, ",").cast("binary"), 256)), "vectors")
+    rows = one_vector_each(rows)
+    ids = settled(least_ids(rows.select("key", "id"), k + 1), "ids")
+    nodes = settled(rows.groupBy("key").agg(F.min("id").alias("node"), F.min_by("vector", "id").alias("vector")).select("node", F.size("vector").alias("dim"), "vector"), "nodes")
+    shards = settled(nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("shards")), "shards")
+    index = settled(build_index(nodes.join(shards, "dim").select("node", "dim", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"), "vector")), "index")
+
+    queries = settled(rows.filter("q").groupBy("id").agg(F.min_by("vector", "key").alias("vector")).withColumn("dim", F.size("vector")), "queries")
     blocks = max(1, -(-queries.count() // block))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = queries.join(shards, "dim").select("id", "vector", "dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     wanted = k + 1  # one may be the query's own node
 
     def find(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        parts = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
         if not len(index) or not len(queries):
-            return empty
+            return parts[0]
         g = index.iloc[0]
         nodes = np.asarray(g.nodes)
         raw = np.asarray(g.vectors).reshape(len(nodes), -1)
-        unit = _unit(pd.Series(list(raw)))
         levels, flat, a, b = [], [], 0, 0
         for size, width in zip(g.level_sizes, g.widths):
             levels.append(np.asarray(g.level_nodes[a : a + size], int))
             flat.append(np.asarray(g.neighbours[b : b + size * width], int).reshape(size, width))
             a, b = a + size, b + size * width
-        found, _ = search_graph(unit, levels, flat, _unit(queries.vector), wanted + 4, beam)
-        who, place = np.nonzero(found >= 0)
-        at = found[who, place]
-        q = np.stack(queries.vector.to_numpy())
-        a, b = q[who], raw[at]
-        score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-        return pd.DataFrame({"query_id": queries.id.to_numpy()[who], "node": nodes[at], "score": score})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(find, "query_id long, node long, score double")
+        unit = _unit(raw.astype(np.float64))
+        for part in range(0, len(queries), 256):
+            some = queries.iloc[part : part + 256]
+            q = _stacked(some.vector)
+            found, _ = search_graph(unit, levels, flat, _unit(q), wanted + 4, beam)
+            who, place = np.nonzero(found >= 0)
+            at = found[who, place]
+            a, b = q[who], raw[at].astype(np.float64)
+            score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+            parts.append(pd.DataFrame({"query_id": some.id.to_numpy()[who], "node": nodes[at], "score": score}))
+        return pd.concat(parts[1:])
+
+    found = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(find, "query_id long, node long, score double")
     by_node = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     found = found.withColumn("n", F.row_number().over(by_node)).filter(F.col("n") <= wanted).drop("n")
-    ids = found.join(nodes.select("node", "ids"), "node").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
+    near = found.join(ids, "node").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return ids.withColumn("rank", F.row_number().over(nearest_first).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(nearest_first).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

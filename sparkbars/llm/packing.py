@@ -5,7 +5,12 @@ after a sentence, or, where neither comes for ``GAP`` tokens, within one. The pr
 and penalties add up to the least; the best cut before each is found with a monotone queue, as a window's padding is
 linear in where it begins. Windows of a power of two need no padding, and cost ``SHORT`` instead.
 
-Null text counts as empty: such a document is its closing id alone. Repeated rows are packed as often as they come.
+A cut within a document costs as little as ``SENTENCE`` tokens of padding, so a document is rather cut after a sentence
+than padded, even one that would fit a window alone; a higher penalty keeps more documents whole and pads more.
+
+Null text counts as empty: such a document is its closing id alone. Repeated rows are packed as often as they come. Of
+cuts that cost the same the window that is filled first wins. Empty tables give empty results. Other columns may have any
+name.
 """
 
 from __future__ import annotations

@@ -5,9 +5,13 @@ that number is permuted by a Feistel network over the format's whole range, walk
 becomes another valid one of its format, equal values become equal however they are written or in whichever document,
 and ``restore`` with the same key gives them back.
 
-Kinds: email (the letters and digits of the local part), card (13 to 19 digits, Luhn), ip (IPv4), ssn, phone (NANP),
-date (year first with hyphens, a time may follow, or
-slashes; day and month with dots or slashes, and month first with slashes where day first is impossible). What fails validation stays as it is. Null text stays null.
+Kinds: email (the letters and digits of the local part), card (13 to 19 digits, Luhn, not all equal), iban (mod 97; country
+and length stay), ip (IPv4), ssn, phone (NANP, or + and a country code, which stays), date (year first with hyphens, a
+time may follow, or slashes; day and month with dots or slashes, and month first with slashes where day first is
+impossible). What fails validation stays as it is. Of kinds that could begin at one place the first named wins.
+
+Null text stays null, empty text empty. Repeated rows are replaced each, and alike. Empty tables give empty results. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KINDS = ("email", "ip", "card", "ssn", "phone", "date")
+KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "date")
 #: How each kind is written.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
     r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{1,2}-\d{1,2}(?=T\d\d)|(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"|(?P<iban>(?<![\w-])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: (?=[A-Z]*\d)[A-Z0-9]{1,3})?)(?![\w-]))"
+    r"|(?P<abroad>(?<![\w+-])\+(?!1\D?\d)\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}(?![\w-]|\.\d))"
     r"|(?P<phone>(?<![\w-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
     re.A,
@@ -81,8 +87,42 @@ def _card(text: str, permute: Callable) -> str | None:
     d = _digits(text)
     if not 13 <= len(d) <= 19 or luhn(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
-    payload = str(permute(int(d[:-1]), 10 ** (len(d) - 1), f"card{len(d)}")).zfill(len(d) - 1)
-    return _refill(text, payload + luhn(payload))
+    payload = int(d[:-1])
+    while True:  # past numbers of one digit alone, which are not replaced
+        payload = permute(payload, 10 ** (len(d) - 1), f"card{len(d)}")
+        new = str(payload).zfill(len(d) - 1)
+        new += luhn(new)
+        if len(set(new)) > 1:
+            return _refill(text, new)
+
+
+def _iban(text: str, permute: Callable) -> str | None:
+    """Letters stay letters and digits digits; the check digits follow from the rest."""
+    plain = text.replace(" ", "")
+    number = lambda s: int("".join(str(int(c, 36)) for c in s))
+    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+        return None
+    x, size, shape = 0, 1, plain[:2]
+    for c in plain[4:]:
+        radix, value = (26, ord(c) - 65) if c.isalpha() else (10, int(c))
+        x, size, shape = x * radix + value, size * radix, shape + ("A" if radix == 26 else "0")
+    x, new = permute(x, size, f"iban {shape}"), ""
+    for c in reversed(plain[4:]):
+        x, value = divmod(x, 26 if c.isalpha() else 10)
+        new = (chr(65 + value) if c.isalpha() else str(value)) + new
+    new = plain[:2] + f"{98 - number(new + plain[:2] + '00') % 97:02d}" + new
+    rest = iter(new)
+    return re.sub(r"\S", lambda _: next(rest), text)
+
+
+def _abroad(text: str, permute: Callable) -> str | None:
+    """The country code, up to where the number is first divided (two digits if it isn't), stays."""
+    d = _digits(text)
+    code = min(len(re.match(r"\+(\d+)", text)[1]), 2 if text[1:].isdigit() else 3)
+    if not 8 <= len(d) <= 15 or len(d) - code < 6:
+        return None
+    rest = len(d) - code
+    return _refill(text, d[:code] + str(permute(int(d[code:]), 10**rest, f"abroad{d[:code]}")).zfill(rest))
 
 
 def _ip(text: str, permute: Callable) -> str | None:
@@ -172,7 +212,7 @@ def _email(text: str, permute: Callable) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-_RULES = {"email": _email, "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date}
+_RULES = {"email": _email, "ip": _ip, "iban": _iban, "card": _card, "ssn": _ssn, "abroad": _abroad, "phone": _phone, "date": _date}
 
 
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -186,7 +226,7 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
         new = _RULES[m.lastgroup](m[0], permute)
         if new is None:
             return m[0]
-        spans.append((m.lastgroup, m.start(), m.end()))
+        spans.append(("phone" if m.lastgroup == "abroad" else m.lastgroup, m.start(), m.end()))
         return new
 
     return PATTERN.sub(one, text), spans

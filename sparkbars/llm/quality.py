@@ -5,7 +5,8 @@ Trees are grown on labelled rows' statistics; each path from a root is a conjunc
 from texts alone. The fit takes at most ``rows`` labelled documents (those with the smallest hash of doc_id); every
 document is scored.
 
-Null text counts as empty. Without labels of both kinds the score is the labels' mean, 0.5 without any.
+Null text counts as empty. Without labels of both kinds the score is the labels' mean, 0.5 without any. Repeated rows are
+scored each, and weigh in the fit as often as they come; empty tables give empty results. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -99,15 +100,16 @@ class RuleModel:
         return [f"{w:+.3f} if " + " and ".join(f"{STATISTICS[k]} {'>' if above else '<='} {at:.4g}" for k, above, at in rule) for w, rule in self.rules]
 
 
-def fit_rules(samples: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 0.002, most: int = 400, seed: int = 42) -> RuleModel:
+def fit_rules(samples: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 0.002, seed: int = 42) -> RuleModel:
     """samples: ``stats`` array<double>, ``label`` double (0 or 1)."""
-    samples = settled(samples, "samples")
+    # in one order, however the rows came: the forest draws its samples by partition and place
+    samples = settled(samples, "samples").repartition(8, "stats").sortWithinPartitions("stats", "label")
     n, ones = samples.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or ones in (0, n):
         share = min(max(0.5 if not n else ones / n, 1e-3), 1 - 1e-3)
         return RuleModel(math.log(share / (1 - share)), ())
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="x", labelCol="label", subsamplingRate=0.8).fit(samples.select(array_to_vector("stats").alias("x"), "label"))
-    rules = sorted({tuple(sorted(set(r))) for tree in forest.trees for r in tree_rules(tree.toDebugString)})[:most]
+    rules = sorted({tuple(sorted(set(r))) for tree in forest.trees for r in tree_rules(tree.toDebugString)})
     if not rules:
         return RuleModel(math.log(ones / (n - ones)), ())
     fired = settled(samples.select(F.array(*(rule_column(r, F.col("stats")).cast("double") for r in rules)).alias("fired"), "label"), "fired").select(array_to_vector("fired").alias("x"), "label")

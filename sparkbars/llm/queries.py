@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import exact_dedup, hnsw, mixing, packing, pseudonyms, quality, secret_scan, simhash, token_counts, url_filter
 from .common import table
 
-#: The key of the query; jobs bring their own.
-KEY = b"pseudonyms of the query"
+#: The session's setting that names the key of op8; where it is unset, the key of the driver's check.
+KEY_SETTING, KEY = "spark.sparkbars.pseudonyms.key", "pseudonyms of the query"
+#: Words in the hosts of op9's list.
+LISTED_HOSTS = ("cheap-pills", "casino-win", "free-bets", "spam-farm", "adult-x", "ads-track")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,45 +24,53 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
     import public_tokenizers
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.word_bpe_encoder(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each vector whose id is divisible by 50."""
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two bits, and their components."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, and which of each stays."""
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of the fixed kinds, and runs that the character models find random."""
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan_secrets(docs, secret_scan.train_markov(secret_scan.labelled_samples(docs)))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the rules learnt from the labels."""
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise_documents(table(spark, sf_dir, "documents"), KEY)
+    """Documents with pseudonyms for personal data. The key is the session's."""
+    return pseudonyms.pseudonymise_documents(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, KEY).encode())
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: canonical URLs that more than one page has, as pages that were fetched again."""
+    """The list: the pages fetched by https from hosts with a listed word. Judged are all pages, in each spelling of a URL."""
     pages = table(spark, sf_dir, "pages")
-    again = pages.groupBy(url_filter.canonical_url(F.col("url")).alias("c")).agg(F.count(F.lit(1)).alias("n")).filter("c IS NOT NULL AND n > 1")
-    return url_filter.judge_urls(pages, again.select(F.concat(F.lit("https://"), "c").alias("url")))
+    listed = pages.select("url").filter(F.col("url").startswith("https://") & url_filter.url_host(F.col("url")).rlike("|".join(LISTED_HOSTS)))
+    return url_filter.judge_urls(pages, listed)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
@@ -85,7 +95,7 @@ WITH p AS (
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')), '&') AS query FROM pages),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '')
     || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM p),
-l AS (SELECT canonical FROM c WHERE canonical IS NOT NULL GROUP BY canonical HAVING count(*) > 1),
+l AS (SELECT DISTINCT canonical FROM c WHERE canonical IS NOT NULL AND starts_with(url, 'https://') AND regexp_matches(host, '{"|".join(LISTED_HOSTS)}')),
 r AS (SELECT c.*, l.canonical IS NOT NULL AS listed, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'

@@ -6,19 +6,24 @@ agree, and their pattern there. A search adds up the differences to the nodes' p
 whole groups out as soon as they exceed the limit. A cell of more than ``CELL`` fingerprints is dealt to pairs of its
 parts, so that no task gets more than two parts and no link is lost. Equal fingerprints are one entry.
 
-``near_duplicates`` links 64-bit fingerprints within two bits: such a pair agrees in one of three blocks of bits, which
-are the masks, so the result is exact. ``drop_near_duplicates`` is for shingles of five words and a similarity of 0.8:
-there distances are much larger, so it compares 1024-bit fingerprints of the distinct shingles (two texts of similarity J
-differ in about acos(2J / (1 + J)) / pi of the bits, and the more bits, the closer to that), in cells of texts whose
+``near_duplicates`` links 64-bit fingerprints within two bits: such a pair agrees in two of four blocks of 16 bits, which
+make six masks of 32 bits, so the result is exact, and a cell stays small up to some 2**32 different fingerprints.
+
+``drop_near_duplicates`` is for shingles of five words and a similarity (Jaccard, of distinct shingles) of 0.8. There
+distances are much larger, so candidates come from 1024-bit fingerprints of the distinct shingles (two texts of similarity
+J differ in about acos(2J / (1 + J)) / pi of the bits, and the more bits, the closer to that), in cells of texts whose
 smallest shingles agree under the hashes of a band. Two texts agree in a band with chance J ** ROWS, whichever words
 differ and however large the table is, and there are so many bands that a pair at 0.8 shares none with chance MISSED.
+What candidate links connect is compared again by the shingles themselves: pairs at 0.8 or more are linked, others not.
 
 Null and empty texts have fingerprint zero. A document of fewer words than a shingle has its whole sequence as one.
-Repeated rows have equal fingerprints, and so one component. A null doc_id takes no part in choosing the smallest.
+Repeated rows have equal fingerprints, and so one component. A null doc_id takes no part in choosing the smallest, but
+such a row can be dropped for another. Empty tables give empty results. Other columns may have any name.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -26,18 +31,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import among, discard, settled, written
 
 BITS = 64
-#: Blocks of bits, by their lowest bit and width; two differing bits leave one of three alone.
-BLOCKS = ((42, 22), (21, 21), (0, 21))
+#: Blocks of bits, by their lowest bit and width; two differing bits leave two of four alone. Masks are pairs of blocks.
+BLOCKS = ((48, 16), (32, 16), (16, 16), (0, 16))
+MASKS = tuple(sum(((1 << width) - 1) << low for low, width in pair) for pair in itertools.combinations(BLOCKS, 2))
 #: Fingerprints in a part of a large cell, and in a node of the index.
 CELL, NODE = 2048, 16
-#: For ``drop_near_duplicates``: 64-bit words of a code; differing bits allowed.
-CODE_WORDS, CODE_LIMIT = 16, 176
+#: For ``drop_near_duplicates``: 64-bit words of a code; differing bits of candidates (155 on average at 0.8, 190 are three
+#: standard deviations more); distinct shingles of a part of a large group, and of a row that carries them.
+CODE_WORDS, CODE_LIMIT, PART_SHINGLES, ROW_SHINGLES = 16, 190, 1 << 20, 1024
 #: The similarity that copies have at least, the hashes of a band, the chance that copies share no band, and so the bands.
 SIMILARITY, ROWS, MISSED = 0.8, 5, 0.002
 BANDS = math.ceil(math.log(MISSED) / math.log(1 - SIMILARITY**ROWS))
@@ -221,16 +228,96 @@ def near_links(entries: DataFrame, limit: int, cell: int = CELL) -> DataFrame:
     return entries.mapInArrow(task, "a long, b long")
 
 
+def mask_cells(fp: str) -> Column:
+    """array<struct<mask, value>>: the cells of a fingerprint, by number of the mask and the pattern under it."""
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in MASKS]
+    return F.array(*(F.struct(F.lit(k).cast("long").alias("mask"), F.col(fp).bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(signed)))
+
+
+def exact_links(doc: np.ndarray, shingles: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all pairs of documents of at least ``similarity``. doc: whose (from 0) each of the
+    shingles is; a document has none twice."""
+    size = np.bincount(doc)
+    _, shingle = np.unique(shingles, return_inverse=True)
+    shared = np.bincount(shingle)[shingle] > 1
+    doc, shingle = doc[shared], shingle[shared]
+    order = np.argsort(doc, kind="stable")
+    doc, shingle = doc[order], shingle[order]
+    edges = np.searchsorted(doc, np.arange(len(size) + 1))
+    mark, live, links = np.zeros(shingle.max(initial=-1) + 1, bool), np.ones(len(size), bool), []
+    for root in range(len(size)):
+        if not live[root]:
+            continue
+        live[root], todo = False, [root]
+        while todo and live.any():
+            at = todo.pop()
+            own = shingle[edges[at] : edges[at + 1]]
+            mark[own] = True
+            both = np.bincount(doc[mark[shingle]], minlength=len(size))
+            mark[own] = False
+            near = np.flatnonzero(live & (both > 0) & (both >= similarity * (size + size[at] - both)))
+            live[near] = False
+            links += [(at, int(x)) for x in near]
+            todo += near.tolist()
+    return links
+
+
+def verified_links(members: DataFrame, similarity: float = SIMILARITY, most: int = PART_SHINGLES, cell: int = CELL) -> DataFrame:
+    """Links (``a``, ``b``) that connect what pairs of at least ``similarity`` within a group connect.
+
+    members: ``component`` (the group), ``rep`` (long), ``h`` (array<long>: its distinct shingles' hashes). A group of more
+    than ``cell`` members or ``most`` shingles is dealt to pairs of its parts.
+    """
+    sizes = settled(members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("h")).alias("w")).filter("n > 1"), "sizes")
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(cell)), F.ceil(F.col("w") / F.lit(most))).cast("int")
+    rows = members.join(sizes, "component").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / F.lit(ROW_SHINGLES)).cast("int")), lambda k: F.slice("h", k * ROW_SHINGLES + 1, ROW_SHINGLES))
+    rows = rows.filter(F.size("h") > 0).select("component", F.explode(pairs).alias("pair"), "rep", pieces.alias("pieces")).select("component", "pair.i", "pair.j", "rep", F.explode("pieces").alias("h"))
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, reps, held = [], [], []  # of the group that is open
+
+        def links() -> pa.RecordBatch:
+            names, doc = np.unique(np.concatenate([np.repeat(r, len(h)) for r, h in zip(reps, held)]), return_inverse=True)
+            out = exact_links(doc, np.concatenate(held), similarity) if len(names) > 1 else []
+            return pa.RecordBatch.from_pydict({"a": [int(names[x]) for x, _ in out], "b": [int(names[y]) for _, y in out]}, schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns[:3]])
+            rep, lists = np.asarray(batch.column(3)), batch.column(4)
+            flat, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))
+            for k in range(batch.num_rows):
+                if keys and (key[k] != keys[-1]).any():
+                    yield links()
+                    keys, reps, held = [], [], []
+                keys[:] = [key[k]]
+                reps.append(rep[k])
+                held.append(flat[ends[k - 1] if k else 0 : ends[k]])
+        if held:
+            yield links()
+
+    return rows.mapInArrow(task, "a long, b long")
+
+
 def _same(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(``node``, ``component``): the smallest node that each linked node reaches. Alternates large-star and small-star
-    steps; each round is written to the shared folder. Nodes without a link have no row."""
-    edges = settled(links.filter("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
-    state = _same(edges)
-    for _ in range(rounds):
+    steps until nothing changes; each round is written to the shared folder, and the one before it deleted. Nodes without
+    a link have no row."""
+    spark = links.sparkSession
+    here = written(links.filter("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
+    read = spark.read.schema("lo long, hi long").parquet
+    state, before = _same(read(here)), None
+    while state != before:
+        edges = read(here)
         # large star: each node's larger neighbours link to the smallest of its neighbours and itself
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select("hi", "lo"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -238,45 +325,71 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: each node and its smaller neighbours link to the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo != hi").union(least.select("m", "hi")).distinct()
-        edges, before = settled(small, "links"), state
-        state = _same(edges)
-        if state == before:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        old, here = here, written(small, "links")
+        discard(spark, old)
+        before, state = state, _same(read(here))
+    return read(here).select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    if limit > len(BLOCKS) - 1:
-        raise ValueError("three blocks find pairs within two bits")
+    if limit > len(BLOCKS) - 2:
+        raise ValueError("pairs of four blocks find pairs within two bits")
     rows = settled(with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words, "text", "fp").select("doc_id", "fp"), "fingerprints")
     prints = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
-    cells = F.array(*(F.struct(F.lit(k).cast("long").alias("mask"), F.expr(f"shiftrightunsigned(fp, {low}) & {(1 << width) - 1}L").alias("value")) for k, (low, width) in enumerate(BLOCKS)))
-    entries = prints.filter("rep IS NOT NULL").select(F.explode(cells).alias("cell"), "rep", F.array("fp").alias("code")).select("cell.mask", "cell.value", "rep", "code")
+    entries = prints.filter("rep IS NOT NULL").select(F.explode(mask_cells("fp")).alias("cell"), "rep", F.array("fp").alias("code")).select("cell.mask", "cell.value", "rep", "code")
     found = components(near_links(entries, limit))
     labels = prints.join(found, prints["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, words: int = 5, limit: int = CODE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, component_id (the smallest doc_id of its group of near duplicates)."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``n``, ``doc_id``, ``row``): written with a number for each row, so that decisions hold for that row alone."""
+    return settled(docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row")), "numbered")
+
+
+def _grouped(kept: DataFrame, words: int, limit: int, similarity: float, text_col: str) -> DataFrame:
+    """(``n``, ``doc_id``, ``group``) of rows (``n``, ``doc_id``, ``row``): near duplicates have one group."""
 
     @F.pandas_udf("struct<code: array<long>, bands: array<long>>")
     def wide(texts: pd.Series) -> pd.DataFrame:
         pairs = [wide_simhash(t, words) for t in texts]
         return pd.DataFrame({"code": [a for a, _ in pairs], "bands": [b for _, b in pairs]})
 
-    rows = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), wide(F.col(text_col)).alias("w")).select("doc_id", "w.code", "w.bands"), "wide")
+    @F.pandas_udf("array<long>")
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([_hashes(set(_shingles(w, words))).view(np.int64) if (w := _words(t)) else np.zeros(0, np.int64) for t in texts])
+
+    text = F.col("row")[text_col]
+    rows = settled(kept.select("n", "doc_id", wide(text).alias("w")).select("n", "doc_id", "w.code", "w.bands"), "wide")
     # texts of one code have all but the same shingles, and so the same bands
-    prints = settled(rows.groupBy("code").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "prints")
-    entries = prints.filter("rep IS NOT NULL").select(F.posexplode("bands").alias("mask", "value"), "rep", "code").select(F.col("mask").cast("long").alias("mask"), "value", "rep", "code")
-    found = components(near_links(entries, limit))
-    labels = prints.join(found, prints["rep"] == found["node"], "left").select("code", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(labels, "code").select("doc_id", "component_id")
+    prints = settled(rows.groupBy("code").agg(F.min("n").alias("rep"), F.min_by("bands", "n").alias("bands")), "prints")
+    entries = prints.select(F.posexplode("bands").alias("mask", "value"), "rep", "code").select(F.col("mask").cast("long").alias("mask"), "value", "rep", "code")
+    candidates = settled(components(near_links(entries, limit)), "candidates")
+    members = candidates.select(F.col("node").alias("rep"), "component").union(candidates.select("component", "component").distinct())
+    members = settled(members, "members")
+    _, maybe = among(kept.select("n", text.alias("text")), "n", settled(members.select(F.col("rep").alias("n")), "linked"))
+    texts = maybe.join(members, maybe["n"] == members["rep"])
+    found = components(verified_links(settled(texts.select("component", "rep", shingled("text").alias("h")), "shingles"), similarity))
+    labels = prints.join(found, prints["rep"] == found["node"], "left").select("code", F.coalesce("component", "rep").alias("group"))
+    return settled(rows.join(labels, "code").select("n", "doc_id", "group"), "groups")
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """(``group``, ``first``): of groups of several rows, the row that stays: the smallest doc_id, null ones last."""
+    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")).filter("rows > 1").select("group", "first")
+
+
+def near_groups(docs: DataFrame, words: int = 5, limit: int = CODE_LIMIT, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, component_id (the smallest doc_id of its group of near duplicates)."""
+    rows = _grouped(_numbered(docs, id_col, text_col), words, limit, similarity, text_col)
+    return rows.join(_first(rows), "group", "left").select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, limit: int = CODE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, that have the smallest doc_id of their group. Rows without a doc_id stay."""
-    gone = near_groups(docs, words, limit, id_col, text_col).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"))
-    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")
+def drop_near_duplicates(docs: DataFrame, words: int = 5, limit: int = CODE_LIMIT, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, but of each group of near duplicates the one with the smallest doc_id alone."""
+    kept = _numbered(docs, id_col, text_col)
+    rows = _grouped(kept, words, limit, similarity, text_col)
+    gone = settled(rows.join(_first(rows), "group").filter("n != first.n").select("n"), "gone")
+    stay, maybe = among(kept.select("n", "row"), "n", gone)
+    return stay.unionByName(maybe.join(gone, "n", "left_anti")).select("row.*")

@@ -10,7 +10,8 @@ token that lies in several sections is allocated by the rule named:
 
 Tokens outside all sections are given as section -1, name null. Null text counts as empty. Sections are cut to the
 text and to where the section before them ended; null or empty ones count no tokens. A document without sections (null,
-or an empty list) returns section -1 alone.
+or an empty list) returns section -1 alone. Repeated rows are counted each. Empty tables give empty results. Other
+columns may have any name.
 """
 
 from __future__ import annotations

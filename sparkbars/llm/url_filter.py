@@ -2,9 +2,12 @@
 
 The filter has 256-bit blocks (a row each: four 64-bit words). A URL's hash chooses one block and one bit in each word,
 so a look-up reads one block. Rows that pass are possible hits and go to an exact join on the canonical URL, which
-removes false positives; all other rows pass without that join.
+removes false positives; all other rows pass without that join, and without a shuffle. The filter is broadcast; its size
+is bounded, and at the bound it lets more rows through to the exact join, so results don't depend on it.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule, are on no list, and so are allowed.
+Repeated pages are judged each; of rules of one length the first named wins. Empty tables give empty results. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from .common import ascii_lower, settled
 
 #: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Listed URLs for each block, bytes of a block's row in memory, and the most bytes of blocks that are broadcast.
+#: Listed URLs for each block, bytes of a block's row in memory, and the most bytes of blocks.
 PER_BLOCK, BLOCK_BYTES, BROADCAST_BYTES = 16, 96, 32 << 20
 #: Query parameters that say where a visitor came from, not what is shown.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
@@ -68,10 +71,8 @@ def bloom_blocks(listed: DataFrame, url: str, blocks: int) -> DataFrame:
 def listed_urls(pages: DataFrame, listed: DataFrame, url: str = "__canonical", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with ``__listed``: whether its canonical URL (a column) is in ``listed`` (distinct, not null, the same column)."""
     listed = settled(listed.select(url).filter(F.col(url).isNotNull()).distinct(), "listed-urls")
-    blocks = max(1, -(-listed.count() // PER_BLOCK))
-    kept = bloom_blocks(listed, url, blocks)
-    if blocks * BLOCK_BYTES <= broadcast_bytes:
-        kept = F.broadcast(kept)
+    blocks = max(1, min(-(-listed.count() // PER_BLOCK), broadcast_bytes // BLOCK_BYTES))
+    kept = F.broadcast(bloom_blocks(listed, url, blocks))
     hit = F.lit(True)
     for i in range(4):
         hit = hit & (F.col(f"__word{i}").bitwiseAND(F.col(f"__bit{i}")) != 0)
