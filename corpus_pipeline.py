@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("mixing", mix_sources), ("packing", pack)]
-#: Trees, fingerprints and packing are beyond SQL; tests hold the stages against brute force.
+#: Trees, fingerprints and packing are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
