@@ -11,7 +11,7 @@ from ..operators import bars as B
 from ..operators import engines, joins, metrics, ml, regimes, rules, selection
 from ..operators import indicators as I
 from ..sources import io
-from .inputs import features, hourly, ticks, trades
+from .inputs import features, hourly, stamped, ticks, trades
 
 
 def _models(df: DataFrame) -> DataFrame:
@@ -149,4 +149,8 @@ def snapshot(s: SparkSession, d: str, path: str) -> None:
     io.save_table(observer_cycle(s, d), path)
 
 
-JOBS = {f"job_{f.__name__}": f for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, regime_separability, pairs_research, incubation_review, observer_cycle)}
+def _rounded(f):
+    return lambda s, d: stamped(f(s, d))
+
+
+JOBS = {f"job_{f.__name__}": _rounded(f) for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, regime_separability, pairs_research, incubation_review, observer_cycle)}

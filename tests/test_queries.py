@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparkbars.plans import jobs, queries, streams
+from sparkbars.plans import jobs, oracles, queries, streams
 
-QUERIES, SQL = {**queries.QUERIES, **streams.QUERIES, **jobs.JOBS}, {**queries.SQL, **streams.SQL}
+QUERIES, SQL = {**queries.QUERIES, **streams.QUERIES, **jobs.JOBS}, {**queries.SQL, **streams.SQL, **oracles.SQL}
 
 
 @pytest.fixture(scope="module")
