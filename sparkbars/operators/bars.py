@@ -26,8 +26,10 @@ def filter_period(df: DataFrame, start: str, end: str, ts: str = "ts") -> DataFr
 
 
 def tag_period(df: DataFrame, periods: DataFrame, ts: str = "ts") -> DataFrame:
-    """A row for each period (``period``, ``start``, ``end``; a fixed, short list) that it falls in."""
-    return df.join(F.broadcast(periods), F.col(ts).between(F.col("start"), F.col("end"))).drop("start", "end")
+    """A row for each period (``period``, ``start``, ``end``, both ends included) that it falls in. They meet by day."""
+    days = periods.select("period", "start", "end", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"))
+    out = df.withColumn("_day", F.to_date(ts)).join(days, "_day").filter(F.col(ts).between(F.col("start"), F.col("end")))
+    return out.drop("start", "end", "_day")
 
 
 def period_coverage(df: DataFrame, periods: DataFrame) -> DataFrame:

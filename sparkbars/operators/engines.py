@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import series
@@ -53,22 +53,37 @@ def sequential_trades(bars: DataFrame, exits: Mapping[str, float], max_bars: int
     return sequential_trades_by_rule(bars, {"rule": (signal, exits)}, max_bars).drop("hypothesis")
 
 
+def _first(hit, begin: int, end: int, width: int = 64) -> int:
+    """The first place from ``begin`` where ``hit(a, b)``, an array for that stretch, holds; -1 if none. Stretches double."""
+    while begin < end:
+        stop = min(end, begin + width)
+        found = np.flatnonzero(hit(begin, stop))
+        if len(found):
+            return begin + int(found[0])
+        begin, width = stop, 2 * width
+    return -1
+
+
 def close_only_scan(close: np.ndarray, signal: np.ndarray, atr: np.ndarray, sl: float, tp: float, capital: float, part: float) -> list[tuple]:
     """(entry, exit, direction, entry price, exit price, pnl, reason) on closes: stop, target, or the previous bar's
-    opposite signal; then the same bar may enter by the previous bar's signal. Profits compound."""
-    out, side, entry, at, stop, goal = [], 0, 0.0, 0, 0.0, 0.0
-    for i in range(1, len(close)):
-        c, s = close[i], signal[i - 1]
-        if side:
-            reason = "SL" if side * (c - stop) <= 0 else "TP" if side * (c - goal) >= 0 else "OPPOSITE" if s == -side else None
-            if reason:
-                pnl = side * (c - entry) / entry * capital * part
-                capital += pnl
-                out.append((at, i, side, entry, c, pnl, reason))
-                side = 0
-        if not side and s and atr[i] > 0:
-            side, entry, at = int(s), c, i
-            stop, goal = c - side * sl * atr[i], c + side * tp * atr[i]
+    opposite signal; then the same bar may enter by the previous bar's signal. Profits compound. The scan goes from entry
+    to exit and from there to the next signal; bars between are compared as arrays."""
+    out: list[tuple] = []
+    entries = np.flatnonzero((signal[:-1] != 0) & (atr[1:] > 0)) + 1
+    i = 0
+    while (k := np.searchsorted(entries, i)) < len(entries):
+        at = int(entries[k])
+        side, entry = int(signal[at - 1]), close[at]
+        stop, goal = entry - side * sl * atr[at], entry + side * tp * atr[at]
+        left = _first(lambda a, b: (side * (close[a:b] - stop) <= 0) | (side * (close[a:b] - goal) >= 0) | (signal[a - 1 : b - 1] == -side), at + 1, len(close))  # noqa: B023
+        if left < 0:
+            break
+        c = close[left]
+        reason = "SL" if side * (c - stop) <= 0 else "TP" if side * (c - goal) >= 0 else "OPPOSITE"
+        pnl = side * (c - entry) / entry * capital * part
+        capital += pnl
+        out.append((at, left, side, entry, c, pnl, reason))
+        i = left
     return out
 
 
@@ -90,6 +105,23 @@ def close_only_trades(bars: DataFrame, sl: float = 2.5, tp: float = 4.0, capital
     return rows.groupBy(*key).applyInPandas(scan, ", ".join(f"{k} {kinds[k]}" for k in key) + ", entry_idx long, exit_idx long, direction int, entry_price double, exit_price double, pnl double, reason string")
 
 
+def close_only_grid(bars: DataFrame, sides: Column, exits: Sequence[tuple[float, float]], capital: float = 10_000.0, part: float = 0.1, block: int = 54) -> DataFrame:
+    """``close_only_trades`` for many combinations at once: ``sides`` is an array with each combination's signal on the bar,
+    ``exits`` their stops and targets in ATRs. A task has one symbol's bars, and the signals of ``block`` combinations."""
+    blocks = -(-len(exits) // block)
+    rows = bars.select("symbol", "ts", "close", "atr", sides.alias("_all")).na.drop()
+    rows = rows.select("symbol", "ts", "close", "atr", "_all", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    rows = rows.select("symbol", "ts", "close", "atr", "_b", F.slice("_all", F.col("_b") * block + 1, F.lit(block)).alias("_s"))
+
+    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        close, atr, signals = pdf["close"].to_numpy(float), pdf["atr"].to_numpy(float), np.stack(pdf["_s"].to_numpy())
+        out = [(key[0], k, *trade) for j in range(signals.shape[1]) for k in [key[1] * block + j] for trade in close_only_scan(close, signals[:, j], atr, *exits[k], capital, part)]
+        return pd.DataFrame(out, columns=["symbol", "combo", "entry_idx", "exit_idx", "direction", "entry_price", "exit_price", "pnl", "reason"])
+
+    return rows.groupBy("symbol", "_b").applyInPandas(scan, "symbol string, combo int, entry_idx long, exit_idx long, direction int, entry_price double, exit_price double, pnl double, reason string")
+
+
 def pair_scan(z: np.ndarray, spread: np.ndarray, enter: float, stop: float) -> list[tuple]:
     out, side, at = [], 0, 0
     for i, v in enumerate(z):

@@ -1,12 +1,18 @@
 """Exponential recurrences y = a * x + (1 - a) * y_before, exact, for many columns in one pass.
 
-A series is computed in one group, or, where it may be long, in blocks of time: each block gives its last value from
-zero and the factor by which what came before has faded; a scan over these few rows carries values forward; each block
-then adds its share. Missing x keep y; y begins with the first x.
+As windows: y_t is the sum of a * (1 - a)**(t - j) * x_j. The sum runs over stretches of values, each so long that what
+came before it has faded to 1e-200; so a stretch needs the value at which the one before ended, and nothing earlier. All
+of it is a frame over the key's rows, in the order that other frames have: no Python and no further shuffle.
+
+A key with very many rows can be dealt out in blocks of time instead: each block gives its last value from zero and the
+factor by which what came before has faded; a scan over these few rows carries values forward; each block then adds its
+share. Missing x keep y; y begins with the first x.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +24,39 @@ def _pass(x: np.ndarray, alpha: float) -> np.ndarray:
     return pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
 
 
+def _by_frames(df: DataFrame, columns: dict[str, tuple[str, float]], key: str, order: str) -> DataFrame:
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_{kind}_{name}" for name in columns for kind in ("i", "s", "y", "e")]
+    out, plan = df, []
+    for name, (x, a) in columns.items():
+        keep = 1 - a
+        length = 1 << 30 if keep <= 0 else max(1, int(200 * math.log(10) / -math.log(keep))) if keep < 1 else 1 << 30
+        plan.append((name, F.col(x).cast("double"), a, keep, length))
+    # the place of each value among those that are not missing, and its stretch
+    count = {name: F.count(x).over(upto) - 1 for name, x, *_ in plan}
+    out = out.select("*", *(F.pmod(count[name], F.lit(n)).alias(f"_i_{name}") for name, _, _, _, n in plan), *(F.floor(count[name] / n).alias(f"_s_{name}") for name, _, _, _, n in plan))
+    # what a stretch gives from zero
+    def local(name: str, x: Column, a: float, keep: float) -> Column:
+        i = F.col(f"_i_{name}")
+        if keep <= 0:
+            return x
+        own = Window.partitionBy(key, f"_s_{name}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.lit(a) * F.pow(F.lit(keep), i) * F.sum(x * F.pow(F.lit(keep), -i)).over(own)
+
+    out = out.select("*", *(F.when(x.isNotNull(), local(name, x, a, keep)).alias(f"_y_{name}") for name, x, a, keep, _ in plan))
+    # where the stretch before it ended; before the first, the first value stands in
+    ended = lambda name, n: F.last(F.when(F.col(f"_i_{name}") == n - 1, F.col(f"_y_{name}")), ignorenulls=True).over(before)
+    first = lambda x: F.first(x, ignorenulls=True).over(upto)
+    out = out.select("*", *((F.col(f"_y_{name}") + F.pow(F.lit(max(keep, 0.0)), F.col(f"_i_{name}") + 1) * F.coalesce(ended(name, n), first(x))).alias(f"_e_{name}") for name, x, _, keep, n in plan))
+    return out.select(*df.columns, *(F.last(f"_e_{name}", ignorenulls=True).over(upto).alias(name) for name in columns)).drop(*names)
+
+
 def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "ts", block: Column | None = None) -> DataFrame:
     """``df`` with a column for each name in ``columns``: (column of x, alpha). block: a number that grows with time."""
-    added = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
     if block is None:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            return pdf.assign(**{name: _pass(pdf[x].to_numpy(float), a) for name, (x, a) in columns.items()})
-
-        return df.groupBy(key).applyInPandas(whole, added)
-
+        return _by_frames(df, columns, key, order)
+    added = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
     rows = df.withColumn("_block", block)
     parts = T.StructType([rows.schema[key], rows.schema["_block"], *(T.StructField(f"{c}_{k}", T.DoubleType()) for c in columns for k in ("end", "fade"))])
 

@@ -7,25 +7,35 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.frames import series, yes
 
 
-def asof(left: DataFrame, right: DataFrame, values: Sequence[str], key: str = "symbol", at: str = "ts", right_at: str = "ts", forward: bool = False, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, values: Sequence[str], key: str = "symbol", at: str = "ts", right_at: str = "ts", forward: bool = False, strict: bool = False, cell: int = 86_400) -> DataFrame:
     """``left`` with the values of the last row of ``right`` at or before its time (forward: the first at or after).
 
-    One union, one sort by key: a row's match is the last row of the other side in that order. strict: not at the same
-    time. The match's own time comes as ``asof_ts``.
+    Both sides go by key and cell of ``cell`` seconds (or, where times are numbers, units), so a key with many rows is sorted in many tasks: a row's match is the
+    last row of the other side in its cell, or else the one that earlier cells ended with, carried over a row for each
+    cell. strict: not at the same time. The match's own time comes as ``asof_ts``. Rows without a time match nothing.
     """
-    item = F.struct(F.col(right_at).alias("asof_ts"), *values)
-    match = item.alias("_m")
+    match = F.struct(F.col(right_at).alias("asof_ts"), *values).alias("_m")
     # at equal times the right side comes first unless that would match strictly
     first = 0 if not strict else 2
-    rows = left.select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(match).schema[0].dataType).alias("_m"))
-    other = right.select(key, F.col(right_at).alias("_t"), F.lit(first).alias("_side"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), match)
+    number = isinstance(right.schema[right_at].dataType, T.NumericType)
+    in_cell = lambda t: F.floor((F.col(t) if number else F.unix_timestamp(t)) / cell)
+    other = right.filter(F.col(right_at).isNotNull()).select(key, F.col(right_at).alias("_t"), F.lit(first).alias("_side"), match, in_cell(right_at).alias("_c"))
+    rows = left.select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), in_cell(at).alias("_c"))
+    nothing = F.lit(None).cast(other.schema["_m"].dataType)
+    rows = rows.withColumn("_m", nothing).unionByName(other.withColumn("_l", F.lit(None).cast(rows.schema["_l"].dataType)))
     order = [F.desc("_t"), F.col("_side")] if forward else [F.col("_t"), F.col("_side")]
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.unionByName(other).withColumn("_m", F.last("_m", ignorenulls=True).over(w)).filter("_side = 1")
+    inside = Window.partitionBy(key, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_m", F.last("_m", ignorenulls=True).over(inside)).filter("_side = 1")
+    # cells of either side, with what each ends with; the last before a cell is what its rows begin with
+    cells = other.groupBy(key, "_c").agg((F.min_by if forward else F.max_by)("_m", "_t").alias("_e")).unionByName(left.select(key, in_cell(at).alias("_c")).distinct().withColumn("_e", nothing)).groupBy(key, "_c").agg(F.first("_e", ignorenulls=True).alias("_e"))
+    ahead = Window.partitionBy(key).orderBy(F.desc("_c") if forward else F.col("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(F.col(key).alias("_key"), F.col("_c").alias("_cell"), F.last("_e", ignorenulls=True).over(ahead).alias("_before")).filter("_cell IS NOT NULL AND _before IS NOT NULL")
+    out = rows.join(carried, (F.col(key) == F.col("_key")) & (F.col("_c") == F.col("_cell")), "left").withColumn("_m", F.when(F.col("_t").isNotNull(), F.coalesce("_m", "_before")))
     return out.select("_l.*", *(F.col(f"_m.{c}").alias(c) for c in ("asof_ts", *values)))
 
 
@@ -128,10 +138,13 @@ def training_set(bars: DataFrame, signals: DataFrame, sentiment: str = "sentimen
     return bars.join(signals, ["symbol", "ts"]).withColumn(sentiment, F.coalesce(sentiment, F.lit(0.0)))
 
 
-def align_pairs(bars: DataFrame) -> DataFrame:
-    """Closes of every two symbols on their common times."""
+def align_pairs(bars: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Closes of two symbols on their common times, for the ``pairs`` (``a``, ``b``) named; without these for every two, which
+    grows with the square of the symbols and is for short lists of them."""
     a = bars.select("ts", F.col("symbol").alias("a"), F.col("close").alias("close_a"))
     b = bars.select("ts", F.col("symbol").alias("b"), F.col("close").alias("close_b"))
+    if pairs is not None:
+        return a.join(pairs.select("a", "b").distinct(), "a").join(b, ["ts", "b"]).select("a", "b", "ts", "close_a", "close_b")
     return a.join(b, "ts").filter("a < b").select("a", "b", "ts", "close_a", "close_b")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
@@ -391,6 +392,58 @@ def edge_health(trades: DataFrame, baseline: DataFrame, keys: Keys, order: Keys,
     return out.withColumn("status", F.when(r.isNull(), "NO_DATA").when(r >= 0.75, "HEALTHY").when(r >= 0.5, "DEGRADED").otherwise("BROKEN"))
 
 
+def degradation_status(trades: DataFrame, baseline: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl", collapse: float = 0.20, decay: float = 0.15, drift: float = 0.60) -> DataFrame:
+    """The latest profit factors of 30, 60 and 90 trades, how even they are (1 less deviation over mean), and the first that
+    holds: COLLAPSE (uneven), ACCELERATING_DECAY (each shorter one lower, by more than ``decay`` in all), OOS_DRIFT (the
+    shortest below ``drift`` of ``baseline_pf``), NORMAL; INSUFFICIENT_DATA under 30 trades."""
+    windows = (30, 60, 90)
+    at = F.struct(*order)
+    out = rolling_trade_metrics(trades, keys, order, windows, pnl).groupBy(*keys).agg(F.count(pnl).alias("trades"), *(F.max_by(f"pf_{n}", at).alias(f"pf_{n}") for n in windows))
+    known = F.array_compact(F.array(*(F.col(f"pf_{n}") for n in windows)))
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
+    spread = F.sqrt(F.aggregate(known, F.lit(0.0), lambda a, x: a + x * x) / F.nullif(F.size(known), F.lit(0)) - mean * mean)
+    even = F.when(F.size(known) >= 2, F.greatest(F.lit(0.0), 1 - F.coalesce(spread, F.lit(0.0)) / F.greatest(F.abs(mean), F.lit(1e-9))))
+    a, b, c = (F.col(f"pf_{n}") for n in windows)
+    status = (
+        F.when(F.col("trades") < 30, "INSUFFICIENT_DATA").when(yes(F.col("evenness") < collapse), "COLLAPSE").when(yes((a > 0) & (a < b) & (b < c) & (c - a > decay)), "ACCELERATING_DECAY")
+        .when(yes((a > 0) & (a < drift * F.col("baseline_pf"))), "OOS_DRIFT").otherwise("NORMAL")
+    )
+    return out.withColumn("evenness", even).join(baseline.select(*keys, "baseline_pf"), list(keys), "left").withColumn("degradation_status", status)
+
+
+#: Levels of notes, lowest first.
+LEVELS = ("INFO", "WARNING", "CRITICAL")
+
+
+def risk_context(now: DataFrame, regime_risks: DataFrame, transition_risks: DataFrame) -> DataFrame:
+    """Notes on a key's state, how many there are of each level, and the highest.
+
+    now: ``regime``, ``from_regime`` (null without a recent change), ``pf_ratio``, ``decay`` (of the key's history).
+    regime_risks: ``regime``, ``level``, ``message``. transition_risks: ``from_regime``, ``regime``, ``level``, ``message``,
+    ``delta_pf``. Both are short and joined by their labels.
+    """
+    a = regime_risks.select("regime", F.struct("level", "message").alias("_a"))
+    b = transition_risks.select("from_regime", "regime", F.struct("level", "message").alias("_b"), F.col("delta_pf").alias("expected_pf_delta"))
+    out = now.join(a, "regime", "left").join(b, ["from_regime", "regime"], "left")
+    note = lambda level, text: F.struct(F.lit(level).alias("level"), F.lit(text).alias("message"))
+    r = F.col("pf_ratio")
+    edge = F.when(r < 0.5, note("CRITICAL", "profit factor below half of its baseline")).when(r < 0.75, note("WARNING", "profit factor below three quarters of its baseline"))
+    decay = F.when(F.col("decay") == "DECAY", note("WARNING", "the edge has decayed"))
+    out = out.withColumn("_n", F.array_compact(F.array("_a", F.when(F.col("_b.level") != "INFO", F.col("_b")), edge, decay)))
+    count = lambda level: F.size(F.filter("_n", lambda x: x["level"] == level))
+    out = out.select(*now.columns, "expected_pf_delta", F.array_join(F.transform("_n", lambda x: x["message"]), " | ").alias("notes"), *(count(level).alias(f"{level.lower()}_notes") for level in LEVELS))
+    return out.withColumn("severity", F.when(F.col("critical_notes") > 0, "CRITICAL").when(F.col("warning_notes") > 0, "WARNING").otherwise("INFO"))
+
+
+def trailing_losses(trades: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl") -> DataFrame:
+    """How many losing trades in a row each key's trades end with: those after its last other trade. No sort: one maximum,
+    and a count of what is later."""
+    at = F.struct(*order)
+    last = trades.filter(F.coalesce(F.col(pnl) >= 0, F.lit(True))).groupBy(*keys).agg(F.max(at).alias("_last"))
+    rows = trades.select(*keys, at.alias("_at")).join(last, list(keys), "left")
+    return rows.groupBy(*keys).agg(F.sum((F.col("_last").isNull() | (F.col("_at") > F.col("_last"))).cast("int")).alias("streak"))
+
+
 def classification_metrics(df: DataFrame, keys: Keys, label: str = "label", score: str = "p", cut: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall, F1, and AUC by average ranks (0.5 if there is one class)."""
     w, tied = Window.partitionBy(*keys).orderBy(score), Window.partitionBy(*keys, score)
@@ -410,7 +463,7 @@ def failure_features(results: DataFrame, failing: Column, columns: Sequence[str]
     for c, (low, high) in limits.items():
         rows = rows.withColumn(c, clip(F.col(c), low, high))
     stats = rows.agg(*(F.avg(c).alias(f"_m_{c}") for c in columns), *(F.greatest(F.coalesce(F.stddev_samp(c), F.lit(0.0)), F.lit(1e-9)).alias(f"_s_{c}") for c in columns))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").select(*results.columns, *(((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"z_{c}") for c in columns))
+    return rows.crossJoin(F.broadcast(stats)).select(*results.columns, *(((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"z_{c}") for c in columns))
 
 
 def _named(c: str):
@@ -428,18 +481,43 @@ def cluster_profiles(clusters: DataFrame, columns: Sequence[str], top: Sequence[
     return out
 
 
-def bootstrap(trades: DataFrame, keys: Keys, order: Keys, n: int = 1000, seed: int = 42, pnl: str = "pnl", least: int = 5) -> DataFrame:
+def resampled_paths(p: np.ndarray, n: int, rng: np.random.Generator, block: int = 64) -> np.ndarray:
+    """For n resamples of ``p`` with replacement: sum, highest and lowest running sum, and the largest fall from a peak."""
+    out = np.empty((n, 4))
+    for at in range(0, n, block):
+        cum = np.cumsum(p[rng.integers(0, len(p), (min(block, n - at), len(p)))], axis=1)
+        out[at : at + block] = np.column_stack([cum[:, -1], cum.max(1), cum.min(1), (np.maximum.accumulate(cum, axis=1) - cum).max(1)])
+    return out
+
+
+def bootstrap(trades: DataFrame, keys: Keys, order: Keys, n: int = 1000, seed: int = 42, pnl: str = "pnl", least: int = 5, group: int = 8192) -> DataFrame:
     """Resamples each key's trades with replacement n times: distribution of the final sum and of the largest drawdown.
 
-    A draw is a hash of (seed, key, replicate, position), so reruns agree. Work is dealt by (key, replicate).
+    A task draws all replicates of up to ``group`` trades at once, from its own seed, so reruns agree. A key with more is
+    dealt out at random (by a hash of the order) to groups of about that size; each group is resampled on its own, and the
+    groups' paths follow one another: sums, peaks and falls of paths add up, so no task holds a key.
     """
-    w = series(keys, order)
-    rows = trades.select(*keys, F.row_number().over(w).alias("_i"), F.col(pnl).alias("_p"))
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
-    draws = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    draws = draws.withColumn("_i", (F.pmod(F.xxhash64(F.lit(seed), *keys, "rep", "pos"), F.col("_n")) + 1).cast("int")).join(rows, [*keys, "_i"])
-    paths = cumulative_drawdown(draws, "_p", [*keys, "rep"], "pos")
-    per = paths.groupBy(*keys, "rep").agg(F.sum("_p").alias("final"), F.max("drawdown").alias("dd"))
+    rows = trades.select(*keys, *order, F.col(pnl).cast("double").alias("_p"))
+    size = rows.groupBy(*keys).agg(F.count("_p").alias("_n")).filter(F.col("_n") >= least)
+    rows = rows.join(size, list(keys)).filter("_p IS NOT NULL").withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *order), F.ceil(F.col("_n") / F.lit(group))))
+    kinds = dict(rows.dtypes)
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(list(order), kind="stable")["_p"].to_numpy()
+        mark = zlib.crc32("|".join(map(str, key)).encode())
+        paths = resampled_paths(p, n, np.random.default_rng([seed, mark]))
+        out = pd.DataFrame(paths, columns=["s", "hi", "lo", "fall"])
+        out.insert(0, "rep", np.arange(1, n + 1))
+        for k, v in reversed([*zip(keys, key), ("_g", key[-1])]):
+            out.insert(0, k, v)
+        return out
+
+    drawn = rows.groupBy(*keys, "_g").applyInPandas(draw, f"{named}, _g long, rep long, s double, hi double, lo double, fall double")
+    # a group after others: its running sums begin at what they came to, and fall from the highest peak so far
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("hi"), F.lit(0.0).alias("fall"))
+    step = lambda a, g: F.struct((a["s"] + g["s"]).alias("s"), F.greatest(a["hi"], a["s"] + g["hi"]).alias("hi"), F.greatest(a["fall"], g["fall"], a["hi"] - (a["s"] + g["lo"])).alias("fall"))
+    per = drawn.groupBy(*keys, "rep").agg(F.sort_array(F.collect_list(F.struct("_g", "s", "hi", "lo", "fall"))).alias("_l")).select(*keys, F.aggregate("_l", start, step).alias("_a")).select(*keys, F.col("_a.s").alias("final"), F.col("_a.fall").alias("dd"))
     p = lambda c, q: F.percentile(c, F.lit(q))
     return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("replicates"), F.avg((F.col("final") > 0).cast("double")).alias("mc_prob"), F.avg("final").alias("mean_final"), p("final", 0.05).alias("p5"), p("final", 0.5).alias("p50"), p("final", 0.95).alias("p95"), F.avg("dd").alias("mean_dd"), p("dd", 0.95).alias("dd95"))
 

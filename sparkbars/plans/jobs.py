@@ -2,93 +2,172 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import product
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors, scalars
-from ..functions.frames import yes
+from ..functions.frames import series, yes
 from ..operators import bars as B
 from ..operators import engines, joins, metrics, ml, regimes, rules, selection
 from ..operators import indicators as I
 from ..sources import io
+from ..sources.io import settled
 from .inputs import features, hourly, stamped, ticks, trades
 
 
-def _models(df: DataFrame) -> DataFrame:
-    """Stand-ins for two models' probabilities: a value of each bar alone, so nothing looks ahead."""
-    return df.withColumn("lstm_prob", (F.col("close") * 7) % 100).withColumn("xgboost_prob", (F.col("close") * 11) % 100)
+#: What the two models read: features of the bar, and the course of the last returns.
+BAR_FEATURES, COURSE = ("ret1", "ret5", "z20", "atr_ratio"), tuple(f"r{k}" for k in range(10))
+
+
+def _models(df: DataFrame, learn: float = 0.4) -> DataFrame:
+    """The bars after the first ``learn`` of each symbol's, with two models' probabilities (0..100) that the next bar closes
+    higher: boosted trees on the bar's features, a logistic regression on its last ten returns. Both are fitted on the bars
+    before, so nothing looks ahead."""
+    w, every = series(), Window.partitionBy("symbol")
+    b = I.next_bar_label(I.zscore(I.returns(df), "close", 20, "z20"))
+    b = b.select("*", *(F.lag("ret1", k).over(w).alias(f"r{k}") for k in range(len(COURSE)))).withColumn("learns", F.row_number().over(w) <= learn * F.count(F.lit(1)).over(every))
+    b = settled(b.na.drop(subset=[*BAR_FEATURES, *COURSE]), "bars")
+    known = b.filter("learns AND label IS NOT NULL")
+    out = ml.gbt_predict(b.filter("NOT learns"), BAR_FEATURES, ml.gbt_train(known, BAR_FEATURES, trees=5, depth=2)).withColumnRenamed("prob", "xgboost_prob")
+    return ml.gbt_predict(out, COURSE, ml.logistic_train(known, COURSE)).withColumnRenamed("prob", "lstm_prob").drop("label", "learns", *COURSE)
+
+
+def _live(s: SparkSession, d: str) -> DataFrame:
+    return I.live_indicators(I.atr_ratio(I.atr_sma(hourly(s, d)), 50, 10, 0, 99)).withColumn("adx_regime", regimes.adx_regime())
 
 
 def signal_pipeline(s: SparkSession, d: str) -> DataFrame:
-    """Bars to indicators, signals, gates, trades on closes, and equity figures of each symbol."""
-    b = I.live_indicators(I.atr_ratio(I.atr_sma(hourly(s, d)), 50, 10, 0, 99)).withColumn("adx_regime", regimes.adx_regime())
-    b = rules.weighted_score(rules.votes(_models(b), 48, 52, 0.05))
-    t = engines.close_only_trades(b)
-    w = t.withColumn("equity", 10_000 + F.sum("pnl").over(I.series("symbol", "exit_idx")))
+    """Bars to indicators, models, signals, gates, trades on closes, and equity figures of each symbol."""
+    b = rules.apply_gates(rules.weighted_score(rules.votes(_models(_live(s, d)), 48, 52, 0.05)), adx_min=10, atr_min=0.5)
+    t = engines.close_only_trades(b, signal="gated")
+    w = t.withColumn("equity", 10_000 + F.sum("pnl").over(series("symbol", "exit_idx")))
     return metrics.equity_metrics(w, ["symbol"], ["exit_idx"])
 
 
-def grid_search(s: SparkSession, d: str) -> DataFrame:
-    """Parameters against one featured table; the grid is part of the plan, bars are computed once."""
-    b = I.zscore(I.atr_sma(hourly(s, d)), "close", 20, "z20")
-    g = joins.param_grid(b.select("symbol", "ts", "close", "atr", "z20"), {"cut": [0.75, 1.0, 1.5], "sl_mult": [1.5, 2.5], "tp_mult": [2.0, 4.0]})
-    g = g.withColumn("signal", F.when(F.col("z20") < -F.col("cut"), 1).when(F.col("z20") > F.col("cut"), -1).otherwise(0))
-    t = engines.close_only_trades(g, keys=("symbol", "combo"))
-    m = metrics.trade_metrics(t.withColumn("order", F.col("exit_idx")), ["combo"], ["symbol", "order"])
-    return selection.top_parameters(m, 10, 20, 20).select("combo", "trades", "win_rate", "profit_factor", "sharpe")
+#: The grid of 432 combinations for hourly prices; and as many for the driver's ticks, which have no trends and
+#: hardly reach the thresholds of the first.
+GRID = {"rsi_buy": [25, 30, 35, 40], "rsi_sell": [70, 75], "sl_mult": [2.0, 2.5, 3.0], "tp_mult": [3.0, 4.0, 5.0], "adx_min": [20, 25, 30], "stoch": [20, 25]}
+TICK_GRID = GRID | {"rsi_buy": [44, 46, 48, 50], "rsi_sell": [52, 54], "adx_min": [4, 6, 8], "stoch": [40, 50]}
+
+
+def grid_search(s: SparkSession, d: str, grid: dict = TICK_GRID) -> DataFrame:
+    """432 parameters against one featured table, which is written once; the grid is part of the plan. A vote of two of
+    three (RSI by its thresholds, MACD, bands), confirmed by ADX and stochastics; trades on closes; the best by Sharpe."""
+    b = settled(_live(s, d).select("symbol", "ts", "close", "atr", "rsi_w", "cross", "bb_lower", "bb_upper", "adx", "stoch_k"), "featured")
+    c = F.col("close")
+    fixed = lambda x, y: yes(x).cast("int") + yes(y).cast("int")
+    b = b.select("symbol", "ts", "close", "atr", "rsi_w", "adx", "stoch_k", fixed(F.col("cross") == 1, c <= F.col("bb_lower") * 1.002).alias("up"), fixed(F.col("cross") == -1, c >= F.col("bb_upper") * 0.998).alias("down"))
+    combos = [dict(zip(grid, values)) for values in product(*grid.values())]
+    every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in x.items() if not k.endswith("_mult"))) for x in combos))
+
+    def side(g):
+        buys, sells = F.col("up") + yes(F.col("rsi_w") < g["rsi_buy"]).cast("int"), F.col("down") + yes(F.col("rsi_w") > g["rsi_sell"]).cast("int")
+        trend = yes(F.col("adx") >= g["adx_min"])
+        return F.when((sells >= 2) & trend & yes(F.col("stoch_k") > 100 - g["stoch"]), -1).when((sells < 2) & (buys >= 2) & trend & yes(F.col("stoch_k") < g["stoch"]), 1).otherwise(0)
+
+    t = engines.close_only_grid(b, F.transform(every, side), [(x["sl_mult"], x["tp_mult"]) for x in combos])
+    m = metrics.trade_metrics(t, ["combo"], ["symbol", "exit_idx"])
+    return selection.top_parameters(m, 10, 20, 3).select("combo", "trades", "win_rate", "profit_factor", "sharpe")
 
 
 def batch_research(s: SparkSession, d: str) -> DataFrame:
-    """Rules of the catalogue over all symbols: trades that don't overlap, metrics, folds, bootstrap, robustness, verdict."""
+    """Rules of the catalogue over all symbols: trades that don't overlap (written once), metrics, folds, 500 bootstrap
+    replicates, robustness, verdict; and of each rule its rank, survivors, group figures and results by symbol."""
     b = I.breakout_levels(I.lab_features(hourly(s, d))).withColumn("regime", regimes.regime3())
     b = b.select("*", *(rules.entry_rule(config).alias(f"rule_{name}") for name, (config, _) in rules.CATALOGUE.items()))
     t = engines.sequential_trades_by_rule(b, {name: (f"rule_{name}", exits) for name, (_, exits) in rules.CATALOGUE.items()})
-    t = t.withColumnRenamed("symbol", "asset").withColumn("fold", F.floor(F.dayofmonth("entry_time") / 11))
+    t = settled(t.withColumnRenamed("symbol", "asset").withColumn("fold", F.floor(F.dayofmonth("entry_time") / 11)), "trades")
     by = ["asset", "hypothesis"]
     m = metrics.trade_metrics(t, by, ["entry_idx"])
     fold = t.groupBy(*by, "fold").agg(factors.profit_factor(F.col("pnl"), "floor").alias("pf"), F.count("pnl").alias("trades"))
-    mc = metrics.bootstrap(t, by, ["entry_idx"], 50)
+    mc = metrics.bootstrap(t, by, ["entry_idx"], 500)
     fold = fold.join(mc.select(*by, "mc_prob", "mean_dd", "dd95"), by, "left").na.fill({"mc_prob": 0.0, "mean_dd": 0.0, "dd95": 0.0})
     oos = t.filter("dayofmonth(entry_time) >= 20").groupBy(*by).agg(factors.profit_factor(F.col("pnl"), "floor").alias("oos_pf"))
-    r = m.join(metrics.robustness_score(fold, by), by).join(oos, by, "left")
-    return r.withColumn("band", factors.robustness_band(F.col("robustness"))).withColumn("verdict", factors.research_verdict(F.col("profit_factor"), F.col("oos_pf"), F.col("trades"), F.col("robustness")))
+    mix = metrics.regime_mix_of_trades(t, by).groupBy(*by).agg(F.max("dominant").alias("dominant_regime"))
+    r = m.join(metrics.robustness_score(fold, by), by).join(oos, by, "left").join(mix, by, "left")
+    r = settled(r.withColumn("band", factors.robustness_band(F.col("robustness"))).withColumn("verdict", factors.research_verdict(F.col("profit_factor"), F.col("oos_pf"), F.col("trades"), F.col("robustness"))), "results")
+    named = r.withColumnsRenamed({"profit_factor": "test_pf", "sharpe": "test_sharpe", "verdict": "oos_verdict"})
+    rank = metrics.result_ranking(named).select("hypothesis", F.col("avg_robustness").alias("rule_robustness"), F.col("n_assets").alias("rule_assets"))
+    alive = metrics.survival(named).select("hypothesis", F.col("passing").alias("rule_passing"))
+    fell = metrics.group_degradation(named, "hypothesis").select("hypothesis", F.col("degradation").alias("rule_degradation"))
+    across = metrics.heatmap(named.select(F.col("hypothesis").alias("asset"), F.col("asset").alias("hypothesis"), "test_pf"), "test_pf", ("click", "error", "purchase", "signup", "view")).withColumnRenamed("asset", "hypothesis")
+    across = across.select("hypothesis", *(F.col(c).alias(f"pf_{c}") for c in across.columns if c != "hypothesis"))
+    out = r
+    for part in (rank, alive, fell, across):
+        out = out.join(part, "hypothesis", "left")
+    return out
 
 
 def behavioural_map(s: SparkSession, d: str) -> DataFrame:
-    """Each symbol's trades against its regimes: cascades, decay, and figures at and away from changes."""
-    b = features(s, d).withColumn("regime", regimes.regime3())
+    """Each symbol's trades against its regimes: cascades and what follows losses, decay, how long regimes last against what
+    they earn, and figures at and away from changes."""
+    b = settled(features(s, d).withColumn("regime", regimes.regime3()).select("symbol", "ts", "regime"), "regimes")
     t = ticks(s, d).select("symbol", "event_id", F.col("ts").alias("entry_time"), (F.col("price") - 35).alias("pnl"))
     order = ["entry_time", "event_id"]
     cascades = metrics.loss_cascades(t, ["symbol"], order)
     summary = metrics.cascade_summary(metrics.cascade_recovery(t, cascades, ["symbol"], order), ["symbol"])
+    loss = metrics.conditional_loss_prob(t, ["symbol"], order).groupBy("symbol").agg(F.max_by("p", "p").alias("worst_loss_prob"), F.sum(F.col("flagged").cast("int")).alias("flagged_runs"))
     zone = metrics.zone_verdict(joins.asof(t, regimes.transition_zone(b).select("symbol", "ts", "in_zone"), ["in_zone"], at="entry_time"), ["symbol"])
     decay = metrics.edge_decay(t, ["symbol"], order).select("symbol", F.col("type").alias("decay"), "baseline", "final")
-    return summary.join(zone, "symbol").join(decay, "symbol", "left")
+    placed = settled(joins.trades_in_blocks(t, regimes.regime_blocks(b)), "placed")
+    lasting = metrics.duration_pf_correlation(placed, ["symbol"]).select("symbol", F.col("corr").alias("duration_corr"))
+    change = metrics.per_transition_pf(placed, "symbol", order)
+    # the change that each symbol made last, and what such changes cost
+    w = Window.partitionBy("symbol").orderBy("island")
+    last = regimes.regime_blocks(b).withColumn("from", F.lag("regime").over(w)).groupBy("symbol").agg(F.max_by(F.struct("from", F.col("regime").alias("to")), "island").alias("x")).select("symbol", "x.*")
+    last = last.join(change, ["from", "to"], "left").select("symbol", "from", "to", F.col("delta").alias("last_change_delta"))
+    out = summary.join(zone, "symbol")
+    for part in (decay, loss, lasting, last):
+        out = out.join(part, "symbol", "left")
+    return out
 
 
 def variant_comparison(s: SparkSession, d: str) -> DataFrame:
-    """The same signals under different gates, and how each fares after costs."""
-    b = I.live_indicators(I.atr_ratio(I.atr_sma(hourly(s, d)), 50, 10, 0, 99)).withColumn("adx_regime", regimes.adx_regime())
-    b = rules.votes(_models(b), 48, 52, 0.05)
+    """The same signals under different gates, how each fares after costs, and how many of its scores are how high."""
+    b = settled(rules.weighted_score(rules.votes(_models(_live(s, d)), 48, 52, 0.05)), "scored")
     out = None
-    for name, flags in (("none", (False, False, False)), ("range", (True, False, False)), ("all", (True, True, True))):
-        v = rules.apply_gates(b, *flags).drop("signal").withColumnRenamed("gated", "signal").withColumn("variant", F.lit(name))
+    for name, flags in (("none", (False, False, False)), ("range", (True, False, False)), ("consensus", (False, True, False)), ("all", (True, True, True))):
+        v = rules.apply_gates(b, *flags, adx_min=10, atr_min=0.5).drop("signal").withColumnRenamed("gated", "signal").withColumn("variant", F.lit(name))
         out = v if out is None else out.unionByName(v)
     t = engines.close_only_trades(out, keys=("variant", "symbol"))
-    return metrics.net_profit_factor(t, ["variant"], 0.5)
+    fares = metrics.net_profit_factor(t, ["variant"], 0.5)
+    kept = rules.threshold_survival(out.filter("signal != 0").select(F.col("variant").alias("symbol"), "score"), "score", (20.0, 40.0, 60.0))
+    kept = kept.groupBy(F.col("symbol").alias("variant")).agg(*(F.max(F.when(F.col("threshold") == x, F.col("kept"))).alias(f"scores_{x}") for x in (20, 40, 60)))
+    return kept.join(fares, "variant", "left")
 
 
 def walk_forward_experiment(s: SparkSession, d: str) -> DataFrame:
-    """Features, pruning, labels, a split by time, boosted trees, and trades N bars later on what was held out."""
-    b = I.barrier_label(features(s, d), 2, 0.7)
-    cols = metrics.prune_correlated(b.na.drop(subset=["ret1", "ret5", "ret20", "z20", "atr_ratio"]), ["ret1", "ret5", "ret20", "z20", "atr_ratio"])
-    b = selection.walk_forward_folds(b, 1)
-    model = ml.gbt_train(b.filter("part = 'train'"), cols, trees=5)
-    p = ml.gbt_predict(b, cols, model).withColumn("signal", scalars.probability_signal(F.col("prob") / 100))
-    t = joins.exit_after(p, 2).filter("part = 'test'")
-    m = metrics.trade_metrics(t, ["symbol"], ["ts"]).select("symbol", "trades", "profit_factor", "expectancy")
-    scored = p.filter("part = 'test' AND label IS NOT NULL").withColumn("p", F.col("prob") / 100)
-    return m.join(metrics.classification_metrics(scored, ["symbol"]).select("symbol", "accuracy", "auc"), "symbol", "left")
+    """Features, pruning, labels; for each of three folds that expand, boosted trees fitted on what comes before and trades
+    on the fold; the best symbols by mean expectation are marked; then a last fit on all but the holdout (the last fifth of
+    time), judged there, and on a symbol that no fit has seen."""
+    b = settled(I.barrier_label(features(s, d), 2, 0.7), "labelled")
+    base = ["ret1", "ret5", "ret20", "z20", "atr_ratio"]
+    b = b.na.drop(subset=base)
+    cols = metrics.prune_correlated(b, base)
+    every = Window.partitionBy("symbol")
+    t = F.unix_timestamp("ts")
+    b = b.withColumn("late", (t - F.min(t).over(every)) > 0.8 * (F.max(t).over(every) - F.min(t).over(every)))
+    stranger = b.agg(F.min("symbol")).first()[0]
+    seen = b.filter((F.col("symbol") != stranger) & ~F.col("late"))
+    folds = settled(selection.expanding_folds(seen), "folds")
+
+    def judged(model, rows: DataFrame, name: str) -> DataFrame:
+        p = ml.gbt_predict(rows, cols, model).withColumn("signal", scalars.probability_signal(F.col("prob") / 100)).withColumn("p", F.col("prob") / 100).withColumn("part", F.lit(name))
+        trades_ = joins.exit_after(p, 2)
+        m = metrics.trade_metrics(trades_, ["part", "symbol"], ["ts"]).select("part", "symbol", "trades", "profit_factor", "expectancy")
+        return m.join(metrics.classification_metrics(p.filter("label IS NOT NULL"), ["part", "symbol"]).select("part", "symbol", "accuracy", "auc"), ["part", "symbol"], "left")
+
+    out = None
+    for k in range(3):
+        mine = folds.filter(F.col("fold") == k)
+        r = judged(ml.gbt_train(mine.filter("part = 'train'"), cols, trees=5), mine.filter("part = 'test'"), f"fold{k}")
+        out = r if out is None else out.unionByName(r)
+    last = ml.gbt_train(seen, cols, trees=5)
+    out = settled(out.unionByName(judged(last, b.filter((F.col("symbol") != stranger) & F.col("late")), "holdout")).unionByName(judged(last, b.filter(F.col("symbol") == stranger), "transfer")), "judged")
+    best = selection.top_combinations(out.filter("part LIKE 'fold%'"), ["symbol"], 3, 10).select("symbol", F.lit(True).alias("chosen"))
+    return out.join(best, "symbol", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
 def nested_filter_selection(s: SparkSession, d: str) -> DataFrame:
@@ -113,12 +192,14 @@ def regime_separability(s: SparkSession, d: str) -> DataFrame:
 
 
 def pairs_research(s: SparkSession, d: str) -> DataFrame:
-    """Every two symbols: rolling regression, spreads, their mean reversion, and trades of them."""
+    """Every two symbols: rolling correlation and regression, spreads, their mean reversion, and trades of them."""
     k = ["a", "b"]
-    p = I.spread_zscore(I.rolling_ols(joins.align_pairs(hourly(s, d)), "close_a", "close_b", 60, k), "close_a", "close_b", 60, k)
+    c = settled(I.rolling_corr(joins.align_pairs(hourly(s, d)), "close_a", "close_b", 60, k), "pairs")
+    p = settled(I.spread_zscore(I.rolling_ols(c, "close_a", "close_b", 60, k), "close_a", "close_b", 60, k), "spreads")
     t = engines.signal_pair_trades(p, k)
     m = metrics.trade_metrics(t, k, ["entry_idx"]).select(*k, "trades", "win_rate", "profit_factor", "total")
-    return metrics.mean_reversion_stats(p.filter("spread IS NOT NULL"), "spread", k, ["ts"]).join(m, k, "left")
+    corr = I.corr_summary(c, k).select(*k, F.col("mean").alias("mean_corr"), F.col("band").alias("corr_band"))
+    return metrics.mean_reversion_stats(p.filter("spread IS NOT NULL"), "spread", k, ["ts"]).join(corr, k, "left").join(m, k, "left")
 
 
 def incubation_review(s: SparkSession, d: str) -> DataFrame:
@@ -129,15 +210,42 @@ def incubation_review(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("verdict", factors.scenario_verdict(F.col("net_pf"), F.col("pf_without_best"), F.col("win_rate"), F.col("max_drawdown"), F.col("trades")))
 
 
+#: Notes on regimes and changes, for ``risk_context``.
+REGIME_RISKS = (("STRESS", "WARNING", "stress: moves are large and turn often"), ("COMPRESSED", "INFO", "compressed: moves are small"))
+
+
+def observed(s: SparkSession, d: str) -> DataFrame:
+    """What the health score of each symbol reads: how unusual its regime's length is, its last change and what such changes
+    have cost, its edge against its baseline, its streak of losses, and notes on all of these."""
+    b = settled(features(s, d).withColumn("regime", regimes.regime3()).select("symbol", "ts", "regime"), "regimes")
+    t = settled(ticks(s, d).select("symbol", "ts", "event_id", (F.col("price") - 35).alias("pnl")), "trades")
+    order = ["ts", "event_id"]
+    blocks = regimes.regime_blocks(b)
+    run = regimes.persistence_anomaly(b, regimes.duration_stats(blocks)).withColumn("over", F.col("bars_in_regime") / F.col("p95"))
+    run = run.select("symbol", F.when(F.col("over") > 3, 3).when(F.col("over") > 2, 2).when(F.col("over") > 1.5, 1).otherwise(0).alias("anomaly_level"))
+    now = regimes.transition_zone(b).groupBy("symbol").agg(F.max_by(F.struct("regime", "in_zone"), "ts").alias("x")).select("symbol", "x.*")
+    before = blocks.withColumn("from_regime", F.lag("regime").over(Window.partitionBy("symbol").orderBy("island"))).groupBy("symbol").agg(F.max_by("from_regime", "island").alias("from_regime"))
+    placed = joins.trades_in_blocks(t.withColumnRenamed("ts", "entry_time"), blocks)
+    change = settled(metrics.per_transition_pf(placed, "symbol", ["entry_time", "event_id"]), "changes")
+    level = F.when(F.col("delta") < -0.5, "CRITICAL").when(F.col("delta") < 0, "WARNING").otherwise("INFO")
+    change = change.select(F.col("from").alias("from_regime"), F.col("to").alias("regime"), level.alias("level"), F.concat_ws(" to ", "from", "to").alias("message"), F.col("delta").alias("delta_pf"))
+    early = t.filter(F.dayofmonth("ts") <= 15)
+    base = early.groupBy("symbol").agg(factors.profit_factor(F.col("pnl"), "null").alias("baseline_pf"))
+    edge = metrics.edge_health(t, base, ["symbol"], order)
+    decay = metrics.edge_decay(t, ["symbol"], order).select("symbol", F.col("type").alias("decay"))
+    fading = metrics.degradation_status(t, base, ["symbol"], order).select("symbol", "evenness", "degradation_status")
+    out = edge.join(now, "symbol", "left").join(before, "symbol", "left").join(decay, "symbol", "left").join(fading, "symbol", "left").join(run, "symbol", "left").join(metrics.trailing_losses(t, ["symbol"], order), "symbol", "left")
+    out = out.withColumn("from_regime", F.when(F.col("in_zone"), F.col("from_regime")))
+    risks = s.createDataFrame(list(REGIME_RISKS), "regime string, level string, message string")
+    out = metrics.risk_context(out, risks, change)
+    steps = F.when(~F.col("in_zone") | F.col("expected_pf_delta").isNull(), 0).when(F.col("expected_pf_delta") < -0.5, 3).when(F.col("expected_pf_delta") < 0, 2).otherwise(1)
+    return out.withColumn("transition_level", steps).na.fill({"anomaly_level": 0, "streak": 0})
+
+
 def observer_cycle(s: SparkSession, d: str) -> DataFrame:
-    """Regime anomalies, edge against baseline, streaks: a health score of each symbol."""
-    b = features(s, d).withColumn("regime", regimes.regime3())
-    anomaly = regimes.persistence_anomaly(b, regimes.duration_stats(regimes.regime_blocks(b))).select("symbol", F.col("anomaly").cast("int").alias("anomaly_level"))
-    t = ticks(s, d).select("symbol", "ts", "event_id", (F.col("price") - 35).alias("pnl"))
-    base = t.groupBy("symbol").agg(factors.profit_factor(F.col("pnl"), "null").alias("baseline_pf"))
-    edge = metrics.edge_health(t, base, ["symbol"], ["ts", "event_id"])
-    out = edge.join(anomaly, "symbol", "left").na.fill({"anomaly_level": 0})
-    return metrics.health_score(out.select("*", *(F.lit(0).alias(c) for c in ("transition_level", "streak", "critical_notes", "warning_notes", "info_notes"))))
+    """The observed state of each symbol, with its health and the mean of all."""
+    out = metrics.health_score(observed(s, d))
+    return out.crossJoin(F.broadcast(out.agg(F.avg("health").alias("mean_health"))))
 
 
 def coherence_report(s: SparkSession, d: str) -> DataFrame:

@@ -250,3 +250,31 @@ SQL["rolling_pf_state"] = f"""WITH {TRADES}, a AS (SELECT hypothesis AS symbol,
 SELECT symbol, {stamp()}, trades, round(pf, 5) AS pf, coalesce(pf < 1 AND trades >= 10, false) AS alert FROM a"""
 
 SQL["staleness_timeout"] = "WITH x AS (SELECT event_type AS symbol, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS last, ts FROM events) SELECT symbol, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, ((epoch_us(ts) - epoch_us(last)) // 1000000)::BIGINT AS silent_for FROM x WHERE epoch_us(ts) - epoch_us(last) > 900000000"
+
+_WN = lambda n: f"OVER ({RP} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+_PFN = lambda n: f"CASE WHEN count(pnl) {_WN(n)} >= {n} THEN {G} {_WN(n)} / nullif({L} {_WN(n)}, 0) END AS pf_{n}"
+
+
+def _status(baseline: str, decay: float) -> str:
+    """``status``: each rule's latest profit factors and the status they give."""
+    return f"""dg1 AS (SELECT hypothesis, ts, event_id, {', '.join(_PFN(n) for n in (30, 60, 90))} FROM trades), dg2 AS (SELECT hypothesis, count(*) AS trades, {', '.join(f'arg_max(pf_{n}, (ts, event_id)) AS pf_{n}' for n in (30, 60, 90))} FROM dg1 GROUP BY 1),
+dg3 AS (SELECT *, list_filter([pf_30, pf_60, pf_90], lambda x: x IS NOT NULL) AS known, {baseline} AS baseline_pf FROM dg2), dg4 AS (SELECT *, CASE WHEN len(known) >= 2 THEN greatest(0, 1 - coalesce(list_stddev_pop(known), 0) / greatest(abs(list_avg(known)), 1e-9)) END AS evenness FROM dg3),
+status AS (SELECT *, CASE WHEN trades < 30 THEN 'INSUFFICIENT_DATA' WHEN evenness < 0.2 THEN 'COLLAPSE' WHEN pf_30 > 0 AND pf_30 < pf_60 AND pf_60 < pf_90 AND pf_90 - pf_30 > {decay} THEN 'ACCELERATING_DECAY' WHEN pf_30 > 0 AND pf_30 < 0.6 * baseline_pf THEN 'OOS_DRIFT' ELSE 'NORMAL' END AS degradation_status FROM dg4)"""
+
+
+SQL["degradation_status"] = f"WITH {TRADES}, {_status('4.5::DOUBLE', 0.05)} SELECT hypothesis, trades, {six('pf_30', 'pf_60', 'pf_90', 'evenness')}, baseline_pf, degradation_status FROM status"
+
+_EARLY = f"(SELECT {G} / nullif({L}, 0) FROM trades t WHERE t.hypothesis = dg2.hypothesis AND day(ts) <= 15)"
+SQL["edge_health"] = f"""WITH {TRADES}, {_status(_EARLY, 0.15)}, cs AS (SELECT hypothesis, avg((pf_30 > 1)::INT) AS consistency FROM dg1 GROUP BY 1),
+st AS (SELECT hypothesis, (count(*) - coalesce(max(CASE WHEN pnl >= 0 THEN k END), 0))::BIGINT AS streak FROM (SELECT *, row_number() OVER ({RP}) AS k FROM trades) GROUP BY 1),
+j AS (SELECT s.hypothesis, pf_30 AS pf, consistency, baseline_pf, pf_30 / nullif(baseline_pf, 0) AS pf_ratio, streak, degradation_status, (degradation_status = 'COLLAPSE')::INT AS critical_notes, (degradation_status IN ('ACCELERATING_DECAY', 'OOS_DRIFT'))::INT AS warning_notes, (degradation_status = 'INSUFFICIENT_DATA')::INT AS info_notes FROM status s JOIN cs USING (hypothesis) JOIN st USING (hypothesis)),
+h AS (SELECT *, greatest(0, least(100, 100 - CASE WHEN pf_ratio IS NULL THEN 8 WHEN pf_ratio >= 1 THEN 0 WHEN pf_ratio >= 0.9 THEN 4 WHEN pf_ratio >= 0.75 THEN 10 WHEN pf_ratio >= 0.5 THEN 18 ELSE 25 END
+  - CASE WHEN consistency IS NULL THEN 5 WHEN consistency >= 0.75 THEN 0 WHEN consistency >= 0.55 THEN 4 WHEN consistency >= 0.35 THEN 10 WHEN consistency >= 0.2 THEN 15 ELSE 20 END
+  - CASE WHEN streak <= 0 THEN 0 WHEN streak <= 2 THEN 3 WHEN streak <= 4 THEN 8 ELSE 15 END - CASE WHEN critical_notes > 0 THEN 15 WHEN warning_notes >= 2 THEN 10 WHEN warning_notes = 1 THEN 5 WHEN info_notes > 0 THEN 2 ELSE 0 END))::INT AS health FROM j)
+SELECT hypothesis, {six('pf', 'consistency', 'baseline_pf', 'pf_ratio')}, CASE WHEN pf_ratio IS NULL THEN 'NO_DATA' WHEN pf_ratio >= 0.75 THEN 'HEALTHY' WHEN pf_ratio >= 0.5 THEN 'DEGRADED' ELSE 'BROKEN' END AS status, streak, degradation_status, critical_notes, warning_notes, info_notes, 0 AS anomaly_level, 0 AS transition_level, health,
+CASE WHEN health >= 90 THEN 'EXCELLENT' WHEN health >= 75 THEN 'GOOD' WHEN health >= 60 THEN 'WATCH' WHEN health >= 40 THEN 'WARNING' ELSE 'CRITICAL' END AS band FROM h"""
+
+SQL["risk_context"] = """WITH t AS (SELECT event_id, event_id % 3 <> 0 AS wild, event_id % 2 = 0 AS changed, (value - 35) / 40 AS r, event_id % 5 = 0 AS decayed FROM events),
+n AS (SELECT *, list_filter([CASE WHEN wild THEN 'wild' END, CASE WHEN wild AND changed THEN 'calm to wild' END, CASE WHEN r < 0.5 THEN 'profit factor below half of its baseline' WHEN r < 0.75 THEN 'profit factor below three quarters of its baseline' END, CASE WHEN decayed THEN 'the edge has decayed' END], lambda x: x IS NOT NULL) AS l,
+  (wild AND changed)::INT + (r < 0.5)::INT AS critical_notes, wild::INT + (r >= 0.5 AND r < 0.75)::INT + decayed::INT AS warning_notes FROM t)
+SELECT event_id, CASE WHEN changed THEN CASE WHEN wild THEN -0.4 ELSE 0.1 END END::DOUBLE AS expected_pf_delta, array_to_string(l, ' | ') AS notes, 0 AS info_notes, warning_notes, critical_notes, CASE WHEN critical_notes > 0 THEN 'CRITICAL' WHEN warning_notes > 0 THEN 'WARNING' ELSE 'INFO' END AS severity FROM n"""

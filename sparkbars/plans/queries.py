@@ -326,7 +326,7 @@ def _(s, d):
 @query("hmm_regimes")
 def _(s, d):
     b = I.dual_slope_bias(I.ema_distance(features(s, d)), 50)
-    return regimes.hmm_tag(b, regimes.hmm_fit(b, 3, 4))
+    return regimes.hmm_tag(b, regimes.hmm_fit(b, 3))
 
 
 @query("regime4")
@@ -871,10 +871,30 @@ def _(s, d):
 
 @query("edge_health")
 def _(s, d):
+    """Each rule's edge against the first half of its trades, and its health: streak and notes come from its trades, what
+    regards regimes is a symbol's (job_observer_cycle)."""
     t = trades(s, d)
-    base = t.groupBy("hypothesis").agg(factors.profit_factor(F.col("pnl"), "null").alias("baseline_pf"))
-    out = metrics.edge_health(t, base, ["hypothesis"], TK)
-    return metrics.health_score(out.select("*", *(F.lit(0).alias(c) for c in ("anomaly_level", "transition_level", "streak", "critical_notes", "warning_notes", "info_notes"))))
+    base = t.filter(F.dayofmonth("ts") <= 15).groupBy("hypothesis").agg(factors.profit_factor(F.col("pnl"), "null").alias("baseline_pf"))
+    fading = metrics.degradation_status(t, base, ["hypothesis"], TK).select("hypothesis", "degradation_status")
+    out = metrics.edge_health(t, base, ["hypothesis"], TK).join(metrics.trailing_losses(t, ["hypothesis"], TK), "hypothesis").join(fading, "hypothesis")
+    notes = {"critical_notes": F.col("degradation_status") == "COLLAPSE", "warning_notes": F.col("degradation_status").isin("ACCELERATING_DECAY", "OOS_DRIFT"), "info_notes": F.col("degradation_status") == "INSUFFICIENT_DATA"}
+    return metrics.health_score(out.select("*", *(c.cast("int").alias(k) for k, c in notes.items()), *(F.lit(0).alias(c) for c in ("anomaly_level", "transition_level"))))
+
+
+@query("degradation_status")
+def _(s, d):
+    t = trades(s, d)
+    base = t.groupBy("hypothesis").agg(F.lit(4.5).alias("baseline_pf"))
+    return metrics.degradation_status(t, base, ["hypothesis"], TK, decay=0.05)
+
+
+@query("risk_context")
+def _(s, d):
+    """States of each rule and regime, with the notes that short tables have on them."""
+    t = trades(s, d).select("hypothesis", F.when(F.col("event_id") % 3 == 0, "CALM").otherwise("WILD").alias("regime"), F.when(F.col("event_id") % 2 == 0, "CALM").alias("from_regime"), (F.col("pnl") / 40).alias("pf_ratio"), F.when(F.col("event_id") % 5 == 0, "DECAY").otherwise("STABLE").alias("decay"), "event_id")
+    risks = s.createDataFrame([("WILD", "WARNING", "wild")], "regime string, level string, message string")
+    changes = s.createDataFrame([("CALM", "WILD", "CRITICAL", "calm to wild", -0.4), ("CALM", "CALM", "INFO", "none", 0.1)], "from_regime string, regime string, level string, message string, delta_pf double")
+    return metrics.risk_context(t, risks, changes).select("event_id", "expected_pf_delta", "notes", "info_notes", "warning_notes", "critical_notes", "severity")
 
 
 @query("classification_metrics", "WITH x AS (SELECT event_type, (value > 35)::INT AS y, (user_id % 10) / 10.0 AS p FROM events), r AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY p) + (count(*) OVER (PARTITION BY event_type, p) - 1) / 2.0 AS r FROM x), c AS (SELECT event_type, count(*) AS n, sum((y = 1 AND p >= 0.5)::INT) AS tp, sum((y = 0 AND p >= 0.5)::INT) AS fp, sum((y = 1 AND p < 0.5)::INT) AS fn, sum((y = 0 AND p < 0.5)::INT) AS tn, sum(CASE WHEN y = 1 THEN r END) AS ranks FROM r GROUP BY 1) SELECT event_type, n, round((tp + tn) / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN (ranks - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (fp + tn)) ELSE 0.5 END, 6) AS auc FROM c")
@@ -892,7 +912,7 @@ def _(s, d):
 @query("failure_clusters")
 def _(s, d):
     rows = metrics.failure_features(results(s, d), F.col("oos_verdict") == "FAIL", ["test_pf", "test_sharpe"], {"test_pf": (0, 3)}).na.drop(subset=["z_test_pf", "z_test_sharpe"])
-    clusters, _ = ml.kmeans(rows, ["z_test_pf", "z_test_sharpe"], (2, 3, 4))
+    clusters, _ = ml.kmeans(rows, ["z_test_pf", "z_test_sharpe"])
     return metrics.cluster_profiles(clusters, ["test_pf", "test_sharpe"])
 
 
@@ -904,7 +924,7 @@ def _(s, d):
 
 @query("bootstrap")
 def _(s, d):
-    return metrics.bootstrap(trades(s, d), ["hypothesis"], TK, 50)
+    return metrics.bootstrap(trades(s, d), ["hypothesis"], TK)
 
 
 @query("pf_by_score_bucket", f"WITH {TRADES}, x AS (SELECT hypothesis, pnl, CASE WHEN asset % 100 >= 70 THEN '70+' WHEN asset % 100 >= 60 THEN '60-70' WHEN asset % 100 >= 55 THEN '55-60' END AS band FROM trades) SELECT band, hypothesis, count(*) AS trades, round({G} / nullif({L}, 0), 6) AS pf, round(100.0 * avg((pnl > 0)::INT), 6) AS win_rate FROM x WHERE band IS NOT NULL GROUP BY ROLLUP (band, hypothesis) HAVING count(*) > 0")
@@ -998,7 +1018,7 @@ def _(s, d):
 def _(s, d):
     b = I.barrier_label(features(s, d))
     cols = ["ret1", "ret5", "z20", "atr_ratio"]
-    return ml.gbt_predict(b, cols, ml.gbt_train(b, cols, trees=5)).select("symbol", "ts", "prob", "label")
+    return ml.gbt_predict(b, cols, ml.gbt_train(b, cols)).select("symbol", "ts", "prob", "label")
 
 
 @query("sequential_trades", f"""WITH RECURSIVE {FEATURES}, ix AS (SELECT *, row_number() OVER ({PART}) - 1 AS idx, {lag("CASE WHEN z20 < -1 THEN 1 WHEN z20 > 1 THEN -1 ELSE 0 END")} AS s, {lag('atr')} AS a FROM features),
@@ -1026,3 +1046,61 @@ def _(s, d):
 @query("entry_cooldown", f"""WITH RECURSIVE {FEATURES}, e AS MATERIALIZED (SELECT symbol, ts FROM features WHERE abs(z20) > 1), r AS (SELECT symbol, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT r.symbol, (SELECT min(e.ts) FROM e WHERE e.symbol = r.symbol AND e.ts >= r.ts + INTERVAL 48 HOUR) FROM r WHERE r.ts IS NOT NULL) SELECT symbol, {stamp()} FROM r WHERE ts IS NOT NULL""")
 def _(s, d):
     return engines.cooldown(features(s, d).filter("abs(z20) > 1").select("symbol", "ts"), 48 * 3600)
+
+
+# sources: what is written and read again
+
+
+@query("bars_file", f"WITH {BARS} SELECT symbol, {stamp()}, open, high, low, close, volume FROM bars WHERE symbol IN ('click', 'view')")
+def _(s, d):
+    path = io.scratch(s, "bars")
+    io.write_bars(hourly(s, d), path)
+    return io.read_bars(s, path, ["click", "view"]).drop("date")
+
+
+@query("bars_csv", f"WITH {BARS} SELECT symbol, {stamp()}, open, high, low, close, volume FROM bars WHERE volume % 5 <> 0")
+def _(s, d):
+    """A file with capitals in its header, and rows without a price."""
+    path = io.scratch(s, "csv")
+    b = hourly(s, d).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Datetime"), F.col("open").alias("Open"), F.when(F.col("volume") % 5 != 0, F.col("high")).alias("HIGH"), F.col("low").alias("low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    b.write.csv(path, header=True)
+    return io.read_bars_csv(s, path)
+
+
+@query("signal_log", "SELECT event_type || '_' || strftime(ts, '%Y%m%d%H%M%S%f') AS signal_id, round(value, 6) AS feat_rsi, round(value * 2, 6) AS outcome FROM events WHERE event_id % 3 = 1")
+def _(s, d):
+    """Signals appended to a log in two parts; the outcome of some is missing, of others an error."""
+    path = io.scratch(s, "log")
+    e = table(s, d, "events")
+    empty = F.lit(None)
+    features_ = F.struct(*(F.col("value").alias(c) if c == "rsi" else empty.cast("double").alias(c) for c in io.FEATURES), F.lit("neutral").alias("sentiment"))
+    outcome = F.when(F.col("event_id") % 3 == 0, "ERROR: none").when(F.col("event_id") % 3 == 1, (F.col("value") * 2).cast("string"))
+    log = e.select(io.signal_id(F.col("event_type"), F.col("ts")).alias("signal_id"), F.col("event_type").alias("symbol"), F.col("value").alias("price_at_signal"), features_.alias("features"), outcome.alias("outcome_1h"), "event_id")
+    for part in (0, 1):
+        io.append_signal_log(log.filter(F.col("event_id") % 2 == part).drop("event_id"), path)
+    return io.flatten_signal_log(io.read_signal_log(s, path)).select("signal_id", "feat_rsi", "outcome")
+
+
+@query("saved_table", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    """A snapshot that replaces an earlier one."""
+    path = io.scratch(s, "table")
+    e = table(s, d, "events")
+    io.save_table(e.select("event_type", F.lit(0).cast("long").alias("n")), path)
+    io.save_table(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), path)
+    return io.load_table(s, path)
+
+
+@query("event_log", "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS event_date FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07'")
+def _(s, d):
+    """A log of a folder for each day, of which two are read."""
+    path = io.scratch(s, "events")
+    io.write_event_log(table(s, d, "events").select("event_id", "event_type", "ts"), path)
+    out = io.read_event_log(s, path, "event_id long, event_type string, event_date date")
+    return out.filter(F.col("event_date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-06").cast("date"))).select("event_id", "event_type", "event_date")
+
+
+@query("pair_list", f"WITH {PAIRS} SELECT a, b, {stamp()}, close_a, close_b FROM pairs WHERE (a, b) IN (('click', 'view'), ('error', 'signup'))")
+def _(s, d):
+    """Named pairs alone, as many symbols need them."""
+    return joins.align_pairs(hourly(s, d), s.createDataFrame([("click", "view"), ("error", "signup")], "a string, b string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,3 +142,33 @@ def write_event_log(events: DataFrame, path: str, at: str = "ts") -> None:
 def macro_wide(long: DataFrame, series: Sequence[str] | None = None) -> DataFrame:
     """(date, series, value) to a column for each series; all dates stay. Named series need no pass to find them."""
     return long.groupBy("date").pivot("series", list(series) if series else None).agg(F.max("value"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``, which driver and executors share; only a local master does without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkbars-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, for what several branches use."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_event_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -1,5 +1,13 @@
-"""Streams with a state of their own for each key. A handler is one function of (state, row) to (state, rows out); the
-same function runs over a stream, kept by Spark's state store, and over a finished table, its batch twin."""
+"""Streams with a state of their own for each key.
+
+A handler is one function of (state, row) to (state, rows out). Over a stream Spark's state store keeps the state. With
+``late``, a stream's rows wait until the watermark has passed them and are then taken in the order of their times, as a
+finished table's are; a key that is silent for ``idle`` seconds beyond that loses its state. Without ``late`` rows are
+taken as they come.
+
+Over a finished table, handlers that only look back by a row, a run or a frame are windows, with no Python; the others
+run the same function over each key.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +16,24 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.factors import profit_factor_over
+from ..functions.frames import last_rows, series, so_far, yes
+
 #: (state, row as a dict) to (new state, rows as tuples without the key)
 Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
+#: Seconds of silence after which a key's state goes.
+IDLE = 30 * 86_400
 
 
 def _value(x):
     return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x
 
 
-def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, at: str = "ts") -> DataFrame:
-    """out: the output columns as DDL, without the keys. Rows of a key are taken in order of ``at`` within a batch."""
+def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, at: str = "ts", late: str | None = None, idle: int = IDLE) -> DataFrame:
+    """out: the output columns as DDL, without the keys. late: how far rows of a stream may come after their time."""
     keys = list(keys)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + out
@@ -27,8 +41,9 @@ def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, at: str = "ts"
 
     def walk(key: tuple, pdf: pd.DataFrame, state: dict) -> tuple[dict, pd.DataFrame]:
         rows = []
-        for r in pdf.sort_values(at, kind="stable").to_dict("records"):
-            state, new = step(state, {k: _value(v) for k, v in r.items()})
+        pdf = pdf.sort_values(at, kind="stable")
+        for values in zip(*(pdf[c] for c in pdf.columns)):
+            state, new = step(state, {k: _value(v) for k, v in zip(pdf.columns, values)})
             rows += [(*key, *x) for x in new]
         return state, pd.DataFrame(rows, columns=names)
 
@@ -41,24 +56,51 @@ def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, at: str = "ts"
         kept.update((json.dumps(state, default=str),))
         yield rows
 
-    return df.groupBy(*keys).applyInPandasWithState(handle, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    if late is None:
+        return df.groupBy(*keys).applyInPandasWithState(handle, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+
+    times = [c for c, kind in df.dtypes if kind == "timestamp"]
+
+    def ordered(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        """The state, and rows whose time the watermark has not passed."""
+        state, waiting, last = ({}, [], 0) if not kept.exists else (json.loads(kept.get[0]), json.loads(kept.get[1]), kept.get[2])
+        mark = kept.getCurrentWatermarkMs()
+        frames = [] if kept.hasTimedOut else [p.assign(**{c: p[c].map(lambda x: None if x is pd.NaT else x.isoformat()) for c in times}) for p in parts]
+        rows = [*waiting, *(r for p in frames for r in p.astype(object).where(p.notna(), None).to_dict("records"))]
+        ms = lambda r: int(pd.Timestamp(r[at]).timestamp() * 1000)
+        due, waiting = [r for r in rows if ms(r) <= mark], [r for r in rows if ms(r) > mark]
+        if due:
+            pdf = pd.DataFrame(due)
+            state, done = walk(key, pdf.assign(**{c: pd.to_datetime(pdf[c], format="ISO8601") for c in times}), state)
+            last = max(map(ms, due))
+            yield done
+        if not waiting and kept.hasTimedOut and mark >= last + idle * 1000:
+            kept.remove()
+            return
+        kept.update((json.dumps(state, default=str), json.dumps(waiting, default=str), last))
+        kept.setTimeoutTimestamp(max(mark + 1, min(map(ms, waiting)) if waiting else last + idle * 1000))
+
+    return df.withWatermark(at, late).groupBy(*keys).applyInPandasWithState(ordered, schema, "state string, waiting string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _seconds(ts) -> float:
     return pd.Timestamp(ts).timestamp()
 
 
-def signal_changes(df: DataFrame) -> DataFrame:
+def signal_changes(df: DataFrame, late: str | None = None) -> DataFrame:
     """(symbol, ts, signal): only where the signal is not zero and differs from the one before."""
+    if not df.isStreaming:
+        changed = ~F.col("signal").eqNullSafe(F.lag("signal").over(series()))
+        return df.withColumn("_new", changed).filter("_new AND signal != 0").select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("signal").cast("int").alias("signal"))
 
     def step(state, r):
         new = [(r["ts"], int(r["signal"]))] if r["signal"] and r["signal"] != state.get("last") else []
         return {"last": r["signal"]}, new
 
-    return run(df, ["symbol"], step, "ts timestamp, signal int")
+    return run(df, ["symbol"], step, "ts timestamp, signal int", late=late)
 
 
-def position_ledger(df: DataFrame, commission: float = 0.001) -> DataFrame:
+def position_ledger(df: DataFrame, commission: float = 0.001, late: str | None = None) -> DataFrame:
     """(symbol, ts, high, low, close, signal, sl, tp) to closed trades: one position a symbol; the stop is tested before the
     target, on bars after the entry; the same side is ignored, the other side closes and opens."""
 
@@ -84,12 +126,19 @@ def position_ledger(df: DataFrame, commission: float = 0.001) -> DataFrame:
             state = {"side": s, "entry": r["close"], "at": str(r["ts"]), "sl": r["sl"], "tp": r["tp"]}
         return state, out
 
-    return run(df, ["symbol"], step, "entry_time timestamp, exit_time timestamp, direction int, entry_price double, exit_price double, pnl double, reason string")
+    return run(df, ["symbol"], step, "entry_time timestamp, exit_time timestamp, direction int, entry_price double, exit_price double, pnl double, reason string", late=late)
 
 
-def daily_kill_switch(df: DataFrame, factor: float = 2.0) -> DataFrame:
+def daily_kill_switch(df: DataFrame, factor: float = 2.0, late: str | None = None) -> DataFrame:
     """(symbol, ts, equity, atr, close): trips once a day when the day's loss, as a share, is beyond so many ATRs of the
     close; off again on the next UTC day."""
+    if not df.isStreaming:
+        day = ["symbol", "_day"]
+        out = df.withColumn("_day", F.to_date("ts")).withColumn("_start", F.first("equity").over(so_far(day)))
+        loss = F.coalesce((F.col("equity") - F.col("_start")) / F.nullif("_start", F.lit(0.0)), F.lit(0.0))
+        floor = F.coalesce(-factor * F.coalesce("atr", F.lit(0.0)) / F.nullif("close", F.lit(0.0)), F.lit(0.0))
+        out = out.withColumn("loss", loss).withColumn("floor", floor).filter("floor < 0 AND loss < floor")
+        return out.withColumn("_n", F.row_number().over(series(day))).filter("_n = 1").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "loss", "floor")
 
     def step(state, r):
         day = str(r["ts"])[:10]
@@ -103,11 +152,18 @@ def daily_kill_switch(df: DataFrame, factor: float = 2.0) -> DataFrame:
             out.append((r["ts"], loss, limit))
         return state, out
 
-    return run(df, ["symbol"], step, "ts timestamp, loss double, floor double")
+    return run(df, ["symbol"], step, "ts timestamp, loss double, floor double", late=late)
 
 
-def loss_streak_alerts(df: DataFrame, keys: Sequence[str] = ("asset", "hypothesis")) -> DataFrame:
+def loss_streak_alerts(df: DataFrame, keys: Sequence[str] = ("asset", "hypothesis"), late: str | None = None) -> DataFrame:
     """Alerts at a depth of 2 and each even depth, critical from 5 on; an event when the streak ends."""
+    if not df.isStreaming:
+        lost, w = yes(F.col("pnl") < 0), so_far(keys)
+        out = df.withColumn("_i", F.row_number().over(series(keys))).withColumn("_lost", lost)
+        out = out.withColumn("_n", F.col("_i") - F.coalesce(F.max(F.when(~F.col("_lost"), F.col("_i"))).over(w), F.lit(0)))
+        out = out.withColumn("_before", F.coalesce(F.lag("_n").over(series(keys)), F.lit(0)))
+        level = F.when(F.col("_lost") & (F.col("_n") >= 5), "CRITICAL").when(F.col("_lost") & (F.col("_n") % 2 == 0), "WARNING").when(~F.col("_lost") & (F.col("_before") >= 2), "RECOVERED")
+        return out.select(*keys, F.col("ts").cast("timestamp").alias("ts"), level.alias("severity"), F.when(F.col("_lost"), F.col("_n")).otherwise(F.col("_before")).cast("int").alias("depth")).filter("severity IS NOT NULL")
 
     def step(state, r):
         n, out = state.get("n", 0), []
@@ -122,17 +178,20 @@ def loss_streak_alerts(df: DataFrame, keys: Sequence[str] = ("asset", "hypothesi
             n = 0
         return {"n": n}, out
 
-    return run(df, keys, step, "ts timestamp, severity string, depth int")
+    return run(df, keys, step, "ts timestamp, severity string, depth int", late=late)
 
 
-def regime_change_events(df: DataFrame, risks: DataFrame | None = None) -> DataFrame:
+def regime_change_events(df: DataFrame, risks: DataFrame | None = None, late: str | None = None) -> DataFrame:
     """(symbol, ts, regime) to (from, to) at each change; risks: ``from_regime``, ``to_regime``, ``risk``, joined."""
 
     def step(state, r):
         last = state.get("regime")
         return {"regime": r["regime"]}, [(r["ts"], last, r["regime"])] if last is not None and last != r["regime"] else []
 
-    out = run(df, ["symbol"], step, "ts timestamp, from_regime string, to_regime string")
+    if df.isStreaming:
+        out = run(df, ["symbol"], step, "ts timestamp, from_regime string, to_regime string", late=late)
+    else:
+        out = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.lag("regime").over(series()).alias("from_regime"), F.col("regime").alias("to_regime")).filter("from_regime IS NOT NULL AND NOT from_regime <=> to_regime")
     return out.join(risks, ["from_regime", "to_regime"], "left") if risks is not None else out
 
 
@@ -140,7 +199,7 @@ def regime_change_events(df: DataFrame, risks: DataFrame | None = None) -> DataF
 COOLDOWN_HOURS = {"INFO": 12, "WARNING": 4, "CRITICAL": 2}
 
 
-def alert_throttle(df: DataFrame, worse: float = 0.15) -> DataFrame:
+def alert_throttle(df: DataFrame, worse: float = 0.15, late: str | None = None) -> DataFrame:
     """(asset, hypothesis, type, severity, ts, pf) to those that are sent: the first, those after the cooldown, and any
     whose profit factor fell by more than ``worse`` of the last one sent. Only sent ones count."""
 
@@ -152,10 +211,10 @@ def alert_throttle(df: DataFrame, worse: float = 0.15) -> DataFrame:
             return {"at": _seconds(r["ts"]), "pf": pf}, [(r["ts"], pf)]
         return state, []
 
-    return run(df, ["asset", "hypothesis", "type", "severity"], step, "ts timestamp, pf double")
+    return run(df, ["asset", "hypothesis", "type", "severity"], step, "ts timestamp, pf double", late=late)
 
 
-def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, least: int = 5, alert: int = 10) -> DataFrame:
+def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, least: int = 5, alert: int = 10, late: str | None = None) -> DataFrame:
     """Profit factor of the last n trades at each trade: null under ``least``; alert below 1 from ``alert`` trades on."""
 
     def step(state, r):
@@ -164,11 +223,20 @@ def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int =
         pf = (won / lost if lost > 0 else None) if len(last) >= least else None
         return {"last": last}, [(r["ts"], len(last), pf, bool(pf is not None and pf < 1 and len(last) >= alert))]
 
-    return run(df.filter("pnl IS NOT NULL"), keys, step, "ts timestamp, trades int, pf double, alert boolean")
+    df = df.filter("pnl IS NOT NULL")
+    if not df.isStreaming:
+        w = last_rows(n, keys)
+        out = df.select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.count(F.lit(1)).over(w).cast("int").alias("trades"), profit_factor_over(F.col("pnl"), w, "null").alias("pf"))
+        return out.withColumn("pf", F.when(F.col("trades") >= least, F.col("pf"))).withColumn("alert", yes((F.col("pf") < 1) & (F.col("trades") >= alert)))
+    return run(df, keys, step, "ts timestamp, trades int, pf double, alert boolean", late=late)
 
 
-def pending_resolution(df: DataFrame, n: int = 4) -> DataFrame:
+def pending_resolution(df: DataFrame, n: int = 4, late: str | None = None) -> DataFrame:
     """(symbol, ts, close, signal): each signal's result n bars later; what is pending at the end stays so."""
+    if not df.isStreaming:
+        w = series()
+        out = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.lead("ts", n).over(w).cast("timestamp").alias("resolved"), F.col("signal").cast("int").alias("direction"), (F.col("signal") * (F.lead("close", n).over(w) - F.col("close"))).alias("pnl"))
+        return out.filter("direction != 0 AND resolved IS NOT NULL")
 
     def step(state, r):
         waiting, out = [], []
@@ -181,20 +249,20 @@ def pending_resolution(df: DataFrame, n: int = 4) -> DataFrame:
             waiting.append((str(r["ts"]), int(r["signal"]), r["close"], n))
         return {"waiting": waiting}, out
 
-    return run(df, ["symbol"], step, "ts timestamp, resolved timestamp, direction int, pnl double")
+    return run(df, ["symbol"], step, "ts timestamp, resolved timestamp, direction int, pnl double", late=late)
 
 
-def entry_cooldown(df: DataFrame, seconds: int = 48 * 3600) -> DataFrame:
+def entry_cooldown(df: DataFrame, seconds: int = 48 * 3600, late: str | None = None) -> DataFrame:
     def step(state, r):
         now = _seconds(r["ts"])
         if state and now - state["at"] < seconds:
             return state, []
         return {"at": now}, [(r["ts"],)]
 
-    return run(df, ["symbol"], step, "ts timestamp")
+    return run(df, ["symbol"], step, "ts timestamp", late=late)
 
 
-def hysteresis_stream(df: DataFrame, bars: int = 3, least: float = 0.55) -> DataFrame:
+def hysteresis_stream(df: DataFrame, bars: int = 3, least: float = 0.55, late: str | None = None) -> DataFrame:
     """(symbol, ts, regime, confidence): a new regime counts after so many confident bars in a row."""
 
     def step(state, r):
@@ -211,7 +279,7 @@ def hysteresis_stream(df: DataFrame, bars: int = 3, least: float = 0.55) -> Data
                 now, pending, n = x, None, 0
         return {"now": now, "pending": pending, "n": n}, [(r["ts"], now)]
 
-    return run(df, ["symbol"], step, "ts timestamp, regime_final string")
+    return run(df, ["symbol"], step, "ts timestamp, regime_final string", late=late)
 
 
 def staleness_timeout(df: DataFrame, seconds: int = 1800) -> DataFrame:
@@ -219,11 +287,9 @@ def staleness_timeout(df: DataFrame, seconds: int = 1800) -> DataFrame:
     finished table: a row for each gap."""
     schema = "symbol string, last timestamp, silent_for long"
     if not df.isStreaming:
-        def step(state, r):
-            now, last = _seconds(r["ts"]), state.get("at")
-            return {"at": now}, [(pd.Timestamp(last, unit="s").floor("us"), int(now - last))] if last is not None and now - last > seconds else []
-
-        return run(df, ["symbol"], step, "last timestamp, silent_for long")
+        gap = F.unix_micros("ts") - F.unix_micros("last")
+        rows = df.select("symbol", F.col("ts").cast("timestamp").alias("ts")).withColumn("last", F.lag("ts").over(series()))
+        return rows.filter(gap > seconds * 1_000_000).select("symbol", "last", F.floor(gap / 1_000_000).alias("silent_for"))
 
     def handle(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         if kept.hasTimedOut:

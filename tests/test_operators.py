@@ -68,6 +68,57 @@ def test_ewm_blocks_equal_one_pass(frame):
     assert len(both) == 400 and np.allclose(both.y, both.y2, equal_nan=True) and np.allclose(both.z, both.z2)
 
 
+@pytest.mark.parametrize("alpha", [0.02, 0.5, 0.9, 0.99, 1.0])
+def test_ewm_over_many_stretches(frame, alpha):
+    """The frames equal the recurrence, also where stretches of values end within the series, and after missing values."""
+    gaps = frame.withColumn("x", F.when(F.col("volume") > 20, F.col("close")))
+    got = ewm.ewm(gaps, {"y": ("x", alpha)}).toPandas().sort_values(["symbol", "ts"])
+    for _, part in got.groupby("symbol"):
+        want = part.x.ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+        assert np.allclose(part.y, want, rtol=1e-12, atol=0, equal_nan=True)
+
+
+def test_close_only_scan_bar_by_bar():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n = int(rng.integers(2, 300))
+        close, signal, atr = 50 + rng.normal(size=n).cumsum(), rng.choice([0, 0, 0, 1, -1], n), rng.choice([0.0, 1.0, 2.0], n)
+        want, side, capital = [], 0, 1000.0
+        for i in range(1, n):
+            c, s = close[i], signal[i - 1]
+            if side:
+                reason = "SL" if side * (c - stop) <= 0 else "TP" if side * (c - goal) >= 0 else "OPPOSITE" if s == -side else None  # noqa: F821
+                if reason:
+                    pnl = side * (c - entry) / entry * capital * 0.1  # noqa: F821
+                    capital += pnl
+                    want.append((at, i, side, entry, c, pnl, reason))  # noqa: F821
+                    side = 0
+            if not side and s and atr[i] > 0:
+                side, entry, at = int(s), c, i
+                stop, goal = c - side * 1.5 * atr[i], c + side * 2.5 * atr[i]
+        assert engines.close_only_scan(close, signal, atr, 1.5, 2.5, 1000.0, 0.1) == want
+
+
+@pytest.mark.parametrize("cell", [600, 3600 * 7, 10**9])
+@pytest.mark.parametrize("forward,strict", [(False, False), (True, False), (False, True)])
+def test_asof_by_cells(spark, cell, forward, strict):
+    rng = random.Random(6)
+    when = lambda: START + dt.timedelta(seconds=rng.randrange(0, 400_000, 100))
+    left = [(k, rng.choice("ab"), when()) for k in range(120)] + [(900, "c", when()), (901, "a", None), (902, None, when())]
+    right = [(s, t, k) for k, (s, t) in enumerate({(rng.choice("ab"), when()) for _ in range(60)})] + [("a", None, -1)]
+    a, b = spark.createDataFrame(left, "id int, symbol string, ts timestamp"), spark.createDataFrame(right, "symbol string, ts timestamp, v int")
+    got = {r.id: r.v for r in joins.asof(a, b, ["v"], forward=forward, strict=strict, cell=cell).collect()}
+    for i, s, t in left:
+        fit = [(x, v) for y, x, v in right if t and x and y == s and ((x >= t) if forward else x < t or (x == t and not strict))]
+        assert got[i] == ((min(fit) if forward else max(fit))[1] if fit else None)
+    assert len(got) == len(left)
+
+
+def test_trailing_losses(spark):
+    t = spark.createDataFrame([("a", 1, 1.0), ("a", 2, -1.0), ("a", 3, -2.0), ("b", 1, -1.0), ("b", 2, 0.0), ("c", 1, -1.0)], "key string, n int, pnl double")
+    assert {r.key: r.streak for r in metrics.trailing_losses(t, ["key"], ["n"]).collect()} == {"a": 2, "b": 0, "c": 1}
+
+
 def test_short_and_flat_series(spark):
     flat = spark.createDataFrame([("F", START + dt.timedelta(hours=k), 5.0, 5.0, 5.0, 5.0, 1.0) for k in range(30)] + [("S", START, 1.0, 2.0, 0.5, 1.5, 1.0)], SCHEMA)
     out = live(indicators.lab_features(flat)).toPandas()
@@ -179,6 +230,20 @@ def test_bootstrap_is_repeatable(spark):
     assert a == b and [r.key for r in a] == ["a"] and 0 <= a[0].mc_prob <= 1 and a[0].p5 <= a[0].p50 <= a[0].p95
 
 
+def test_bootstrap_of_groups(spark):
+    """Dealt out to groups, the figures come near those of one group; a single group's are those of plain resampling."""
+    rng = np.random.default_rng(3)
+    pnl = rng.normal(0.1, 1, 600)
+    t = spark.createDataFrame([("a", n, float(x)) for n, x in enumerate(pnl)], "key string, n int, pnl double")
+    one, many = (metrics.bootstrap(t, ["key"], ["n"], 400, group=g).first() for g in (8192, 100))
+    assert abs(one.mean_final - pnl.sum()) < 6 and abs(many.mean_final - pnl.sum()) < 6
+    assert abs(one.p95 - many.p95) < 12 and abs(one.mean_dd - many.mean_dd) < 5 and abs(one.mc_prob - many.mc_prob) < 0.05
+    paths = metrics.resampled_paths(np.array([1.0, -2.0, 3.0]), 50, np.random.default_rng(0))
+    again = np.random.default_rng(0).integers(0, 3, (50, 3))
+    cum = np.array([1.0, -2.0, 3.0])[again].cumsum(1)
+    assert np.allclose(paths, np.column_stack([cum[:, -1], cum.max(1), cum.min(1), [max(max(c[: k + 1]) - c[k] for k in range(3)) for c in cum]]))
+
+
 def test_steady_state(spark):
     m = spark.createDataFrame([("s", "A", 0.5, 0.5), ("s", "B", 0.25, 0.75)], "symbol string, from string, to_A double, to_B double")
     got = {r.regime: r.p for r in regimes.steady_state(m, ["A", "B"]).collect()}
@@ -254,6 +319,18 @@ def test_stateful_streams_equal_their_batch_twins(spark, signals, tmp_path, name
     assert got.count() > 0 and same(got, f(df))
 
 
+@pytest.mark.parametrize("name", ["signal_changes", "position_ledger", "rolling_pf_state"])
+def test_streams_wait_for_late_rows(spark, signals, tmp_path, name):
+    """Rows that come up to a day late, and out of order, are taken in their order once the watermark has passed them."""
+    df = signals.withColumn("pnl", F.col("close") - F.col("open")).select("symbol", "ts", "high", "low", "close", "signal", "sl", "tp", "pnl")
+    f = getattr(stateful, name)
+    hours = (F.unix_timestamp("ts") - F.lit(int(START.replace(tzinfo=dt.timezone.utc).timestamp()))) / 3600
+    mixed = df.withColumn("came", hours + F.pmod(F.xxhash64("symbol", "ts"), F.lit(20)))
+    end = spark.createDataFrame([("end", START + dt.timedelta(days=40 + k), 1.0, 1.0, 1.0, 0, 0.0, 0.0, 0.0, 1e6 + k) for k in range(2)], mixed.schema)
+    got = streamed(spark, mixed.unionByName(end), lambda s: f(s, late="1 day"), tmp_path, files=6, order="came").filter("symbol != 'end'")
+    assert got.count() > 0 and same(got, f(df))
+
+
 def test_window_streams(spark, frame, tmp_path):
     ticks = frame.select("symbol", "ts", F.col("volume").cast("long").alias("event_id"), F.col("close").alias("price"))
     got = streamed(spark, ticks, lambda s: windows.stream_bars(s, "4 hours"), tmp_path)
