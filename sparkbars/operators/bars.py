@@ -98,14 +98,24 @@ def score_summary(scores: DataFrame) -> DataFrame:
 
 
 def period_diagnostics(bars: DataFrame, blocks: int = 5) -> DataFrame:
-    """Each symbol's bars in equal blocks of time: runs of one direction, reversals, ranges, the largest one-way move."""
+    """Each symbol's bars in equal blocks of time: runs of one direction, reversals, ranges, the largest one-way move, volume
+    by session; with ``adx`` or ``ema<n>`` among the columns also the share of bars with ADX above 35, and the averages' mean
+    step."""
+    emas = [c for c in bars.columns if c.startswith("ema") and c[3:].isdigit()]
     span = Window.partitionBy("symbol")
     t = F.unix_timestamp("ts")
     out = bars.withColumn("block", F.least(F.lit(blocks - 1), F.floor((t - F.min(t).over(span)) * blocks / F.greatest(F.lit(1), F.max(t).over(span) - F.min(t).over(span)))).cast("int"))
     w = Window.partitionBy("symbol", "block").orderBy("ts")
     sign = F.signum(F.col("close") - F.col("open"))
     out = out.withColumn("sign", sign).withColumn("turn", F.when(F.lag("sign").over(w).isNull() | (F.lag("sign").over(w) != F.col("sign")), 1).otherwise(0)).withColumn("run", F.sum("turn").over(w))
+    h = F.hour("ts")
+    sessions = {"asia": (0, 8), "london": (8, 17), "ny": (13, 21), "overlap": (13, 17)}
+    more = [F.avg(F.when((h >= a) & (h < b), F.col("volume"))).alias(f"volume_{k}") for k, (a, b) in sessions.items()]
+    if "adx" in bars.columns:
+        more.append(F.avg(yes(F.col("adx") > 35).cast("double")).alias("adx_above_35"))
+    out = out.select("*", *((F.col(c) - F.lag(c).over(w)).alias(f"_step_{c}") for c in emas))
+    more += [F.avg(f"_step_{c}").alias(f"{c}_step") for c in emas]
     runs = out.groupBy("symbol", "block", "run").agg(F.count(F.lit(1)).alias("length"), F.sum(F.col("close") - F.col("open")).alias("move"))
     runs = runs.groupBy("symbol", "block").agg(F.avg(F.when(F.col("length") > 1, F.col("length"))).alias("mean_run"), F.max(F.abs("move")).alias("largest_move"))
-    rest = out.groupBy("symbol", "block").agg(F.count(F.lit(1)).alias("bars"), F.avg(F.col("high") - F.col("low")).alias("mean_range"), F.avg(F.col("turn").cast("double")).alias("reversals"), F.avg(yes(F.col("sign") == 0).cast("double")).alias("doji"))
+    rest = out.groupBy("symbol", "block").agg(F.count(F.lit(1)).alias("bars"), F.avg(F.col("high") - F.col("low")).alias("mean_range"), F.avg(F.col("turn").cast("double")).alias("reversals"), F.avg(yes(F.col("sign") == 0).cast("double")).alias("doji"), *more)
     return rest.join(runs, ["symbol", "block"])

@@ -261,6 +261,25 @@ def edge_decay(trades: DataFrame, keys: Keys, order: Keys, n: int = 30, pnl: str
     return agg.select(*keys, "points", "baseline", "final", "slope", "half_life", kind.alias("type"))
 
 
+def decay_consensus(trades: DataFrame, keys: Keys, order: Keys, windows: Sequence[int] = (30, 60, 90), pnl: str = "pnl") -> DataFrame:
+    """The type of decay by each window, the one that most of them give (in a tie that of the shorter window), and the change
+    from the first fifth of trades to the last three tenths (ten at least)."""
+    out = None
+    for n in windows:
+        one = edge_decay(trades, keys, order, n, pnl).select(*keys, F.col("type").alias(f"type_{n}"), F.col("half_life").alias(f"half_life_{n}"))
+        out = one if out is None else out.join(one, list(keys), "full")
+    types = [F.coalesce(f"type_{n}", F.lit("INSUFFICIENT_DATA")) for n in windows]
+    votes = [sum(((b == a).cast("int") for b in types), F.lit(0)) for a in types]
+    best = F.greatest(*votes)
+    consensus = F.coalesce(*(F.when(v == best, x) for v, x in zip(votes, types)))
+    w, every = series(keys, order), Window.partitionBy(*keys)
+    rows = trades.select(*keys, F.col(pnl).alias("_p"), F.row_number().over(w).alias("_i"), F.count(F.lit(1)).over(every).alias("_n"))
+    early, late = F.col("_i") <= F.greatest(F.lit(10), F.floor(F.col("_n") / 5)), F.col("_i") > F.col("_n") - F.greatest(F.lit(10), F.floor(F.col("_n") * 3 / 10))
+    ends = rows.groupBy(*keys).agg(profit_factor(F.when(early, F.col("_p")), "floor").alias("baseline_pf"), profit_factor(F.when(late, F.col("_p")), "floor").alias("final_pf"))
+    out = out.withColumn("consensus", consensus).join(ends, list(keys))
+    return out.withColumn("decay_magnitude", (F.col("final_pf") - F.col("baseline_pf")) / F.greatest("baseline_pf", F.lit(1e-9)))
+
+
 def loss_cascades(trades: DataFrame, keys: Keys, order: Keys, least: int = 2, pnl: str = "pnl") -> DataFrame:
     """Runs of losing trades: where they begin and end, their depth and sum."""
     w = series(keys, order)
@@ -287,20 +306,43 @@ def first_at_least(values: np.ndarray, ends: np.ndarray, levels: np.ndarray) ->
     return out
 
 
-def cascade_recovery(trades: DataFrame, cascades: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl") -> DataFrame:
-    """Trades after a cascade until the running sum is back where it was before it; null if never. One scan of each key's
-    running sum (two narrow columns)."""
+def cascade_recovery(trades: DataFrame, cascades: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl", block: int = 8192) -> DataFrame:
+    """Trades after a cascade until the running sum is back where it was before it; null if never.
+
+    A key's running sum goes by blocks of ``block`` trades: a cascade is looked up in its own block, else in the largest
+    sums of later blocks, and then in the block found. So a task holds a block, or a row for each block of a key."""
+    keys = list(keys)
     w = series(keys, order)
     s = trades.select(*keys, F.row_number().over(w).alias("_idx"), F.sum(pnl).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
-    schema = T.StructType([*cascades.schema.fields, T.StructField("recovery", T.LongType())])
-
-    def scan(sums: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        v = sums.sort_values("_idx")["_s"].to_numpy(float)
-        ends = runs["end_idx"].to_numpy(int) - 1
-        found = first_at_least(v, ends, np.round(v[ends] - runs["cum_pnl"].to_numpy(float), 9) - 1e-9) if len(runs) else np.zeros(0, int)
-        return runs.assign(recovery=pd.array([int(f - e) if f >= 0 else None for f, e in zip(found, ends)], dtype="Int64"))
-
-    return s.groupBy(*keys).cogroup(cascades.groupBy(*keys)).applyInPandas(scan, schema)
+    of = lambda c: F.floor((F.col(c) - 1) / block)
+    s = s.withColumn("_b", of("_idx"))
+    level = F.round(F.col("_s") - F.col("cum_pnl"), 9) - 1e-9
+    runs = cascades.join(s.select(*keys, F.col("_idx").alias("end_idx"), "_s"), [*keys, "end_idx"]).withColumn("_level", level).drop("_s").withColumn("_b", of("end_idx")).withColumn("_from", F.col("end_idx").cast("long"))
+
+    def found(values: DataFrame, queries: DataFrame, by: list[str], at: str, value: str, to: str) -> DataFrame:
+        """``queries`` with the first ``at`` after ``_from`` whose ``value`` reaches ``_level``."""
+        schema = T.StructType([*queries.schema.fields, T.StructField(to, T.LongType())])
+
+        def scan(sums: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            sums = sums.sort_values("_at")
+            places, v = sums["_at"].to_numpy("int64"), sums["_value"].to_numpy(float)
+            ends = np.searchsorted(places, asked["_from"].to_numpy("int64"), "right") - 1
+            hit = first_at_least(v, ends, asked["_level"].to_numpy(float)) if len(asked) else np.zeros(0, int)
+            return asked.assign(**{to: pd.array([int(places[k]) if k >= 0 else None for k in hit], dtype="Int64")})
+
+        # named anew: both sides come from the same rows
+        named = values.select(*(F.col(c).alias(f"_key{k}") for k, c in enumerate(by)), F.col(at).alias("_at"), F.col(value).alias("_value"))
+        return named.groupBy(*(f"_key{k}" for k in range(len(by)))).cogroup(queries.groupBy(*by)).applyInPandas(scan, schema)
+
+    own = found(s.select(*keys, "_b", "_idx", "_s"), runs, [*keys, "_b"], "_idx", "_s", "_back")
+    open_ = own.filter("_back IS NULL").drop("_back").withColumn("_from", F.col("_b"))
+    tops = s.groupBy(*keys, "_b").agg(F.max("_s").alias("_top"))
+    later = found(tops, open_, keys, "_b", "_top", "_later").withColumn("_b", F.col("_later")).drop("_later")
+    there = later.filter("_b IS NOT NULL").withColumn("_from", F.col("end_idx").cast("long"))
+    done = found(s.select(*keys, "_b", "_idx", "_s"), there, [*keys, "_b"], "_idx", "_s", "_back")
+    none = later.filter("_b IS NULL").withColumn("_back", F.lit(None).cast("long"))
+    out = own.filter("_back IS NOT NULL").unionByName(done).unionByName(none)
+    return out.select(*cascades.columns, (F.col("_back") - F.col("end_idx")).alias("recovery"))
 
 
 def conditional_loss_prob(trades: DataFrame, keys: Keys, order: Keys, most: int = 7, flag: float = 0.65, pnl: str = "pnl") -> DataFrame:
@@ -351,6 +393,15 @@ def adaptive_sizing(trades: DataFrame, scenarios: Mapping[str, Mapping[str, floa
     return trade_metrics(rows.withColumn("sized", F.col(pnl) * F.col("size")).drop("outcome", "bars_held"), ["scenario", "period"], order, "sized")
 
 
+def sizing_verdict(stats: DataFrame, robust: float = 0.70, moderate: float = 0.50) -> DataFrame:
+    """Of each scenario's metrics (``adaptive_sizing``): profit factor out of sample over that in sample, and what it says."""
+    at = lambda p: F.max(F.when(F.col("period") == p, F.col("profit_factor")))
+    out = stats.groupBy("scenario").agg(at("train").alias("pf_in"), at("test").alias("pf_out"))
+    out = out.withColumn("degradation_ratio", F.when(F.col("pf_in") > 0, F.col("pf_out") / F.nullif("pf_in", F.lit(0.0))))
+    r = F.col("degradation_ratio")
+    return out.withColumn("verdict", F.when(r >= robust, "ROBUST").when(r >= moderate, "MODERATE").when(r.isNotNull(), "FRAGILE"))
+
+
 def early_entry_comparison(trades: DataFrame, keys: Keys) -> DataFrame:
     """Trades with an earlier entry: coverage, lead time, and the gain in price."""
     found = F.col("early_entry").isNotNull()

@@ -278,3 +278,33 @@ SQL["risk_context"] = """WITH t AS (SELECT event_id, event_id % 3 <> 0 AS wild,
 n AS (SELECT *, list_filter([CASE WHEN wild THEN 'wild' END, CASE WHEN wild AND changed THEN 'calm to wild' END, CASE WHEN r < 0.5 THEN 'profit factor below half of its baseline' WHEN r < 0.75 THEN 'profit factor below three quarters of its baseline' END, CASE WHEN decayed THEN 'the edge has decayed' END], lambda x: x IS NOT NULL) AS l,
   (wild AND changed)::INT + (r < 0.5)::INT AS critical_notes, wild::INT + (r >= 0.5 AND r < 0.75)::INT + decayed::INT AS warning_notes FROM t)
 SELECT event_id, CASE WHEN changed THEN CASE WHEN wild THEN -0.4 ELSE 0.1 END END::DOUBLE AS expected_pf_delta, array_to_string(l, ' | ') AS notes, 0 AS info_notes, warning_notes, critical_notes, CASE WHEN critical_notes > 0 THEN 'CRITICAL' WHEN warning_notes > 0 THEN 'WARNING' ELSE 'INFO' END AS severity FROM n"""
+
+
+def _decay_type(n: int) -> str:
+    """``ty{n}``: each rule's type of decay over windows of n trades, and its half-life."""
+    w = f"OVER ({RP} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"""ra{n} AS (SELECT *, CASE WHEN count(pnl) {w} >= {n} THEN {G} {w} / nullif({L} {w}, 0) END AS pf FROM trades),
+rb{n} AS (SELECT hypothesis, pf, row_number() OVER ({RP}) AS i, count(*) OVER (PARTITION BY hypothesis) AS m, abs(pf - lag(pf) OVER ({RP})) AS step FROM ra{n} WHERE pf IS NOT NULL), rc{n} AS (SELECT *, avg(CASE WHEN i <= greatest(10, floor(m * 0.2::DOUBLE)) THEN pf END) OVER (PARTITION BY hypothesis) AS base FROM rb{n}),
+rd{n} AS (SELECT hypothesis, max(m) AS points, regr_slope(pf, i) AS slope, stddev_pop(pf) AS sd, avg(pf) AS mean, max(step) AS jump, arg_max(pf, i) AS last, avg(CASE WHEN i > m - 5 THEN pf END) AS near5, avg(CASE WHEN i > m - 15 AND i <= m - 5 THEN pf END) AS far10, min(CASE WHEN pf <= base / 2 THEN i END)::INT AS half_life FROM rc{n} GROUP BY 1),
+ty{n} AS (SELECT hypothesis, half_life, CASE WHEN points < 10 THEN 'INSUFFICIENT_DATA' WHEN jump > 6 * sd THEN 'STRUCTURAL_BREAK' WHEN abs(slope) < 0.002 AND sd / nullif(mean, 0) < 0.15 THEN 'STABLE' WHEN slope > 0.003 THEN 'IMPROVING'
+  WHEN slope < -0.003 AND last < 1 THEN CASE WHEN abs(near5 - far10) < 0.05 THEN 'SATURATION' ELSE 'DECAY' END WHEN slope < -0.001 THEN 'DECAY' ELSE 'STABLE' END AS t FROM rd{n})"""
+
+
+SQL["decay_consensus"] = f"""WITH {TRADES}, {', '.join(_decay_type(n) for n in (30, 60, 90))}, en AS (SELECT *, row_number() OVER ({RP}) AS i, count(*) OVER (PARTITION BY hypothesis) AS n FROM trades),
+ep AS (SELECT hypothesis, {G.replace('pnl > 0', 'pnl > 0 AND i <= greatest(10, n // 5)')} / greatest({L.replace('pnl < 0', 'pnl < 0 AND i <= greatest(10, n // 5)')}, 1e-9) AS b, {G.replace('pnl > 0', 'pnl > 0 AND i > n - greatest(10, n * 3 // 10)')} / greatest({L.replace('pnl < 0', 'pnl < 0 AND i > n - greatest(10, n * 3 // 10)')}, 1e-9) AS f FROM en GROUP BY 1)
+SELECT hypothesis, a.t AS type_30, a.half_life AS half_life_30, b.t AS type_60, b.half_life AS half_life_60, c.t AS type_90, c.half_life AS half_life_90, CASE WHEN b.t = c.t THEN b.t ELSE a.t END AS consensus, round(ep.b, 6) AS baseline_pf, round(ep.f, 6) AS final_pf, round((ep.f - ep.b) / greatest(ep.b, 1e-9), 6) + 0.0::DOUBLE AS decay_magnitude
+FROM ty30 a JOIN ty60 b USING (hypothesis) JOIN ty90 c USING (hypothesis) JOIN ep USING (hypothesis)"""
+
+_AS = PLAIN["adaptive_sizing"]
+SQL["sizing_verdict"] = _AS[: _AS.rindex(" SELECT scenario")] + f""", p AS (SELECT scenario, {G.replace('pnl > 0', "period = 'train' AND sized > 0").replace('THEN pnl', 'THEN sized')} / greatest({L.replace('pnl < 0', "period = 'train' AND sized < 0").replace('THEN -pnl', 'THEN -sized')}, 1e-9) AS pf_in, {G.replace('pnl > 0', "period = 'test' AND sized > 0").replace('THEN pnl', 'THEN sized')} / greatest({L.replace('pnl < 0', "period = 'test' AND sized < 0").replace('THEN -pnl', 'THEN -sized')}, 1e-9) AS pf_out FROM s GROUP BY 1)
+SELECT scenario, {six('pf_in', 'pf_out')}, round(pf_out / nullif(pf_in, 0), 6) AS degradation_ratio, CASE WHEN pf_out / nullif(pf_in, 0) >= 0.70 THEN 'ROBUST' WHEN pf_out / nullif(pf_in, 0) >= 0.5 THEN 'MODERATE' WHEN pf_in > 0 THEN 'FRAGILE' END AS verdict FROM p"""
+
+_PB = "OVER (PARTITION BY symbol, block ORDER BY ts)"
+SQL["period_diagnostics"] = f"""WITH RECURSIVE {LIVE}, es AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER ({PART}) AS n FROM bars), {ewm_sql('ee', 'es', {'ema50': ('close', 2 / 51), 'ema200': ('close', 2 / 201)})},
+b0 AS (SELECT bars.*, live.adx, ema50, ema200, floor(epoch(bars.ts)) AS t FROM bars JOIN live USING (symbol, ts) JOIN ee ON ee.symbol = live.symbol AND ee.n = live.n),
+b1 AS (SELECT *, least(4, floor((t - min(t) OVER (PARTITION BY symbol)) * 5 / greatest(1, max(t) OVER (PARTITION BY symbol) - min(t) OVER (PARTITION BY symbol))))::INT AS block, sign(close - open) AS sg FROM b0),
+b2 AS (SELECT *, CASE WHEN lag(sg) {_PB} IS NULL OR lag(sg) {_PB} <> sg THEN 1 ELSE 0 END AS turn, ema50 - lag(ema50) {_PB} AS s50, ema200 - lag(ema200) {_PB} AS s200 FROM b1), b3 AS (SELECT *, sum(turn) {_PB} AS run FROM b2),
+r1 AS (SELECT symbol, block, run, count(*) AS length, sum(close - open) AS move FROM b3 GROUP BY 1, 2, 3), r2 AS (SELECT symbol, block, avg(CASE WHEN length > 1 THEN length END) AS mean_run, max(abs(move)) AS largest_move FROM r1 GROUP BY 1, 2),
+o AS (SELECT symbol, block, count(*) AS bars, avg(high - low) AS mean_range, avg(turn) AS reversals, avg((sg = 0)::INT) AS doji, avg(CASE WHEN hour(ts) < 8 THEN volume END) AS volume_asia, avg(CASE WHEN hour(ts) BETWEEN 8 AND 16 THEN volume END) AS volume_london,
+  avg(CASE WHEN hour(ts) BETWEEN 13 AND 20 THEN volume END) AS volume_ny, avg(CASE WHEN hour(ts) BETWEEN 13 AND 16 THEN volume END) AS volume_overlap, avg(coalesce(adx > 35, false)::INT) AS adx_above_35, avg(s50) AS ema50_step, avg(s200) AS ema200_step FROM b3 GROUP BY 1, 2)
+SELECT symbol, block, bars, {six('mean_range', 'reversals', 'doji', 'volume_asia', 'volume_london', 'volume_ny', 'volume_overlap', 'adx_above_35', 'ema50_step', 'ema200_step', 'mean_run', 'largest_move')} FROM o JOIN r2 USING (symbol, block)"""

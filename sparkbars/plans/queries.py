@@ -791,6 +791,11 @@ def _(s, d):
 CASCADES = f"""{TRADES}, ci AS (SELECT *, row_number() OVER ({RP}) AS idx, sum(pnl) OVER ({RP}) AS cum FROM trades), cr AS (SELECT *, sum((pnl >= 0)::INT) OVER ({RP}) AS run FROM ci), cs AS (SELECT hypothesis, run, min(idx) AS start_idx, max(idx) AS end_idx, count(*) AS depth, sum(pnl) AS cum_pnl FROM cr WHERE pnl < 0 GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
+@query("decay_consensus")
+def _(s, d):
+    return metrics.decay_consensus(trades(s, d), ["hypothesis"], TK)
+
+
 @query("loss_cascades", f"WITH {CASCADES} SELECT hypothesis, start_idx::INT AS start_idx, end_idx::INT AS end_idx, depth, {six('cum_pnl')} FROM cs")
 def _(s, d):
     return metrics.loss_cascades(trades(s, d), ["hypothesis"], TK)
@@ -839,7 +844,7 @@ def _(s, d):
 
 @query("period_diagnostics")
 def _(s, d):
-    return B.period_diagnostics(hourly(s, d))
+    return B.period_diagnostics(I.ema(I.adx(hourly(s, d)), "close", 50, 200))
 
 
 @query("adaptive_sizing", f"WITH {TRADES}, t AS (SELECT *, CASE WHEN abs(pnl) / 20 < 0.5 THEN 'B1' WHEN abs(pnl) / 20 < 1 THEN 'B2' ELSE 'B3' END AS b, CASE WHEN day(ts) < 20 THEN 'train' ELSE 'test' END AS period FROM trades), s AS (SELECT *, 'flat' AS scenario, pnl AS sized FROM t UNION ALL SELECT *, 'careful', pnl * (CASE b WHEN 'B3' THEN 0.1::DOUBLE WHEN 'B2' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) FROM t) SELECT scenario, period, count(*) AS trades, round(sum(sized), 6) AS total FROM s GROUP BY 1, 2")
@@ -848,6 +853,12 @@ def _(s, d):
     return metrics.adaptive_sizing(t, {"flat": {"B1": 1}, "careful": {"B3": 0.1, "B2": 0.5}}, TK).select("scenario", "period", "trades", "total")
 
 
+@query("sizing_verdict")
+def _(s, d):
+    t = trades(s, d).withColumn("stretch_bucket", F.when(F.abs("pnl") / 20 < 0.5, "B1").when(F.abs("pnl") / 20 < 1, "B2").otherwise("B3")).withColumn("period", F.when(F.dayofmonth("ts") < 20, "train").otherwise("test"))
+    return metrics.sizing_verdict(metrics.adaptive_sizing(t, {"flat": {"B1": 1}, "careful": {"B3": 0.1, "B2": 0.5}}, TK))
+
+
 @query("early_entry_comparison")
 def _(s, d):
     t = ticks(s, d).select("event_id", "symbol", F.col("ts").alias("entry_time"), F.col("price").alias("entry_price"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"))

@@ -114,6 +114,19 @@ def test_asof_by_cells(spark, cell, forward, strict):
     assert len(got) == len(left)
 
 
+@pytest.mark.parametrize("block", [7, 8192])
+def test_cascade_recovery_by_blocks(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(k, n, float(x)) for k in "ab" for n, x in enumerate(rng.normal(0.05, 1, 150))]
+    t = spark.createDataFrame(rows, "key string, n int, pnl double")
+    got = metrics.cascade_recovery(t, metrics.loss_cascades(t, ["key"], ["n"]), ["key"], ["n"], block=block).collect()
+    assert len(got) > 20
+    for r in got:
+        cum = np.cumsum([x for k, _, x in rows if k == r.key])
+        want = next((k - r.end_idx for k in range(r.end_idx + 1, 151) if cum[k - 1] >= round(cum[r.end_idx - 1] - r.cum_pnl, 9) - 1e-9), None)
+        assert r.recovery == want
+
+
 def test_trailing_losses(spark):
     t = spark.createDataFrame([("a", 1, 1.0), ("a", 2, -1.0), ("a", 3, -2.0), ("b", 1, -1.0), ("b", 2, 0.0), ("c", 1, -1.0)], "key string, n int, pnl double")
     assert {r.key: r.streak for r in metrics.trailing_losses(t, ["key"], ["n"]).collect()} == {"a": 2, "b": 0, "c": 1}
