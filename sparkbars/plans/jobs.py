@@ -112,7 +112,7 @@ def behavioural_map(s: SparkSession, d: str) -> DataFrame:
     zone = metrics.zone_verdict(joins.asof(t, regimes.transition_zone(b).select("symbol", "ts", "in_zone"), ["in_zone"], at="entry_time"), ["symbol"])
     decay = metrics.edge_decay(t, ["symbol"], order).select("symbol", F.col("type").alias("decay"), "baseline", "final")
     placed = settled(joins.trades_in_blocks(t, regimes.regime_blocks(b)), "placed")
-    lasting = metrics.duration_pf_correlation(placed, ["symbol"]).select("symbol", F.col("corr").alias("duration_corr"))
+    lasting = metrics.duration_pf_correlation(placed, ["symbol"]).select("symbol", F.round("corr", 5).alias("duration_corr"))
     change = metrics.per_transition_pf(placed, "symbol", order)
     # the change that each symbol made last, and what such changes cost
     w = Window.partitionBy("symbol").orderBy("island")
@@ -197,7 +197,8 @@ def pairs_research(s: SparkSession, d: str) -> DataFrame:
     c = settled(I.rolling_corr(joins.align_pairs(hourly(s, d)), "close_a", "close_b", 60, k), "pairs")
     p = settled(I.spread_zscore(I.rolling_ols(c, "close_a", "close_b", 60, k), "close_a", "close_b", 60, k), "spreads")
     t = engines.signal_pair_trades(p, k)
-    m = metrics.trade_metrics(t, k, ["entry_idx"]).select(*k, "trades", "win_rate", "profit_factor", "total")
+    m = metrics.trade_metrics(t, k, ["entry_idx"]).select(*k, "trades", "win_rate", "total")
+    m = m.join(t.groupBy(*k).agg(factors.profit_factor(F.col("pnl"), "null").alias("profit_factor")), k)
     corr = I.corr_summary(c, k).select(*k, F.col("mean").alias("mean_corr"), F.col("band").alias("corr_band"))
     return metrics.mean_reversion_stats(p.filter("spread IS NOT NULL"), "spread", k, ["ts"]).join(corr, k, "left").join(m, k, "left")
 

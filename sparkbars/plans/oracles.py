@@ -308,3 +308,23 @@ r1 AS (SELECT symbol, block, run, count(*) AS length, sum(close - open) AS move
 o AS (SELECT symbol, block, count(*) AS bars, avg(high - low) AS mean_range, avg(turn) AS reversals, avg((sg = 0)::INT) AS doji, avg(CASE WHEN hour(ts) < 8 THEN volume END) AS volume_asia, avg(CASE WHEN hour(ts) BETWEEN 8 AND 16 THEN volume END) AS volume_london,
   avg(CASE WHEN hour(ts) BETWEEN 13 AND 20 THEN volume END) AS volume_ny, avg(CASE WHEN hour(ts) BETWEEN 13 AND 16 THEN volume END) AS volume_overlap, avg(coalesce(adx > 35, false)::INT) AS adx_above_35, avg(s50) AS ema50_step, avg(s200) AS ema200_step FROM b3 GROUP BY 1, 2)
 SELECT symbol, block, bars, {six('mean_range', 'reversals', 'doji', 'volume_asia', 'volume_london', 'volume_ny', 'volume_overlap', 'adx_above_35', 'ema50_step', 'ema200_step', 'mean_run', 'largest_move')} FROM o JOIN r2 USING (symbol, block)"""
+
+SQL["job_nested_filter_selection"] = f"""WITH {FEATURES}, x AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER ({PART}) - 1 AS i, {Z20} AS signal, lead(close, 3) OVER ({PART}) - close AS mv FROM features), y AS (SELECT *, least(2, i * 3 // n)::INT AS fold FROM x),
+z AS (SELECT *, min(i) OVER (PARTITION BY symbol, fold) AS a, max(i) OVER (PARTITION BY symbol, fold) AS b FROM y), t AS (SELECT fold, i - a >= (b - a + 1) * (1 - 0.4::DOUBLE) AS test, atr_ratio, signal * mv AS pnl FROM z WHERE signal <> 0 AND mv IS NOT NULL),
+base AS (SELECT fold, {G} / nullif({L}, 0) AS bp, count(*) AS n FROM t WHERE NOT test GROUP BY 1), g(place, most) AS (VALUES (0, 1.5::DOUBLE), (1, 1.2::DOUBLE), (2, 1.0::DOUBLE)),
+c AS (SELECT fold, place, most, {G} / nullif({L}, 0) AS pf, count(*) AS k FROM t CROSS JOIN g WHERE NOT test AND atr_ratio <= most GROUP BY 1, 2, 3), v AS (SELECT c.*, k / n AS retention, coalesce(k / n >= 0.6 AND pf > bp, false) AS valid FROM c JOIN base USING (fold)),
+r AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN valid THEN place END NULLS LAST, pf DESC NULLS LAST, place) = 1), te AS (SELECT fold, place, {G} / nullif({L}, 0) AS test_pf FROM t CROSS JOIN g WHERE test AND atr_ratio <= most GROUP BY 1, 2)
+SELECT fold, place, most, {six('retention', 'pf', 'test_pf')}, valid FROM r LEFT JOIN te USING (fold, place)"""
+
+_TRADED = SQL["pair_trades"].replace("round(pnl, 6) + 0.0::DOUBLE AS pnl", "pnl")
+SQL["job_pairs_research"] = f"""WITH d1 AS (WITH {SPREADS[: SPREADS.rindex(', sp4 AS') if ', sp4 AS' in SPREADS else SPREADS.rindex(chr(10) + 'sp4 AS') - 1]} SELECT a, b, spread AS s, lag(spread) OVER ({PP}) AS x FROM sp3 WHERE spread IS NOT NULL),
+d2 AS (SELECT a, b, count(*) AS n, regr_slope(s - x, x) AS slope, regr_sxx(s - x, x) AS sxx, regr_syy(s - x, x) AS syy, regr_sxy(s - x, x) AS sxy FROM d1 WHERE x IS NOT NULL GROUP BY 1, 2), d3 AS (SELECT *, slope / nullif(sqrt(greatest(syy - slope * sxy, 0) / nullif(n - 2, 0) / nullif(sxx, 0)), 0) AS t FROM d2),
+tr AS ({_TRADED}), m AS (SELECT a, b, count(*) AS trades, 100.0 * avg((pnl > 0)::INT) AS win_rate, sum(pnl) AS total, {G} / nullif({L}, 0) AS profit_factor FROM tr GROUP BY 1, 2), cs AS ({SQL["corr_summary"]})
+SELECT d3.a, d3.b, n, round(slope, 6) + 0.0::DOUBLE AS slope, round(CASE WHEN slope < 0 THEN -ln(2) / slope END, 6) AS half_life, round(t, 6) + 0.0::DOUBLE AS t, coalesce(t < -2.86, false) AS stationary, cs.mean AS mean_corr, cs.band AS corr_band, trades, {six('win_rate', 'total', 'profit_factor')}
+FROM d3 LEFT JOIN cs ON cs.a = d3.a AND cs.b = d3.b LEFT JOIN m ON m.a = d3.a AND m.b = d3.b"""
+
+_LAST = f"""WITH {BLOCKS}, lb AS (SELECT symbol, regime AS t, lag(regime) OVER (PARTITION BY symbol ORDER BY island) AS f, island FROM blocks), x AS (SELECT symbol, f, t FROM lb QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY island DESC) = 1) SELECT * FROM x"""
+SQL["job_behavioural_map"] = f"""WITH c AS ({SQL["cascade_summary"]}), z AS ({SQL["zone_verdict"]}), d AS ({SQL["edge_decay"]}), p AS (SELECT hypothesis, max(p) AS worst_loss_prob, sum(flagged::INT)::BIGINT AS flagged_runs FROM ({PLAIN["conditional_loss_prob"]}) GROUP BY 1),
+o AS ({PLAIN["duration_pf_correlation"]}), h AS ({SQL["per_transition_pf"]}), l AS ({_LAST})
+SELECT z.symbol, cascades, avg_depth, median_depth, p90_depth, max_depth, worst, avg_recovery, unrecovered_pct, n_zone, n_stable, pf_zone, pf_stable, verdict, d.type AS decay, baseline, final, worst_loss_prob, flagged_runs, o.corr AS duration_corr, l.f AS "from", l.t AS "to", h.delta AS last_change_delta
+FROM c JOIN z ON c.hypothesis = z.symbol LEFT JOIN d ON d.hypothesis = z.symbol LEFT JOIN p ON p.hypothesis = z.symbol LEFT JOIN o ON o.symbol = z.symbol LEFT JOIN l ON l.symbol = z.symbol LEFT JOIN h ON h."from" = l.f AND h."to" = l.t"""
