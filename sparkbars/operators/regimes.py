@@ -174,9 +174,19 @@ def _forward_backward(x: np.ndarray, start: np.ndarray, trans: np.ndarray, mean:
     return gamma / gamma.sum(1, keepdims=True), moves, float((np.log(scale) + top[:, 0]).sum())
 
 
-def hmm_fit(df: DataFrame, states: int = 3, rounds: int = 8, features: Sequence[str] = HMM_FEATURES) -> dict:
-    """A Gaussian model of all symbols: each task runs forward-backward over its symbols; only sums reach the driver."""
-    rows = df.select("symbol", "ts", *features).na.drop().persist()
+#: Bars of a symbol that forward-backward runs over at once; a longer series is cut there.
+SEGMENT = 4096
+
+
+def _segments(df: DataFrame, features: Sequence[str], segment: int) -> DataFrame:
+    rows = df.select("symbol", "ts", *features).na.drop()
+    return rows.withColumn("_part", F.floor((F.row_number().over(series()) - 1) / segment))
+
+
+def hmm_fit(df: DataFrame, states: int = 3, rounds: int = 8, features: Sequence[str] = HMM_FEATURES, segment: int = SEGMENT) -> dict:
+    """A Gaussian model of all symbols: each task runs forward-backward over segments of up to ``segment`` bars, each as a
+    series of its own; only sums reach the driver."""
+    rows = _segments(df, features, segment).persist()
     stats = rows.agg(*(F.avg(c).alias(f"m{k}") for k, c in enumerate(features)), *(F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(features))).first()
     m, s = (np.array([stats[f"{p}{k}"] or 0.0 for k in range(len(features))]) for p in "ms")
     model = {"features": list(features), "shift": m, "scale": np.where(s > 0, s, 1.0), "start": np.full(states, 1 / states), "trans": np.full((states, states), 0.1 / max(states - 1, 1)), "loglik": []}
@@ -197,7 +207,7 @@ def hmm_fit(df: DataFrame, states: int = 3, rounds: int = 8, features: Sequence[
         return expect
 
     for _ in range(rounds):
-        sums = {(r.kind, r.i, r.j): r.v for r in rows.groupBy("symbol").applyInPandas(expectation(dict(model)), schema).groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect()}
+        sums = {(r.kind, r.i, r.j): r.v for r in rows.groupBy("symbol", "_part").applyInPandas(expectation(dict(model)), schema).groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect()}
         if not sums:
             break
         get = lambda kind, rows_, cols: np.array([[sums[kind, i, j] for j in range(cols)] for i in range(rows_)])  # noqa: E731, B023
@@ -209,7 +219,7 @@ def hmm_fit(df: DataFrame, states: int = 3, rounds: int = 8, features: Sequence[
     return model
 
 
-def hmm_tag(df: DataFrame, model: dict) -> DataFrame:
+def hmm_tag(df: DataFrame, model: dict, segment: int = SEGMENT) -> DataFrame:
     """symbol, ts, state, confidence, regime: states are named by their mean ATR ratio (highest HIGH_VOL, lowest LOW_VOL)."""
     features = model["features"]
     order = np.argsort(model["mean"][:, features.index("atr_ratio")])
@@ -223,4 +233,4 @@ def hmm_tag(df: DataFrame, model: dict) -> DataFrame:
         return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "ts": pdf["ts"].to_numpy(), "state": state.astype("int32"), "confidence": g.max(1), "regime": [names.get(int(k), "TRENDING") for k in state]})
 
     kind = df.schema["ts"].dataType.simpleString()
-    return df.select("symbol", "ts", *features).na.drop().groupBy("symbol").applyInPandas(tag, f"symbol string, ts {kind}, state int, confidence double, regime string")
+    return _segments(df, features, segment).groupBy("symbol", "_part").applyInPandas(tag, f"symbol string, ts {kind}, state int, confidence double, regime string")
