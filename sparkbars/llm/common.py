@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
+
 #: A word: characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,36 +32,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of this machine
-    will do for a local master alone; a cluster's executors would not see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-llm-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def written(df: DataFrame, name: str) -> str:
-    """The path of a table in the shared folder that holds ``df``; it goes when the driver ends, or by ``discard``."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it is computed once, and a lost executor loses nothing."""
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+    """Write ``df`` to the shared folder and read it back: it is computed once, and a lost executor loses nothing. The table
+    goes when the driver ends."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Bits of the filter for each key, and the least number of bits.

@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, discard, settled, written
+from ..operators.graph import components
+from .common import among, settled
 
 BITS = 64
 #: Blocks of bits, by their lowest bit and width; two differing bits leave two of four alone. Masks are pairs of blocks.
@@ -53,11 +54,15 @@ _ODD, _ADD = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1)
 
 
 def _majority(h: np.ndarray) -> np.ndarray:
-    """The bits that are set in over half of the 64-bit hashes, as one number."""
-    ones = np.zeros(BITS, np.int64)
-    for part in range(0, len(h), 1 << 16):  # bounded memory for long texts
-        ones += np.unpackbits(h[part : part + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h)).view(">u8").astype(np.uint64)[0]
+    """For each row of 64-bit hashes, the bits that are set in over half of them, as one number."""
+    rows, n = h.shape
+    ones = np.zeros((rows, BITS), np.int64)
+    for part in range(0, n, 4080):  # bounded memory for long texts
+        some = np.ascontiguousarray(h[:, part : part + 4080]).astype(">u8")
+        bits = np.unpackbits(some.view(np.uint8)).view(np.uint64).reshape(rows, -1, 8)  # eight bits in the bytes of a number
+        counts = np.add.reduceat(bits, np.arange(0, some.shape[1], 255), axis=1)  # up to 255 of these add up without a carry
+        ones += counts.view(np.uint8).reshape(rows, -1, BITS).sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1).view(">u8").astype(np.uint64)[:, 0]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -76,13 +81,13 @@ def _shingles(w: list[bytes], words: int):
 
 def simhash(text: str | None, words: int = 3) -> int:
     w = _words(text)
-    return int(_majority(_hashes(_shingles(w, words)))) if w else 0
+    return int(_majority(_hashes(_shingles(w, words))[None])[0]) if w else 0
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+def _mixed(h: np.ndarray, k: np.ndarray | int) -> np.ndarray:
     """Other 64 bits from the same hash (a finalizer with an odd step added)."""
     with np.errstate(over="ignore"):
-        h = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+        h = h + np.uint64(0x9E3779B97F4A7C15) * np.asarray(k, np.uint64)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -105,7 +110,7 @@ def wide_simhash(text: str | None, words: int = 5) -> tuple[list[int], list[int]
     if not w:
         return [0] * CODE_WORDS, [0] * BANDS
     h = _hashes(set(_shingles(w, words)))
-    code = np.array([_majority(_mixed(h, k)) for k in range(1, CODE_WORDS + 1)])
+    code = _majority(_mixed(h, np.arange(1, CODE_WORDS + 1)[:, None]))
     return code.view(np.int64).tolist(), band_keys(h).view(np.int64).tolist()
 
 
@@ -304,33 +309,6 @@ def verified_links(members: DataFrame, similarity: float = SIMILARITY, most: int
     return rows.mapInArrow(task, "a long, b long")
 
 
-def _same(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first())
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(``node``, ``component``): the smallest node that each linked node reaches. Alternates large-star and small-star
-    steps until nothing changes; each round is written to the shared folder, and the one before it deleted. Nodes without
-    a link have no row."""
-    spark = links.sparkSession
-    here = written(links.filter("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
-    read = spark.read.schema("lo long, hi long").parquet
-    state, before = _same(read(here)), None
-    while state != before:
-        edges = read(here)
-        # large star: each node's larger neighbours link to the smallest of its neighbours and itself
-        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        # small star: each node and its smaller neighbours link to the smallest of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo != hi").union(least.select("m", "hi")).distinct()
-        old, here = here, written(small, "links")
-        discard(spark, old)
-        before, state = state, _same(read(here))
-    return read(here).select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     if limit > len(BLOCKS) - 2:
