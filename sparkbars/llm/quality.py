@@ -101,9 +101,9 @@ class RuleModel:
 
 
 def fit_rules(samples: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 0.002, seed: int = 42) -> RuleModel:
-    """samples: ``stats`` array<double>, ``label`` double (0 or 1)."""
+    """samples: ``id`` long, ``stats`` array<double>, ``label`` double (0 or 1)."""
     # in one order, however the rows came: the forest draws its samples by partition and place
-    samples = settled(samples, "samples").repartition(8, "stats").sortWithinPartitions("stats", "label")
+    samples = settled(samples, "samples").repartition(8, "id", "stats").sortWithinPartitions("stats", "label")
     n, ones = samples.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or ones in (0, n):
         share = min(max(0.5 if not n else ones / n, 1e-3), 1 - 1e-3)
@@ -134,7 +134,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col
     the sample, of at most ``rows`` short rows, is broadcast."""
     some = labelled_rows(labels.filter(~held_out(F.col("doc_id"))), rows)
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(some), "__id")
-    return fit_rules(with_statistics(sample, "text", "stats").select("stats", "label"))
+    return fit_rules(with_statistics(sample, "text", "stats").select(F.col("__id").alias("id"), "stats", "label"))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
