@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -532,43 +531,77 @@ def cluster_profiles(clusters: DataFrame, columns: Sequence[str], top: Sequence[
     return out
 
 
-def resampled_paths(p: np.ndarray, n: int, rng: np.random.Generator, block: int = 64) -> np.ndarray:
-    """For n resamples of ``p`` with replacement: sum, highest and lowest running sum, and the largest fall from a peak."""
-    out = np.empty((n, 4))
-    for at in range(0, n, block):
-        cum = np.cumsum(p[rng.integers(0, len(p), (min(block, n - at), len(p)))], axis=1)
-        out[at : at + block] = np.column_stack([cum[:, -1], cum.max(1), cum.min(1), (np.maximum.accumulate(cum, axis=1) - cum).max(1)])
-    return out
+#: Trades of a key that one task draws from, and draws of a task.
+GROUP, DRAWS = 1 << 18, 1 << 23
+
+
+def path_figures(values: np.ndarray) -> np.ndarray:
+    """For each row of gains: its sum, highest and lowest running sum, and the largest fall from a peak."""
+    cum = np.cumsum(values, axis=1)
+    return np.column_stack([cum[:, -1], cum.max(1), cum.min(1), (np.maximum.accumulate(cum, axis=1) - cum).max(1)])
 
 
-def bootstrap(trades: DataFrame, keys: Keys, order: Keys, n: int = 1000, seed: int = 42, pnl: str = "pnl", least: int = 5, group: int = 8192) -> DataFrame:
+def resampled_paths(p: np.ndarray, n: int, rng: np.random.Generator, most: int = 1 << 20) -> np.ndarray:
+    """``path_figures`` of n resamples of ``p`` with replacement, so many at once that ``most`` values are held."""
+    step = max(1, most // len(p))
+    return np.concatenate([path_figures(p[rng.integers(0, len(p), (min(step, n - at), len(p)))]) for at in range(0, n, step)])
+
+
+def bootstrap(trades: DataFrame, keys: Keys, order: Keys, n: int = 1000, seed: int = 42, pnl: str = "pnl", least: int = 5, group: int = GROUP, draws: int = DRAWS) -> DataFrame:
     """Resamples each key's trades with replacement n times: distribution of the final sum and of the largest drawdown.
 
-    A task draws all replicates of up to ``group`` trades at once, from its own seed, so reruns agree. A key with more is
-    dealt out at random (by a hash of the order) to groups of about that size; each group is resampled on its own, and the
-    groups' paths follow one another: sums, peaks and falls of paths add up, so no task holds a key.
+    A key of up to ``group`` trades is an array, sent once for each block of replicates (about ``draws`` draws each). A larger key
+    is dealt out at random to groups of about that size, and its path to buckets of as many places. For each replicate a
+    multinomial count says how many places of a bucket each group fills; the group draws these, the bucket puts what all groups
+    drew in a random order, and the buckets' paths follow one another. Every place of a path so draws from all trades with equal
+    chance, whatever ``group`` is, and no task holds a key; all draws shuffle. Seeds come from key, replicate and group, so
+    reruns agree.
     """
-    rows = trades.select(*keys, *order, F.col(pnl).cast("double").alias("_p"))
-    size = rows.groupBy(*keys).agg(F.count("_p").alias("_n")).filter(F.col("_n") >= least)
-    rows = rows.join(size, list(keys)).filter("_p IS NOT NULL").withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *order), F.ceil(F.col("_n") / F.lit(group))))
-    kinds = dict(rows.dtypes)
-    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(list(order), kind="stable")["_p"].to_numpy()
-        mark = zlib.crc32("|".join(map(str, key)).encode())
-        paths = resampled_paths(p, n, np.random.default_rng([seed, mark]))
-        out = pd.DataFrame(paths, columns=["s", "hi", "lo", "fall"])
-        out.insert(0, "rep", np.arange(1, n + 1))
-        for k, v in reversed([*zip(keys, key), ("_g", key[-1])]):
-            out.insert(0, k, v)
-        return out
-
-    drawn = rows.groupBy(*keys, "_g").applyInPandas(draw, f"{named}, _g long, rep long, s double, hi double, lo double, fall double")
-    # a group after others: its running sums begin at what they came to, and fall from the highest peak so far
+    keys = list(keys)
+    rows = trades.select(*keys, *order, F.col(pnl).cast("double").alias("_p")).filter("_p IS NOT NULL")
+    size = rows.groupBy(*keys).agg(F.count("_p").alias("_n")).filter(F.col("_n") >= least).withColumn("_groups", F.ceil(F.col("_n") / F.lit(group)))
+    rows = rows.join(size, keys).withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *order, "_p"), F.col("_groups")))
+    arrays = rows.groupBy(*keys, "_groups", "_g").agg(F.array_sort(F.collect_list(F.struct(*order, "_p"))).alias("_l")).select(*keys, "_groups", "_g", F.col("_l._p").alias("_v"))
+    sizes = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    arrays = arrays.withColumn("_sizes", F.collect_list(F.size("_v")).over(sizes)).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_g")) - 1)
+    each = F.greatest(F.lit(1), F.floor(F.lit(draws) / F.size("_v"))).cast("int")
+    blocks = arrays.withColumn("_each", each).withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.col("_each")))).withColumn("_to", F.least(F.col("_from") + F.col("_each"), F.lit(n)))
+    # by number, as the work is in the draws and not in the bytes
+    blocks = blocks.withColumn("_mark", F.crc32(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).cast("binary"))).repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = dict(blocks.dtypes)
+    named = "".join(f"{k} {kinds[k]}, " for k in keys)
+
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.to_dict("records"):
+                rng = np.random.default_rng([seed, r["_mark"], r["_from"]])
+                out = pd.DataFrame(resampled_paths(np.asarray(r["_v"]), r["_to"] - r["_from"], rng), columns=["s", "hi", "lo", "fall"])
+                yield out.assign(**{k: r[k] for k in keys}, bucket=0, rep=np.arange(r["_from"], r["_to"]))[[*keys, "bucket", "rep", "s", "hi", "lo", "fall"]]
+
+    def shares(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.to_dict("records"):
+                v, sizes = np.asarray(r["_v"]), np.asarray(r["_sizes"])
+                for rep in range(r["_from"], r["_to"]):
+                    # the same for each group: how many places of each bucket the groups fill
+                    counts = np.random.default_rng([seed, r["_mark"], rep]).multinomial(sizes, sizes / sizes.sum())[:, r["_at"]]
+                    drawn = v[np.random.default_rng([seed, r["_mark"], rep, r["_at"]]).integers(0, len(v), counts.sum())]
+                    out = pd.DataFrame({"bucket": np.arange(len(sizes)), "rep": rep, "place": r["_at"], "values": np.split(drawn, np.cumsum(counts)[:-1])})
+                    yield out.assign(**{k: r[k] for k in keys}, mark=r["_mark"])[[*keys, "mark", "bucket", "rep", "place", "values"]]
+
+    def paths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            figures = [path_figures(np.random.default_rng([seed, m, rep, b, 1]).permutation(np.asarray(v))[None])[0] for m, rep, b, v in zip(pdf["mark"], pdf["rep"], pdf["bucket"], pdf["values"])]
+            yield pd.concat([pdf[[*keys, "bucket", "rep"]], pd.DataFrame(figures, columns=["s", "hi", "lo", "fall"], index=pdf.index)], axis=1)
+
+    schema = f"{named}bucket long, rep long, s double, hi double, lo double, fall double"
+    dealt = blocks.filter("_groups > 1").mapInPandas(shares, f"{named}mark long, bucket long, rep long, place long, values array<double>")
+    filled = dealt.groupBy(*keys, "mark", "bucket", "rep").agg(F.array_sort(F.collect_list(F.struct("place", "values"))).alias("_l")).select(*keys, "mark", "bucket", "rep", F.flatten("_l.values").alias("values")).filter("size(values) > 0")
+    drawn = blocks.filter("_groups = 1").mapInPandas(whole, schema).unionByName(filled.mapInPandas(paths, schema))
+    # a bucket after others: its running sums begin at what they came to, and fall from the highest peak so far
     start = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("hi"), F.lit(0.0).alias("fall"))
     step = lambda a, g: F.struct((a["s"] + g["s"]).alias("s"), F.greatest(a["hi"], a["s"] + g["hi"]).alias("hi"), F.greatest(a["fall"], g["fall"], a["hi"] - (a["s"] + g["lo"])).alias("fall"))
-    per = drawn.groupBy(*keys, "rep").agg(F.sort_array(F.collect_list(F.struct("_g", "s", "hi", "lo", "fall"))).alias("_l")).select(*keys, F.aggregate("_l", start, step).alias("_a")).select(*keys, F.col("_a.s").alias("final"), F.col("_a.fall").alias("dd"))
+    per = drawn.groupBy(*keys, "rep").agg(F.sort_array(F.collect_list(F.struct("bucket", "s", "hi", "lo", "fall"))).alias("_l")).select(*keys, F.aggregate("_l", start, step).alias("_a")).select(*keys, F.col("_a.s").alias("final"), F.col("_a.fall").alias("dd"))
     p = lambda c, q: F.percentile(c, F.lit(q))
     return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("replicates"), F.avg((F.col("final") > 0).cast("double")).alias("mc_prob"), F.avg("final").alias("mean_final"), p("final", 0.05).alias("p5"), p("final", 0.5).alias("p50"), p("final", 0.95).alias("p95"), F.avg("dd").alias("mean_dd"), p("dd", 0.95).alias("dd95"))
 

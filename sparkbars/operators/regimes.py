@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import series, yes
+from .blocks import numbered
 
 REGIMES = ("TRENDING", "MEAN_REVERTING", "HIGH_VOL", "LOW_VOL")
 
@@ -153,40 +154,131 @@ def regime_quality_report(df: DataFrame, raw: str = "regime", final: str = "regi
 HMM_FEATURES = ("log_ret", "atr_ratio", "ema_distance", "slope_near")
 
 
-def _forward_backward(x: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of each state at each bar, expected transitions, log likelihood; scaled at each step."""
-    logp = -0.5 * (((x[:, None] - mean) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
-    top = logp.max(1, keepdims=True)
-    b = np.exp(logp - top)
-    n, k = b.shape
-    alpha, scale = np.zeros((n, k)), np.zeros(n)
-    for t in range(n):
-        a = (start if t == 0 else alpha[t - 1] @ trans) * b[t]
-        scale[t] = max(a.sum(), 1e-300)
-        alpha[t] = a / scale[t]
-    beta = np.ones((n, k))
-    moves = np.zeros((k, k))
-    for t in range(n - 2, -1, -1):
-        ahead = b[t + 1] * beta[t + 1] / scale[t + 1]
-        moves += trans * np.outer(alpha[t], ahead)
-        beta[t] = trans @ ahead
-    gamma = alpha * beta
-    return gamma / gamma.sum(1, keepdims=True), moves, float((np.log(scale) + top[:, 0]).sum())
+#: Bars of a symbol in one task.
+SEGMENT = 4096
 
 
-#: Bars of a symbol that forward-backward runs over at once; a longer series is cut there.
-SEGMENT = 4096
+def emissions(x: np.ndarray, model: dict) -> tuple[np.ndarray, float]:
+    """Chances of each bar's features in each state, up to a factor for each bar; the logarithm of all factors."""
+    logp = -0.5 * (((x[:, None] - model["mean"]) ** 2 / model["var"]) + np.log(2 * np.pi * model["var"])).sum(2)
+    top = logp.max(1, keepdims=True)
+    return np.exp(logp - top), float(top.sum())
+
+
+def _steps(b: np.ndarray, trans: np.ndarray, first: bool) -> np.ndarray:
+    """Each bar's matrix: the change of state before it, then its emission. A series' first bar has no change before it."""
+    m = trans * b[:, None, :]
+    if first:
+        m[0] = np.diag(b[0])
+    return m
+
+
+def _scan(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Products of a run of matrices in parts of about its square root: all parts go on by one step at once. Returns the
+    matrices by part (filled up with unit matrices), products from each part's begin, scaled, and logarithms of the scales."""
+    n, k, _ = m.shape
+    width = max(1, int(n**0.5))
+    parts = -(-n // width)
+    cut = np.concatenate([m, np.tile(np.eye(k), (parts * width - n, 1, 1))]).reshape(parts, width, k, k)
+    products, logs = np.empty_like(cut), np.zeros((parts, width))
+    now, log = np.tile(np.eye(k), (parts, 1, 1)), np.zeros(parts)
+    for j in range(width):
+        now = now @ cut[:, j]
+        scale = np.maximum(now.sum((1, 2)), 1e-300)
+        now, log = now / scale[:, None, None], log + np.log(scale)
+        products[:, j], logs[:, j] = now, log
+    return cut, products, logs
+
+
+def segment_product(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """The product of all matrices, scaled, and the logarithm of the scale."""
+    _, products, logs = _scan(m)
+    now, log = np.eye(m.shape[1]), 0.0
+    for p, x in zip(products[:, -1], logs[:, -1]):
+        now = now @ p
+        scale = max(now.sum(), 1e-300)
+        now, log = now / scale, log + x + np.log(scale)
+    return now, log
+
+
+def posteriors(m: np.ndarray, left: np.ndarray, right: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of a segment whose borders are known (left: chances of states before it, right: of what follows, given the state at its
+    end): chances of states at each bar, expected changes of state, and what it adds to the log likelihood."""
+    n, k, _ = m.shape
+    cut, products, logs = _scan(m)
+    parts, width = cut.shape[:2]
+    unit = lambda v: v / max(v.sum(), 1e-300)
+    begin, ahead, loglik = np.empty((parts, k)), np.empty((parts, k)), 0.0
+    v = left
+    for i in range(parts):
+        begin[i] = v
+        v = v @ products[i, -1]
+        loglik += logs[i, -1] + np.log(max(v.sum(), 1e-300))
+        v = unit(v)
+    u = right
+    for i in range(parts - 1, -1, -1):
+        ahead[i] = u
+        u = unit(products[i, -1] @ u)
+    alpha = (begin[:, None, None, :] @ products)[:, :, 0].reshape(-1, k)[:n]
+    beta, now = np.empty((parts, width, k)), ahead
+    for j in range(width - 1, -1, -1):
+        beta[:, j] = now
+        now = (cut[:, j] @ now[:, :, None])[:, :, 0]
+        now = now / np.maximum(now.sum(1, keepdims=True), 1e-300)
+    beta = beta.reshape(-1, k)[:n]
+    alpha = alpha / np.maximum(alpha.sum(1, keepdims=True), 1e-300)
+    gamma = alpha * beta
+    gamma = gamma / np.maximum(gamma.sum(1, keepdims=True), 1e-300)
+    before = np.concatenate([left[None], alpha[:-1]])
+    change = before[:, :, None] * m * beta[:, None, :]
+    change = change / np.maximum(change.sum((1, 2), keepdims=True), 1e-300)
+    return gamma, change[1 if first else 0 :].sum(0), float(loglik)
 
 
 def _segments(df: DataFrame, features: Sequence[str], segment: int) -> DataFrame:
-    rows = df.select("symbol", "ts", *features).na.drop()
-    return rows.withColumn("_part", F.floor((F.row_number().over(series()) - 1) / segment))
+    """A row for each ``segment`` bars of a symbol: their times, and their features one after the other."""
+    rows = numbered(df.select("symbol", "ts", *features).na.drop(), "symbol", "ts").withColumn("_part", F.floor(F.col("_i") / segment))
+    bars = F.array_sort(F.collect_list(F.struct("ts", F.array(*(F.col(c).cast("double") for c in features)).alias("x"))))
+    return rows.groupBy("symbol", "_part").agg(bars.alias("_l")).select("symbol", "_part", F.col("_l.ts").alias("ts"), F.flatten("_l.x").alias("x"))
+
+
+def _matrices(r: dict, model: dict) -> tuple[np.ndarray, np.ndarray, float]:
+    x = (np.asarray(r["x"]).reshape(-1, len(model["features"])) - model["shift"]) / model["scale"]
+    b, log = emissions(x, model)
+    return x, _steps(b, model["trans"], r["_part"] == 0), log
+
+
+def _with_borders(segments: DataFrame, model: dict) -> DataFrame:
+    """Segments with their borders: products of each segment's matrices, then, over a row for each segment of a symbol, those of all
+    before it and all after it."""
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = pdf.to_dict("records")
+            yield pd.DataFrame({"symbol": pdf["symbol"], "_part": pdf["_part"], "product": [segment_product(_matrices(r, model)[1])[0].ravel() for r in rows]})
+
+    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        k = len(model["start"])
+        each = [np.asarray(p).reshape(k, k) for p in pdf["product"]]
+        lefts, rights, v, u = [], [], model["start"], np.ones(k) / k
+        for p in each:
+            lefts.append(v)
+            v = v @ p
+            v = v / max(v.sum(), 1e-300)
+        for p in reversed(each):
+            rights.append(u)
+            u = p @ u
+            u = u / max(u.sum(), 1e-300)
+        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "_part": pdf["_part"].to_numpy(), "left": lefts, "right": rights[::-1]})
+
+    edge = segments.mapInPandas(products, "symbol string, _part long, product array<double>").groupBy("symbol").applyInPandas(borders, "symbol string, _part long, left array<double>, right array<double>")
+    return segments.join(edge, ["symbol", "_part"])
 
 
 def hmm_fit(df: DataFrame, states: int = 3, rounds: int = 8, features: Sequence[str] = HMM_FEATURES, segment: int = SEGMENT) -> dict:
-    """A Gaussian model of all symbols: each task runs forward-backward over segments of up to ``segment`` bars, each as a
-    series of its own; only sums reach the driver."""
-    rows = _segments(df, features, segment).persist()
+    """A Gaussian model of all symbols. A task runs forward-backward over segments of up to ``segment`` bars between the borders
+    that the rest of their symbol gives them, so the cut changes nothing; only sums reach the driver."""
+    rows = df.select("symbol", "ts", *features).na.drop()
     stats = rows.agg(*(F.avg(c).alias(f"m{k}") for k, c in enumerate(features)), *(F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(features))).first()
     m, s = (np.array([stats[f"{p}{k}"] or 0.0 for k in range(len(features))]) for p in "ms")
     model = {"features": list(features), "shift": m, "scale": np.where(s > 0, s, 1.0), "start": np.full(states, 1 / states), "trans": np.full((states, states), 0.1 / max(states - 1, 1)), "loglik": []}
@@ -194,20 +286,24 @@ def hmm_fit(df: DataFrame, states: int = 3, rounds: int = 8, features: Sequence[
     d = len(features)
     model["mean"] = np.linspace(-1, 1, states)[:, None] * np.ones(d)
     model["var"] = np.ones((states, d))
-    schema = "kind string, i int, j int, v double"
+    segments = _segments(df, features, segment).persist()
 
     def expectation(now: dict):
-        def expect(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = (pdf.sort_values("ts")[list(features)].to_numpy(float) - now["shift"]) / now["scale"]
-            g, moves, ll = _forward_backward(x, now["start"], now["trans"], now["mean"], now["var"])
-            out = [("ll", 0, 0, ll), *(("start", i, 0, g[0, i]) for i in range(states)), *(("n", i, 0, g[:, i].sum()) for i in range(states)), *(("trans", i, j, moves[i, j]) for i in range(states) for j in range(states))]
-            out += [(kind, i, j, v) for kind, z in (("x", x), ("xx", x * x)) for i in range(states) for j, v in enumerate((g[:, [i]] * z).sum(0))]
-            return pd.DataFrame(out, columns=["kind", "i", "j", "v"])
+        def expect(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for r in pdf.to_dict("records"):
+                    x, steps, log = _matrices(r, now)
+                    g, moves, ll = posteriors(steps, np.asarray(r["left"]), np.asarray(r["right"]), r["_part"] == 0)
+                    out = [("ll", 0, 0, ll + log), *(("n", i, 0, g[:, i].sum()) for i in range(states)), *(("trans", i, j, moves[i, j]) for i in range(states) for j in range(states))]
+                    out += [("start", i, 0, g[0, i] if r["_part"] == 0 else 0.0) for i in range(states)]
+                    out += [(kind, i, j, v) for kind, z in (("x", x), ("xx", x * x)) for i in range(states) for j, v in enumerate((g[:, [i]] * z).sum(0))]
+                    yield pd.DataFrame(out, columns=["kind", "i", "j", "v"])
 
         return expect
 
     for _ in range(rounds):
-        sums = {(r.kind, r.i, r.j): r.v for r in rows.groupBy("symbol", "_part").applyInPandas(expectation(dict(model)), schema).groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect()}
+        now = dict(model)
+        sums = {(r.kind, r.i, r.j): r.v for r in _with_borders(segments, now).mapInPandas(expectation(now), "kind string, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect()}
         if not sums:
             break
         get = lambda kind, rows_, cols: np.array([[sums[kind, i, j] for j in range(cols)] for i in range(rows_)])  # noqa: E731, B023
@@ -215,7 +311,7 @@ def hmm_fit(df: DataFrame, states: int = 3, rounds: int = 8, features: Sequence[
         mean = get("x", states, d) / n
         start, trans = get("start", states, 1)[:, 0], get("trans", states, states) + 1e-6
         model |= {"mean": mean, "var": np.maximum(get("xx", states, d) / n - mean**2, 1e-3), "start": start / start.sum(), "trans": trans / trans.sum(1, keepdims=True), "loglik": [*model["loglik"], sums["ll", 0, 0]]}
-    rows.unpersist()
+    segments.unpersist()
     return model
 
 
@@ -225,12 +321,12 @@ def hmm_tag(df: DataFrame, model: dict, segment: int = SEGMENT) -> DataFrame:
     order = np.argsort(model["mean"][:, features.index("atr_ratio")])
     names = {int(order[0]): "LOW_VOL", int(order[-1]): "HIGH_VOL"}
 
-    def tag(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        x = (pdf[features].to_numpy(float) - model["shift"]) / model["scale"]
-        g, _, _ = _forward_backward(x, model["start"], model["trans"], model["mean"], model["var"])
-        state = g.argmax(1)
-        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "ts": pdf["ts"].to_numpy(), "state": state.astype("int32"), "confidence": g.max(1), "regime": [names.get(int(k), "TRENDING") for k in state]})
+    def tag(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.to_dict("records"):
+                g, _, _ = posteriors(_matrices(r, model)[1], np.asarray(r["left"]), np.asarray(r["right"]), r["_part"] == 0)
+                state = g.argmax(1)
+                yield pd.DataFrame({"symbol": r["symbol"], "ts": r["ts"], "state": state.astype("int32"), "confidence": g.max(1), "regime": [names.get(int(k), "TRENDING") for k in state]})
 
     kind = df.schema["ts"].dataType.simpleString()
-    return _segments(df, features, segment).groupBy("symbol", "_part").applyInPandas(tag, f"symbol string, ts {kind}, state int, confidence double, regime string")
+    return _with_borders(_segments(df, features, segment), model).mapInPandas(tag, f"symbol string, ts {kind}, state int, confidence double, regime string")

@@ -29,9 +29,12 @@ def top_combinations(folds: DataFrame, keys: Sequence[str], n: int = 3, least: i
 
 
 def first_valid_filter(candidates: DataFrame, keys: Sequence[str], retention: float = 0.6) -> DataFrame:
-    """The first candidate (by ``place``) that keeps enough and beats the baseline, else the one with the best factor."""
-    fits = yes((F.col("retention") >= retention) & (F.col("pf") > F.col("baseline_pf")))
-    w = Window.partitionBy(*keys).orderBy(F.when(fits, F.col("place")).asc_nulls_last(), F.desc_nulls_last("pf"), "place")
+    """The first candidate (by ``place``) that keeps enough and beats the baseline, else the one with the best factor.
+
+    Factors that differ by no more than the order of their sums can make them differ are equal: one that removes nothing
+    doesn't beat the baseline."""
+    fits = yes((F.col("retention") >= retention) & (F.col("pf") > F.col("baseline_pf") * (1 + 1e-9)))
+    w = Window.partitionBy(*keys).orderBy(F.when(fits, F.col("place")).asc_nulls_last(), F.round("pf", 9).desc_nulls_last(), "place")
     return candidates.withColumn("valid", fits).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 

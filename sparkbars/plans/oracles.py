@@ -312,8 +312,8 @@ SELECT symbol, block, bars, {six('mean_range', 'reversals', 'doji', 'volume_asia
 SQL["job_nested_filter_selection"] = f"""WITH {FEATURES}, x AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER ({PART}) - 1 AS i, {Z20} AS signal, lead(close, 3) OVER ({PART}) - close AS mv FROM features), y AS (SELECT *, least(2, i * 3 // n)::INT AS fold FROM x),
 z AS (SELECT *, min(i) OVER (PARTITION BY symbol, fold) AS a, max(i) OVER (PARTITION BY symbol, fold) AS b FROM y), t AS (SELECT fold, i - a >= (b - a + 1) * (1 - 0.4::DOUBLE) AS test, atr_ratio, signal * mv AS pnl FROM z WHERE signal <> 0 AND mv IS NOT NULL),
 base AS (SELECT fold, {G} / nullif({L}, 0) AS bp, count(*) AS n FROM t WHERE NOT test GROUP BY 1), g(place, most) AS (VALUES (0, 1.5::DOUBLE), (1, 1.2::DOUBLE), (2, 1.0::DOUBLE)),
-c AS (SELECT fold, place, most, {G} / nullif({L}, 0) AS pf, count(*) AS k FROM t CROSS JOIN g WHERE NOT test AND atr_ratio <= most GROUP BY 1, 2, 3), v AS (SELECT c.*, k / n AS retention, coalesce(k / n >= 0.6 AND pf > bp, false) AS valid FROM c JOIN base USING (fold)),
-r AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN valid THEN place END NULLS LAST, pf DESC NULLS LAST, place) = 1), te AS (SELECT fold, place, {G} / nullif({L}, 0) AS test_pf FROM t CROSS JOIN g WHERE test AND atr_ratio <= most GROUP BY 1, 2)
+c AS (SELECT fold, place, most, {G} / nullif({L}, 0) AS pf, count(*) AS k FROM t CROSS JOIN g WHERE NOT test AND atr_ratio <= most GROUP BY 1, 2, 3), v AS (SELECT c.*, k / n AS retention, coalesce(k / n >= 0.6 AND pf > bp * (1 + 1e-9::DOUBLE), false) AS valid FROM c JOIN base USING (fold)),
+r AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN valid THEN place END NULLS LAST, round(pf, 9) DESC NULLS LAST, place) = 1), te AS (SELECT fold, place, {G} / nullif({L}, 0) AS test_pf FROM t CROSS JOIN g WHERE test AND atr_ratio <= most GROUP BY 1, 2)
 SELECT fold, place, most, {six('retention', 'pf', 'test_pf')}, valid FROM r LEFT JOIN te USING (fold, place)"""
 
 _TRADED = SQL["pair_trades"].replace("round(pnl, 6) + 0.0::DOUBLE AS pnl", "pnl")

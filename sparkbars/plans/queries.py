@@ -647,7 +647,7 @@ def _(s, d):
     return selection.top_combinations(metrics.trade_metrics(trades(s, d), AK, TK), ["hypothesis"], 3, 10)
 
 
-@query("first_valid_filter", f"WITH {TRADES}, g(place, cap) AS (VALUES (0, 60.0), (1, 40.0), (2, 20.0)), b AS (SELECT hypothesis, {G} / nullif({L}, 0) AS bp, count(*) AS n FROM trades GROUP BY 1), c AS (SELECT hypothesis, place, {G} / nullif({L}, 0) AS pf, count(*) AS k FROM trades CROSS JOIN g WHERE pnl <= cap GROUP BY 1, 2), x AS (SELECT hypothesis, place, pf, k / n AS retention, coalesce(k / n >= 0.6 AND pf > bp, false) AS valid FROM c JOIN b USING (hypothesis)), y AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY CASE WHEN valid THEN place END NULLS LAST, pf DESC NULLS LAST, place) AS r FROM x) SELECT hypothesis, place, {six('pf')}, round(retention, 6) AS retention, valid FROM y WHERE r = 1")
+@query("first_valid_filter", f"WITH {TRADES}, g(place, cap) AS (VALUES (0, 60.0), (1, 40.0), (2, 20.0)), b AS (SELECT hypothesis, {G} / nullif({L}, 0) AS bp, count(*) AS n FROM trades GROUP BY 1), c AS (SELECT hypothesis, place, {G} / nullif({L}, 0) AS pf, count(*) AS k FROM trades CROSS JOIN g WHERE pnl <= cap GROUP BY 1, 2), x AS (SELECT hypothesis, place, pf, k / n AS retention, coalesce(k / n >= 0.6 AND pf > bp * (1 + 1e-9::DOUBLE), false) AS valid FROM c JOIN b USING (hypothesis)), y AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY CASE WHEN valid THEN place END NULLS LAST, round(pf, 9) DESC NULLS LAST, place) AS r FROM x) SELECT hypothesis, place, {six('pf')}, round(retention, 6) AS retention, valid FROM y WHERE r = 1")
 def _(s, d):
     t, p = trades(s, d), F.col("pnl")
     base = t.groupBy("hypothesis").agg(factors.profit_factor(p, "null").alias("baseline_pf"), F.count(p).alias("n"))

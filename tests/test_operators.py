@@ -244,19 +244,77 @@ def test_bootstrap_is_repeatable(spark):
 
 
 def test_bootstrap_of_groups(spark):
-    """Dealt out to groups, the figures come near those of one group; a single group's are those of plain resampling."""
+    """Without drift, where the order of draws shows: figures of many groups are those of one, within the sampling error of
+    the replicates, and those of plain resampling."""
     rng = np.random.default_rng(3)
-    pnl = rng.normal(0.1, 1, 600)
+    pnl = rng.normal(0, 1, 1200)
+    pnl = np.sort(pnl - pnl.mean())  # a trend within the series; draws must not keep it
     t = spark.createDataFrame([("a", n, float(x)) for n, x in enumerate(pnl)], "key string, n int, pnl double")
-    one, many = (metrics.bootstrap(t, ["key"], ["n"], 400, group=g).first() for g in (8192, 100))
-    assert abs(one.mean_final - pnl.sum()) < 6 and abs(many.mean_final - pnl.sum()) < 6
-    assert abs(one.p95 - many.p95) < 12 and abs(one.mean_dd - many.mean_dd) < 5 and abs(one.mc_prob - many.mc_prob) < 0.05
+    n = 600
+    plain = metrics.resampled_paths(pnl, 4000, rng)
+    dd, final = plain[:, 3], plain[:, 0]
+    for group in (1 << 18, 500, 100):
+        got = metrics.bootstrap(t, ["key"], ["n"], n, group=group, draws=100_000).first()
+        assert got.replicates == n
+        assert abs(got.mean_dd - dd.mean()) < 4 * dd.std() * (1 / n + 1 / 4000) ** 0.5, group
+        assert abs(got.mean_final) < 4 * final.std() * (1 / n + 1 / 4000) ** 0.5, group
+        low, high = np.quantile(dd, [0.92, 0.98])
+        assert low < got.dd95 < high and abs(got.mc_prob - 0.5) < 4 * 0.5 / n**0.5, group
+    again = [metrics.bootstrap(t.repartition(k), ["key"], ["n"], 40, group=300, draws=5000).first() for k in (1, 3)]
+    assert again[0] == again[1]
     paths = metrics.resampled_paths(np.array([1.0, -2.0, 3.0]), 50, np.random.default_rng(0))
-    again = np.random.default_rng(0).integers(0, 3, (50, 3))
-    cum = np.array([1.0, -2.0, 3.0])[again].cumsum(1)
+    cum = np.array([1.0, -2.0, 3.0])[np.random.default_rng(0).integers(0, 3, (50, 3))].cumsum(1)
     assert np.allclose(paths, np.column_stack([cum[:, -1], cum.max(1), cum.min(1), [max(max(c[: k + 1]) - c[k] for k in range(3)) for c in cum]]))
 
 
+def test_a_filter_that_removes_nothing_is_not_valid(spark):
+    """Its factor differs from the baseline by the order of summation alone."""
+    rows = [("a", 0, 1.0, 2.0 * (1 + 1e-15), 2.0), ("a", 1, 0.9, 2.0 * (1 - 1e-15), 2.0), ("b", 0, 1.0, 2.0 * (1 + 1e-15), 2.0), ("b", 1, 0.7, 2.1, 2.0), ("b", 2, 0.5, 9.0, 2.0)]
+    frame = spark.createDataFrame(rows, "fold string, place int, retention double, pf double, baseline_pf double")
+    got = {r.fold: (r.place, r.valid) for r in selection.first_valid_filter(frame, ["fold"]).collect()}
+    assert got == {"a": (0, False), "b": (1, True)}
+
+
+def one_pass(x, model):
+    """Forward-backward over a whole series, step by step."""
+    b, log = regimes.emissions((x - model["shift"]) / model["scale"], model)
+    n, k = b.shape
+    alpha, scale, beta, moves = np.zeros((n, k)), np.zeros(n), np.ones((n, k)), np.zeros((k, k))
+    for t in range(n):
+        a = (model["start"] if t == 0 else alpha[t - 1] @ model["trans"]) * b[t]
+        scale[t] = a.sum()
+        alpha[t] = a / scale[t]
+    for t in range(n - 2, -1, -1):
+        ahead = b[t + 1] * beta[t + 1] / scale[t + 1]
+        moves += model["trans"] * np.outer(alpha[t], ahead)
+        beta[t] = model["trans"] @ ahead
+    return alpha * beta, moves, np.log(scale).sum() + log
+
+
+def test_hmm_is_that_of_one_pass_for_any_segment(spark):
+    rng = np.random.default_rng(1)
+    states = np.repeat(rng.integers(0, 3, 12), 25)
+    x = {s: rng.normal(size=(len(states), 2)) * (1 + states[:, None]) + states[:, None] for s in "AB"}
+    rows = [(s, START + dt.timedelta(hours=h), float(a), float(b)) for s in "AB" for h, (a, b) in enumerate(x[s])]
+    frame = spark.createDataFrame(rows, "symbol string, ts timestamp, log_ret double, atr_ratio double")
+    fits = [regimes.hmm_fit(frame, 3, 3, ("log_ret", "atr_ratio"), segment=n) for n in (7, 64, 4096)]
+    for other in fits[:2]:
+        for part in ("mean", "var", "start", "trans", "loglik"):
+            assert np.allclose(other[part], fits[2][part], rtol=1e-9, atol=1e-9), part
+    m = {**fits[2], "loglik": []}
+    total = sum(one_pass(x[s], m)[2] for s in "AB")
+    again = regimes.hmm_fit(frame, 3, 4, ("log_ret", "atr_ratio"), segment=50)
+    assert again["loglik"][3] == pytest.approx(total, rel=1e-9) and again["loglik"] == sorted(again["loglik"])
+    want = {(s, h): p for s in "AB" for h, p in enumerate(one_pass(x[s], m)[0])}
+    for segment in (5, 4096):
+        got = regimes.hmm_tag(frame, m, segment).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            p = want[r.symbol, int((r.ts - START).total_seconds()) // 3600]
+            assert r.confidence == pytest.approx(p.max(), abs=1e-9) and (r.state == p.argmax() or p.max() - np.sort(p)[-2] < 1e-9)
+    assert regimes.hmm_tag(frame.limit(0), m).count() == 0
+
+
 def test_steady_state(spark):
     m = spark.createDataFrame([("s", "A", 0.5, 0.5), ("s", "B", 0.25, 0.75)], "symbol string, from string, to_A double, to_B double")
     got = {r.regime: r.p for r in regimes.steady_state(m, ["A", "B"]).collect()}
