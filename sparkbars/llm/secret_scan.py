@@ -88,21 +88,26 @@ def _steps(value: Column) -> Column:
     return let(places, lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: a * n + b))
 
 
-def train_markov(samples: DataFrame, smooth: float = 0.5) -> list[float]:
+def train_markov(samples: DataFrame, prior: float = 1.0, share: float = 0.1) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of each step. samples: ``value`` string, ``random`` boolean.
 
+    Random samples are few, so each step counts ``prior`` more. Ordinary ones are many but mostly prose, where a step that
+    identifiers often have (to or from a separator or a digit) may be missing: a ``share`` of each row is spread over all
+    steps, so that no single one can speak for a random string by more than about log(1 / share).
+
     Counts of steps are summed in Spark; what reaches the driver is at most the alphabet squared, for each label.
     """
     n = len(ALPHABET) + 1
     counts = samples.select("random", F.explode(_steps(F.col("value"))).alias("cell")).groupBy("random", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    table = {True: [smooth] * (n * n), False: [smooth] * (n * n)}
+    table = {True: [0] * (n * n), False: [0] * (n * n)}
     for label, cell, k in counts:
         if label is not None:
             table[label][cell] += k
     ratio = []
     for row in range(n):
         a, b = (table[x][row * n : row * n + n] for x in (True, False))
-        ratio += [math.log(x / sum(a)) - math.log(y / sum(b)) for x, y in zip(a, b)]
+        chance = lambda y: (1 - share) * y / sum(b) + share / n if sum(b) else 1 / n  # noqa: E731, B023
+        ratio += [math.log((x + prior) / (sum(a) + prior * n)) - math.log(chance(y)) for x, y in zip(a, b)]
     return ratio
 
 
@@ -157,11 +162,13 @@ def scan_secrets(docs: DataFrame, ratio: Sequence[float], id_col: str = "doc_id"
 
 def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Training samples (``value``, ``random``) of the whole corpus, each value once: values of the fixed kinds are random.
-    Ordinary are runs too short to be judged (so with digits too) and longer ones of letters alone. Values combine before
+    Ordinary are runs too short to be judged (so with digits too) and longer ones of letters alone, as written and in upper
+    case, as constants are. No run that is judged is its own label. Values combine before
     they shuffle; nothing is capped, and what training gathers grows with the corpus."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = base_spans(F.col("t"))
     values = F.concat(F.transform(base["assign"], lambda s: F.regexp_extract(s["value"], KINDS[0][1], 2)), F.transform(base["access"], lambda s: s["value"]), F.transform(base["hex"], lambda s: s["value"]))
-    words = F.array_distinct(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0)))
+    words = F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))
+    words = F.array_distinct(F.concat(words, F.transform(words, F.upper)))
     both = texts.select(F.explode(F.concat(F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(True).alias("random"))), F.transform(words, lambda v: F.struct(v.alias("value"), F.lit(False).alias("random"))))).alias("s"))
     return both.select("s.value", "s.random").distinct()

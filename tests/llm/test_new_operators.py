@@ -256,3 +256,32 @@ def test_query_agrees_with_sql(spark, small, name):
     columns = sorted(df.columns)
     assert columns == sorted(rel.columns)
     assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(rel.select(*columns).fetchall(), key=str)
+
+
+# secret scans
+
+
+def test_identifiers_and_paths_with_digits_are_no_secrets(spark):
+    """Of 200 each at most 2 are reported, and of 200 random runs of 24 and more at least 190."""
+    from sparkbars.llm import secret_scan
+
+    rng = random.Random(4)
+    words = "user cache index node report cluster token session account invoice handler buffer request response worker queue batch config metric shard replica region zone bucket upload parser schema table column driver task stage event stream window offset commit snapshot".split()
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = {
+        "identifier": lambda: "_".join(some(3)) + f"_v{rng.randint(1, 9999)}",
+        "path": lambda: "/".join(some(4)) + f"/{rng.randint(2010, 2025)}-{rng.randint(1, 12):02d}",
+        "camel": lambda: "".join(w.capitalize() for w in some(3)) + str(rng.randint(1, 999)),
+        "constant": lambda: "_".join(some(3)).upper() + f"_{rng.randint(1, 64)}",
+        "dated": lambda: f"{rng.randint(2010, 2025)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}_{rng.choice(words)}-{rng.randint(0, 10**6)}",
+        **{f"random {n}": lambda n=n: "".join(rng.choice(alphabet) for _ in range(n)) for n in (24, 32, 40)},
+    }
+    rows = [(k, f"see {make()} there", name) for k, (name, make) in enumerate((name, make) for name, make in planted.items() for _ in range(200))]
+    ratio = secret_scan.train_markov(secret_scan.labelled_samples(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+    found = Counter()
+    kinds = {k: name for k, _, name in rows}
+    for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, name string"), ratio).collect():
+        found[kinds[r.doc_id]] += r.n_random
+    for name in planted:
+        assert found[name] >= 190 if name.startswith("random") else found[name] <= 2, found
