@@ -581,14 +581,17 @@ def test_long_runs_and_many_matches(spark, small):
     assert got[0].spans == "random:0:1000000" and got[1].n_hex == 10_000 and got[1].n_random == 0 and got[2].n_assign == 10_000 and got[2].n_random == 1
 
 
-def brute_log_ratio(samples, smooth=0.5):
+def brute_log_ratio(samples, prior=1.0, share=0.1):
+    """Random steps count ``prior`` more; a ``share`` of each ordinary row is spread over all steps."""
     n = len(secret_scan.ALPHABET) + 1
     place = {c: k + 1 for k, c in enumerate(secret_scan.ALPHABET)}
-    count = {True: np.full((n, n), smooth), False: np.full((n, n), smooth)}
+    count = {True: np.zeros((n, n)), False: np.zeros((n, n))}
     for value, label in samples:
         for a, b in zip(value, value[1:]):
             count[label][place.get(a, 0), place.get(b, 0)] += 1
-    return np.log(count[True] / count[True].sum(1, keepdims=True)) - np.log(count[False] / count[False].sum(1, keepdims=True))
+    rows = count[False].sum(1, keepdims=True)
+    ordinary = np.where(rows > 0, (1 - share) * count[False] / np.maximum(rows, 1) + share / n, 1 / n)
+    return np.log((count[True] + prior) / (count[True].sum(1, keepdims=True) + prior * n)) - np.log(ordinary)
 
 
 def test_random_runs_by_brute_force(spark):
