@@ -25,14 +25,15 @@ BLOCK = 65_536
 
 
 def cell_number(df: DataFrame, order: Names, width: float | None = None) -> Column:
-    """The cell of a row by the first column of the order. Columns that are neither times nor numbers are one cell."""
-    first = names(order)[0]
+    """The cell of a row by the first column of the order, a time or a number; of another kind each value is a stretch of its
+    own, which the next column divides."""
+    first, *rest = names(order)
     kind = df.schema[first].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.floor(F.unix_micros(F.col(first).cast("timestamp")) / F.lit(1e6 * (width or SECONDS)))
     if isinstance(kind, T.NumericType):
         return F.floor(F.col(first) / F.lit(width or UNITS)).cast("long")
-    return F.lit(0).cast("long")
+    return F.struct(F.col(first).alias("value"), (cell_number(df, rest, width) if rest else F.lit(0).cast("long")).alias("cell"))
 
 
 def in_cells(df: DataFrame, order: Names, width: float | None = None) -> DataFrame:
@@ -74,21 +75,59 @@ def plus(before: Column, here: Column) -> Column:
     return F.coalesce(before + here, before, here)
 
 
-def running_sum(df: DataFrame, column: str | Column, keys: Names, order: Names, to: str, width: float | None = None) -> DataFrame:
-    """``df`` with ``to``: the sum so far, as a whole-key window has it."""
-    x = F.col(column) if isinstance(column, str) else column
-    rows = in_cells(df.withColumn("_x", x), order, width)
-    cells = cells_of(rows, keys, _sum=F.sum("_x")).withColumn("_before", F.sum("_sum").over(earlier(keys)))
-    out = with_borders(rows, cells, keys, "_before").withColumn(to, plus(F.col("_before"), F.sum("_x").over(within_so_far(keys, order))))
-    return out.drop("_x", "_cell", "_before")
+def running(df: DataFrame, keys: Names, order: Names, number: str | None = None, sums: dict[str, Column] | None = None, width: float | None = None) -> DataFrame:
+    """``df`` with ``number``, the row's number within its key from 1, and sums so far, as a whole-key window has them."""
+    sums = sums or {}
+    rows = in_cells(df.select("*", *(x.alias(f"_x_{n}") for n, x in sums.items())), order, width)
+    w, e = within_so_far(keys, order), earlier(keys)
+    rows = rows.select("*", F.row_number().over(within(keys, order)).alias("_number"), *(F.sum(f"_x_{n}").over(w).alias(f"_l_{n}") for n in sums))
+    cells = cells_of(rows, keys, _n=F.count(F.lit(1)), **{f"_s_{n}": F.sum(f"_x_{n}") for n in sums})
+    cells = cells.select("*", F.coalesce(F.sum("_n").over(e), F.lit(0)).alias("_before"), *(F.sum(f"_s_{n}").over(e).alias(f"_b_{n}") for n in sums))
+    out = with_borders(rows, cells, keys, "_before", *(f"_b_{n}" for n in sums))
+    added = [*([(F.col("_before") + F.col("_number")).alias(number)] if number else []), *(plus(F.col(f"_b_{n}"), F.col(f"_l_{n}")).alias(n) for n in sums)]
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *added)
 
 
 def numbered(df: DataFrame, keys: Names, order: Names, to: str = "_i", width: float | None = None) -> DataFrame:
     """``df`` with ``to``: the row's number within its key, from 0."""
+    return running(df, keys, order, to, width=width).withColumn(to, F.col(to) - 1)
+
+
+def islands(df: DataFrame, label: str, keys: Names, order: Names, width: float | None = None) -> DataFrame:
+    """``df`` with ``island``, a number that grows with each change of label, ``_number`` (the row's, from 1) and ``_start``, the
+    number of the island's first row."""
+    w, up = within(keys, order), within_so_far(keys, order)
     rows = in_cells(df, order, width)
-    cells = cells_of(rows, keys, _n=F.count(F.lit(1))).withColumn("_before", F.coalesce(F.sum("_n").over(earlier(keys)), F.lit(0)))
-    out = with_borders(rows, cells, keys, "_before").withColumn(to, F.col("_before") + F.row_number().over(within(keys, order)) - 1)
-    return out.drop("_cell", "_before")
+    rows = rows.select("*", F.row_number().over(w).alias("_in"), ((F.row_number().over(w) > 1) & ~F.lag(label).over(w).eqNullSafe(F.col(label))).alias("_new"))
+    rows = rows.select("*", F.sum(F.col("_new").cast("int")).over(up).alias("_changes"), F.max(F.when(F.col("_new"), F.col("_in"))).over(up).alias("_from"))
+    at = F.struct(*names(order))
+    cells = cells_of(rows, keys, _n=F.count(F.lit(1)), _all=F.max("_changes"), _tail=F.max("_from"), _first=F.min_by(F.struct(F.col(label).alias("x")), at), _last=F.max_by(F.struct(F.col(label).alias("x")), at))
+    e, one_before = earlier(keys), Window.partitionBy(*names(keys)).orderBy("_cell")
+    ended = F.lag("_last").over(one_before)
+    cells = cells.withColumn("_turn", (~F.coalesce(ended["x"].eqNullSafe(F.col("_first.x")) & ended.isNotNull(), F.lit(False))).cast("int")).withColumn("_n0", F.coalesce(F.sum("_n").over(e), F.lit(0)))
+    # where the island began that is open at the cell's end: at its last change, at its begin, or before it
+    began = F.when(F.col("_tail").isNotNull(), F.col("_n0") + F.col("_tail")).when(F.col("_turn") == 1, F.col("_n0") + 1)
+    cells = cells.withColumn("_began", began).withColumn("_island0", F.coalesce(F.sum(F.col("_all") + F.col("_turn")).over(e), F.lit(0)) + F.col("_turn"))
+    cells = cells.withColumn("_start0", F.when(F.col("_turn") == 1, F.col("_n0") + 1).otherwise(F.max("_began").over(e)))
+    out = with_borders(rows, cells, keys, "_n0", "_island0", "_start0")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_island0") + F.col("_changes")).alias("island"), (F.col("_n0") + F.col("_in")).alias("_number"), F.coalesce(F.col("_n0") + F.col("_from"), F.col("_start0")).alias("_start"))
+
+
+def since(df: DataFrame, condition: Column, keys: Names, order: Names, to: str, before: str | None = None, width: float | None = None) -> DataFrame:
+    """``df`` with ``to``: rows since the last one where the condition held, this one counted (0 where it holds), or since the key's
+    begin; ``before``: the same of the row before, 0 for the first."""
+    rows = in_cells(df.withColumn("_hit", F.coalesce(condition, F.lit(False))), order, width)
+    w = within(keys, order)
+    rows = rows.withColumn("_in", F.row_number().over(w)).withColumn("_at", F.max(F.when(F.col("_hit"), F.col("_in"))).over(within_so_far(keys, order)))
+    rows = rows.withColumn("_at_before", F.lag("_at").over(w))
+    cells = cells_of(rows, keys, _n=F.count(F.lit(1)), _hit_at=F.max("_at")).withColumn("_n0", F.coalesce(F.sum("_n").over(earlier(keys)), F.lit(0)))
+    cells = cells.withColumn("_hit0", F.coalesce(F.max(F.col("_n0") + F.col("_hit_at")).over(earlier(keys)), F.lit(0)))
+    out = with_borders(rows, cells, keys, "_n0", "_hit0")
+    number = F.col("_n0") + F.col("_in")
+    added = [(number - F.coalesce(F.col("_n0") + F.col("_at"), F.col("_hit0"))).alias(to)]
+    if before:
+        added.append((number - 1 - F.coalesce(F.col("_n0") + F.col("_at_before"), F.col("_hit0"))).alias(before))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *added)
 
 
 def lagged(df: DataFrame, columns: dict[str, Column], keys: Names, order: Names, width: float | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import clip, last_rows, ratio, rolling, series, so_far, yes
+from . import blocks
 from .ewm import ewm, seeded
 
 
@@ -283,12 +284,15 @@ def cross_detect(df: DataFrame, a: str = "macd", b: str = "macd_signal") -> Data
     return df.withColumn("cross", F.when(yes(above & before), 1).when(yes(below & after), -1).otherwise(0))
 
 
-def cumulative_drawdown(df: DataFrame, pnl: str, key: Sequence[str] | str, order: Sequence[str] | str, from_zero: bool = False) -> DataFrame:
-    """Running sum, and its distance below its peak. The peak starts at the first sum, or at zero."""
-    w = so_far(key, order)
-    out = df.withColumn("cum", F.sum(pnl).over(w))
-    peak = F.max("cum").over(w)
-    return out.withColumn("drawdown", (F.greatest(peak, F.lit(0.0)) if from_zero else peak) - F.col("cum"))
+def cumulative_drawdown(df: DataFrame, pnl: str, key: Sequence[str] | str, order: Sequence[str] | str, from_zero: bool = False, width: float | None = None) -> DataFrame:
+    """Running sum, and its distance below its peak. The peak starts at the first sum, or at zero. By cells of the order."""
+    w, e = blocks.within_so_far(key, order), blocks.earlier(key)
+    rows = blocks.in_cells(df, order, width).withColumn("_local", F.sum(pnl).over(w)).withColumn("_top", F.max("_local").over(w))
+    cells = blocks.cells_of(rows, key, _sum=F.sum(pnl), _most=F.max("_local")).withColumn("_s0", F.sum("_sum").over(e))
+    cells = cells.withColumn("_p0", F.max(blocks.plus(F.col("_s0"), F.col("_most"))).over(e))
+    out = blocks.with_borders(rows, cells, key, "_s0", "_p0").withColumn("cum", blocks.plus(F.col("_s0"), F.col("_local")))
+    peak = F.greatest("_p0", blocks.plus(F.col("_s0"), F.col("_top")))
+    return out.withColumn("drawdown", (F.greatest(peak, F.lit(0.0)) if from_zero else peak) - F.col("cum")).drop("_cell", "_local", "_top", "_s0", "_p0")
 
 
 def lab_features(df: DataFrame) -> DataFrame:

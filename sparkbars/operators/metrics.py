@@ -1,4 +1,4 @@
-"""Trade metrics, rankings, stability, decay and health. Running sums are windows of a key; the rest combines map-side."""
+"""Trade metrics, rankings, stability, decay and health. Running sums go by cells of the order; the rest combines map-side."""
 
 from __future__ import annotations
 
@@ -13,27 +13,36 @@ from pyspark.sql import types as T
 
 from ..functions.factors import gains, losses, profit_factor, profit_factor_over
 from ..functions.frames import clip, last_rows, ratio, series, yes
-from .indicators import cumulative_drawdown
+from . import blocks
 
 Keys = Sequence[str]
 
 
-def trade_metrics(trades: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl") -> DataFrame:
-    """Fifteen figures for each key. Profit factor floors losses at 1e-9; recovery is null without a drawdown."""
-    out = cumulative_drawdown(trades, pnl, keys, order)
-    p = F.col(pnl)
-    n, win, loss = F.count(p), F.sum((p > 0).cast("int")), F.sum((p <= 0).cast("int"))
-    g, l, total, dd = gains(p), losses(p), F.sum(p), F.max("drawdown")
-    sd = F.stddev_samp(p)
-    optional = []
-    if "bars_held" in trades.columns:
-        optional.append(F.avg("bars_held").alias("avg_bars"))
-    if "outcome" in trades.columns:
-        optional += [F.sum((F.col("outcome") == x).cast("int")).alias(name) for x, name in (("TP_HIT", "tp_hits"), ("SL_HIT", "sl_hits"), ("TIMEOUT", "timeouts"))]
-    return out.groupBy(*keys).agg(
-        n.alias("trades"), win.alias("wins"), loss.alias("losses"), (100 * win / n).alias("win_rate"), (g / F.greatest(l, F.lit(1e-9))).alias("profit_factor"),
+def trade_metrics(trades: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl", width: float | None = None) -> DataFrame:
+    """Fifteen figures for each key. Profit factor floors losses at 1e-9; recovery is null without a drawdown.
+
+    One pass: each cell of the order gives its sums, moments and its path's ends, and cells follow one another."""
+    w, e = blocks.within_so_far(keys, order), blocks.earlier(keys)
+    p, yes_ = F.col(pnl), lambda c: F.sum(c.cast("int"))
+    rows = blocks.in_cells(trades, order, width).withColumn("_local", F.sum(pnl).over(w)).withColumn("_top", F.max("_local").over(w))
+    optional = {"tp_hits": "TP_HIT", "sl_hits": "SL_HIT", "timeouts": "TIMEOUT"} if "outcome" in trades.columns else {}
+    held = "bars_held" in trades.columns
+    cells = blocks.cells_of(
+        rows, keys, _n=F.count(p), _win=yes_(p > 0), _loss=yes_(p <= 0), _lost=yes_(p < 0), _g=gains(p), _l=losses(p), _sum=F.sum(p), _mean=F.avg(p), _var=F.var_pop(p), _most=F.max("_local"), _least=F.min("_local"), _fall=F.max(F.col("_top") - F.col("_local")),
+        **{name: yes_(F.col("outcome") == x) for name, x in optional.items()}, **({"_bars": F.sum("bars_held"), "_bars_n": F.count("bars_held")} if held else {}),
+    )
+    every = Window.partitionBy(*keys)
+    cells = cells.withColumn("_s0", F.sum("_sum").over(e)).withColumn("_p0", F.max(blocks.plus(F.col("_s0"), F.col("_most"))).over(e))
+    cells = cells.withColumn("_dd", F.greatest("_fall", F.col("_p0") - blocks.plus(F.col("_s0"), F.col("_least")))).withColumn("_all", F.sum("_sum").over(every) / F.sum("_n").over(every))
+    c = F.sum
+    squares = c(F.col("_n") * (F.col("_var") + (F.col("_mean") - F.col("_all")) ** 2))
+    n, win, total, g, l, dd = c("_n"), c("_win"), c("_sum"), c("_g"), c("_l"), F.max("_dd")
+    sd = F.when(n > 1, F.sqrt(squares / F.nullif(n - 1, F.lit(0))))
+    return cells.groupBy(*keys).agg(
+        n.alias("trades"), win.alias("wins"), c("_loss").alias("losses"), (100 * win / n).alias("win_rate"), (g / F.greatest(l, F.lit(1e-9))).alias("profit_factor"),
         (total / n).alias("expectancy"), F.coalesce(ratio(total / n, sd), F.lit(0.0)).alias("sharpe"), dd.alias("max_drawdown"), total.alias("total"),
-        F.coalesce(ratio(ratio(g, win.cast("double")), ratio(l, F.sum((p < 0).cast("double")))), F.lit(0.0)).alias("payoff"), ratio(total, dd).alias("recovery"), *optional,
+        F.coalesce(ratio(ratio(g, win.cast("double")), ratio(l, c("_lost").cast("double"))), F.lit(0.0)).alias("payoff"), ratio(total, dd).alias("recovery"),
+        *([(c("_bars") / c("_bars_n")).alias("avg_bars")] if held else []), *(c(name).alias(name) for name in optional),
     )
 
 
@@ -56,12 +65,21 @@ def pf_without_best(trades: DataFrame, keys: Keys, tie: str, pnl: str = "pnl") -
     return trades.groupBy(*keys).agg(profit_factor(p, "null").alias("pf"), F.max(p).alias("best"), F.when(losses(p) > 0, (gains(p) - best) / F.nullif(losses(p), F.lit(0.0))).alias("pf_without_best"))
 
 
-def equity_metrics(equity: DataFrame, keys: Keys, order: Keys, per_year: float = 6240) -> DataFrame:
+def _below_peak(df: DataFrame, column: str, keys: Keys, order: Keys, width: float | None) -> DataFrame:
+    """``df`` with ``_peak``, the largest value so far, and ``_prior``, the value of the row before."""
+    rows = blocks.in_cells(df, order, width)
+    w = blocks.within(keys, order)
+    rows = rows.withColumn("_most", F.max(column).over(blocks.within_so_far(keys, order))).withColumn("_lag", F.lag(column).over(w)).withColumn("_in", F.row_number().over(w))
+    cells = blocks.cells_of(rows, keys, _top=F.max(column), _last=F.max_by(column, F.struct(*order)))
+    cells = cells.withColumn("_p0", F.max("_top").over(blocks.earlier(keys))).withColumn("_last0", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_cell")))
+    out = blocks.with_borders(rows, cells, keys, "_p0", "_last0")
+    return out.select(*df.columns, F.greatest("_p0", "_most").alias("_peak"), F.when(F.col("_in") > 1, F.col("_lag")).otherwise(F.col("_last0")).alias("_prior"))
+
+
+def equity_metrics(equity: DataFrame, keys: Keys, order: Keys, per_year: float = 6240, width: float | None = None) -> DataFrame:
     """Sharpe, Sortino, Calmar, drawdown and return of an equity curve (``equity``)."""
-    w = series(keys, order)
-    out = equity.withColumn("_r", ratio(F.col("equity"), F.lag("equity").over(w)) - 1)
-    peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("_dd", ratio(peak - F.col("equity"), peak)).withColumn("_at", F.struct(*order))
+    out = _below_peak(equity, "equity", keys, order, width).withColumn("_r", ratio(F.col("equity"), F.col("_prior")) - 1)
+    out = out.withColumn("_dd", ratio(F.col("_peak") - F.col("equity"), F.col("_peak"))).withColumn("_at", F.struct(*order))
     r = F.col("_r")
     mean, root = F.avg(r), float(per_year) ** 0.5
     total = ratio(F.max_by("equity", "_at"), F.min_by("equity", "_at")) - 1
@@ -93,9 +111,9 @@ def trade_pnl(trades: DataFrame, commission: float = 0.001) -> DataFrame:
     return trades.withColumn("pnl", gross - cost).withColumn("pnl_pct", 100 * ratio(gross - cost, F.col("entry_price") * F.col("quantity")))
 
 
-def portfolio_metrics(trades: DataFrame, balances: DataFrame, keys: Keys, order: Keys, start: float = 10_000.0) -> DataFrame:
-    w = series(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    b = balances.withColumn("_dd", 100 * ratio(F.max("balance").over(w) - F.col("balance"), F.max("balance").over(w))).withColumn("_at", F.struct(*order))
+def portfolio_metrics(trades: DataFrame, balances: DataFrame, keys: Keys, order: Keys, start: float = 10_000.0, width: float | None = None) -> DataFrame:
+    b = _below_peak(balances, "balance", keys, order, width)
+    b = b.withColumn("_dd", 100 * ratio(F.col("_peak") - F.col("balance"), F.col("_peak"))).withColumn("_at", F.struct(*order))
     b = b.groupBy(*keys).agg(F.max_by("balance", "_at").alias("balance"), F.max("_dd").alias("max_drawdown_pct"))
     closed = F.col("status") == "CLOSED"
     t = trades.groupBy(*keys).agg((100 * F.avg(F.when(closed, (F.col("pnl") > 0).cast("double")))).alias("win_rate"), F.sum((~closed).cast("int")).alias("open_positions"))
@@ -279,11 +297,10 @@ def decay_consensus(trades: DataFrame, keys: Keys, order: Keys, windows: Sequenc
     return out.withColumn("decay_magnitude", (F.col("final_pf") - F.col("baseline_pf")) / F.greatest("baseline_pf", F.lit(1e-9)))
 
 
-def loss_cascades(trades: DataFrame, keys: Keys, order: Keys, least: int = 2, pnl: str = "pnl") -> DataFrame:
+def loss_cascades(trades: DataFrame, keys: Keys, order: Keys, least: int = 2, pnl: str = "pnl", width: float | None = None) -> DataFrame:
     """Runs of losing trades: where they begin and end, their depth and sum."""
-    w = series(keys, order)
-    out = trades.withColumn("_idx", F.row_number().over(w)).withColumn("_loss", F.col(pnl) < 0)
-    out = out.withColumn("_run", F.sum((~F.col("_loss")).cast("int")).over(w)).filter("_loss")
+    won = (~(F.col(pnl) < 0)).cast("int")
+    out = blocks.running(trades.select(*keys, *order, pnl), keys, order, "_idx", {"_run": won}, width).filter(F.col(pnl) < 0)
     out = out.groupBy(*keys, "_run").agg(F.min("_idx").alias("start_idx"), F.max("_idx").alias("end_idx"), F.count(F.lit(1)).alias("depth"), F.sum(pnl).alias("cum_pnl"))
     return out.drop("_run").filter(F.col("depth") >= least)
 
@@ -311,8 +328,7 @@ def cascade_recovery(trades: DataFrame, cascades: DataFrame, keys: Keys, order:
     A key's running sum goes by blocks of ``block`` trades: a cascade is looked up in its own block, else in the largest
     sums of later blocks, and then in the block found. So a task holds a block, or a row for each block of a key."""
     keys = list(keys)
-    w = series(keys, order)
-    s = trades.select(*keys, F.row_number().over(w).alias("_idx"), F.sum(pnl).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    s = blocks.running(trades.select(*keys, *order, pnl), keys, order, "_idx", {"_s": F.col(pnl)}).select(*keys, "_idx", "_s")
     of = lambda c: F.floor((F.col(c) - 1) / block)
     s = s.withColumn("_b", of("_idx"))
     level = F.round(F.col("_s") - F.col("cum_pnl"), 9) - 1e-9
@@ -344,12 +360,10 @@ def cascade_recovery(trades: DataFrame, cascades: DataFrame, keys: Keys, order:
     return out.select(*cascades.columns, (F.col("_back") - F.col("end_idx")).alias("recovery"))
 
 
-def conditional_loss_prob(trades: DataFrame, keys: Keys, order: Keys, most: int = 7, flag: float = 0.65, pnl: str = "pnl") -> DataFrame:
+def conditional_loss_prob(trades: DataFrame, keys: Keys, order: Keys, most: int = 7, flag: float = 0.65, pnl: str = "pnl", width: float | None = None) -> DataFrame:
     """P(loss | the last N were losses) for N up to ``most``, with half a case of each added."""
-    w = series(keys, order)
-    out = trades.withColumn("_idx", F.row_number().over(w)).withColumn("_loss", (F.col(pnl) < 0).cast("int"))
-    out = out.withColumn("_run", F.col("_idx") - F.coalesce(F.max(F.when(F.col("_loss") == 0, F.col("_idx"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    out = out.withColumn("_before", F.lag("_run").over(w)).filter("_before > 0")
+    rows = trades.select(*keys, *order, (F.col(pnl) < 0).cast("int").alias("_loss"))
+    out = blocks.since(rows, F.col("_loss") == 0, keys, order, "_run", "_before", width).filter("_before > 0")
     out = out.select(*keys, "_loss", F.explode(F.sequence(F.lit(1), F.least(F.col("_before"), F.lit(most)).cast("int"))).alias("n"))
     out = out.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("cases"), F.sum("_loss").alias("losses"))
     return out.withColumn("p", (F.col("losses") + 0.5) / (F.col("cases") + 1)).withColumn("flagged", F.col("p") > flag)

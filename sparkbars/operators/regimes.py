@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import series, yes
-from .blocks import numbered
+from ..functions.frames import yes
+from .blocks import islands, numbered
 
 REGIMES = ("TRENDING", "MEAN_REVERTING", "HIGH_VOL", "LOW_VOL")
 
@@ -53,15 +53,14 @@ def regime_distribution(df: DataFrame, labels: Sequence[str] = REGIMES) -> DataF
     return counts.select("symbol", "n", rows.alias("r")).select("symbol", "r.regime", "r.bars", (F.col("r.bars") / F.col("n")).alias("share"))
 
 
-def with_islands(df: DataFrame, label: str = "regime", key: str = "symbol", order: str = "ts") -> DataFrame:
+def with_islands(df: DataFrame, label: str = "regime", key: str = "symbol", order: str = "ts", width: float | None = None) -> DataFrame:
     """``island``: a number that grows with each change of label."""
-    w = series(key, order)
-    return df.withColumn("_new", F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)).withColumn("island", F.sum("_new").over(w)).drop("_new")
+    return islands(df, label, key, order, width).drop("_number", "_start")
 
 
-def regime_blocks(df: DataFrame, label: str = "regime", key: str = "symbol", order: str = "ts") -> DataFrame:
-    out = with_islands(df.withColumn("_i", F.row_number().over(series(key, order)) - 1), label, key, order)
-    return out.groupBy(key, "island").agg(F.min(label).alias(label), F.min(order).alias("start_ts"), F.max(order).alias("end_ts"), F.min("_i").alias("start_idx"), F.max("_i").alias("end_idx"), F.count(F.lit(1)).alias("bars"))
+def regime_blocks(df: DataFrame, label: str = "regime", key: str = "symbol", order: str = "ts", width: float | None = None) -> DataFrame:
+    out = islands(df.select(key, order, label), label, key, order, width)
+    return out.groupBy(key, "island").agg(F.min(label).alias(label), F.min(order).alias("start_ts"), F.max(order).alias("end_ts"), (F.min("_number") - 1).alias("start_idx"), (F.max("_number") - 1).alias("end_idx"), F.count(F.lit(1)).alias("bars"))
 
 
 def duration_stats(blocks: DataFrame, keys: Sequence[str] = ("symbol", "regime")) -> DataFrame:
@@ -96,10 +95,10 @@ def steady_state(matrix: DataFrame, labels: Sequence[str] = REGIMES) -> DataFram
     return matrix.groupBy("symbol").applyInPandas(solve, "symbol string, regime string, p double")
 
 
-def transition_zone(df: DataFrame, n: int = 8) -> DataFrame:
+def transition_zone(df: DataFrame, n: int = 8, width: float | None = None) -> DataFrame:
     """Whether a bar is within n bars of the start of its block."""
-    w = Window.partitionBy("symbol", "island").orderBy("ts")
-    return with_islands(df).withColumn("bars_in_regime", F.row_number().over(w)).withColumn("in_zone", F.col("bars_in_regime") <= n)
+    out = islands(df, "regime", "symbol", "ts", width).withColumn("bars_in_regime", F.col("_number") - F.col("_start") + 1)
+    return out.withColumn("in_zone", F.col("bars_in_regime") <= n).drop("_number", "_start")
 
 
 def persistence_anomaly(df: DataFrame, baseline: DataFrame, factor: float = 1.5) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.factors import profit_factor_over
 from ..functions.frames import last_rows, series, so_far, yes
+from ..operators.blocks import since
 
 #: (state, row as a dict) to (new state, rows as tuples without the key)
 Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
@@ -158,10 +159,8 @@ def daily_kill_switch(df: DataFrame, factor: float = 2.0, late: str | None = Non
 def loss_streak_alerts(df: DataFrame, keys: Sequence[str] = ("asset", "hypothesis"), late: str | None = None) -> DataFrame:
     """Alerts at a depth of 2 and each even depth, critical from 5 on; an event when the streak ends."""
     if not df.isStreaming:
-        lost, w = yes(F.col("pnl") < 0), so_far(keys)
-        out = df.withColumn("_i", F.row_number().over(series(keys))).withColumn("_lost", lost)
-        out = out.withColumn("_n", F.col("_i") - F.coalesce(F.max(F.when(~F.col("_lost"), F.col("_i"))).over(w), F.lit(0)))
-        out = out.withColumn("_before", F.coalesce(F.lag("_n").over(series(keys)), F.lit(0)))
+        rows = df.withColumn("_lost", yes(F.col("pnl") < 0))
+        out = since(rows, ~F.col("_lost"), keys, "ts", "_n", "_before")
         level = F.when(F.col("_lost") & (F.col("_n") >= 5), "CRITICAL").when(F.col("_lost") & (F.col("_n") % 2 == 0), "WARNING").when(~F.col("_lost") & (F.col("_before") >= 2), "RECOVERED")
         return out.select(*keys, F.col("ts").cast("timestamp").alias("ts"), level.alias("severity"), F.when(F.col("_lost"), F.col("_n")).otherwise(F.col("_before")).cast("int").alias("depth")).filter("severity IS NOT NULL")
 
