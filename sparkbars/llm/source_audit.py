@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import settled
 
 #: Bytes of text that are sorted at once, terms of a language that are compared at once, and a slice that one sort finishes.
-SHARD, SLICE, SMALL = 16 << 20, 1 << 16, 2048
+SHARD, SLICE, SMALL = 16 << 20, 1 << 13, 2048
 #: What a probability is counted in.
 UNIT = 1_000_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
