@@ -63,11 +63,11 @@ def earlier(keys: Names) -> WindowSpec:
 def with_borders(rows: DataFrame, cells: DataFrame, keys: Names, *columns: str) -> DataFrame:
     """``rows`` with columns of their cells; a missing key is a key."""
     on = [*names(keys), "_cell"]
-    side = cells.select(*(F.col(c).alias(f"_on_{c}") for c in on), *columns)
+    side = cells.select(*(F.col(c).alias(f"__on_{c}") for c in on), *columns)
     match = F.lit(True)
     for c in on:
-        match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
-    return rows.join(side, match).drop(*(f"_on_{c}" for c in on))
+        match = match & F.col(c).eqNullSafe(F.col(f"__on_{c}"))
+    return rows.join(side, match).drop(*(f"__on_{c}" for c in on))
 
 
 def plus(before: Column, here: Column) -> Column:
@@ -78,13 +78,13 @@ def plus(before: Column, here: Column) -> Column:
 def running(df: DataFrame, keys: Names, order: Names, number: str | None = None, sums: dict[str, Column] | None = None, width: float | None = None) -> DataFrame:
     """``df`` with ``number``, the row's number within its key from 1, and sums so far, as a whole-key window has them."""
     sums = sums or {}
-    rows = in_cells(df.select("*", *(x.alias(f"_x_{n}") for n, x in sums.items())), order, width)
+    rows = in_cells(df.select("*", *(x.alias(f"__x_{n}") for n, x in sums.items())), order, width)
     w, e = within_so_far(keys, order), earlier(keys)
-    rows = rows.select("*", F.row_number().over(within(keys, order)).alias("_number"), *(F.sum(f"_x_{n}").over(w).alias(f"_l_{n}") for n in sums))
-    cells = cells_of(rows, keys, _n=F.count(F.lit(1)), **{f"_s_{n}": F.sum(f"_x_{n}") for n in sums})
-    cells = cells.select("*", F.coalesce(F.sum("_n").over(e), F.lit(0)).alias("_before"), *(F.sum(f"_s_{n}").over(e).alias(f"_b_{n}") for n in sums))
-    out = with_borders(rows, cells, keys, "_before", *(f"_b_{n}" for n in sums))
-    added = [*([(F.col("_before") + F.col("_number")).alias(number)] if number else []), *(plus(F.col(f"_b_{n}"), F.col(f"_l_{n}")).alias(n) for n in sums)]
+    rows = rows.select("*", F.row_number().over(within(keys, order)).alias("__number"), *(F.sum(f"__x_{n}").over(w).alias(f"__l_{n}") for n in sums))
+    cells = cells_of(rows, keys, __n=F.count(F.lit(1)), **{f"__s_{n}": F.sum(f"__x_{n}") for n in sums})
+    cells = cells.select("*", F.coalesce(F.sum("__n").over(e), F.lit(0)).alias("__before"), *(F.sum(f"__s_{n}").over(e).alias(f"__b_{n}") for n in sums))
+    out = with_borders(rows, cells, keys, "__before", *(f"__b_{n}" for n in sums))
+    added = [*([(F.col("__before") + F.col("__number")).alias(number)] if number else []), *(plus(F.col(f"__b_{n}"), F.col(f"__l_{n}")).alias(n) for n in sums)]
     return out.select(*(F.col(f"`{c}`") for c in df.columns), *added)
 
 
@@ -98,57 +98,72 @@ def islands(df: DataFrame, label: str, keys: Names, order: Names, width: float |
     number of the island's first row."""
     w, up = within(keys, order), within_so_far(keys, order)
     rows = in_cells(df, order, width)
-    rows = rows.select("*", F.row_number().over(w).alias("_in"), ((F.row_number().over(w) > 1) & ~F.lag(label).over(w).eqNullSafe(F.col(label))).alias("_new"))
-    rows = rows.select("*", F.sum(F.col("_new").cast("int")).over(up).alias("_changes"), F.max(F.when(F.col("_new"), F.col("_in"))).over(up).alias("_from"))
+    rows = rows.select("*", F.row_number().over(w).alias("__in"), ((F.row_number().over(w) > 1) & ~F.lag(label).over(w).eqNullSafe(F.col(label))).alias("__new"))
+    rows = rows.select("*", F.sum(F.col("__new").cast("int")).over(up).alias("__changes"), F.max(F.when(F.col("__new"), F.col("__in"))).over(up).alias("__from"))
     at = F.struct(*names(order))
-    cells = cells_of(rows, keys, _n=F.count(F.lit(1)), _all=F.max("_changes"), _tail=F.max("_from"), _first=F.min_by(F.struct(F.col(label).alias("x")), at), _last=F.max_by(F.struct(F.col(label).alias("x")), at))
+    cells = cells_of(rows, keys, __n=F.count(F.lit(1)), __all=F.max("__changes"), __tail=F.max("__from"), _first=F.min_by(F.struct(F.col(label).alias("x")), at), __last=F.max_by(F.struct(F.col(label).alias("x")), at))
     e, one_before = earlier(keys), Window.partitionBy(*names(keys)).orderBy("_cell")
-    ended = F.lag("_last").over(one_before)
-    cells = cells.withColumn("_turn", (~F.coalesce(ended["x"].eqNullSafe(F.col("_first.x")) & ended.isNotNull(), F.lit(False))).cast("int")).withColumn("_n0", F.coalesce(F.sum("_n").over(e), F.lit(0)))
+    ended = F.lag("__last").over(one_before)
+    cells = cells.withColumn("__turn", (~F.coalesce(ended["x"].eqNullSafe(F.col("_first.x")) & ended.isNotNull(), F.lit(False))).cast("int")).withColumn("__n0", F.coalesce(F.sum("__n").over(e), F.lit(0)))
     # where the island began that is open at the cell's end: at its last change, at its begin, or before it
-    began = F.when(F.col("_tail").isNotNull(), F.col("_n0") + F.col("_tail")).when(F.col("_turn") == 1, F.col("_n0") + 1)
-    cells = cells.withColumn("_began", began).withColumn("_island0", F.coalesce(F.sum(F.col("_all") + F.col("_turn")).over(e), F.lit(0)) + F.col("_turn"))
-    cells = cells.withColumn("_start0", F.when(F.col("_turn") == 1, F.col("_n0") + 1).otherwise(F.max("_began").over(e)))
-    out = with_borders(rows, cells, keys, "_n0", "_island0", "_start0")
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_island0") + F.col("_changes")).alias("island"), (F.col("_n0") + F.col("_in")).alias("_number"), F.coalesce(F.col("_n0") + F.col("_from"), F.col("_start0")).alias("_start"))
+    began = F.when(F.col("__tail").isNotNull(), F.col("__n0") + F.col("__tail")).when(F.col("__turn") == 1, F.col("__n0") + 1)
+    cells = cells.withColumn("__began", began).withColumn("__island0", F.coalesce(F.sum(F.col("__all") + F.col("__turn")).over(e), F.lit(0)) + F.col("__turn"))
+    cells = cells.withColumn("__start0", F.when(F.col("__turn") == 1, F.col("__n0") + 1).otherwise(F.max("__began").over(e)))
+    out = with_borders(rows, cells, keys, "__n0", "__island0", "__start0")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__island0") + F.col("__changes")).alias("island"), (F.col("__n0") + F.col("__in")).alias("_number"), F.coalesce(F.col("__n0") + F.col("__from"), F.col("__start0")).alias("_start"))
 
 
 def since(df: DataFrame, condition: Column, keys: Names, order: Names, to: str, before: str | None = None, width: float | None = None) -> DataFrame:
     """``df`` with ``to``: rows since the last one where the condition held, this one counted (0 where it holds), or since the key's
     begin; ``before``: the same of the row before, 0 for the first."""
-    rows = in_cells(df.withColumn("_hit", F.coalesce(condition, F.lit(False))), order, width)
+    rows = in_cells(df.withColumn("__hit", F.coalesce(condition, F.lit(False))), order, width)
     w = within(keys, order)
-    rows = rows.withColumn("_in", F.row_number().over(w)).withColumn("_at", F.max(F.when(F.col("_hit"), F.col("_in"))).over(within_so_far(keys, order)))
-    rows = rows.withColumn("_at_before", F.lag("_at").over(w))
-    cells = cells_of(rows, keys, _n=F.count(F.lit(1)), _hit_at=F.max("_at")).withColumn("_n0", F.coalesce(F.sum("_n").over(earlier(keys)), F.lit(0)))
-    cells = cells.withColumn("_hit0", F.coalesce(F.max(F.col("_n0") + F.col("_hit_at")).over(earlier(keys)), F.lit(0)))
-    out = with_borders(rows, cells, keys, "_n0", "_hit0")
-    number = F.col("_n0") + F.col("_in")
-    added = [(number - F.coalesce(F.col("_n0") + F.col("_at"), F.col("_hit0"))).alias(to)]
+    rows = rows.withColumn("__in", F.row_number().over(w)).withColumn("__at", F.max(F.when(F.col("__hit"), F.col("__in"))).over(within_so_far(keys, order)))
+    rows = rows.withColumn("__at_before", F.lag("__at").over(w))
+    cells = cells_of(rows, keys, __n=F.count(F.lit(1)), __hit_at=F.max("__at")).withColumn("__n0", F.coalesce(F.sum("__n").over(earlier(keys)), F.lit(0)))
+    cells = cells.withColumn("__hit0", F.coalesce(F.max(F.col("__n0") + F.col("__hit_at")).over(earlier(keys)), F.lit(0)))
+    out = with_borders(rows, cells, keys, "__n0", "__hit0")
+    number = F.col("__n0") + F.col("__in")
+    added = [(number - F.coalesce(F.col("__n0") + F.col("__at"), F.col("__hit0"))).alias(to)]
     if before:
-        added.append((number - 1 - F.coalesce(F.col("_n0") + F.col("_at_before"), F.col("_hit0"))).alias(before))
+        added.append((number - 1 - F.coalesce(F.col("__n0") + F.col("__at_before"), F.col("__hit0"))).alias(before))
     return out.select(*(F.col(f"`{c}`") for c in df.columns), *added)
 
 
 def lagged(df: DataFrame, columns: dict[str, Column], keys: Names, order: Names, width: float | None = None) -> DataFrame:
     """``df`` with the values that the row before has, and ``_first``: whether there is none."""
     there = F.struct(*(c.alias(n) for n, c in columns.items()))
-    rows = in_cells(df.withColumn("_there", there), order, width)
-    cells = cells_of(rows, keys, _last=F.max_by("_there", F.struct(*names(order)))).withColumn("_before", F.lag("_last").over(Window.partitionBy(*names(keys)).orderBy("_cell")))
+    rows = in_cells(df.withColumn("__there", there), order, width)
+    cells = cells_of(rows, keys, __last=F.max_by("__there", F.struct(*names(order)))).withColumn("__before", F.lag("__last").over(Window.partitionBy(*names(keys)).orderBy("_cell")))
     w = within(keys, order)
-    out = with_borders(rows, cells, keys, "_before").withColumn("_lag", F.when(F.row_number().over(w) > 1, F.lag("_there").over(w)).otherwise(F.col("_before")))
-    return out.select(*df.columns, *(F.col(f"_lag.{n}").alias(n) for n in columns), F.col("_lag").isNull().alias("_first"))
-
-
-def by_blocks(df: DataFrame, f: Callable[[DataFrame], DataFrame], reach: int, key: str = "symbol", order: Names = "ts", block: int = BLOCK, width: float | None = None) -> DataFrame:
-    """``f(df)`` for an ``f`` whose rows look back at most ``reach`` rows of their key, over blocks of ``block`` rows.
-
-    ``f`` sees each block as a key of its own: the block's rows after the last ``reach`` of the one before, which are then left out."""
-    block = max(block, reach, 1)
-    rows = numbered(df, key, order, "_i", width).withColumn("_block", F.floor(F.col("_i") / block))
-    late = F.pmod("_i", F.lit(block)) >= block - reach
-    rows = rows.withColumn("_copies", F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).withColumn("_copy", F.explode("_copies"))
-    own = F.concat_ws("\x01", F.to_json(F.struct(F.col(key))), (F.col("_block") + F.col("_copy")).cast("string"))
-    rows = rows.withColumn("_key", F.col(key)).withColumn(key, own).drop("_i", "_block", "_copies")
-    out = f(rows).filter("_copy = 0")
-    return out.withColumn(key, F.col("_key")).drop("_key", "_copy")
+    out = with_borders(rows, cells, keys, "__before").withColumn("__lag", F.when(F.row_number().over(w) > 1, F.lag("__there").over(w)).otherwise(F.col("__before")))
+    return out.select(*df.columns, *(F.col(f"__lag.{n}").alias(n) for n in columns), F.col("__lag").isNull().alias("_first"))
+
+
+def running_last(df: DataFrame, values: dict[str, Column], keys: Names, order: Names, width: float | None = None, until_before: bool = False) -> DataFrame:
+    """``df`` with the last value so far that is not null (``until_before``: of the rows before this one)."""
+    rows = in_cells(df.select("*", *(c.alias(f"__x_{n}") for n, c in values.items())), order, width)
+    w = within(keys, order).rowsBetween(Window.unboundedPreceding, -1 if until_before else 0)
+    at = F.struct(*names(order))
+    rows = rows.select("*", *(F.last(f"__x_{n}", ignorenulls=True).over(w).alias(f"__l_{n}") for n in values))
+    cells = cells_of(rows, keys, **{f"__c_{n}": F.max_by(f"__x_{n}", F.when(F.col(f"__x_{n}").isNotNull(), at)) for n in values})
+    cells = cells.select("*", *(F.last(f"__c_{n}", ignorenulls=True).over(earlier(keys)).alias(f"__b_{n}") for n in values))
+    out = with_borders(rows, cells, keys, *(f"__b_{n}" for n in values))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *(F.coalesce(f"__l_{n}", f"__b_{n}").alias(n) for n in values))
+
+
+def by_blocks(df: DataFrame, f: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0, keys: Names = "symbol", order: Names = "ts", block: int = BLOCK, width: float | None = None) -> DataFrame:
+    """``f(df)`` for an ``f`` whose rows look at most ``back`` rows of their key back, and ``ahead`` rows on, over blocks of ``block``
+    rows.
+
+    ``f`` sees each block as a key of its own (the first key column tells): the last ``back`` rows of the block before, its own, and
+    the first ``ahead`` of the next. What it makes of the borrowed rows is left out. ``f`` keeps the columns it doesn't know."""
+    first = names(keys)[0]
+    block = max(block, back, ahead, 1)
+    rows = numbered(df, keys, order, "__i", width)
+    place, own = F.pmod("__i", F.lit(block)), F.floor(F.col("__i") / block)
+    lent = F.array_compact(F.array(F.lit(0), F.when(place >= block - back, 1) if back else F.lit(None).cast("int"), F.when((place < ahead) & (own > 0), -1) if ahead else F.lit(None).cast("int")))
+    rows = rows.withColumn("__block", own).withColumn("__lent", F.explode(lent))
+    name = F.concat_ws("\x01", F.to_json(F.struct(F.col(first))), (F.col("__block") + F.col("__lent")).cast("string"))
+    rows = rows.withColumn("__own", F.col(first)).withColumn(first, name).drop("__i", "__block")
+    return f(rows).filter("__lent = 0").withColumn(first, F.col("__own")).drop("__own", "__lent")

@@ -1,4 +1,4 @@
-"""Sequential trade engines: one position at a time. Work is dealt by (symbol, rule or combination); only scans are Python."""
+"""Sequential trade engines: one position at a time. Work is dealt by key and cell or stretch; only scans are Python."""
 
 from __future__ import annotations
 
@@ -9,26 +9,82 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import series
+from ..functions.frames import series, yes
+from ..sources.io import settled
+from . import blocks
 from .joins import resolve_barriers
 
 
-def greedy(entries: np.ndarray, exits: np.ndarray) -> np.ndarray:
-    """Of candidate trades by entry, those that begin after the one before has ended."""
-    keep, free = np.zeros(len(entries), bool), -1
-    for k in range(len(entries)):
-        if entries[k] > free:
-            keep[k], free = True, exits[k]
+def greedy(entries: np.ndarray, exits: np.ndarray, free: int | None = None) -> np.ndarray:
+    """Of candidate trades by entry, those that begin after the one before has ended, the first after ``free``."""
+    keep, nexts = np.zeros(len(entries), bool), np.searchsorted(entries, exits, "right")
+    k = 0 if free is None else int(np.searchsorted(entries, free, "right"))
+    while k < len(entries):
+        keep[k] = True
+        k = max(int(nexts[k]), k + 1)
     return keep
 
 
+def chain_ends(entries: np.ndarray, exits: np.ndarray) -> np.ndarray:
+    """The last exit of the chain of trades that begins with each candidate."""
+    nexts, out = np.maximum(np.searchsorted(entries, exits, "right"), np.arange(1, len(entries) + 1)).tolist(), exits.tolist()
+    for k in range(len(out) - 1, -1, -1):
+        if nexts[k] < len(out):
+            out[k] = out[nexts[k]]
+    return np.array(out, np.int64)
+
+
+def without_overlaps(trades: DataFrame, keys: Sequence[str], entry: str, exit_: str, width: float | None = None) -> DataFrame:
+    """Of a key's candidates, one at a time: each begins after the exit of the one kept before.
+
+    By cells of the entry. What a cell does depends on the exit that is open when it begins, which lies no further than the
+    furthest exit of earlier candidates; so a cell gives, for its entries up to there, where the chain from each would end.
+    A walk over these lists, cell by cell, tells each cell its open exit, and cells then choose on their own. trades: read three
+    times, so best a written table. Entries and exits are whole numbers or timestamps, no nulls. Of equal entries one is kept."""
+    keys = list(keys)
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if trades.schema[c].dataType.typeName().startswith("timestamp") else F.col(c).cast("long")
+    rows = blocks.in_cells(trades, entry, width).withColumn("_a", number(entry)).withColumn("_b", number(exit_))
+    cells = blocks.cells_of(rows, keys, _far=F.max("_b")).withColumn("_limit", F.max("_far").over(blocks.earlier(keys)))
+    kinds = dict(rows.dtypes)
+    named = "".join(f"{k} {kinds[k]}, " for k in keys)
+    narrow = blocks.with_borders(rows.select(*keys, "_cell", "_a", "_b"), cells, keys, "_limit")
+
+    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_a", "_b"])
+        a, b, limit = pdf["_a"].to_numpy("int64"), pdf["_b"].to_numpy("int64"), pdf["_limit"].iloc[0]
+        n = 1 if pd.isna(limit) else min(len(a), int(np.searchsorted(a, int(limit), "right")) + 1)
+        out = chain_ends(a, b)[:n]
+        keep = np.r_[out[1:] != out[:-1], True]  # of starts with one end the last
+        return pd.DataFrame([(*key, a[:n][keep], out[keep])], columns=[*keys, "_cell", "_starts", "_ends"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_cell")
+        free, open_ = None, []
+        for starts, last in zip(pdf["_starts"], pdf["_ends"]):
+            open_.append(free)
+            k = 0 if free is None else int(np.searchsorted(starts, free, "right"))
+            free = int(last[k]) if k < len(last) else free
+        return pdf[[*keys, "_cell"]].assign(_free=pd.array(open_, "Int64"))
+
+    lists = narrow.groupBy(*keys, "_cell").applyInPandas(ends, f"{named}_cell long, _starts array<long>, _ends array<long>")
+    free = lists.groupBy(*keys).applyInPandas(walk, f"{named}_cell long, _free long") if keys else lists.groupBy(F.lit(1)).applyInPandas(walk, "_cell long, _free long")
+    schema = trades.schema
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_a", "_b"], kind="stable")
+        free = pdf["_free"].iloc[0]
+        return pdf[greedy(pdf["_a"].to_numpy("int64"), pdf["_b"].to_numpy("int64"), None if pd.isna(free) else int(free))][schema.names]
+
+    return blocks.with_borders(rows, free, keys, "_free").groupBy(*keys, "_cell").applyInPandas(choose, schema)
+
+
 def sequential_trades_by_rule(bars: DataFrame, rules: Mapping[str, tuple[str, Mapping[str, float]]], max_bars: int = 48) -> DataFrame:
     """Trades that don't overlap, of each symbol and rule (name: signal column, exits in ATRs).
 
     A signal on a bar enters at the next one's open, with that bar's ATR; exits are tested from the bar after entry, the
     stop first; after ``max_bars`` it closes at the close; a bar that closes a trade opens none; a trade that is open at
     the end is dropped. All rules share the bars: only signal rows are multiplied, their exits come from one bounded
-    join, and the scan that drops overlaps sees signal rows alone.
+    join, and what drops overlaps sees signal rows alone, by cells of bars.
     """
     w = series("symbol", "ts")
     before = {"_a": F.lag("atr").over(w), "_r": F.lag("regime").over(w) if "regime" in bars.columns else F.lit(None).cast("string")}
@@ -41,11 +97,7 @@ def sequential_trades_by_rule(bars: DataFrame, rules: Mapping[str, tuple[str, Ma
     met = resolve_barriers(t, b.select("symbol", "idx", "high", "low", "close"), max_bars)
     met = met.filter((F.col("outcome") != "TIMEOUT") | (F.col("exit_idx") - F.col("entry_idx") >= max_bars)).withColumn("pnl", F.col("direction") * (F.col("exit_price") - F.col("entry_price")))
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entry_idx")
-        return pdf[greedy(pdf["entry_idx"].to_numpy(), pdf["exit_idx"].to_numpy())]
-
-    return met.groupBy("symbol", "hypothesis").applyInPandas(scan, met.schema).withColumn("bars_held", F.col("exit_idx") - F.col("entry_idx"))
+    return without_overlaps(settled(met, "candidates"), ["symbol", "hypothesis"], "entry_idx", "exit_idx").withColumn("bars_held", F.col("exit_idx") - F.col("entry_idx"))
 
 
 def sequential_trades(bars: DataFrame, exits: Mapping[str, float], max_bars: int = 48, signal: str = "signal") -> DataFrame:
@@ -139,31 +191,31 @@ def pair_scan(z: np.ndarray, spread: np.ndarray, enter: float, stop: float) -> l
     return out
 
 
-def signal_pair_trades(df: DataFrame, keys: Sequence[str], enter: float = 2.0, stop: float = 3.5) -> DataFrame:
-    """Trades of spreads: in beyond ``enter``, out at zero, at ``stop``, or at the end; one at a time."""
+def signal_pair_trades(df: DataFrame, keys: Sequence[str], enter: float = 2.0, stop: float = 3.5, width: float | None = None) -> DataFrame:
+    """Trades of spreads: in beyond ``enter``, out at zero, at ``stop``, or at the end; one at a time.
+
+    No trade is open after a row at or beyond ``stop``, nor after one that comes to the other side of zero without reaching
+    ``enter``; what lies between two such rows is a stretch that is scanned on its own."""
     key = list(keys)
     kinds = dict(df.dtypes)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        out = pd.DataFrame(pair_scan(pdf["z"].to_numpy(float), pdf["spread"].to_numpy(float), enter, stop), columns=["entry_idx", "exit_idx", "direction", "pnl", "reason"])
-        for k in reversed(key):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return df.select(*key, "ts", "z", "spread").filter("z IS NOT NULL").groupBy(*key).applyInPandas(scan, ", ".join(f"{k} {kinds[k]}" for k in key) + ", entry_idx long, exit_idx long, direction int, pnl double, reason string")
-
-
-def cooldown(df: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), at: str = "ts") -> DataFrame:
-    """Entries less than ``seconds`` after the last accepted one of their key go."""
-    schema = df.schema
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        t, last, keep = pdf[at].to_numpy("datetime64[us]"), None, []
-        for x in t:
-            keep.append(last is None or x - last >= np.timedelta64(seconds, "s"))
-            last = x if keep[-1] else last
-        return pdf[np.array(keep, bool)]
-
-    return df.groupBy(*keys).applyInPandas(scan, schema)
+    rows = blocks.running(df.select(*key, "ts", "z", "spread").filter("z IS NOT NULL"), key, "ts", "_at", width=width).filter("NOT isnan(z)")
+    rows = blocks.lagged(rows, {"_z": F.col("z")}, key, "ts", width).drop("_first")
+    z = F.col("z")
+    flat = (F.abs(z) >= stop) | ((F.abs(z) < enter) & ((F.signum(z) != F.signum(F.col("_z"))) | (z == 0)))
+    rows = blocks.running(rows.withColumn("_flat", yes(flat).cast("int")), key, "ts", sums={"_flats": F.col("_flat")}, width=width)
+    rows = rows.withColumn("_stretch", F.col("_flats") - F.col("_flat"))
+    rows = rows.select(*key, "_stretch", "_at", "z", "spread")
+
+    def scan(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        at = pdf["_at"].to_numpy() - 1
+        out = [(*group[:-1], int(at[a]), int(at[b]), side, pnl, reason) for a, b, side, pnl, reason in pair_scan(pdf["z"].to_numpy(float), pdf["spread"].to_numpy(float), enter, stop)]
+        return pd.DataFrame(out, columns=[*key, "entry_idx", "exit_idx", "direction", "pnl", "reason"])
+
+    return rows.groupBy(*key, "_stretch").applyInPandas(scan, ", ".join(f"{k} {kinds[k]}" for k in key) + ", entry_idx long, exit_idx long, direction int, pnl double, reason string")
+
+
+def cooldown(df: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), at: str = "ts", width: float | None = None) -> DataFrame:
+    """Entries less than ``seconds`` after the last accepted one of their key go. By cells of 32 times as long."""
+    rows = df.withColumn("_until", F.timestamp_micros(F.unix_micros(F.col(at).cast("timestamp")) + F.lit(seconds * 1_000_000 - 1)))
+    return without_overlaps(rows, keys, at, "_until", width or max(32 * seconds, blocks.SECONDS)).drop("_until")

@@ -248,14 +248,19 @@ def robustness_score(folds: DataFrame, keys: Keys) -> DataFrame:
     return out.withColumn("robustness", 0.35 * F.col("consistency") + 0.30 * F.col("stability") + 0.20 * F.col("mc_prob") + 0.15 * F.col("dd_score"))
 
 
-def rolling_trade_metrics(trades: DataFrame, keys: Keys, order: Keys, windows: Sequence[int] = (30, 60, 90), pnl: str = "pnl") -> DataFrame:
-    """Over the last w trades: profit factor (null without losses here), Sharpe by population deviation, win rate."""
-    p, out = F.col(pnl), trades
-    for n in windows:
-        w = last_rows(n, keys, order)
-        full = F.count(p).over(w) >= n
-        out = out.withColumn(f"pf_{n}", F.when(full, profit_factor_over(p, w, "null"))).withColumn(f"sharpe_{n}", F.when(full, ratio(F.avg(p).over(w), F.stddev_pop(p).over(w)))).withColumn(f"wr_{n}", F.when(full, F.avg((p > 0).cast("double")).over(w)))
-    return out
+def rolling_trade_metrics(trades: DataFrame, keys: Keys, order: Keys, windows: Sequence[int] = (30, 60, 90), pnl: str = "pnl", block: int = blocks.BLOCK) -> DataFrame:
+    """Over the last w trades: profit factor (null without losses here), Sharpe by population deviation, win rate. By blocks of
+    trades, each with the last of the block before."""
+    p = F.col(pnl)
+
+    def rolled(out: DataFrame) -> DataFrame:
+        for n in windows:
+            w = last_rows(n, keys, order)
+            full = F.count(p).over(w) >= n
+            out = out.withColumn(f"pf_{n}", F.when(full, profit_factor_over(p, w, "null"))).withColumn(f"sharpe_{n}", F.when(full, ratio(F.avg(p).over(w), F.stddev_pop(p).over(w)))).withColumn(f"wr_{n}", F.when(full, F.avg((p > 0).cast("double")).over(w)))
+        return out
+
+    return blocks.by_blocks(trades, rolled, max(windows) - 1, keys=keys, order=order, block=block)
 
 
 def edge_decay(trades: DataFrame, keys: Keys, order: Keys, n: int = 30, pnl: str = "pnl") -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import yes
-from .blocks import islands, numbered
+from ..functions.frames import last_rows, yes
+from .blocks import by_blocks, islands, numbered, running_last
 
 REGIMES = ("TRENDING", "MEAN_REVERTING", "HIGH_VOL", "LOW_VOL")
 
@@ -133,14 +133,16 @@ def hysteresis_scan(labels: Sequence, confidence: Sequence[float], bars: int = 3
     return out
 
 
-def hysteresis(df: DataFrame, label: str, confidence: str, bars: int = 3, least: float = 0.55, key: str = "symbol", order: str = "ts") -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField("regime_final", T.StringType())])
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(regime_final=hysteresis_scan(pdf[label], pdf[confidence], bars, least))
-
-    return df.groupBy(key).applyInPandas(scan, schema)
+def hysteresis(df: DataFrame, label: str, confidence: str, bars: int = 3, least: float = 0.55, key: str = "symbol", order: str = "ts", width: float | None = None, to: str = "regime_final") -> DataFrame:
+    """``hysteresis_scan`` of each key, as frames: the label that counts is that of the last ``bars`` bars in a row that were all
+    confident and alike, or, before any were, the key's first. A label that is missing is like no other."""
+    w = last_rows(bars, key, order)
+    sure = F.col(confidence).isNotNull() & ~F.isnan(confidence) & (F.col(confidence) >= least)
+    held = (F.count(F.when(sure, F.col(label))).over(w) == bars) & (F.min(label).over(w) == F.max(label).over(w))
+    rows = by_blocks(df, lambda d: d.withColumn("_held", F.when(held, F.col(label))), bars - 1, keys=key, order=order, width=width)
+    rows = numbered(rows, key, order, "_at", width)
+    out = running_last(rows, {"_now": F.col("_held"), "_first": F.when(F.col("_at") == 0, F.col(label))}, key, order, width)
+    return out.withColumn(to, F.coalesce("_now", "_first")).drop("_held", "_at", "_now", "_first")
 
 
 def regime_quality_report(df: DataFrame, raw: str = "regime", final: str = "regime_final", confidence: str = "confidence", least: float = 0.55) -> DataFrame:

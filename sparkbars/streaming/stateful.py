@@ -6,7 +6,7 @@ finished table's are; a key that is silent for ``idle`` seconds beyond that lose
 taken as they come.
 
 Over a finished table, handlers that only look back by a row, a run or a frame are windows, with no Python; the others
-run the same function over each key.
+run the same function over stretches of a key after which nothing of the state before matters.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.factors import profit_factor_over
 from ..functions.frames import last_rows, series, so_far, yes
-from ..operators.blocks import since
+from ..operators.blocks import lagged, running, running_last, since
+from ..operators.engines import cooldown
+from ..operators.regimes import hysteresis
 
 #: (state, row as a dict) to (new state, rows as tuples without the key)
 Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
@@ -48,8 +50,9 @@ def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, at: str = "ts"
             rows += [(*key, *x) for x in new]
         return state, pd.DataFrame(rows, columns=names)
 
-    if not df.isStreaming:
-        return df.groupBy(*keys).applyInPandas(lambda key, pdf: walk(key, pdf, {})[1], schema)
+    if not df.isStreaming:  # stretch: begins without a state
+        part = ["_stretch"] if "_stretch" in df.columns else []
+        return df.groupBy(*keys, *part).applyInPandas(lambda key, pdf: walk(key[: len(keys)], pdf, {})[1], schema)
 
     def handle(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(kept.get[0]) if kept.exists else {}
@@ -127,6 +130,14 @@ def position_ledger(df: DataFrame, commission: float = 0.001, late: str | None =
             state = {"side": s, "entry": r["close"], "at": str(r["ts"]), "sl": r["sl"], "tp": r["tp"]}
         return state, out
 
+    if not df.isStreaming:
+        # a signal that differs from the one before it (not counting zeros) surely opens a position there, whatever was open: a
+        # stretch begins with it, and ends with the next such row, which may still close what the stretch has open
+        side = F.when(F.col("signal") != 0, F.signum(F.col("signal").cast("double")))
+        df = running_last(df, {"_side": side}, "symbol", "ts", until_before=True)
+        df = df.withColumn("_turn", yes(F.col("signal") != 0) & ~side.eqNullSafe(F.col("_side")))
+        df = running(df, "symbol", "ts", sums={"_turns": F.col("_turn").cast("int")})
+        df = df.withColumn("_stretch", F.explode(F.when(F.col("_turn"), F.array("_turns", F.col("_turns") - 1)).otherwise(F.array("_turns")))).filter("_stretch > 0").drop("_side", "_turn", "_turns")
     return run(df, ["symbol"], step, "entry_time timestamp, exit_time timestamp, direction int, entry_price double, exit_price double, pnl double, reason string", late=late)
 
 
@@ -210,7 +221,13 @@ def alert_throttle(df: DataFrame, worse: float = 0.15, late: str | None = None)
             return {"at": _seconds(r["ts"]), "pf": pf}, [(r["ts"], pf)]
         return state, []
 
-    return run(df, ["asset", "hypothesis", "type", "severity"], step, "ts timestamp, pf double", late=late)
+    keys = ["asset", "hypothesis", "type", "severity"]
+    if not df.isStreaming:  # after a silence as long as the cooldown an alert is sent in any case
+        hours = F.coalesce(*(F.when(F.col("severity") == x, F.lit(h)) for x, h in COOLDOWN_HOURS.items()), F.lit(12))
+        df = lagged(df, {"_before": F.col("ts")}, keys, "ts")
+        silent = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) >= hours * 3_600_000_000
+        df = running(df, keys, "ts", sums={"_stretch": yes(silent).cast("int")}).drop("_before", "_first")
+    return run(df, keys, step, "ts timestamp, pf double", late=late)
 
 
 def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, least: int = 5, alert: int = 10, late: str | None = None) -> DataFrame:
@@ -252,6 +269,9 @@ def pending_resolution(df: DataFrame, n: int = 4, late: str | None = None) -> Da
 
 
 def entry_cooldown(df: DataFrame, seconds: int = 48 * 3600, late: str | None = None) -> DataFrame:
+    if not df.isStreaming:
+        return cooldown(df.select("symbol", F.col("ts").cast("timestamp").alias("ts")), seconds)
+
     def step(state, r):
         now = _seconds(r["ts"])
         if state and now - state["at"] < seconds:
@@ -263,6 +283,8 @@ def entry_cooldown(df: DataFrame, seconds: int = 48 * 3600, late: str | None = N
 
 def hysteresis_stream(df: DataFrame, bars: int = 3, least: float = 0.55, late: str | None = None) -> DataFrame:
     """(symbol, ts, regime, confidence): a new regime counts after so many confident bars in a row."""
+    if not df.isStreaming:
+        return hysteresis(df, "regime", "confidence", bars, least).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "regime_final")
 
     def step(state, r):
         now, pending, n = state.get("now"), state.get("pending"), state.get("n", 0)
