@@ -34,20 +34,25 @@ def chain_ends(entries: np.ndarray, exits: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def without_overlaps(trades: DataFrame, keys: Sequence[str], entry: str, exit_: str, width: float | None = None) -> DataFrame:
+def without_overlaps(trades: DataFrame, keys: Sequence[str], entry: str, exit_: str, width: float | None = None, reach: int | None = None) -> DataFrame:
     """Of a key's candidates, one at a time: each begins after the exit of the one kept before.
 
     By cells of the entry. What a cell does depends on the exit that is open when it begins, which lies no further than the
-    furthest exit of earlier candidates; so a cell gives, for its entries up to there, where the chain from each would end.
+    furthest exit of earlier candidates (``reach`` after the cell's begin, where that is known: the longest trade); so a cell gives, for its entries up to there, where the chain from each would end.
     A walk over these lists, cell by cell, tells each cell its open exit, and cells then choose on their own. trades: read three
     times, so best a written table. Entries and exits are whole numbers or timestamps, no nulls. Of equal entries one is kept."""
     keys = list(keys)
     number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if trades.schema[c].dataType.typeName().startswith("timestamp") else F.col(c).cast("long")
     rows = blocks.in_cells(trades, entry, width).withColumn("_a", number(entry)).withColumn("_b", number(exit_))
-    cells = blocks.cells_of(rows, keys, _far=F.max("_b")).withColumn("_limit", F.max("_far").over(blocks.earlier(keys)))
     kinds = dict(rows.dtypes)
     named = "".join(f"{k} {kinds[k]}, " for k in keys)
-    narrow = blocks.with_borders(rows.select(*keys, "_cell", "_a", "_b"), cells, keys, "_limit")
+    narrow = rows.select(*keys, "_cell", "_a", "_b")
+    if reach is None:
+        cells = blocks.cells_of(rows, keys, _far=F.max("_b")).withColumn("_limit", F.max("_far").over(blocks.earlier(keys)))
+        narrow = blocks.with_borders(narrow, cells, keys, "_limit")
+    else:
+        unit = 1e6 * (width or blocks.SECONDS) if trades.schema[entry].dataType.typeName().startswith("timestamp") else width or blocks.UNITS
+        narrow = narrow.withColumn("_limit", F.ceil(F.col("_cell") * F.lit(unit)) + F.lit(reach))
 
     def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_a", "_b"])
@@ -97,7 +102,7 @@ def sequential_trades_by_rule(bars: DataFrame, rules: Mapping[str, tuple[str, Ma
     met = resolve_barriers(t, b.select("symbol", "idx", "high", "low", "close"), max_bars)
     met = met.filter((F.col("outcome") != "TIMEOUT") | (F.col("exit_idx") - F.col("entry_idx") >= max_bars)).withColumn("pnl", F.col("direction") * (F.col("exit_price") - F.col("entry_price")))
 
-    return without_overlaps(settled(met, "candidates"), ["symbol", "hypothesis"], "entry_idx", "exit_idx").withColumn("bars_held", F.col("exit_idx") - F.col("entry_idx"))
+    return without_overlaps(settled(met, "candidates"), ["symbol", "hypothesis"], "entry_idx", "exit_idx", reach=max_bars).withColumn("bars_held", F.col("exit_idx") - F.col("entry_idx"))
 
 
 def sequential_trades(bars: DataFrame, exits: Mapping[str, float], max_bars: int = 48, signal: str = "signal") -> DataFrame:
@@ -218,4 +223,4 @@ def signal_pair_trades(df: DataFrame, keys: Sequence[str], enter: float = 2.0, s
 def cooldown(df: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), at: str = "ts", width: float | None = None) -> DataFrame:
     """Entries less than ``seconds`` after the last accepted one of their key go. By cells of 32 times as long."""
     rows = df.withColumn("_until", F.timestamp_micros(F.unix_micros(F.col(at).cast("timestamp")) + F.lit(seconds * 1_000_000 - 1)))
-    return without_overlaps(rows, keys, at, "_until", width or max(32 * seconds, blocks.SECONDS)).drop("_until")
+    return without_overlaps(rows, keys, at, "_until", width or max(32 * seconds, blocks.SECONDS), seconds * 1_000_000).drop("_until")

@@ -578,16 +578,24 @@ def bootstrap(trades: DataFrame, keys: Keys, order: Keys, n: int = 1000, seed: i
     """
     keys = list(keys)
     rows = trades.select(*keys, *order, F.col(pnl).cast("double").alias("_p")).filter("_p IS NOT NULL")
-    size = rows.groupBy(*keys).agg(F.count("_p").alias("_n")).filter(F.col("_n") >= least).withColumn("_groups", F.ceil(F.col("_n") / F.lit(group)))
-    rows = rows.join(size, keys).withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *order, "_p"), F.col("_groups")))
+    size = rows.groupBy(*keys).agg(F.count("_p").alias("_n"))
+    large = (size.agg(F.max("_n")).first()[0] or 0) > group
+    if large:  # else no key is cut, and nothing need be counted first
+        size = size.filter(F.col("_n") >= least).withColumn("_groups", F.ceil(F.col("_n") / F.lit(group)))
+        rows = rows.join(size, keys).withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *order, "_p"), F.col("_groups")))
+    else:
+        rows = rows.withColumn("_groups", F.lit(1)).withColumn("_g", F.lit(0))
     arrays = rows.groupBy(*keys, "_groups", "_g").agg(F.array_sort(F.collect_list(F.struct(*order, "_p"))).alias("_l")).select(*keys, "_groups", "_g", F.col("_l._p").alias("_v"))
-    sizes = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    arrays = arrays.withColumn("_sizes", F.collect_list(F.size("_v")).over(sizes)).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_g")) - 1)
+    if large:
+        sizes = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        arrays = arrays.withColumn("_sizes", F.collect_list(F.size("_v")).over(sizes)).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_g")) - 1)
+    else:
+        arrays = arrays.filter(F.size("_v") >= least)
     each = F.greatest(F.lit(1), F.floor(F.lit(draws) / F.size("_v"))).cast("int")
-    blocks = arrays.withColumn("_each", each).withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.col("_each")))).withColumn("_to", F.least(F.col("_from") + F.col("_each"), F.lit(n)))
+    work = arrays.withColumn("_each", each).withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.col("_each")))).withColumn("_to", F.least(F.col("_from") + F.col("_each"), F.lit(n)))
     # by number, as the work is in the draws and not in the bytes
-    blocks = blocks.withColumn("_mark", F.crc32(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).cast("binary"))).repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kinds = dict(blocks.dtypes)
+    work = work.withColumn("_mark", F.crc32(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).cast("binary"))).repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = dict(work.dtypes)
     named = "".join(f"{k} {kinds[k]}, " for k in keys)
 
     def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -614,9 +622,10 @@ def bootstrap(trades: DataFrame, keys: Keys, order: Keys, n: int = 1000, seed: i
             yield pd.concat([pdf[[*keys, "bucket", "rep"]], pd.DataFrame(figures, columns=["s", "hi", "lo", "fall"], index=pdf.index)], axis=1)
 
     schema = f"{named}bucket long, rep long, s double, hi double, lo double, fall double"
-    dealt = blocks.filter("_groups > 1").mapInPandas(shares, f"{named}mark long, bucket long, rep long, place long, values array<double>")
+    drawn = work.filter("_groups = 1").mapInPandas(whole, schema)
+    dealt = work.filter("_groups > 1").mapInPandas(shares, f"{named}mark long, bucket long, rep long, place long, values array<double>")
     filled = dealt.groupBy(*keys, "mark", "bucket", "rep").agg(F.array_sort(F.collect_list(F.struct("place", "values"))).alias("_l")).select(*keys, "mark", "bucket", "rep", F.flatten("_l.values").alias("values")).filter("size(values) > 0")
-    drawn = blocks.filter("_groups = 1").mapInPandas(whole, schema).unionByName(filled.mapInPandas(paths, schema))
+    drawn = drawn.unionByName(filled.mapInPandas(paths, schema)) if large else drawn
     # a bucket after others: its running sums begin at what they came to, and fall from the highest peak so far
     start = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("hi"), F.lit(0.0).alias("fall"))
     step = lambda a, g: F.struct((a["s"] + g["s"]).alias("s"), F.greatest(a["hi"], a["s"] + g["hi"]).alias("hi"), F.greatest(a["fall"], g["fall"], a["hi"] - (a["s"] + g["lo"])).alias("fall"))

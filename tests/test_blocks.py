@@ -144,6 +144,10 @@ def test_chains_across_cells(spark, width):
     got = engines.without_overlaps(frame, ["key"], "a", "b", width).collect()
     for key in ("a", "b", None, "long"):
         assert sorted((r.a, r.b) for r in got if r.key == key) == brute_chain([(a, b) for k, a, b in rows if k == key]), key
+    short = [(k, a, b) for k, a, b in rows if b - a <= 40]
+    got = engines.without_overlaps(frame.filter("b - a <= 40"), ["key"], "a", "b", width, reach=40).collect()
+    for key in ("a", "b", None, "long"):
+        assert sorted((r.a, r.b) for r in got if r.key == key) == brute_chain([(a, b) for k, a, b in short if k == key]), key
     assert engines.without_overlaps(frame.limit(0), ["key"], "a", "b", width).count() == 0
 
 
