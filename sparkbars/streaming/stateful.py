@@ -1,9 +1,10 @@
 """Streams with a state of their own for each key.
 
-A handler is one function of (state, row) to (state, rows out). Over a stream Spark's state store keeps the state. With
-``late``, a stream's rows wait until the watermark has passed them and are then taken in the order of their times, as a
-finished table's are; a key that is silent for ``idle`` seconds beyond that loses its state. Without ``late`` rows are
-taken as they come.
+A handler is one function of (state, row) to (state, rows out). Over a stream the state is a typed value in RocksDB. With ``late``,
+a stream's rows wait in a map by stretch of event time; a timer at each stretch's end takes its rows in order of their times, as a
+finished table's are, once the watermark has passed it. So a batch reads and writes the stretches it has rows for, and no more. A
+key that is silent for ``idle`` seconds beyond its last row loses its state, by a timer too. Without ``late`` rows are taken as they
+come.
 
 Over a finished table, handlers that only look back by a row, a run or a frame are windows, with no Python; the others
 run the same function over stretches of a key after which nothing of the state before matters.
@@ -11,13 +12,13 @@ run the same function over stretches of a key after which nothing of the state b
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.factors import profit_factor_over
 from ..functions.frames import last_rows, series, so_far, yes
@@ -27,64 +28,113 @@ from ..operators.regimes import hysteresis
 
 #: (state, row as a dict) to (new state, rows as tuples without the key)
 Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
-#: Seconds of silence after which a key's state goes.
-IDLE = 30 * 86_400
+#: Seconds of silence after which a key's state goes, and of a stretch of waiting rows.
+IDLE, STRETCH = 30 * 86_400, 3600
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _value(x):
     return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x
 
 
-def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, at: str = "ts", late: str | None = None, idle: int = IDLE) -> DataFrame:
-    """out: the output columns as DDL, without the keys. late: how far rows of a stream may come after their time."""
+def typed_states(spark: SparkSession) -> None:
+    """Typed states need the RocksDB store; a session that has chosen another of its own keeps it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(name, ROCKSDB)
+
+
+class Handler(StatefulProcessor):
+    """Runs a step over a stream's keys. columns: of the rows; state, names: columns of the state and of what comes out."""
+
+    def __init__(self, keys: list[str], columns: T.StructType, step: Step, state: T.StructType, names: list[str], at: str, ordered: bool, idle: int, stretch: int):
+        self.keys, self.columns, self.step, self.state, self.names, self.at, self.ordered, self.idle, self.stretch = keys, columns, step, state, names, at, ordered, idle, stretch
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("state", self.state)
+        if self.ordered:
+            self.last = handle.getValueState("last", "ms long")
+            self.waiting = handle.getMapState("waiting", "stretch long", T.StructType([T.StructField("rows", T.ArrayType(self.columns))]))
+
+    def _walk(self, key: tuple, rows: list[dict]) -> pd.DataFrame:
+        state = dict(zip(self.state.names, self.kept.get())) if self.kept.exists() else {}
+        before, out = dict(state), []
+        for r in rows:
+            state, new = self.step(state, r)
+            out += [(*key, *x) for x in new]
+        if state and state != before:
+            self.kept.update(tuple(state.get(c) for c in self.state.names))
+        elif not state and before:
+            self.kept.clear()
+        return pd.DataFrame(out, columns=self.names)
+
+    def _stretch_of(self, x) -> int:
+        return int(pd.Timestamp(x).timestamp() // self.stretch)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        taken = [r for pdf in rows for r in pdf[self.columns.names].astype(object).where(pdf[self.columns.names].notna(), None).to_dict("records")]
+        if not self.ordered:
+            yield self._walk(key, sorted(taken, key=lambda r: r[self.at]))
+            return
+        by: dict[int, list[dict]] = {}
+        for r in taken:
+            by.setdefault(self._stretch_of(r[self.at]), []).append(r)
+        plain = lambda r: tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in (r[c] for c in self.columns.names))
+        for n, new in by.items():
+            old = [tuple(r) for r in self.waiting.getValue((n,))[0]] if self.waiting.containsKey((n,)) else []
+            if not old:
+                self.handle.registerTimer((n + 1) * self.stretch * 1000)
+            self.waiting.updateValue((n,), ([*old, *map(plain, new)],))
+        yield pd.DataFrame([], columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        n = end // (self.stretch * 1000) - 1
+        if end % (self.stretch * 1000) == 0 and self.waiting.containsKey((n,)):
+            rows = [dict(zip(self.columns.names, r)) for r in self.waiting.getValue((n,))[0]]
+            self.waiting.removeKey((n,))
+            rows = [{c: pd.Timestamp(v) if hasattr(v, "isoformat") else v for c, v in r.items()} for r in rows]
+            yield self._walk(key, sorted(rows, key=lambda r: r[self.at]))
+            if self.last.exists():
+                self.handle.deleteTimer(self.last.get()[0] + self.idle * 1000 + 1)
+            ms = int(max(r[self.at] for r in rows).timestamp() * 1000)
+            self.last.update((ms,))
+            self.handle.registerTimer(ms + self.idle * 1000 + 1)
+        elif self.last.exists() and end >= self.last.get()[0] + self.idle * 1000:
+            self.kept.clear()
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, state: str, at: str = "ts", late: str | None = None, idle: int = IDLE, stretch: int = STRETCH) -> DataFrame:
+    """out, state: the output columns (without the keys) and those of the state as DDL. late: how far rows of a stream may
+    come after their time; stretch: seconds of event time whose rows wait together."""
     keys = list(keys)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + out
-    names = [*keys, *(c.strip().split(" ")[0] for c in out.split(","))]
-
-    def walk(key: tuple, pdf: pd.DataFrame, state: dict) -> tuple[dict, pd.DataFrame]:
-        rows = []
-        pdf = pdf.sort_values(at, kind="stable")
-        for values in zip(*(pdf[c] for c in pdf.columns)):
-            state, new = step(state, {k: _value(v) for k, v in zip(pdf.columns, values)})
-            rows += [(*key, *x) for x in new]
-        return state, pd.DataFrame(rows, columns=names)
+    names = [*keys, *T._parse_datatype_string(out).names]
 
-    if not df.isStreaming:  # stretch: begins without a state
+    if not df.isStreaming:  # a stretch begins without a state
         part = ["_stretch"] if "_stretch" in df.columns else []
-        return df.groupBy(*keys, *part).applyInPandas(lambda key, pdf: walk(key[: len(keys)], pdf, {})[1], schema)
-
-    def handle(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(kept.get[0]) if kept.exists else {}
-        state, rows = walk(key, pd.concat(list(parts)), state)
-        kept.update((json.dumps(state, default=str),))
-        yield rows
-
-    if late is None:
-        return df.groupBy(*keys).applyInPandasWithState(handle, schema, "state string", "append", GroupStateTimeout.NoTimeout)
-
-    times = [c for c, kind in df.dtypes if kind == "timestamp"]
-
-    def ordered(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        """The state, and rows whose time the watermark has not passed."""
-        state, waiting, last = ({}, [], 0) if not kept.exists else (json.loads(kept.get[0]), json.loads(kept.get[1]), kept.get[2])
-        mark = kept.getCurrentWatermarkMs()
-        frames = [] if kept.hasTimedOut else [p.assign(**{c: p[c].map(lambda x: None if x is pd.NaT else x.isoformat()) for c in times}) for p in parts]
-        rows = [*waiting, *(r for p in frames for r in p.astype(object).where(p.notna(), None).to_dict("records"))]
-        ms = lambda r: int(pd.Timestamp(r[at]).timestamp() * 1000)
-        due, waiting = [r for r in rows if ms(r) <= mark], [r for r in rows if ms(r) > mark]
-        if due:
-            pdf = pd.DataFrame(due)
-            state, done = walk(key, pdf.assign(**{c: pd.to_datetime(pdf[c], format="ISO8601") for c in times}), state)
-            last = max(map(ms, due))
-            yield done
-        if not waiting and kept.hasTimedOut and mark >= last + idle * 1000:
-            kept.remove()
-            return
-        kept.update((json.dumps(state, default=str), json.dumps(waiting, default=str), last))
-        kept.setTimeoutTimestamp(max(mark + 1, min(map(ms, waiting)) if waiting else last + idle * 1000))
 
-    return df.withWatermark(at, late).groupBy(*keys).applyInPandasWithState(ordered, schema, "state string, waiting string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+        def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            rows, now = [], {}
+            pdf = pdf.sort_values(at, kind="stable")
+            for values in zip(*(pdf[c] for c in pdf.columns)):
+                now, new = step(now, {k: _value(v) for k, v in zip(pdf.columns, values)})
+                rows += [(*key[: len(keys)], *x) for x in new]
+            return pd.DataFrame(rows, columns=names)
+
+        return df.groupBy(*keys, *part).applyInPandas(walk, schema)
+
+    typed_states(df.sparkSession)
+    columns = T.StructType([f for f in df.schema.fields if f.name not in keys])
+    handler = Handler(keys, columns, step, T._parse_datatype_string(state), names, at, late is not None, idle, stretch)
+    marked = df.withWatermark(at, late) if late else df
+    return marked.groupBy(*keys).transformWithStateInPandas(handler, schema, "append", "EventTime" if late else "None")
 
 
 def _seconds(ts) -> float:
@@ -99,9 +149,9 @@ def signal_changes(df: DataFrame, late: str | None = None) -> DataFrame:
 
     def step(state, r):
         new = [(r["ts"], int(r["signal"]))] if r["signal"] and r["signal"] != state.get("last") else []
-        return {"last": r["signal"]}, new
+        return {"last": None if r["signal"] is None else int(r["signal"])}, new
 
-    return run(df, ["symbol"], step, "ts timestamp, signal int", late=late)
+    return run(df, ["symbol"], step, "ts timestamp, signal int", "last int", late=late)
 
 
 def position_ledger(df: DataFrame, commission: float = 0.001, late: str | None = None) -> DataFrame:
@@ -138,7 +188,7 @@ def position_ledger(df: DataFrame, commission: float = 0.001, late: str | None =
         df = df.withColumn("_turn", yes(F.col("signal") != 0) & ~side.eqNullSafe(F.col("_side")))
         df = running(df, "symbol", "ts", sums={"_turns": F.col("_turn").cast("int")})
         df = df.withColumn("_stretch", F.explode(F.when(F.col("_turn"), F.array("_turns", F.col("_turns") - 1)).otherwise(F.array("_turns")))).filter("_stretch > 0").drop("_side", "_turn", "_turns")
-    return run(df, ["symbol"], step, "entry_time timestamp, exit_time timestamp, direction int, entry_price double, exit_price double, pnl double, reason string", late=late)
+    return run(df, ["symbol"], step, "entry_time timestamp, exit_time timestamp, direction int, entry_price double, exit_price double, pnl double, reason string", "side int, entry double, at string, sl double, tp double", late=late)
 
 
 def daily_kill_switch(df: DataFrame, factor: float = 2.0, late: str | None = None) -> DataFrame:
@@ -164,7 +214,7 @@ def daily_kill_switch(df: DataFrame, factor: float = 2.0, late: str | None = Non
             out.append((r["ts"], loss, limit))
         return state, out
 
-    return run(df, ["symbol"], step, "ts timestamp, loss double, floor double", late=late)
+    return run(df, ["symbol"], step, "ts timestamp, loss double, floor double", "day string, start double, off boolean", late=late)
 
 
 def loss_streak_alerts(df: DataFrame, keys: Sequence[str] = ("asset", "hypothesis"), late: str | None = None) -> DataFrame:
@@ -188,7 +238,7 @@ def loss_streak_alerts(df: DataFrame, keys: Sequence[str] = ("asset", "hypothesi
             n = 0
         return {"n": n}, out
 
-    return run(df, keys, step, "ts timestamp, severity string, depth int", late=late)
+    return run(df, keys, step, "ts timestamp, severity string, depth int", "n int", late=late)
 
 
 def regime_change_events(df: DataFrame, risks: DataFrame | None = None, late: str | None = None) -> DataFrame:
@@ -199,7 +249,7 @@ def regime_change_events(df: DataFrame, risks: DataFrame | None = None, late: st
         return {"regime": r["regime"]}, [(r["ts"], last, r["regime"])] if last is not None and last != r["regime"] else []
 
     if df.isStreaming:
-        out = run(df, ["symbol"], step, "ts timestamp, from_regime string, to_regime string", late=late)
+        out = run(df, ["symbol"], step, "ts timestamp, from_regime string, to_regime string", "regime string", late=late)
     else:
         out = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.lag("regime").over(series()).alias("from_regime"), F.col("regime").alias("to_regime")).filter("from_regime IS NOT NULL AND NOT from_regime <=> to_regime")
     return out.join(risks, ["from_regime", "to_regime"], "left") if risks is not None else out
@@ -227,14 +277,14 @@ def alert_throttle(df: DataFrame, worse: float = 0.15, late: str | None = None)
         df = lagged(df, {"_before": F.col("ts")}, keys, "ts")
         silent = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) >= hours * 3_600_000_000
         df = running(df, keys, "ts", sums={"_stretch": yes(silent).cast("int")}).drop("_before", "_first")
-    return run(df, keys, step, "ts timestamp, pf double", late=late)
+    return run(df, keys, step, "ts timestamp, pf double", "at double, pf double", late=late)
 
 
 def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, least: int = 5, alert: int = 10, late: str | None = None) -> DataFrame:
     """Profit factor of the last n trades at each trade: null under ``least``; alert below 1 from ``alert`` trades on."""
 
     def step(state, r):
-        last = [*state.get("last", []), r["pnl"]][-n:]
+        last = [*(state.get("last") or []), r["pnl"]][-n:]
         won, lost = sum(x for x in last if x > 0), -sum(x for x in last if x < 0)
         pf = (won / lost if lost > 0 else None) if len(last) >= least else None
         return {"last": last}, [(r["ts"], len(last), pf, bool(pf is not None and pf < 1 and len(last) >= alert))]
@@ -244,7 +294,7 @@ def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int =
         w = last_rows(n, keys)
         out = df.select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.count(F.lit(1)).over(w).cast("int").alias("trades"), profit_factor_over(F.col("pnl"), w, "null").alias("pf"))
         return out.withColumn("pf", F.when(F.col("trades") >= least, F.col("pf"))).withColumn("alert", yes((F.col("pf") < 1) & (F.col("trades") >= alert)))
-    return run(df, keys, step, "ts timestamp, trades int, pf double, alert boolean", late=late)
+    return run(df, keys, step, "ts timestamp, trades int, pf double, alert boolean", "last array<double>", late=late)
 
 
 def pending_resolution(df: DataFrame, n: int = 4, late: str | None = None) -> DataFrame:
@@ -256,7 +306,7 @@ def pending_resolution(df: DataFrame, n: int = 4, late: str | None = None) -> Da
 
     def step(state, r):
         waiting, out = [], []
-        for at, side, price, left in state.get("waiting", []):
+        for at, side, price, left in (w.values() if isinstance(w, dict) else w for w in state.get("waiting") or []):
             if left == 1:
                 out.append((pd.Timestamp(at), r["ts"], side, side * (r["close"] - price)))
             else:
@@ -265,7 +315,7 @@ def pending_resolution(df: DataFrame, n: int = 4, late: str | None = None) -> Da
             waiting.append((str(r["ts"]), int(r["signal"]), r["close"], n))
         return {"waiting": waiting}, out
 
-    return run(df, ["symbol"], step, "ts timestamp, resolved timestamp, direction int, pnl double", late=late)
+    return run(df, ["symbol"], step, "ts timestamp, resolved timestamp, direction int, pnl double", "waiting array<struct<at:string,side:int,price:double,left:int>>", late=late)
 
 
 def entry_cooldown(df: DataFrame, seconds: int = 48 * 3600, late: str | None = None) -> DataFrame:
@@ -278,7 +328,7 @@ def entry_cooldown(df: DataFrame, seconds: int = 48 * 3600, late: str | None = N
             return state, []
         return {"at": now}, [(r["ts"],)]
 
-    return run(df, ["symbol"], step, "ts timestamp", late=late)
+    return run(df, ["symbol"], step, "ts timestamp", "at double", late=late)
 
 
 def hysteresis_stream(df: DataFrame, bars: int = 3, least: float = 0.55, late: str | None = None) -> DataFrame:
@@ -300,26 +350,65 @@ def hysteresis_stream(df: DataFrame, bars: int = 3, least: float = 0.55, late: s
                 now, pending, n = x, None, 0
         return {"now": now, "pending": pending, "n": n}, [(r["ts"], now)]
 
-    return run(df, ["symbol"], step, "ts timestamp, regime_final string", late=late)
+    return run(df, ["symbol"], step, "ts timestamp, regime_final string", "now string, pending string, n int", late=late)
+
+
+class Silence(StatefulProcessor):
+    """The last row of each key, and a timer that speaks when it has been silent for so long, at most once in a cooldown."""
+
+    def __init__(self, key: str, at: str, seconds: int, cooldown: int):
+        self.key, self.at, self.seconds, self.cooldown = key, at, seconds, cooldown
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen, self.said = handle.getValueState("seen", "us long"), handle.getValueState("said", "ms long")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = max(int(round(pdf[self.at].max().timestamp() * 1e6)) for pdf in rows)
+        old = self.seen.get()[0] if self.seen.exists() else None
+        if old is None or new > old:
+            if old is not None:
+                self.handle.deleteTimer(old // 1000 + self.seconds * 1000)
+            self.seen.update((new,))
+            self.handle.registerTimer(new // 1000 + self.seconds * 1000)
+        yield pd.DataFrame([], columns=[self.key, "last", "silent_for"])
 
-def staleness_timeout(df: DataFrame, seconds: int = 1800) -> DataFrame:
-    """(symbol, ts), a stream with a watermark: a row for each time a key has been silent for so long, by event time. On a
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, last = expiredTimerInfo.getExpiryTimeInMs(), self.seen.get()[0]
+        if now < last // 1000 + self.seconds * 1000:
+            return
+        if not self.cooldown or not self.said.exists() or now - self.said.get()[0] > self.cooldown * 1000:
+            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="us"), (now - last // 1000) // 1000)], columns=[self.key, "last", "silent_for"])
+            self.said.update((now,))
+        if self.cooldown:  # while it stays silent it is told again
+            self.handle.registerTimer(now + self.cooldown * 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def staleness_timeout(df: DataFrame, seconds: int = 1800, cooldown: int = 0) -> DataFrame:
+    """(symbol, ts), a stream with a watermark: a row when a key has been silent for so long, by event time. With a cooldown
+    it is told again, while the silence lasts, each time that the cooldown is over, and no two alerts of a key are nearer. On a
     finished table: a row for each gap."""
-    schema = "symbol string, last timestamp, silent_for long"
     if not df.isStreaming:
         gap = F.unix_micros("ts") - F.unix_micros("last")
-        rows = df.select("symbol", F.col("ts").cast("timestamp").alias("ts")).withColumn("last", F.lag("ts").over(series()))
+        rows = lagged(df.select("symbol", F.col("ts").cast("timestamp").alias("ts")), {"last": F.col("ts")}, "symbol", "ts")
         return rows.filter(gap > seconds * 1_000_000).select("symbol", "last", F.floor(gap / 1_000_000).alias("silent_for"))
+    typed_states(df.sparkSession)
+    return df.groupBy("symbol").transformWithStateInPandas(Silence("symbol", "ts", seconds, cooldown), "symbol string, last timestamp, silent_for long", "append", "EventTime")
 
-    def handle(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        if kept.hasTimedOut:
-            last = kept.get[0]
-            kept.remove()
-            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="s").floor("us"), seconds)], columns=["symbol", "last", "silent_for"])
-            return
-        last = max([kept.get[0] if kept.exists else 0.0, *(_seconds(p["ts"].max()) for p in parts)])
-        kept.update((last,))
-        kept.setTimeoutTimestamp(max(int((last + seconds) * 1000), kept.getCurrentWatermarkMs() + 1))
 
-    return df.groupBy("symbol").applyInPandasWithState(handle, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+def silences(df: DataFrame, seconds: int = 600, late: str | None = None) -> DataFrame:
+    """(symbol, ts) to (symbol, ts, since, seconds): each row that ends a silence of more than so many seconds, and its length."""
+    if not df.isStreaming:
+        rows = lagged(df.select("symbol", F.col("ts").cast("timestamp").alias("ts")), {"since": F.col("ts")}, "symbol", "ts")
+        gap = (F.unix_micros("ts") - F.unix_micros("since")) / 1e6
+        return rows.filter(gap > seconds).select("symbol", "ts", "since", gap.alias("seconds"))
+
+    def step(state, r):
+        last, now = state.get("last"), _seconds(r["ts"])
+        new = [(r["ts"], pd.Timestamp(round(last * 1e6), unit="us"), round(now - last, 6))] if last is not None and now - last > seconds else []
+        return {"last": now}, new
+
+    return run(df, ["symbol"], step, "ts timestamp, since timestamp, seconds double", "last double", late=late)
