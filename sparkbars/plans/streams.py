@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import series
 from ..operators import regimes
 from ..operators import rules
+from ..sources import io
 from ..streaming import stateful, windows
 from .inputs import FEATURES, LABELLED, PART, TRADES, bars_sql, features, lag, stamp, stamped, table, ticks, trades, TICKS
 
@@ -137,3 +138,32 @@ def _(s, d):
 @query("staleness_timeout")
 def _(s, d):
     return stateful.staleness_timeout(ticks(s, d).select("symbol", F.col("ts").cast("timestamp").alias("ts")), 900)
+
+
+@query("silences", "WITH x AS (SELECT event_type AS symbol, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS since FROM events) SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, round((epoch_us(ts) - epoch_us(since)) / 1e6, 6) + 0.0::DOUBLE AS seconds FROM x WHERE epoch_us(ts) - epoch_us(since) > 900 * 1000000")
+def _(s, d):
+    return stateful.silences(ticks(s, d).select("symbol", "ts"), 900)
+
+
+_SESSION = "CASE WHEN hour(ts) BETWEEN 13 AND 16 THEN 'Overlap' WHEN hour(ts) BETWEEN 17 AND 20 THEN 'NY' WHEN hour(ts) BETWEEN 8 AND 12 THEN 'London' ELSE 'Asia' END"
+
+
+@query("stream_activity_by_session", f"WITH {TRADES}, x AS (SELECT hypothesis AS symbol, pnl, {_SESSION} AS session, unnest([0, 15, 30, 45]) AS back, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS b FROM trades) SELECT symbol, strftime(b - to_minutes(back), '%Y-%m-%d %H:%M:%S') AS start, session, count(*) AS trades, round(sum(pnl), 6) + 0.0::DOUBLE AS pnl, sum((pnl > 0)::INT)::BIGINT AS wins FROM x GROUP BY symbol, start, session")
+def _(s, d):
+    return windows.stream_activity(pnl(s, d), sessions=True)
+
+
+@query("stream_first_outcomes", "WITH s AS (SELECT event_id AS id, event_type AS symbol, ts, value AS price, unnest([1800, 3600]) AS h FROM events) SELECT s.id, s.symbol, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE h WHEN 1800 THEN '30min' ELSE '1h' END AS horizon, round((arg_min(p.value, p.ts) / nullif(any_value(s.price), 0) - 1) * 100, 6) + 0.0::DOUBLE AS outcome, strftime(min(p.ts), '%Y-%m-%d %H:%M:%S') AS at FROM s LEFT JOIN events p ON p.event_type = s.symbol AND p.ts BETWEEN s.ts + to_seconds(h) AND s.ts + to_seconds(h + 900) GROUP BY s.id, s.symbol, s.ts, h")
+def _(s, d):
+    t = ticks(s, d).withColumnRenamed("event_id", "id")
+    return windows.stream_first_outcomes(t, t, {"30min": 1800, "1h": 3600}, 900)
+
+
+@query("batch_sink", "WITH x AS (SELECT event_type, user_id, min(event_id % 5) AS batch FROM events GROUP BY 1, 2) SELECT event_type, user_id, min(event_id) AS event_id FROM events JOIN x USING (event_type, user_id) WHERE event_id % 5 = x.batch GROUP BY 1, 2")
+def _(s, d):
+    """The events as five batches, the third twice, of which the first row of each key stays."""
+    e = table(s, d, "events").select("event_type", "user_id", "event_id")
+    path = io.scratch(s, "sink")
+    for batch in (0, 1, 2, 2, 3, 4):
+        io.write_batch(e.filter(F.col("event_id") % 5 == batch), batch, path, ["event_type", "user_id"])
+    return io.read_batches(s, path, e.schema).select("event_type", "user_id", "event_id")

@@ -86,6 +86,65 @@ def insert_or_ignore(df: DataFrame, path: str, keys: Sequence[str]) -> int:
     return n
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def commit_batch(spark: SparkSession, path: str, batch: int) -> None:
+    """What a batch wrote counts from here on: one file that is there or not."""
+    files, at = _files(spark, f"{path}/commits/{batch}")
+    files.create(at, True).close()
+
+
+def committed_batches(spark: SparkSession, path: str) -> list[int]:
+    files, at = _files(spark, f"{path}/commits")
+    return sorted(int(x.getPath().getName()) for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType, batches: Sequence[int] | None = None) -> DataFrame:
+    """Rows of committed batches, with ``batch`` and ``_bucket``."""
+    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+    wanted = committed_batches(spark, path) if batches is None else batches
+    if not wanted:
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*(f"{path}/data/batch={b}" for b in wanted))
+
+
+def write_batch(df: DataFrame, batch: int, path: str, keys: Sequence[str], upsert: bool = False, buckets: int = 64) -> None:
+    """Writes a stream's batch so that doing it again, also after a failure half-way, leaves the same rows.
+
+    A batch has a folder of its own, which it overwrites, and counts when its commit file is there. A key's rows lie in a bucket of
+    the key: without ``upsert``, rows whose key an earlier batch has are left out, and only the buckets that the batch touches are
+    looked at; with it, the last batch's row of a key counts (``latest_rows``). Of equal keys within a batch the smallest row stays."""
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*df.columns) if rest else df.select(*keys).distinct()
+    rows = one.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    before = [b for b in committed_batches(spark, path) if b < batch]
+    if not upsert and before:
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
+        there = read_batches(spark, path, df.schema, before).filter(F.col("_bucket").isin(*touched)).select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        rows = rows.join(there, match, "left_anti")
+    rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/batch={batch}")
+    commit_batch(spark, path, batch)
+
+
+def latest_rows(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row of the last committed batch."""
+    rest = [c for c in schema.names if c not in keys]
+    rows = read_batches(spark, path, schema)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*").select(*schema.names)
+
+
+def batch_sink(path: str, keys: Sequence[str], upsert: bool = False, buckets: int = 64):
+    """For ``foreachBatch``."""
+    return lambda df, batch: write_batch(df, batch, path, keys, upsert, buckets)
+
+
 def exported_signals(signals: DataFrame) -> DataFrame:
     out = signals.filter("signal != 0")
     rounded = {"entry": 5, "sl": 5, "tp": 5, "score": 1, "atr": 5}
