@@ -37,8 +37,8 @@ def cell_number(df: DataFrame, order: Names, width: float | None = None) -> Colu
 
 
 def in_cells(df: DataFrame, order: Names, width: float | None = None) -> DataFrame:
-    """``df`` with ``_cell``."""
-    return df.withColumn("_cell", cell_number(df, order, width))
+    """``df`` with ``_cell``, if it has none of its own."""
+    return df if "_cell" in df.columns else df.withColumn("_cell", cell_number(df, order, width))
 
 
 def within(keys: Names, order: Names) -> WindowSpec:
@@ -62,8 +62,13 @@ def earlier(keys: Names) -> WindowSpec:
 
 def with_borders(rows: DataFrame, cells: DataFrame, keys: Names, *columns: str) -> DataFrame:
     """``rows`` with columns of their cells; a missing key is a key."""
-    on = [*names(keys), "_cell"]
-    side = cells.select(*(F.col(c).alias(f"__on_{c}") for c in on), *columns)
+    return with_columns_of(rows, cells, [*names(keys), "_cell"], *columns)
+
+
+def with_columns_of(rows: DataFrame, side: DataFrame, on: Names, *columns: str) -> DataFrame:
+    """``rows`` with columns of the one row of ``side`` that has the same ``on``; a missing value equals a missing value."""
+    on = names(on)
+    side = side.select(*(F.col(c).alias(f"__on_{c}") for c in on), *columns)
     match = F.lit(True)
     for c in on:
         match = match & F.col(c).eqNullSafe(F.col(f"__on_{c}"))
@@ -152,6 +157,45 @@ def running_last(df: DataFrame, values: dict[str, Column], keys: Names, order: N
     return out.select(*(F.col(f"`{c}`") for c in df.columns), *(F.coalesce(f"__l_{n}", f"__b_{n}").alias(n) for n in values))
 
 
+#: Cells that a key's values are cut to.
+VALUE_CELLS = 64
+
+
+def value_counts(df: DataFrame, keys: Names, value: str, cells: int = VALUE_CELLS, **figures: Column) -> DataFrame:
+    """(keys, value, figures, ``_cell``): a row for each value of a key, values alike combined before they shuffle, in cells that are
+    ranges of values of about equal numbers of rows. Where the ranges lie is estimated; what follows from them is not."""
+    keys = names(keys)
+    rows = df.groupBy(*keys, value).agg(*(c.alias(n) for n, c in figures.items()))
+    marks = rows.groupBy(*keys).agg(F.percentile_approx(value, [k / cells for k in range(1, cells)], 10 * cells).alias("__marks"))
+    place = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("__marks", lambda m: m < F.col(value)))).cast("long")
+    return with_columns_of(rows, marks, keys, "__marks").withColumn("_cell", place).drop("__marks")
+
+
+def counted_below(df: DataFrame, keys: Names, value: str, cells: int = VALUE_CELLS) -> DataFrame:
+    """(keys, value, ``_n``, ``_upto``): rows with that value, and with no larger one; missing values come first."""
+    rows = running(value_counts(df, keys, value, cells, _n=F.count(F.lit(1))), keys, value, sums={"_upto": F.col("_n")})
+    return rows.drop("_cell")
+
+
+def average_ranks(df: DataFrame, keys: Names, value: str, to: str, cells: int = VALUE_CELLS) -> DataFrame:
+    """(keys, value, ``to``): the average rank of rows with that value."""
+    return counted_below(df, keys, value, cells).select(*names(keys), value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(to))
+
+
+def exact_quantiles(df: DataFrame, keys: Names, value: str, chances: Sequence[float], to: str, cells: int = VALUE_CELLS) -> DataFrame:
+    """(keys, ``to``): an array of quantiles with linear interpolation, as ``percentile`` has them; its places are found from counts
+    of ranges and then of values, so no task sorts a key or holds its values."""
+    keys = names(keys)
+    counts = counted_below(df.filter(F.col(value).isNotNull()), keys, value, cells)
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("__total"))
+    counts = with_columns_of(counts, total, keys, "__total")
+    at = [F.lit(float(p)) * (F.col("__total") - 1) for p in chances]
+    has = lambda place: (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))
+    found = counts.groupBy(*keys).agg(F.max("__total").alias("__total"), *(F.max(F.when(has(edge(x)), F.col(value).cast("double"))).alias(f"__{side}{k}") for k, x in enumerate(at) for side, edge in (("low", F.floor), ("high", F.ceil))))
+    between = [F.col(f"__low{k}") + (F.col(f"__high{k}") - F.col(f"__low{k}")) * (x - F.floor(x)) for k, x in enumerate(at)]
+    return found.select(*keys, F.array(*between).alias(to))
+
+
 def by_blocks(df: DataFrame, f: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0, keys: Names = "symbol", order: Names = "ts", block: int = BLOCK, width: float | None = None) -> DataFrame:
     """``f(df)`` for an ``f`` whose rows look at most ``back`` rows of their key back, and ``ahead`` rows on, over blocks of ``block``
     rows.

@@ -191,9 +191,9 @@ def outcome_coverage(signals: DataFrame, horizons: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str], spearman: bool = False, key: str = "symbol") -> DataFrame:
     """(key, a, b, corr) for every two columns. Spearman takes average ranks within the key first."""
     if spearman:
+        df = df.select(key, *columns)
         for c in columns:
-            w = Window.partitionBy(key).orderBy(c)
-            df = df.withColumn(f"_r_{c}", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(key, c)) - 1) / 2)
+            df = blocks.with_columns_of(df, blocks.average_ranks(df, key, c, f"_r_{c}"), [key, c], f"_r_{c}")
         df = df.select(key, *(F.col(f"_r_{c}").alias(c) for c in columns))
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
     wide = df.groupBy(key).agg(*(F.corr(a, b).alias(f"_{k}") for k, (a, b) in enumerate(pairs)))
@@ -214,9 +214,11 @@ def prune_correlated(df: DataFrame, columns: Sequence[str], limit: float = 0.85)
 def ks_two_sample(df: DataFrame, group: str, value: str, pairs: Sequence[tuple[str, str]], key: str = "symbol", least: int = 10) -> DataFrame:
     """Largest gap of two groups' distributions, and its asymptotic p (series of 20 terms), for each pair with enough rows."""
     rows = df.select(key, F.col(group).alias("_g"), F.col(value).alias("_v"), F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))).alias("_p")).select(key, "_g", "_v", "_p.*")
-    rows = rows.filter((F.col("_g") == F.col("a")) | (F.col("_g") == F.col("b"))).groupBy(key, "a", "b", "_v").agg(F.sum((F.col("_g") == F.col("a")).cast("long")).alias("_x"), F.sum((F.col("_g") == F.col("b")).cast("long")).alias("_y"))
-    w, every = Window.partitionBy(key, "a", "b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key, "a", "b")
-    rows = rows.select(key, "a", "b", F.sum("_x").over(w).alias("cx"), F.sum("_y").over(w).alias("cy"), F.sum("_x").over(every).alias("n"), F.sum("_y").over(every).alias("m")).filter(f"n >= {least} AND m >= {least}")
+    rows = rows.filter((F.col("_g") == F.col("a")) | (F.col("_g") == F.col("b")))
+    by = [key, "a", "b"]
+    counts = blocks.value_counts(rows, by, "_v", _x=F.sum((F.col("_g") == F.col("a")).cast("long")), _y=F.sum((F.col("_g") == F.col("b")).cast("long")))
+    sizes = counts.groupBy(*by).agg(F.sum("_x").alias("n"), F.sum("_y").alias("m")).filter(f"n >= {least} AND m >= {least}")
+    rows = blocks.with_columns_of(blocks.running(counts, by, "_v", sums={"cx": F.col("_x"), "cy": F.col("_y")}), sizes, by, "n", "m")
     out = rows.groupBy(key, "a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max(F.abs(F.col("cx") / F.col("n") - F.col("cy") / F.col("m"))).alias("ks"))
     e = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     x = (e + 0.12 + 0.11 / e) * F.col("ks")
@@ -375,8 +377,10 @@ def conditional_loss_prob(trades: DataFrame, keys: Keys, order: Keys, most: int
 
 
 def cascade_summary(recovered: DataFrame, keys: Keys) -> DataFrame:
-    d = F.percentile("depth", F.array(F.lit(0.5), F.lit(0.9)))
-    return recovered.groupBy(*keys).agg(F.count(F.lit(1)).alias("cascades"), F.avg("depth").alias("avg_depth"), d[0].alias("median_depth"), d[1].alias("p90_depth"), F.max("depth").alias("max_depth"), F.min("cum_pnl").alias("worst"), F.avg("recovery").alias("avg_recovery"), (100 * F.avg(F.col("recovery").isNull().cast("double"))).alias("unrecovered_pct"))
+    middle = blocks.exact_quantiles(recovered, keys, "depth", (0.5, 0.9), "_d")
+    out = recovered.groupBy(*keys).agg(F.count(F.lit(1)).alias("cascades"), F.avg("depth").alias("avg_depth"), F.max("depth").alias("max_depth"), F.min("cum_pnl").alias("worst"), F.avg("recovery").alias("avg_recovery"), (100 * F.avg(F.col("recovery").isNull().cast("double"))).alias("unrecovered_pct"))
+    out = blocks.with_columns_of(out, middle, keys, "_d")
+    return out.select(*keys, "cascades", "avg_depth", F.col("_d")[0].alias("median_depth"), F.col("_d")[1].alias("p90_depth"), "max_depth", "worst", "avg_recovery", "unrecovered_pct")
 
 
 def duration_pf_correlation(trades: DataFrame, keys: Keys, least_trades: int = 5, least_blocks: int = 3, pnl: str = "pnl") -> DataFrame:
@@ -515,11 +519,13 @@ def trailing_losses(trades: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl"
 
 def classification_metrics(df: DataFrame, keys: Keys, label: str = "label", score: str = "p", cut: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall, F1, and AUC by average ranks (0.5 if there is one class)."""
-    w, tied = Window.partitionBy(*keys).orderBy(score), Window.partitionBy(*keys, score)
-    rows = df.withColumn("_r", F.rank().over(w) + (F.count(F.lit(1)).over(tied) - 1) / 2)
-    y, said = F.col(label) == 1, F.col(score) >= cut
-    count = lambda c: F.sum(c.cast("double"))
-    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), count(y & said).alias("tp"), count(~y & said).alias("fp"), count(y & ~said).alias("fn"), count(~y & ~said).alias("tn"), F.sum(F.when(y, F.col("_r"))).alias("ranks"))
+    y = F.col(label) == 1
+    many = lambda c: F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
+    rows = blocks.value_counts(df.select(*keys, score, label), keys, score, _n=F.count(F.lit(1)), _pos=many(y), _neg=many(~y))
+    rows = blocks.running(rows, keys, score, sums={"_upto": F.col("_n")}).withColumn("_r", F.col("_upto") - (F.col("_n") - 1) / 2)
+    said = F.col(score) >= cut
+    count = lambda side, c: F.coalesce(F.sum(F.when(c, F.col(side))), F.lit(0.0))
+    out = rows.groupBy(*keys).agg(F.sum("_n").alias("n"), count("_pos", said).alias("tp"), count("_neg", said).alias("fp"), count("_pos", ~said).alias("fn"), count("_neg", ~said).alias("tn"), F.sum(F.col("_pos") * F.col("_r")).alias("ranks"))
     c = F.col
     pos, neg = c("tp") + c("fn"), c("fp") + c("tn")
     auc = F.when((pos > 0) & (neg > 0), (c("ranks") - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0.0))).otherwise(0.5)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import last_rows, yes
-from .blocks import by_blocks, islands, numbered, running_last
+from .blocks import by_blocks, exact_quantiles, islands, numbered, running_last, with_columns_of
 
 REGIMES = ("TRENDING", "MEAN_REVERTING", "HIGH_VOL", "LOW_VOL")
 
@@ -64,8 +64,8 @@ def regime_blocks(df: DataFrame, label: str = "regime", key: str = "symbol", ord
 
 
 def duration_stats(blocks: DataFrame, keys: Sequence[str] = ("symbol", "regime")) -> DataFrame:
-    p = F.percentile("bars", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
-    out = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("bars").alias("mean"), p.alias("p"), F.max("bars").alias("longest"), F.sum("bars").alias("total"))
+    out = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("bars").alias("mean"), F.max("bars").alias("longest"), F.sum("bars").alias("total"))
+    out = with_columns_of(out, exact_quantiles(blocks, keys, "bars", (0.25, 0.5, 0.75, 0.95), "p"), keys, "p")
     rest = Window.partitionBy(*[k for k in keys if k != "regime"])
     return out.select(*keys, "n", "mean", *(F.col("p")[k].alias(x) for k, x in enumerate(("p25", "median", "p75", "p95"))), "longest", (100 * F.col("total") / F.sum("total").over(rest)).alias("pct_time"))
 

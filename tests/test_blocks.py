@@ -218,3 +218,42 @@ def test_a_key_is_many_tasks(spark):
     plan = metrics.trade_metrics(events, ["key"], ["ts"])._jdf.queryExecution().optimizedPlan().toString()
     frames = [x for x in plan.split("\n") if "Window" in x and "_local" in x and "sum(pnl" in x]
     assert frames and all("_cell" in x for x in frames)
+
+
+@pytest.mark.parametrize("cells", [2, 64])
+def test_ranks_and_quantiles_without_a_sort_of_a_key(spark, cells):
+    """All values in one key, a third of them equal, some missing; and a key of one row."""
+    rng = random.Random(8)
+    x = [rng.choice([None, 7.0, 7.0, float(rng.randint(0, 30)), rng.gauss(0, 100)]) for _ in range(900)]
+    frame = spark.createDataFrame([("k", v, n % 3) for n, v in enumerate(x)] + [("one", 4.0, 1), (None, 2.0, 1), (None, 1.0, 0)], "key string, x double, y int").repartition(4)
+    ranks = {(r.key, r.x): r.r for r in blocks.average_ranks(frame, "key", "x", "r", cells).collect()}
+    s = pd.Series(x).rank(method="average", na_option="top")
+    assert all(ranks["k", v] == s[n] for n, v in enumerate(x)) and ranks["one", 4.0] == 1 and ranks[None, 2.0] == 2
+    chances = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {r.key: r.q for r in blocks.exact_quantiles(frame, "key", "x", chances, "q", cells).collect()}
+    want = {r.key: r.q for r in frame.groupBy("key").agg(F.percentile("x", F.array(*map(F.lit, chances))).alias("q")).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    w = blocks.Window.partitionBy("key").orderBy("x")
+    old = frame.withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(blocks.Window.partitionBy("key", "x")) - 1) / 2).groupBy("key").agg(F.corr("r", "y").alias("c")).collect()
+    new = metrics.correlation_matrix(frame.withColumn("y", F.col("y").cast("double")), ["x", "y"], spearman=True, key="key").filter("key = 'k'").first()["corr"]
+    assert new == pytest.approx(pd.Series(x).rank(method="average", na_option="top").corr(pd.Series([n % 3 for n in range(900)]).rank())) and len(old) == 3
+    plan = blocks.counted_below(frame, "key", "x", cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_cell" in line for line in plan.split("\n") if "Window" in line and "sum(" in line and "__x" in line)
+
+
+def test_auc_and_ks_by_counts(spark):
+    rng = random.Random(9)
+    rows = [("k", round(rng.random(), 2), rng.choice([0, 1, 1, None])) for _ in range(500)] + [("one", 0.4, 1)]
+    frame = spark.createDataFrame(rows, "key string, p double, label int")
+    got = {r.key: r for r in metrics.classification_metrics(frame, ["key"]).collect()}
+    pos, neg = ([p for k, p, y in rows if k == "k" and y == v] for v in (1, 0))
+    assert got["one"].auc == 0.5 and got["k"].n == 500
+    ranks = pd.Series([p for k, p, _ in rows if k == "k"]).rank()
+    at = [r for r, (k, _, y) in zip(ranks, rows) if y == 1]
+    assert got["k"].auc == pytest.approx((sum(at) - len(pos) * (len(pos) + 1) / 2) / (len(pos) * len(neg)))
+    two = spark.createDataFrame([("s", g, float(v)) for g, v in [("a", rng.gauss(0, 1)) for _ in range(80)] + [("b", rng.gauss(1, 1)) for _ in range(90)] + [("c", 1.0)] * 3], "symbol string, g string, v double")
+    rows = metrics.ks_two_sample(two, "g", "v", [("a", "b"), ("a", "c")]).collect()
+    a, b = (np.sort([r.v for r in two.collect() if r.g == g]) for g in "ab")
+    every = np.concatenate([a, b])
+    ks = np.abs(np.searchsorted(a, every, "right") / len(a) - np.searchsorted(b, every, "right") / len(b)).max()
+    assert [(r.a, r.b, r.n, r.m) for r in rows] == [("a", "b", 80, 90)] and rows[0].ks == pytest.approx(ks)
