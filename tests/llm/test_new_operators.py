@@ -285,3 +285,12 @@ def test_identifiers_and_paths_with_digits_are_no_secrets(spark):
         found[kinds[r.doc_id]] += r.n_random
     for name in planted:
         assert found[name] >= 190 if name.startswith("random") else found[name] <= 2, found
+
+
+def test_empty_tables_of_simhash_and_mixing(spark):
+    from sparkbars.llm import mixing, simhash
+
+    none = spark.createDataFrame([], "doc_id long, text string, source string, fingerprint string, taken int")
+    assert simhash.near_duplicates(none).count() == 0 and mixing.mix(none).count() == 0
+    assert {"doc_id", "fingerprint", "component_id"} <= set(simhash.near_duplicates(none).columns)
+    assert {"doc_id", "size", "source_size", "target", "taken"} <= set(mixing.mix(none).columns)
