@@ -30,7 +30,7 @@ def _models(df: DataFrame, learn: float = 0.4) -> DataFrame:
     b = b.select("*", *(F.lag("ret1", k).over(w).alias(f"r{k}") for k in range(len(COURSE)))).withColumn("learns", F.row_number().over(w) <= learn * F.count(F.lit(1)).over(every))
     b = settled(b.na.drop(subset=[*BAR_FEATURES, *COURSE]), "bars")
     known = b.filter("learns AND label IS NOT NULL")
-    out = ml.gbt_predict(b.filter("NOT learns"), BAR_FEATURES, ml.gbt_train(known, BAR_FEATURES, trees=5, depth=2)).withColumnRenamed("prob", "xgboost_prob")
+    out = ml.gbt_predict(b.filter("NOT learns"), BAR_FEATURES, ml.gbt_train(known, BAR_FEATURES)).withColumnRenamed("prob", "xgboost_prob")
     return ml.gbt_predict(out, COURSE, ml.logistic_train(known, COURSE)).withColumnRenamed("prob", "lstm_prob").drop("label", "learns", *COURSE)
 
 
@@ -142,9 +142,11 @@ def walk_forward_experiment(s: SparkSession, d: str) -> DataFrame:
     """Features, pruning, labels; for each of three folds that expand, boosted trees fitted on what comes before and trades
     on the fold; the best symbols by mean expectation are marked; then a last fit on all but the holdout (the last fifth of
     time), judged there, and on a symbol that no fit has seen."""
-    b = settled(I.barrier_label(features(s, d), 2, 0.7), "labelled")
-    base = ["ret1", "ret5", "ret20", "z20", "atr_ratio"]
-    b = b.na.drop(subset=base)
+    b = I.barrier_label(features(s, d), 2, 0.7).na.fill(0.0, ["disorder"])  # null where no two bars have a direction
+    ways = ["ret1", "ret5", "ret20", "mom10", "log_ret", "z20", "atr_ratio", "disorder"]
+    more = I.feature_matrix(b, ways)
+    base = [c for c in more.columns if c not in ("symbol", "ts")]  # each, and its mean and deviation of five bars: 24
+    b = settled(b.join(more.drop(*ways), ["symbol", "ts"]).na.drop(subset=base), "labelled")
     cols = metrics.prune_correlated(b, base)
     every = Window.partitionBy("symbol")
     t = F.unix_timestamp("ts")
@@ -162,9 +164,9 @@ def walk_forward_experiment(s: SparkSession, d: str) -> DataFrame:
     out = None
     for k in range(3):
         mine = folds.filter(F.col("fold") == k)
-        r = judged(ml.gbt_train(mine.filter("part = 'train'"), cols, trees=5), mine.filter("part = 'test'"), f"fold{k}")
+        r = judged(ml.gbt_train(mine.filter("part = 'train'"), cols), mine.filter("part = 'test'"), f"fold{k}")
         out = r if out is None else out.unionByName(r)
-    last = ml.gbt_train(seen, cols, trees=5)
+    last = ml.gbt_train(seen, cols)
     out = settled(out.unionByName(judged(last, b.filter((F.col("symbol") != stranger) & F.col("late")), "holdout")).unionByName(judged(last, b.filter(F.col("symbol") == stranger), "transfer")), "judged")
     best = selection.top_combinations(out.filter("part LIKE 'fold%'"), ["symbol"], 3, 10).select("symbol", F.lit(True).alias("chosen"))
     return out.join(best, "symbol", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))

@@ -1062,6 +1062,16 @@ def _(s, d):
 # sources: what is written and read again
 
 
+@query("bar_cache", f"WITH {BARS} SELECT symbol, {stamp()}, open, high, low, close, volume FROM bars WHERE symbol IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
+def _(s, d):
+    """Two requests: the second needs a week that the first has loaded, and loads the rest."""
+    bars = hourly(s, d).withColumn("interval", F.lit("1h")).withColumn("ts", F.col("ts").cast("timestamp"))
+    ask = lambda a, z: s.sql(f"SELECT symbol, '1h' AS interval, TIMESTAMP '2024-01-{a} 00:00:00' AS start, TIMESTAMP '2024-01-{z} 00:00:00' AS end FROM VALUES ('click'), ('view') AS t(symbol)")
+    root = io.scratch(s, "bar-cache")
+    io.cached_bars(s, root, ask("08", "15"), lambda gaps: bars)
+    return io.cached_bars(s, root, ask("05", "20"), lambda gaps: bars).drop("interval")
+
+
 @query("bars_file", f"WITH {BARS} SELECT symbol, {stamp()}, open, high, low, close, volume FROM bars WHERE symbol IN ('click', 'view')")
 def _(s, d):
     path = io.scratch(s, "bars")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,67 @@ def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = No
     return out.filter(F.col("symbol").isin(*symbols)) if symbols else out
 
 
+RANGES = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("interval", T.StringType()), T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType())])
+
+
+def held_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """What a bar cache holds: (symbol, interval, start, end) and the folder where it lies."""
+    files, at = _files(spark, f"{root}/catalogue")
+    schema = T.StructType([*RANGES.fields, T.StructField("folder", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{root}/catalogue") if files.exists(at) else spark.createDataFrame([], schema)
+
+
+def missing_ranges(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """The parts of wanted ranges that no held range covers, or several together; ends are exclusive."""
+    w = wanted.select("symbol", "interval", F.col("start").alias("a"), F.col("end").alias("z")).filter("a < z")
+    h = held.select(F.col("symbol").alias("s"), F.col("interval").alias("i"), "start", "end")
+    inside = w.join(h, (F.col("symbol") == F.col("s")) & (F.col("interval") == F.col("i")) & (F.col("start") < F.col("z")) & (F.col("end") > F.col("a")))
+    edges = [inside.select("symbol", "interval", "a", "z", F.greatest("start", "a").alias("b"), F.least("end", "z").alias("e")), *(w.select("symbol", "interval", "a", "z", F.col(c).alias("b"), F.col(c).alias("e")) for c in ("a", "z"))]
+    before = F.max("e").over(Window.partitionBy("symbol", "interval", "a", "z").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = edges[0].unionByName(edges[1]).unionByName(edges[2]).withColumn("upto", before).filter("upto < b")
+    return gaps.select("symbol", "interval", F.col("upto").alias("start"), F.col("b").alias("end")).distinct()
+
+
+def cached_bars(spark: SparkSession, root: str, wanted: DataFrame, load: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Bars (with ``interval``) of the wanted ranges (``RANGES``): what the cache holds is read, and only gaps are loaded.
+
+    ``load`` gets the gaps and returns their bars. A load has a folder of its own, by interval, symbol and month, and counts once
+    the catalogue names it, so one that failed leaves nothing that is read. Reads skip other symbols and months."""
+    gaps = missing_ranges(wanted, held_ranges(spark, root))
+    found = gaps.collect()  # rows of a request
+    if found:
+        gaps = spark.createDataFrame(found, RANGES)
+        folder = f"{root}/bars/{uuid.uuid4().hex}"
+        kept = _within(load(gaps), gaps)
+        kept.withColumn("month", F.date_format("ts", "yyyy-MM")).write.partitionBy("interval", "symbol", "month").parquet(folder)
+        gaps.withColumn("folder", F.lit(folder)).coalesce(1).write.mode("append").parquet(f"{root}/catalogue")
+    kinds = T.StructType([*BARS.fields[1:], T.StructField("interval", T.StringType()), T.StructField("symbol", T.StringType()), T.StructField("month", T.StringType())])
+    near = held_ranges(spark, root).join(wanted.select(F.col("symbol").alias("s"), F.col("interval").alias("i"), F.col("start").alias("a"), F.col("end").alias("z")), (F.col("symbol") == F.col("s")) & (F.col("interval") == F.col("i")) & (F.col("start") < F.col("z")) & (F.col("end") > F.col("a")))
+    lies = [(r.folder, r.symbol, r.interval) for r in near.select("folder", "symbol", "interval").distinct().collect()]
+    files, path = _files(spark, root)
+    at = lambda x: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+    folders = sorted({f for f, *_ in lies if files.exists(at(f)) and len(files.listStatus(at(f))) > 1})
+    if not folders:
+        return spark.createDataFrame([], BARS).withColumn("interval", F.lit(None).cast("string"))
+    span = wanted.agg(F.min("start").alias("a"), F.max("end").alias("z")).first()
+    every = None
+    for f in folders:
+        one = spark.read.schema(kinds).parquet(f)
+        every = one if every is None else every.unionByName(one)
+    every = every.filter(F.col("symbol").isin(*{s for _, s, _ in lies}) & F.col("interval").isin(*{i for *_, i in lies}) & (F.col("month") >= f"{span.a:%Y-%m}") & (F.col("month") <= f"{span.z:%Y-%m}"))
+    return _within(every, wanted).select("symbol", "ts", "open", "high", "low", "close", "volume", "interval")
+
+
+def _within(bars: DataFrame, ranges: DataFrame) -> DataFrame:
+    r = ranges.select(F.col("symbol").alias("s"), F.col("interval").alias("i"), "start", "end")
+    return bars.join(r, (F.col("symbol") == F.col("s")) & (F.col("interval") == F.col("i")) & (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), "left_semi")
+
+
+def write_bar_table(bars: DataFrame, table: str, buckets: int = 64) -> None:
+    """A table in the warehouse, bucketed by symbol and sorted by time: frames and joins by symbol need no shuffle."""
+    bars.repartition(buckets, "symbol").sortWithinPartitions("symbol", "ts").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "ts").saveAsTable(table)
+
+
 def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
     """CSV with a header in any case; rows without all prices go."""
     raw = spark.read.csv(path, header=True)
