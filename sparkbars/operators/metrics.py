@@ -196,7 +196,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], spearman: bool = F
             df = blocks.with_columns_of(df, blocks.average_ranks(df, key, c, f"_r_{c}"), [key, c], f"_r_{c}")
         df = df.select(key, *(F.col(f"_r_{c}").alias(c) for c in columns))
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    wide = df.groupBy(key).agg(*(F.corr(a, b).alias(f"_{k}") for k, (a, b) in enumerate(pairs)))
+
+    def corr(a: str, b: str) -> Column:
+        """Null, and no division by zero, where one of them doesn't vary."""
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+    wide = df.groupBy(key).agg(*(corr(a, b).alias(f"_{k}") for k, (a, b) in enumerate(pairs)))
     return wide.select(key, F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}").alias("corr")) for k, (a, b) in enumerate(pairs)))).alias("x")).select(key, "x.*")
 
 
