@@ -65,8 +65,24 @@ def robustness_band(score: Column) -> Column:
     return F.when(score >= 0.7, "ROBUST").when(score >= 0.5, "MODERATE").when(score >= 0.3, "WEAK").otherwise("FRAGILE")
 
 
+def scenario_criteria(pf: Column, pf_without_best: Column, win_rate: Column, drawdown: Column, n: Column) -> dict[str, Column]:
+    """Each criterion of a promotion, met or not; missing figures meet none."""
+    return {"enough_trades": yes(n >= 30), "pf_ok": yes(pf >= 1.3), "pf_without_best_ok": yes(pf_without_best >= 1.1), "drawdown_ok": yes(drawdown <= 500), "win_rate_ok": yes(win_rate >= 40)}
+
+
 def scenario_verdict(pf: Column, pf_without_best: Column, win_rate: Column, drawdown: Column, n: Column) -> Column:
     return (
         F.when(n < 30, "TOO_FEW").when(yes((pf >= 1.3) & (pf_without_best >= 1.1) & (drawdown <= 500) & (win_rate >= 40)), "PROMOTE")
         .when(yes((pf >= 1.1) & (pf_without_best >= 1.0)), "EXTEND").when(yes(pf >= 1.0), "WATCH").otherwise("STOP")
     )
+
+
+def cluster_name(test_pf: Column, oos_pf: Column, degradation: Column, robustness: Column, trending: Column, high_vol: Column, mc_prob: Column) -> Column:
+    """What a cluster of failures is, from its mean figures; the first that fits. Missing figures are 0, a chance of profit 0.5."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    test, oos, worse, sound, trend, wild, chance = zero(test_pf), zero(oos_pf), zero(degradation), zero(robustness), zero(trending), zero(high_vol), F.coalesce(mc_prob, F.lit(0.5))
+    kinds = (
+        ("DATA_MINING_OVERFIT", (test > 1.1) & (oos < 0.95) & (worse < -0.10)), ("VOLATILITY_TRAP", (wild > 0.45) & (test < 0.95)), ("TREND_CHASING_TRAP", (trend > 0.60) & (test < 0.90)),
+        ("SIGNAL_DROUGHT", (sound < 0.15) & (chance < 0.45)), ("REGIME_NOISE", (F.abs(trend - wild) < 0.15) & (test < 1.0)),
+    )
+    return F.coalesce(*(F.when(c, name) for name, c in kinds), F.lit("STRUCTURAL_FAILURE"))

@@ -108,6 +108,23 @@ def precursor_lookup(trades: DataFrame, bars: DataFrame, bucket: str = "B4", hou
     return out.withColumn("hours_early", F.when(fits, early)).withColumn("early_entry", F.when(fits, F.col("close"))).drop("close", "asof_ts")
 
 
+def early_trades(trades: DataFrame, bars: DataFrame, bucket: str = "B2", hours: float = 12, sl_atr: float = 1.5, tp_atr: float = 2.0, max_bars: int = 48) -> DataFrame:
+    """Trades (symbol, trade_id, entry_time, direction, ...) as they had been if entered at the latest bar of a stretch bucket
+    before them: ``hours_early``, ``early_entry``, ``early_sl`` and ``early_tp`` by that bar's ATR (0.0001 where it has none), and how
+    that trade ends: ``early_outcome``, ``early_pnl``. Null where there is no such bar, the outcome then NO_PRECURSOR.
+
+    bars: symbol, ts, idx, high, low, close, atr, stretch_bucket."""
+    found = asof(trades, bars.filter(F.col("stretch_bucket") == bucket), ["close", "atr", "idx"], at="entry_time", strict=True)
+    lead = (F.unix_micros(F.col("entry_time").cast("timestamp")) - F.unix_micros(F.col("asof_ts").cast("timestamp"))) / 3.6e9
+    fits = yes(lead <= hours)
+    size = F.when(F.col("atr") > 0, F.col("atr")).otherwise(0.0001) * F.col("direction")
+    found = found.select(*trades.columns, *(F.when(fits, c).alias(n) for n, c in (("hours_early", lead), ("early_entry", F.col("close")), ("early_sl", F.col("close") - sl_atr * size), ("early_tp", F.col("close") + tp_atr * size), ("_early_idx", F.col("idx")))))
+    legs = found.filter("early_entry IS NOT NULL").select("symbol", "trade_id", "direction", F.col("_early_idx").alias("entry_idx"), F.col("early_entry").alias("_from"), F.col("early_sl").alias("sl"), F.col("early_tp").alias("tp"))
+    ends = resolve_barriers(legs, bars.select("symbol", "idx", "high", "low", "close"), max_bars).select("symbol", "trade_id", F.col("outcome").alias("early_outcome"), (F.col("direction") * (F.col("exit_price") - F.col("_from"))).alias("early_pnl"))
+    out = found.drop("_early_idx").join(ends, ["symbol", "trade_id"], "left")
+    return out.withColumn("early_outcome", F.when(F.col("early_entry").isNull(), "NO_PRECURSOR").otherwise(F.col("early_outcome")))
+
+
 def fill_outcomes(signals: DataFrame, prices: DataFrame, horizons: Mapping[str, int], now: Column, at: str = "ts", key: str = "id") -> DataFrame:
     """Return in percent at the first price at or after each horizon (seconds); null until due; filled cells stay."""
     due = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(s).alias("s")) for h, s in horizons.items())))

@@ -437,6 +437,24 @@ def early_entry_comparison(trades: DataFrame, keys: Keys) -> DataFrame:
     return trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.sum(found.cast("int")).alias("covered"), F.avg(found.cast("double")).alias("coverage"), F.avg("hours_early").alias("avg_hours"), F.avg(gain).alias("avg_gain"), F.avg((gain > 0).cast("double")).alias("better"))
 
 
+#: Hours before the entry, from and below.
+LEADS = (("0-2h", 0, 2), ("2-5h", 2, 5), ("5-10h", 5, 10), (">10h", 10, 999))
+
+
+def early_entry_deltas(pairs: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl", early: str = "early_pnl") -> DataFrame:
+    """Of trades that have both, figures as they were and as entered early, their differences, and how many hours early they were.
+
+    pairs: ``pnl``, ``early_pnl`` and ``hours_early`` (``joins.early_trades``); trades without an early one are left out."""
+    both = pairs.filter(F.col(early).isNotNull() & F.col(pnl).isNotNull())
+    sides = {"actual": pnl, "early": early}
+    names = ("trades", "win_rate", "profit_factor", "expectancy", "sharpe", "max_drawdown", "total")
+    out = both.groupBy(*keys).agg(F.avg("hours_early").alias("avg_hours"), *(F.sum(((F.col("hours_early") >= a) & (F.col("hours_early") < z)).cast("int")).alias(f"lead {name}") for name, a, z in LEADS))
+    for side, column in sides.items():
+        m = trade_metrics(both.select(*keys, *order, F.col(column).alias("_p")), keys, order, "_p").select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in names))
+        out = blocks.with_columns_of(out, m, keys, *(f"{side}_{c}" for c in names))
+    return out.select("*", *((F.col(f"early_{c}") - F.col(f"actual_{c}")).alias(f"delta_{c}") for c in ("expectancy", "win_rate", "profit_factor", "max_drawdown")))
+
+
 def session_stats(trades: DataFrame, session: Column, pnl: str = "pnl") -> DataFrame:
     return trades.groupBy(session.alias("session")).agg(F.count(F.lit(1)).alias("trades"), F.sum((F.col(pnl) > 0).cast("int")).alias("wins"), F.sum(pnl).alias("pnl"))
 

@@ -174,6 +174,7 @@ def _scenario(pf: str) -> str:
 
 
 SQL["scenario_verdict"] = f"WITH {METRICS} SELECT hypothesis, {_scenario('pf')} AS verdict FROM mt"
+SQL["scenario_criteria"] = f"WITH {METRICS} SELECT hypothesis, coalesce(trades >= 30, false) AS enough_trades, coalesce(pf >= 1.3, false) AS pf_ok, coalesce(pf_without_best >= 1.1, false) AS pf_without_best_ok, coalesce(max_drawdown <= 500, false) AS drawdown_ok, coalesce(win_rate >= 40, false) AS win_rate_ok FROM mt"
 _DAILY = PLAIN["daily_sharpe_sortino"]
 _NET = "sum(CASE WHEN pnl - 0.5 > 0 THEN pnl - 0.5 ELSE 0 END) / nullif(sum(CASE WHEN pnl - 0.5 < 0 THEN 0.5 - pnl ELSE 0 END), 0)"
 SQL["job_incubation_review"] = f"""WITH {METRICS}, ds AS ({_DAILY}), nt AS (SELECT hypothesis, {G} / nullif({L}, 0) AS gross_pf, {_NET} AS net_pf, max(pnl) AS best FROM trades GROUP BY 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import factors, scalars
 from ..functions.frames import series, share, yes
 from ..operators import bars as B
-from ..operators import engines, ewm, joins, metrics, ml, regimes, rules, selection
+from ..operators import blocks, engines, ewm, joins, metrics, ml, regimes, rules, selection
 from ..operators import indicators as I
 from ..sources import io
 from .inputs import BARS, BLOCKS, FEATURES, LABELLED, PART, TICKS, TRADES, bars_sql, ewm_sql, features, frame, hourly, lag, roll, six, stamp, stamped, table, ticks, trades
@@ -950,6 +950,30 @@ def _(s, d):
     return m.select("hypothesis", factors.scenario_verdict(F.col("profit_factor"), F.col("pf_without_best"), F.col("win_rate"), F.col("max_drawdown"), F.col("trades")).alias("verdict"))
 
 
+@query("scenario_criteria")
+def _(s, d):
+    t = trades(s, d)
+    m = metrics.trade_metrics(t, ["hypothesis"], TK).join(metrics.pf_without_best(t, ["hypothesis"], "event_id").select("hypothesis", "pf_without_best"), "hypothesis")
+    met = factors.scenario_criteria(F.col("profit_factor"), F.col("pf_without_best"), F.col("win_rate"), F.col("max_drawdown"), F.col("trades"))
+    return m.select("hypothesis", *(c.alias(k) for k, c in met.items()))
+
+
+@query("early_entry_deltas")
+def _(s, d):
+    """Trades of the reversal rule as they were, and as entered at the last bar of a lesser stretch before."""
+    b = features(s, d).withColumn("stretch_bucket", scalars.stretch_bucket(F.col("z20"))).withColumn("regime", F.lit("any")).withColumn("signal", F.when(F.col("z20") < -1, 1).when(F.col("z20") > 1, -1).otherwise(0))
+    b = blocks.numbered(b, "symbol", "ts", "idx")
+    t = engines.sequential_trades(b.drop("idx"), {"sl_atr": 1.5, "tp_atr": 2.0})
+    return metrics.early_entry_deltas(joins.early_trades(t, b), ["symbol"], ["entry_idx"])
+
+
+@query("gbt_importances")
+def _(s, d):
+    b = I.barrier_label(features(s, d))
+    cols = ["ret1", "ret5", "z20", "atr_ratio"]
+    return s.createDataFrame(ml.importances(ml.gbt_train(b, cols), cols), "feature string, importance double")
+
+
 # sources
 
 
