@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import factors, scalars
 from ..functions.frames import series, share, yes
 from ..operators import bars as B
-from ..operators import blocks, engines, ewm, joins, metrics, ml, regimes, rules, selection
+from ..operators import barriers, blocks, engines, ewm, joins, metrics, ml, regimes, rules, selection
 from ..operators import indicators as I
 from ..sources import io
 from .inputs import BARS, BLOCKS, FEATURES, LABELLED, PART, TICKS, TRADES, bars_sql, ewm_sql, features, frame, hourly, lag, roll, six, stamp, stamped, table, ticks, trades
@@ -425,6 +425,14 @@ def _(s, d):
     return joins.resolve_barriers(t, b).select("symbol", "trade_id", "outcome", F.col("exit_idx").cast("long").alias("exit_idx"), "exit_price")
 
 
+@query("resolve_far_barriers", f"WITH {BARRIER.replace('entry_idx + 48)', 'entry_idx + 400)').replace('1.5 * atr', '15.0 * atr').replace('2.0 * atr', '20.0 * atr')} SELECT symbol, trade_id, CASE WHEN lx IS NOT NULL THEN coalesce(hit, 'TIMEOUT') END AS outcome, coalesce(hx, lx) AS exit_idx, round(CASE hit WHEN 'SL_HIT' THEN sl WHEN 'TP_HIT' THEN tp ELSE lc END, 6) + 0.0::DOUBLE AS exit_price FROM rs")
+def _(s, d):
+    """Stops and targets ten times as far, over 400 bars, through the index of highs and lows."""
+    b = blocks.numbered(signals(s, d), "symbol", "ts", "idx")
+    t = rules.stop_target(b, {"sl_atr": 15.0, "tp_atr": 20.0}).filter("signal != 0").select("symbol", F.col("idx").cast("long").alias("trade_id"), F.col("idx").alias("entry_idx"), F.col("signal").alias("direction"), "sl", "tp")
+    return barriers.resolve_barriers_by_index(t, b, 400).select("symbol", "trade_id", "outcome", F.col("exit_idx").cast("long").alias("exit_idx"), "exit_price")
+
+
 CAL = "cal AS (SELECT ts AS event_time, 'e' || event_id AS title FROM events WHERE event_type = 'error')"
 
 
