@@ -4,24 +4,19 @@ As windows: y_t is the sum of a * (1 - a)**(t - j) * x_j. The sum runs over stre
 came before it has faded to 1e-200; so a stretch needs the value at which the one before ended, and nothing earlier. All
 of it is a frame over the key's rows, in the order that other frames have: no Python and no further shuffle.
 
-A key with very many rows can be dealt out in blocks of time instead: each block gives its last value from zero and the
-factor by which what came before has faded; a scan over these few rows carries values forward; each block then adds its
-share. Missing x keep y; y begins with the first x.
+A key with very many rows can be dealt out in blocks of time instead: within a block the same frames run from its first value,
+which gives its last value and, from the number of its values, the factor by which what came before has faded; a fold over these
+few rows carries values forward, and each row adds its share. Missing x keep y; y begins with the first x.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-
-def _pass(x: np.ndarray, alpha: float) -> np.ndarray:
-    return pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
+from .blocks import with_columns_of
 
 
 def _by_frames(df: DataFrame, columns: dict[str, tuple[str, float]], key: str, order: str) -> DataFrame:
@@ -52,52 +47,40 @@ def _by_frames(df: DataFrame, columns: dict[str, tuple[str, float]], key: str, o
     return out.select(*df.columns, *(F.last(f"_e_{name}", ignorenulls=True).over(upto).alias(name) for name in columns)).drop(*names)
 
 
+def _by_blocks(df: DataFrame, columns: dict[str, tuple[str, float]], key: str, order: str, block: Column) -> DataFrame:
+    rows = df.withColumn("_block", block).withColumn("_own", F.concat_ws("\x01", F.to_json(F.struct(key)), F.col("_block").cast("string")))
+    rows = _by_frames(rows, {f"_own_{n}": x for n, x in columns.items()}, "_own", order)
+    upto = Window.partitionBy("_own").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *(F.count(x).over(upto).alias(f"_at_{n}") for n, (x, _) in columns.items()))
+    figures = [c for n, (x, _) in columns.items() for c in (F.min_by(F.col(x).cast("double"), F.when(F.col(x).isNotNull(), F.col(order))).alias(f"_first_{n}"), F.max_by(f"_own_{n}", order).alias(f"_end_{n}"), F.max(f"_at_{n}").alias(f"_n_{n}"))]
+    cells = rows.groupBy(key, "_block").agg(*figures)
+    every = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_block", *(c for c in cells.columns if c not in (key, "_block"))))).alias("_cells"))
+
+    def before(n: str, a: float) -> Column:
+        """For each block the value that the one before it ended with, null before the first."""
+        none = F.lit(None).cast("double")
+
+        def step(acc: Column, c: Column) -> Column:
+            first, y = c[f"_first_{n}"], acc["y"]
+            after = F.when(c[f"_n_{n}"] == 0, y).otherwise(c[f"_end_{n}"] + F.pow(F.lit(1 - a), c[f"_n_{n}"]) * (F.coalesce(y, first) - first))
+            return F.struct(after.alias("y"), F.concat(acc["all"], F.array(y)).alias("all"))
+
+        return F.aggregate("_cells", F.struct(none.alias("y"), F.array().cast("array<double>").alias("all")), step, lambda acc: acc["all"])
+
+    zipped = F.explode(F.arrays_zip(F.col("_cells").alias("c"), *(before(n, a).alias(f"_before_{n}") for n, (_, a) in columns.items())))
+    borders = every.select(key, zipped.alias("z")).select(key, F.col("z.c._block").alias("_block"), *(F.col(f"z.c._first_{n}").alias(f"_first_{n}") for n in columns), *(F.col(f"z._before_{n}").alias(f"_before_{n}") for n in columns))
+    out = with_columns_of(rows, borders, [key, "_block"], *(f"_{k}_{n}" for n in columns for k in ("first", "before")))
+
+    def value(n: str, a: float) -> Column:
+        own, y = F.col(f"_own_{n}"), F.col(f"_before_{n}")
+        return F.when(own.isNull(), y).when(y.isNull(), own).otherwise(own + F.pow(F.lit(1 - a), F.col(f"_at_{n}")) * (y - F.col(f"_first_{n}")))
+
+    return out.select(*df.columns, *(value(n, a).alias(n) for n, (_, a) in columns.items()))
+
+
 def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "ts", block: Column | None = None) -> DataFrame:
     """``df`` with a column for each name in ``columns``: (column of x, alpha). block: a number that grows with time."""
-    if block is None:
-        return _by_frames(df, columns, key, order)
-    added = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
-    rows = df.withColumn("_block", block)
-    parts = T.StructType([rows.schema[key], rows.schema["_block"], *(T.StructField(f"{c}_{k}", T.DoubleType()) for c in columns for k in ("end", "fade"))])
-
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        """y_end = end + fade * y_before; without a y before, the first x stands in for it, so end alone is not enough."""
-        pdf = pdf.sort_values(order, kind="stable")
-        out = {key: pdf[key].iloc[0], "_block": pdf["_block"].iloc[0]}
-        for name, (x, a) in columns.items():
-            v = pdf[x].dropna().to_numpy(float)
-            # a start at the first x is y_before = x_0; so y_end = y_alone + fade * (y_before - x_0)
-            out[f"{name}_fade"] = float((1 - a) ** len(v))
-            out[f"{name}_end"] = float(_pass(v, a)[-1] - (1 - a) ** len(v) * v[0]) if len(v) else 0.0
-        return pd.DataFrame([out])
-
-    carried = T.StructType([rows.schema[key], rows.schema["_block"], *(T.StructField(f"_{c}", T.DoubleType()) for c in columns)])
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        out = {key: pdf[key].to_numpy(), "_block": pdf["_block"].to_numpy()}
-        for name, (_, a) in columns.items():
-            y, before = np.nan, []
-            for end, fade, first in zip(pdf[f"{name}_end"], pdf[f"{name}_fade"], pdf[f"{name}_first"]):
-                before.append(y)
-                start = first if np.isnan(y) else y
-                y = y if np.isnan(start) else end + fade * start
-            out[f"_{name}"] = before
-        return pd.DataFrame(out)
-
-    firsts = rows.groupBy(key, "_block").agg(*(F.min_by(x, F.when(F.col(x).isNotNull(), F.col(order))).alias(f"{name}_first") for name, (x, _) in columns.items()))
-    starts = rows.groupBy(key, "_block").applyInPandas(ends, parts).join(firsts, [key, "_block"]).groupBy(key).applyInPandas(carry, carried)
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        new = {}
-        for name, (x, a) in columns.items():
-            before = pdf[f"_{name}"].iloc[0]
-            v = pdf[x].to_numpy(float)
-            new[name] = _pass(np.concatenate([[before], v]), a)[1:] if pd.notna(before) else _pass(v, a)
-        return pdf.assign(**new)[added.names]
-
-    return rows.join(starts, [key, "_block"]).groupBy(key, "_block").applyInPandas(apply, added)
+    return _by_frames(df, columns, key, order) if block is None else _by_blocks(df, columns, key, order, block)
 
 
 def seeded(x: Column, n: int, key: str = "symbol", order: str = "ts") -> Column:

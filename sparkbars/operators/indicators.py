@@ -26,8 +26,9 @@ class Indicator:
     results: dict[str, Column] = field(default_factory=dict)
 
 
-def with_indicators(df: DataFrame, *indicators: Indicator) -> DataFrame:
-    """``df`` with the columns of the indicators; names that begin with ``_`` are left out."""
+def with_indicators(df: DataFrame, *indicators: Indicator, block: Column | None = None) -> DataFrame:
+    """``df`` with the columns of the indicators; names that begin with ``_`` are left out. block: deals the recurrences of a hot
+    symbol out by a number that grows with time."""
     def columns(out: DataFrame, part: str) -> DataFrame:
         for one in indicators:
             for name, c in getattr(one, part).items():
@@ -36,7 +37,7 @@ def with_indicators(df: DataFrame, *indicators: Indicator) -> DataFrame:
 
     def recurrences(out: DataFrame, part: str) -> DataFrame:
         every = {name: x for one in indicators for name, x in getattr(one, part).items()}
-        return ewm(out, every) if every else out
+        return ewm(out, every, block=block) if every else out
 
     out = columns(recurrences(columns(recurrences(columns(df, "inputs"), "first"), "between"), "second"), "results")
     return out.drop(*(c for c in out.columns if c.startswith("_") and c not in df.columns))
@@ -64,8 +65,8 @@ def atr_ratio(df: DataFrame, n: int = 20, least: int = 5, low: float = 0.2, high
     return df.withColumn("atr_ratio", clip(ratio(F.col("atr"), rolling(F.avg, F.col("atr"), n, least)), low, high))
 
 
-def ema(df: DataFrame, column: str, *spans: int) -> DataFrame:
-    return ewm(df, {f"ema{s}": (column, 2 / (s + 1)) for s in spans})
+def ema(df: DataFrame, column: str, *spans: int, block: Column | None = None) -> DataFrame:
+    return ewm(df, {f"ema{s}": (column, 2 / (s + 1)) for s in spans}, block=block)
 
 
 def rsi_wilder_parts(n: int = 14) -> Indicator:

@@ -68,6 +68,18 @@ def test_ewm_blocks_equal_one_pass(frame):
     assert len(both) == 400 and np.allclose(both.y, both.y2, equal_nan=True) and np.allclose(both.z, both.z2)
 
 
+def test_wilder_and_macd_by_blocks(spark, frame):
+    """All recurrences of a step, seeds and second steps with blocks of a few bars, of one block, and of blocks without a value."""
+    day = F.floor(F.unix_timestamp("ts") / 86_400)
+    parts = (indicators.rsi_wilder_parts(), indicators.macd_parts(), indicators.adx_parts(), indicators.atr_wilder_parts(30))
+    one = indicators.with_indicators(frame, *parts).orderBy("symbol", "ts").toPandas()
+    for block in (day, F.floor(F.unix_timestamp("ts") / 10_000), F.lit(0)):
+        got = indicators.with_indicators(frame, *parts, block=block).orderBy("symbol", "ts").toPandas()
+        pd.testing.assert_frame_equal(one, got[one.columns], rtol=1e-9, atol=1e-9)
+    plan = ewm.ewm(frame, {"e": ("close", 0.1)}, block=day)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+
+
 @pytest.mark.parametrize("alpha", [0.02, 0.5, 0.9, 0.99, 1.0])
 def test_ewm_over_many_stretches(frame, alpha):
     """The frames equal the recurrence, also where stretches of values end within the series, and after missing values."""
