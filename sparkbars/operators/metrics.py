@@ -46,10 +46,10 @@ def trade_metrics(trades: DataFrame, keys: Keys, order: Keys, pnl: str = "pnl",
     )
 
 
-def breakdown(trades: DataFrame, keys: Keys, kind: str = "rollup", pnl: str = "pnl") -> DataFrame:
-    """Profit factor, count and win rate over all levels of keys; ``level`` is the grouping id."""
+def breakdown(trades: DataFrame, keys: Keys, kind: str = "rollup", pnl: str = "pnl", sets: Sequence[Keys] | None = None) -> DataFrame:
+    """Profit factor, count and win rate over all levels of keys, or over the ``sets`` of them; ``level`` is the grouping id."""
     p = F.col(pnl)
-    grouped = trades.rollup(*keys) if kind == "rollup" else trades.cube(*keys)
+    grouped = trades.groupingSets([[F.col(c) for c in x] for x in sets], *keys) if sets else trades.rollup(*keys) if kind == "rollup" else trades.cube(*keys)
     return grouped.agg(F.grouping_id().alias("level"), F.count(p).alias("trades"), profit_factor(p, "null").alias("pf"), (100 * F.avg((p > 0).cast("double"))).alias("win_rate"), F.sum(p).alias("total"))
 
 

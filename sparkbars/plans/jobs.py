@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import factors, scalars
 from ..functions.frames import series, yes
 from ..operators import bars as B
-from ..operators import engines, joins, metrics, ml, regimes, rules, selection
+from ..operators import blocks, engines, joins, metrics, ml, regimes, rules, selection
 from ..operators import indicators as I
 from ..sources import io
 from ..sources.io import settled
@@ -193,6 +193,30 @@ def regime_separability(s: SparkSession, d: str) -> DataFrame:
     return metrics.separability_score(ks, t.groupBy("symbol", "regime").agg(F.avg("pnl").alias("expectancy")))
 
 
+#: What results are broken down by, next to the symbol.
+CUTS = (("regime",), ("regime", "aligned"), ("bucket", "regime"), ("bucket",), ("mr_setup",), ())
+
+
+def barrier_separability(s: SparkSession, d: str) -> DataFrame:
+    """Signals that leave by stop or target within 48 bars (a bar that touches both is a target), each tagged as its bar was:
+    results by regime, by regime and alignment with the slow average's slopes, by stretch and regime, by stretch, by setup, and in
+    all; with the symbol's separability of regimes, and how far apart aligned and other trades under stress are (null if
+    either has under ten)."""
+    b = I.dual_slope_bias(I.ema_distance(features(s, d))).withColumn("regime", regimes.regime3()).withColumn("signal", rules.entry_rule({"type": "mean_reversion", "feature": "z20", "threshold": 1.0}))
+    b = settled(blocks.numbered(b, "symbol", "ts", "idx").select("symbol", "ts", "idx", "high", "low", "close", "atr", "signal", "regime", "bias", "ema_distance"), "bars")
+    t = rules.stop_target(b, {"sl_atr": 1.5, "tp_atr": 2.0}).filter("signal != 0")
+    t = t.select("symbol", F.col("idx").alias("trade_id"), F.col("ts").alias("entry_time"), F.col("idx").alias("entry_idx"), F.col("signal").alias("direction"), F.col("close").alias("entry"), "sl", "tp")
+    t = joins.resolve_barriers(t, b.select("symbol", "idx", "high", "low", "close"), 48, "TP").filter("outcome IS NOT NULL")
+    t = joins.asof_features(t, b.select("symbol", "ts", "regime", "bias", "ema_distance"), {"regime": "STRUCTURED", "bias": 0, "ema_distance": 0.0})
+    t = joins.alignment(t).withColumn("aligned", F.col("alignment") == "ALIGNED").withColumn("bucket", scalars.stretch_bucket(F.col("ema_distance"))).withColumn("pnl", F.col("direction") * (F.col("exit_price") - F.col("entry")))
+    t = settled(t.select("symbol", "regime", "aligned", "bucket", "mr_setup", "outcome", "pnl"), "tagged")
+    cuts = metrics.breakdown(t, ["symbol", "regime", "aligned", "bucket", "mr_setup"], sets=[("symbol", *x) for x in CUTS])
+    ks = metrics.ks_two_sample(t, "regime", "pnl", [("STRESS", "COMPRESSED"), ("STRESS", "STRUCTURED"), ("COMPRESSED", "STRUCTURED")])
+    apart = metrics.separability_score(ks, t.groupBy("symbol", "regime").agg(F.avg("pnl").alias("expectancy")))
+    stress = metrics.ks_two_sample(t.filter("regime = 'STRESS'").withColumn("side", F.col("aligned").cast("string")), "side", "pnl", [("true", "false")])
+    return cuts.join(apart.select("symbol", "mean_ks", "significant", "spread", "score"), "symbol", "left").join(stress.select("symbol", F.col("ks").alias("stress_ks"), F.col("p").alias("stress_p")), "symbol", "left")
+
+
 def pairs_research(s: SparkSession, d: str) -> DataFrame:
     """Every two symbols: rolling correlation and regression, spreads, their mean reversion, and trades of them."""
     k = ["a", "b"]
@@ -223,12 +247,12 @@ def observed(s: SparkSession, d: str) -> DataFrame:
     b = settled(features(s, d).withColumn("regime", regimes.regime3()).select("symbol", "ts", "regime"), "regimes")
     t = settled(ticks(s, d).select("symbol", "ts", "event_id", (F.col("price") - 35).alias("pnl")), "trades")
     order = ["ts", "event_id"]
-    blocks = regimes.regime_blocks(b)
-    run = regimes.persistence_anomaly(b, regimes.duration_stats(blocks)).withColumn("over", F.col("bars_in_regime") / F.col("p95"))
+    runs = regimes.regime_blocks(b)
+    run = regimes.persistence_anomaly(b, regimes.duration_stats(runs)).withColumn("over", F.col("bars_in_regime") / F.col("p95"))
     run = run.select("symbol", F.when(F.col("over") > 3, 3).when(F.col("over") > 2, 2).when(F.col("over") > 1.5, 1).otherwise(0).alias("anomaly_level"))
     now = regimes.transition_zone(b).groupBy("symbol").agg(F.max_by(F.struct("regime", "in_zone"), "ts").alias("x")).select("symbol", "x.*")
-    before = blocks.withColumn("from_regime", F.lag("regime").over(Window.partitionBy("symbol").orderBy("island"))).groupBy("symbol").agg(F.max_by("from_regime", "island").alias("from_regime"))
-    placed = joins.trades_in_blocks(t.withColumnRenamed("ts", "entry_time"), blocks)
+    before = runs.withColumn("from_regime", F.lag("regime").over(Window.partitionBy("symbol").orderBy("island"))).groupBy("symbol").agg(F.max_by("from_regime", "island").alias("from_regime"))
+    placed = joins.trades_in_blocks(t.withColumnRenamed("ts", "entry_time"), runs)
     change = settled(metrics.per_transition_pf(placed, "symbol", ["entry_time", "event_id"]), "changes")
     level = F.when(F.col("delta") < -0.5, "CRITICAL").when(F.col("delta") < 0, "WARNING").otherwise("INFO")
     change = change.select(F.col("from").alias("from_regime"), F.col("to").alias("regime"), level.alias("level"), F.concat_ws(" to ", "from", "to").alias("message"), F.col("delta").alias("delta_pf"))
@@ -264,4 +288,4 @@ def _rounded(f):
     return lambda s, d: stamped(f(s, d))
 
 
-JOBS = {f"job_{f.__name__}": _rounded(f) for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, regime_separability, pairs_research, incubation_review, observer_cycle)}
+JOBS = {f"job_{f.__name__}": _rounded(f) for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, regime_separability, barrier_separability, pairs_research, incubation_review, observer_cycle)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import BARS, BLOCKS, FEATURES, LABELLED, PART, TICKS, TRADES, bars_sql, ewm_sql, frame, lag, roll, six, stamp
+from .inputs import BARS, BLOCKS, FEATURES, LABELLED, PART, REGIME3, TICKS, TRADES, bars_sql, ewm_sql, frame, lag, roll, six, stamp
 from .queries import BAD, CASCADES, DETAIL, F2, G, GOOD, HZ, L, LABELS3, MATRIX, PAIRS, PLACED, PP, RM, SQL as PLAIN, TYPES
 
 SQL: dict[str, str] = {}
@@ -329,3 +329,34 @@ SQL["job_behavioural_map"] = f"""WITH c AS ({SQL["cascade_summary"]}), z AS ({SQ
 o AS ({PLAIN["duration_pf_correlation"]}), h AS ({SQL["per_transition_pf"]}), l AS ({_LAST})
 SELECT z.symbol, cascades, avg_depth, median_depth, p90_depth, max_depth, worst, avg_recovery, unrecovered_pct, n_zone, n_stable, pf_zone, pf_stable, verdict, d.type AS decay, baseline, final, worst_loss_prob, flagged_runs, o.corr AS duration_corr, l.f AS "from", l.t AS "to", h.delta AS last_change_delta
 FROM c JOIN z ON c.hypothesis = z.symbol LEFT JOIN d ON d.hypothesis = z.symbol LEFT JOIN p ON p.hypothesis = z.symbol LEFT JOIN o ON o.symbol = z.symbol LEFT JOIN l ON l.symbol = z.symbol LEFT JOIN h ON h."from" = l.f AND h."to" = l.t"""
+
+_SETS = ("regime", "regime, aligned", "bucket, regime", "bucket", "mr_setup", "")
+SQL["job_barrier_separability"] = f"""WITH RECURSIVE {FEATURES}, {SLOPES},
+ix AS MATERIALIZED (SELECT *, n - 1 AS idx, {REGIME3} AS regime, {Z20} AS signal, CASE WHEN slope_near > 0 AND slope_far > 0 THEN 1 WHEN slope_near < 0 AND slope_far < 0 THEN -1 ELSE 0 END AS bias,
+  coalesce(CASE WHEN atr <> 0 THEN least(greatest((close - e50) / atr, -10), 10) END, 0) AS away FROM lab),
+mt AS (SELECT g.*, b.idx AS met, b.close AS c, CASE WHEN CASE WHEN g.signal = 1 THEN b.high >= g.close + 2 * g.atr ELSE b.low <= g.close - 2 * g.atr END THEN 'TP' WHEN CASE WHEN g.signal = 1 THEN b.low <= g.close - 1.5 * g.atr ELSE b.high >= g.close + 1.5 * g.atr END THEN 'SL' END AS hit
+  FROM ix g JOIN ix b ON b.symbol = g.symbol AND b.idx BETWEEN g.idx + 1 AND g.idx + 48 WHERE g.signal <> 0),
+rs AS (SELECT symbol, idx, any_value(signal) AS signal, any_value(close) AS entry, any_value(atr) AS atr, any_value(regime) AS regime, any_value(bias) AS bias, any_value(away) AS away, arg_min(hit, CASE WHEN hit IS NOT NULL THEN met END) AS hit, arg_max(c, met) AS final FROM mt GROUP BY 1, 2),
+tg AS MATERIALIZED (SELECT symbol, regime, bias <> 0 AND bias = signal AS aligned, CASE WHEN abs(away) < 0.5 THEN 'B1' WHEN abs(away) < 1 THEN 'B2' WHEN abs(away) < 1.5 THEN 'B3' WHEN abs(away) < 2 THEN 'B4' ELSE 'B5' END AS bucket,
+  abs(away) >= 1 AND sign(away) = -signal AS mr_setup, CASE hit WHEN 'TP' THEN 2 * atr WHEN 'SL' THEN -1.5 * atr ELSE signal * (final - entry) END AS pnl FROM rs),
+cuts AS (SELECT symbol, regime, aligned, bucket, mr_setup, grouping(symbol, regime, aligned, bucket, mr_setup)::BIGINT AS level, count(*) AS trades, {G} / nullif({L}, 0) AS pf, 100.0 * avg((pnl > 0)::INT) AS win_rate, sum(pnl) AS total
+  FROM tg GROUP BY GROUPING SETS ({', '.join('(symbol' + (', ' + x if x else '') + ')' for x in _SETS)})),
+rows AS (SELECT symbol, regime AS g, pnl AS v FROM tg), rg AS (WITH {_ks('rows', "VALUES ('STRESS', 'COMPRESSED'), ('STRESS', 'STRUCTURED'), ('COMPRESSED', 'STRUCTURED')")}, {_SEPARATED}),
+sided AS (SELECT symbol, aligned::VARCHAR AS g, pnl AS v FROM tg WHERE regime = 'STRESS'), sk AS (WITH {_ks('sided', "VALUES ('true', 'false')")} SELECT * FROM ks)
+SELECT cuts.symbol, regime, aligned, bucket, mr_setup, level, trades, {six('pf', 'win_rate', 'total')}, mean_ks, significant, spread, score, round(sk.ks, 6) AS stress_ks, round(sk.p, 6) AS stress_p FROM cuts LEFT JOIN rg ON rg.symbol = cuts.symbol LEFT JOIN sk ON sk.symbol = cuts.symbol"""
+
+SQL["job_observer_cycle"] = f"""WITH {BLOCKS}, {DECAY}, {_status(_EARLY, 0.15)}, placed AS ({PLACED[PLACED.rindex('placed AS (') + 11 : -1]}), {TRANSITION_PF[len(PLACED) + 2 :]},
+cs AS (SELECT hypothesis, avg((pf_30 > 1)::INT) AS consistency FROM dg1 GROUP BY 1),
+st AS (SELECT hypothesis, (count(*) - coalesce(max(CASE WHEN pnl >= 0 THEN k END), 0))::BIGINT AS streak FROM (SELECT *, row_number() OVER ({RP}) AS k FROM trades) GROUP BY 1),
+q AS (SELECT symbol, regime, quantile_cont(bars, 0.95) AS p95 FROM blocks GROUP BY 1, 2), lb AS (SELECT *, lag(regime) OVER (PARTITION BY symbol ORDER BY island) AS earlier FROM blocks),
+nw AS (SELECT lb.symbol, lb.regime, bars <= 8 AS in_zone, CASE WHEN bars <= 8 THEN earlier END AS from_regime, CASE WHEN bars / p95 > 3 THEN 3 WHEN bars / p95 > 2 THEN 2 WHEN bars / p95 > 1.5 THEN 1 ELSE 0 END AS anomaly_level FROM lb JOIN q USING (symbol, regime) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY island DESC) = 1),
+j AS (SELECT s.hypothesis AS symbol, nw.regime, nw.in_zone, nw.from_regime, anomaly_level, pf_30 AS pf, consistency, baseline_pf, pf_30 / nullif(baseline_pf, 0) AS pf_ratio, streak, evenness, degradation_status, decay.type AS decay, pf_after - pf_before AS expected_pf_delta
+  FROM status s JOIN cs USING (hypothesis) JOIN st USING (hypothesis) LEFT JOIN nw ON nw.symbol = s.hypothesis LEFT JOIN decay ON decay.hypothesis = s.hypothesis LEFT JOIN tp ON tp.f = nw.from_regime AND tp.t = nw.regime),
+k AS (SELECT *, CASE WHEN pf_ratio IS NULL THEN 'NO_DATA' WHEN pf_ratio >= 0.75 THEN 'HEALTHY' WHEN pf_ratio >= 0.5 THEN 'DEGRADED' ELSE 'BROKEN' END AS status, CASE WHEN NOT in_zone OR expected_pf_delta IS NULL THEN 0 WHEN expected_pf_delta < -0.5 THEN 3 WHEN expected_pf_delta < 0 THEN 2 ELSE 1 END AS transition_level,
+  list_filter([CASE regime WHEN 'STRESS' THEN 'stress: moves are large and turn often' WHEN 'COMPRESSED' THEN 'compressed: moves are small' END, CASE WHEN expected_pf_delta < 0 THEN from_regime || ' to ' || regime END, CASE WHEN pf_ratio < 0.5 THEN 'profit factor below half of its baseline' WHEN pf_ratio < 0.75 THEN 'profit factor below three quarters of its baseline' END, CASE WHEN decay = 'DECAY' THEN 'the edge has decayed' END], lambda x: x IS NOT NULL) AS l,
+  (regime = 'COMPRESSED')::INT AS info_notes, (regime = 'STRESS')::INT + coalesce(expected_pf_delta < 0 AND expected_pf_delta >= -0.5, false)::INT + coalesce(pf_ratio >= 0.5 AND pf_ratio < 0.75, false)::INT + coalesce(decay = 'DECAY', false)::INT AS warning_notes, coalesce(expected_pf_delta < -0.5, false)::INT + coalesce(pf_ratio < 0.5, false)::INT AS critical_notes FROM j),
+h AS (SELECT *, greatest(0, least(100, 100 + greatest(-25, CASE anomaly_level WHEN 0 THEN 0 WHEN 1 THEN -2 WHEN 2 THEN -5 ELSE -8 END + CASE transition_level WHEN 0 THEN 0 WHEN 1 THEN -2 WHEN 2 THEN -6 ELSE -12 END)
+  - CASE WHEN pf_ratio IS NULL THEN 8 WHEN pf_ratio >= 1 THEN 0 WHEN pf_ratio >= 0.9 THEN 4 WHEN pf_ratio >= 0.75 THEN 10 WHEN pf_ratio >= 0.5 THEN 18 ELSE 25 END - CASE WHEN consistency IS NULL THEN 5 WHEN consistency >= 0.75 THEN 0 WHEN consistency >= 0.55 THEN 4 WHEN consistency >= 0.35 THEN 10 WHEN consistency >= 0.2 THEN 15 ELSE 20 END
+  - CASE WHEN streak <= 0 THEN 0 WHEN streak <= 2 THEN 3 WHEN streak <= 4 THEN 8 ELSE 15 END - CASE WHEN critical_notes > 0 THEN 15 WHEN warning_notes >= 2 THEN 10 WHEN warning_notes = 1 THEN 5 WHEN info_notes > 0 THEN 2 ELSE 0 END))::INT AS health FROM k)
+SELECT symbol, regime, in_zone, from_regime, decay, anomaly_level, transition_level, {six('pf', 'consistency', 'baseline_pf', 'pf_ratio', 'evenness', 'expected_pf_delta')}, status, streak, degradation_status, array_to_string(l, ' | ') AS notes, info_notes, warning_notes, critical_notes,
+CASE WHEN critical_notes > 0 THEN 'CRITICAL' WHEN warning_notes > 0 THEN 'WARNING' ELSE 'INFO' END AS severity, health, CASE WHEN health >= 90 THEN 'EXCELLENT' WHEN health >= 75 THEN 'GOOD' WHEN health >= 60 THEN 'WATCH' WHEN health >= 40 THEN 'WARNING' ELSE 'CRITICAL' END AS band, round(avg(health) OVER (), 6) AS mean_health FROM h"""
