@@ -185,6 +185,31 @@ def nested_filter_selection(s: SparkSession, d: str) -> DataFrame:
     return chosen.join(test, ["fold", "place"], "left").select("fold", "place", "most", "retention", "pf", "test_pf", "valid")
 
 
+def nested_model_selection(s: SparkSession, d: str, labels: tuple = ((2, 0.7), (3, 0.5))) -> DataFrame:
+    """For each labelling (bars ahead, ATRs) and each of three folds that expand: boosted trees fitted on all before the fold
+    trade the fold; others, fitted on the first 70 % of what comes before, trade the rest of it, and there the filter by ADX and
+    ATR ratio is chosen; then the fold's trades with and without that filter, and the filter chosen most often."""
+    cols = ["ret1", "ret5", "ret20", "z20", "disorder", "atr_ratio", "adx", "rsi_w", "bb_pct", "stoch_k"]
+    b = I.disorder_proxy(I.zscore(I.returns(_live(s, d)), "close", 20, "z20")).na.fill(0.0, ["disorder"]).na.drop(subset=cols)
+    b = settled(b.select("symbol", "ts", "close", "atr", *cols), "bars")
+
+    def traded(model, rows: DataFrame, n: int, k: int, part: str) -> DataFrame:
+        t = joins.exit_after(ml.gbt_predict(rows, cols, model).withColumn("signal", scalars.probability_signal(F.col("prob") / 100)), n)
+        return t.select(F.lit(n).alias("horizon"), F.lit(k).alias("fold"), F.lit(part).alias("part"), "pnl", "adx", "atr_ratio")
+
+    out = None
+    for n, atrs in labels:
+        folds = settled(selection.expanding_folds(I.barrier_label(b, n, atrs)), "folds")
+        inner = settled(selection.inner_split(folds), "inner")
+        for k in range(3):
+            mine, before = folds.filter(F.col("fold") == k), inner.filter(F.col("fold") == k)
+            tests = traded(ml.gbt_train(mine.filter("part = 'train'"), cols), mine.filter("part = 'test'"), n, k, "test")
+            chooses = traded(ml.gbt_train(before.filter("inner = 'fit'"), cols), before.filter("inner = 'select'"), n, k, "select")
+            both = tests.unionByName(chooses)
+            out = both if out is None else out.unionByName(both)
+    return selection.nested_filters(settled(out, "trades"))
+
+
 def regime_separability(s: SparkSession, d: str) -> DataFrame:
     """Trades by the regime of their bar: how far apart the regimes' results are."""
     b = features(s, d).withColumn("regime", regimes.regime3())
@@ -288,4 +313,4 @@ def _rounded(f):
     return lambda s, d: stamped(f(s, d))
 
 
-JOBS = {f"job_{f.__name__}": _rounded(f) for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, regime_separability, barrier_separability, pairs_research, incubation_review, observer_cycle)}
+JOBS = {f"job_{f.__name__}": _rounded(f) for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, nested_model_selection, regime_separability, barrier_separability, pairs_research, incubation_review, observer_cycle)}
