@@ -262,6 +262,36 @@ def incubation_review(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("verdict", factors.scenario_verdict(F.col("net_pf"), F.col("pf_without_best"), F.col("win_rate"), F.col("max_drawdown"), F.col("trades")))
 
 
+#: Horizons of logged signals, in seconds.
+LOGGED = {"5min": 300, "30min": 1800, "1h": 3600, "4h": 14400}
+
+
+def signal_review(s: SparkSession, d: str, cost: float = 0.5) -> DataFrame:
+    """A log of signals with nested features, appended as JSON in two parts and read back: each symbol's results in per cent an
+    hour on, after costs and without its best signal, drawdown, daily ratios, how much of each horizon is filled and its factor, the
+    factor of scores from 50 on, its best hour of the day, each criterion and the verdict."""
+    t = ticks(s, d).select(F.col("event_id").alias("id"), "symbol", "ts", "price")
+    filled = joins.fill_outcomes(t, t.select("symbol", "ts", "price"), LOGGED, F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"))
+    side = F.when(F.col("id") % 2 == 0, "BUY").otherwise("SELL")
+    found = F.struct(*(F.when(F.lit(c == "score"), F.col("id") % 100).cast("double").alias(c) for c in io.FEATURES), F.lit("neutral").alias("sentiment"))
+    log = filled.select("id", io.signal_id(F.col("symbol"), F.col("ts")).alias("signal_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_utc"), "symbol", side.alias("signal"), F.col("price").alias("price_at_signal"), found.alias("features"), *(F.col(f"outcome_{h}").cast("string").alias(f"outcome_{h}") for h in LOGGED))
+    log, path = settled(log, "signals"), io.scratch(s, "log")
+    for part in (0, 1):
+        io.append_signal_log(log.filter(F.col("id") % 2 == part).drop("id"), path)
+    log = io.read_signal_log(s, path)
+    key = ["symbol"]
+    t = settled(io.flatten_signal_log(log).select("symbol", "signal_id", F.col("timestamp_utc").cast("timestamp_ntz").alias("ts"), "feat_score", (F.when(F.col("signal") == "BUY", 1).otherwise(-1) * F.col("outcome")).alias("pnl")), "outcomes")
+    out = metrics.net_profit_factor(t, key, cost).join(metrics.pf_without_best(t, key, "signal_id").drop("pf"), key)
+    out = out.join(metrics.trade_metrics(t, key, ["ts", "signal_id"]).select("symbol", "trades", "win_rate", "max_drawdown"), key).join(metrics.daily_sharpe_sortino(t, key), key)
+    held = log.groupBy("symbol").agg(*(f(F.expr(f"try_cast(outcome_{h} AS double)")).alias(f"{n}_{h}") for h in LOGGED for n, f in (("filled", lambda c: F.avg(c.isNotNull().cast("double"))), ("pf", lambda c: factors.profit_factor(c, "null")))))
+    sound = metrics.pf_by_score_bucket(t, "feat_score", key, (50,)).filter("symbol IS NOT NULL").select("symbol", F.col("pf").alias("pf_high_score"))
+    hours = t.groupBy(*key, F.hour("ts").alias("h")).agg(factors.profit_factor(F.col("pnl"), "null").alias("pf")).filter("pf IS NOT NULL")
+    hours = hours.groupBy(*key).agg(F.max_by("h", F.struct(F.round("pf", 9), -F.col("h"))).alias("best_hour"), F.max("pf").alias("best_hour_pf"))
+    out = out.join(held, key, "left").join(sound, key, "left").join(hours, key, "left")
+    figures = [F.col(c) for c in ("net_pf", "pf_without_best", "win_rate", "max_drawdown", "trades")]
+    return out.select("*", *(c.alias(n) for n, c in factors.scenario_criteria(*figures).items()), factors.scenario_verdict(*figures).alias("verdict"))
+
+
 #: Notes on regimes and changes, for ``risk_context``.
 REGIME_RISKS = (("STRESS", "WARNING", "stress: moves are large and turn often"), ("COMPRESSED", "INFO", "compressed: moves are small"))
 
@@ -313,4 +343,4 @@ def _rounded(f):
     return lambda s, d: stamped(f(s, d))
 
 
-JOBS = {f"job_{f.__name__}": _rounded(f) for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, nested_model_selection, regime_separability, barrier_separability, pairs_research, incubation_review, observer_cycle)}
+JOBS = {f"job_{f.__name__}": _rounded(f) for f in (signal_pipeline, grid_search, batch_research, behavioural_map, variant_comparison, walk_forward_experiment, nested_filter_selection, nested_model_selection, regime_separability, barrier_separability, pairs_research, incubation_review, signal_review, observer_cycle)}

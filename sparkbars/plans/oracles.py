@@ -360,3 +360,18 @@ h AS (SELECT *, greatest(0, least(100, 100 + greatest(-25, CASE anomaly_level WH
   - CASE WHEN streak <= 0 THEN 0 WHEN streak <= 2 THEN 3 WHEN streak <= 4 THEN 8 ELSE 15 END - CASE WHEN critical_notes > 0 THEN 15 WHEN warning_notes >= 2 THEN 10 WHEN warning_notes = 1 THEN 5 WHEN info_notes > 0 THEN 2 ELSE 0 END))::INT AS health FROM k)
 SELECT symbol, regime, in_zone, from_regime, decay, anomaly_level, transition_level, {six('pf', 'consistency', 'baseline_pf', 'pf_ratio', 'evenness', 'expected_pf_delta')}, status, streak, degradation_status, array_to_string(l, ' | ') AS notes, info_notes, warning_notes, critical_notes,
 CASE WHEN critical_notes > 0 THEN 'CRITICAL' WHEN warning_notes > 0 THEN 'WARNING' ELSE 'INFO' END AS severity, health, CASE WHEN health >= 90 THEN 'EXCELLENT' WHEN health >= 75 THEN 'GOOD' WHEN health >= 60 THEN 'WATCH' WHEN health >= 40 THEN 'WARNING' ELSE 'CRITICAL' END AS band, round(avg(health) OVER (), 6) AS mean_health FROM h"""
+
+_LOGGED = {"5min": 300, "30min": 1800, "1h": 3600, "4h": 14400}
+_PFS = lambda x: f"{G.replace('pnl', x)} / nullif({L.replace('pnl', x)}, 0)"
+_HELD = ", ".join(f"avg((r{n} IS NOT NULL)::INT) AS filled_{h}, {_PFS(f'r{n}')} AS pf_{h}" for h, n in _LOGGED.items())
+_CRITERIA = {"enough_trades": "trades >= 30", "pf_ok": "net_pf >= 1.3", "pf_without_best_ok": "pf_without_best >= 1.1", "drawdown_ok": "max_drawdown <= 500", "win_rate_ok": "win_rate >= 40"}
+SQL["job_signal_review"] = f"""WITH s AS (SELECT event_id AS id, event_type AS symbol, ts, value AS price, strftime(ts, '%Y%m%d%H%M%S%f') AS moment FROM events),
+{', '.join(f"o{n} AS (SELECT s.id, (p.value / nullif(s.price, 0) - 1) * 100 AS r{n} FROM (SELECT *, ts + INTERVAL {n} SECOND AS due FROM s) s ASOF JOIN events p ON s.symbol = p.event_type AND p.ts >= s.due WHERE s.due <= TIMESTAMP '2024-01-28 00:00:00')" for n in _LOGGED.values())},
+lg AS MATERIALIZED (SELECT s.*, {', '.join(f'r{n}' for n in _LOGGED.values())} FROM s {' '.join(f'LEFT JOIN o{n} ON o{n}.id = s.id' for n in _LOGGED.values())}),
+t AS MATERIALIZED (SELECT symbol, ts, moment, (id % 100) AS score, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END * r3600 AS pnl FROM lg WHERE r3600 IS NOT NULL),
+cu AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY ts, moment) AS cum FROM t), dd AS (SELECT symbol, max(top - cum) AS max_drawdown FROM (SELECT *, max(cum) OVER (PARTITION BY symbol ORDER BY ts, moment) AS top FROM cu) GROUP BY 1),
+m AS (SELECT symbol, {G} / nullif({L}, 0) AS gross_pf, {_NET} AS net_pf, max(pnl) AS best, CASE WHEN {L} > 0 THEN ({G} - greatest(max(pnl), 0)) / {L} END AS pf_without_best, count(*) AS trades, 100.0 * avg((pnl > 0)::INT) AS win_rate, {_PFS('pnl').replace('pnl > 0', 'score >= 50 AND pnl > 0').replace('pnl < 0', 'score >= 50 AND pnl < 0')} AS pf_high_score FROM t GROUP BY 1),
+ds AS ({_DAILY.replace(TRADES, 'trades AS (SELECT symbol AS hypothesis, ts, pnl FROM t)')}),
+hd AS (SELECT symbol, {_HELD} FROM lg GROUP BY 1), hr AS (SELECT symbol, hour(ts) AS h, {G} / nullif({L}, 0) AS pf FROM t GROUP BY 1, 2), bh AS (SELECT symbol, h::INT AS best_hour, pf AS best_hour_pf FROM hr WHERE pf IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(pf, 9) DESC, h) = 1)
+SELECT m.symbol, {six('gross_pf', 'net_pf', 'best', 'pf_without_best')}, trades, {six('win_rate', 'max_drawdown')}, days, sharpe, sortino, {six(*(f'{k}_{h}' for h in _LOGGED for k in ('filled', 'pf')))}, {six('pf_high_score')}, best_hour, {six('best_hour_pf')}, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _CRITERIA.items())}, {_scenario('net_pf')} AS verdict
+FROM m JOIN ds ON ds.hypothesis = m.symbol JOIN dd ON dd.symbol = m.symbol LEFT JOIN hd ON hd.symbol = m.symbol LEFT JOIN bh ON bh.symbol = m.symbol"""
