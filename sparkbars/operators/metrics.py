@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.factors import gains, losses, profit_factor, profit_factor_over
 from ..functions.frames import clip, last_rows, ratio, series, yes
+from ..sources.io import settled
 from . import blocks
 
 Keys = Sequence[str]
@@ -445,7 +446,8 @@ def early_entry_deltas(pairs: DataFrame, keys: Keys, order: Keys, pnl: str = "pn
     """Of trades that have both, figures as they were and as entered early, their differences, and how many hours early they were.
 
     pairs: ``pnl``, ``early_pnl`` and ``hours_early`` (``joins.early_trades``); trades without an early one are left out."""
-    both = pairs.filter(F.col(early).isNotNull() & F.col(pnl).isNotNull())
+    kept = [*dict.fromkeys([*keys, *order, "hours_early", pnl, early])]
+    both = settled(pairs.filter(F.col(early).isNotNull() & F.col(pnl).isNotNull()).select(*kept), "early")
     sides = {"actual": pnl, "early": early}
     names = ("trades", "win_rate", "profit_factor", "expectancy", "sharpe", "max_drawdown", "total")
     out = both.groupBy(*keys).agg(F.avg("hours_early").alias("avg_hours"), *(F.sum(((F.col("hours_early") >= a) & (F.col("hours_early") < z)).cast("int")).alias(f"lead {name}") for name, a, z in LEADS))

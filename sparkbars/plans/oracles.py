@@ -375,3 +375,24 @@ ds AS ({_DAILY.replace(TRADES, 'trades AS (SELECT symbol AS hypothesis, ts, pnl
 hd AS (SELECT symbol, {_HELD} FROM lg GROUP BY 1), hr AS (SELECT symbol, hour(ts) AS h, {G} / nullif({L}, 0) AS pf FROM t GROUP BY 1, 2), bh AS (SELECT symbol, h::INT AS best_hour, pf AS best_hour_pf FROM hr WHERE pf IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(pf, 9) DESC, h) = 1)
 SELECT m.symbol, {six('gross_pf', 'net_pf', 'best', 'pf_without_best')}, trades, {six('win_rate', 'max_drawdown')}, days, sharpe, sortino, {six(*(f'{k}_{h}' for h in _LOGGED for k in ('filled', 'pf')))}, {six('pf_high_score')}, best_hour, {six('best_hour_pf')}, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _CRITERIA.items())}, {_scenario('net_pf')} AS verdict
 FROM m JOIN ds ON ds.hypothesis = m.symbol JOIN dd ON dd.symbol = m.symbol LEFT JOIN hd ON hd.symbol = m.symbol LEFT JOIN bh ON bh.symbol = m.symbol"""
+
+_SEQ = PLAIN["sequential_trades"]
+_EARLY_HIT = "CASE WHEN CASE WHEN direction = 1 THEN b.low <= ec - 1.5 * ea ELSE b.high >= ec + 1.5 * ea END THEN 'SL' WHEN CASE WHEN direction = 1 THEN b.high >= ec + 2 * ea ELSE b.low <= ec - 2 * ea END THEN 'TP' END"
+
+
+def _figures(side: str, p: str) -> str:
+    """``m_{side}``: figures of ``p`` of the rows ``two`` of each symbol."""
+    return f"""c_{side} AS (SELECT symbol, entry_idx, {p} AS pnl, sum({p}) OVER (PARTITION BY symbol ORDER BY entry_idx) AS cum FROM two), d_{side} AS (SELECT *, max(cum) OVER (PARTITION BY symbol ORDER BY entry_idx) - cum AS dd FROM c_{side}),
+m_{side} AS (SELECT symbol, count(*) AS {side}_trades, 100.0 * avg((pnl > 0)::INT) AS {side}_win_rate, {G} / greatest({L}, 1e-9) AS {side}_profit_factor, avg(pnl) AS {side}_expectancy, coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0), 0) AS {side}_sharpe, max(dd) AS {side}_max_drawdown, sum(pnl) AS {side}_total FROM d_{side} GROUP BY 1)"""
+
+
+_MORE = ("win_rate", "profit_factor", "expectancy", "sharpe", "max_drawdown", "total")
+_LEADS = {"0-2h": (0, 2), "2-5h": (2, 5), "5-10h": (5, 10), ">10h": (10, 999)}
+SQL["early_entry_deltas"] = f"""{_SEQ[: _SEQ.rindex('SELECT ps.symbol') - 1]}, tr AS (SELECT ps.symbol, ps.entry_idx, ps.pnl, sg.direction, ix.ts AS "at" FROM tk JOIN ps ON ps.symbol = tk.symbol AND ps.entry_idx = tk.e JOIN sg ON sg.symbol = ps.symbol AND sg.entry_idx = ps.entry_idx JOIN ix ON ix.symbol = ps.symbol AND ix.idx = ps.entry_idx),
+lesser AS (SELECT symbol, ts, idx AS ei, close AS ec, CASE WHEN atr > 0 THEN atr ELSE 0.0001 END AS ea FROM ix WHERE abs(z20) >= 0.5 AND abs(z20) < 1),
+fd AS (SELECT tr.*, ei, ec, ea, (epoch_us(tr."at") - epoch_us(l.ts)) / 3.6e9 AS hours FROM tr ASOF JOIN lesser l ON tr.symbol = l.symbol AND tr."at" > l.ts),
+em AS (SELECT fd.*, b.idx AS met, b.close AS c, {_EARLY_HIT} AS hit FROM fd JOIN ix b ON b.symbol = fd.symbol AND b.idx BETWEEN ei + 1 AND ei + 48 WHERE hours <= 12),
+er AS (SELECT symbol, entry_idx, any_value(pnl) AS pnl, any_value(hours) AS hours, any_value(direction) AS direction, any_value(ec) AS ec, any_value(ea) AS ea, arg_min(hit, CASE WHEN hit IS NOT NULL THEN met END) AS hit, arg_max(c, met) AS final FROM em GROUP BY 1, 2),
+two AS MATERIALIZED (SELECT *, CASE hit WHEN 'SL' THEN -1.5 * ea WHEN 'TP' THEN 2 * ea ELSE direction * (final - ec) END AS early FROM er), {_figures('actual', 'pnl')}, {_figures('early', 'early')},
+ld AS (SELECT symbol, avg(hours) AS avg_hours, {', '.join(f'sum((hours >= {a} AND hours < {z})::INT)::BIGINT AS "lead {k}"' for k, (a, z) in _LEADS.items())} FROM two GROUP BY 1)
+SELECT symbol, {six('avg_hours')}, {', '.join(f'"lead {k}"' for k in _LEADS)}, actual_trades, early_trades, {six(*(f'{x}_{c}' for x in ('actual', 'early') for c in _MORE))}, {', '.join(f'round(early_{c} - actual_{c}, 6) + 0.0::DOUBLE AS delta_{c}' for c in ('expectancy', 'win_rate', 'profit_factor', 'max_drawdown'))} FROM ld JOIN m_actual USING (symbol) JOIN m_early USING (symbol)"""

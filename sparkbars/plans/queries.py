@@ -970,7 +970,7 @@ def _(s, d):
 def _(s, d):
     """Trades of the reversal rule as they were, and as entered at the last bar of a lesser stretch before."""
     b = features(s, d).withColumn("stretch_bucket", scalars.stretch_bucket(F.col("z20"))).withColumn("regime", F.lit("any")).withColumn("signal", F.when(F.col("z20") < -1, 1).when(F.col("z20") > 1, -1).otherwise(0))
-    b = blocks.numbered(b, "symbol", "ts", "idx")
+    b = io.settled(blocks.numbered(b, "symbol", "ts", "idx"), "bars")
     t = engines.sequential_trades(b.drop("idx"), {"sl_atr": 1.5, "tp_atr": 2.0})
     return metrics.early_entry_deltas(joins.early_trades(t, b), ["symbol"], ["entry_idx"])
 
