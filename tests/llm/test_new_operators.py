@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -244,6 +246,54 @@ def test_a_hot_passage_is_split(spark):
     assert got == {k: kept for k, (_, _, kept) in enumerate(brute_repeats(texts, 100))}
 
 
+def test_equal_documents_have_equal_runs_wherever_pieces_end(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    rng = random.Random(4)
+    copy = bytes(rng.choices(b"abcd", k=40))
+    texts = [x for k in range(12) for x in (copy, bytes(rng.choices(b"abcd", k=k)), b"")]
+    offsets = np.cumsum([0, *map(len, texts)])
+    runs = {}
+    for piece in suffix_dedup.window_runs(np.frombuffer(b"".join(texts), np.uint8), offsets, 12, 4):
+        for doc, h, *places in zip(*piece):
+            runs.setdefault(int(doc), []).append((int(h), *(int(x - offsets[doc]) for x in places)))
+    assert len(runs[0]) > 1 and all(runs[k] == runs[0] for k in range(0, len(texts), 3))
+
+
+def traced_mb(f):
+    """Result and peak MB of what Python and numpy take meanwhile."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_tasks_memory_does_not_follow_its_text():
+    """Runs of texts and windows of a shard are found a part at a time."""
+    rng = np.random.default_rng(1)
+    offsets = np.arange(0, (6 << 20) + 1, 2048)
+    text = rng.integers(97, 123, offsets[-1], np.uint8)
+    n, mb = traced_mb(lambda: sum(len(x[0]) for x in suffix_dedup.window_runs(text, offsets, 400, 133)))
+    assert n > 30_000 and mb < 80, mb
+
+    def shard(cells):
+        rows = [(c, 10 * c + k, 0, 0, 133, text[2000 * c : 2000 * c + 533 - 100 * (k == 2)].tobytes()) for c in range(cells) for k in range(3)]
+        return pd.DataFrame(rows, columns=["cell", "id", "at", "x0", "x1", "bytes"]).sample(frac=1, random_state=3)
+
+    small, mb_small = traced_mb(lambda: suffix_dedup.repeated_in_cells(shard(30), 400, 8000))
+    large, mb_large = traced_mb(lambda: suffix_dedup.repeated_in_cells(shard(300), 400, 8000))
+    assert len(small) == 90 and len(large) == 900 and set(small.itertuples(index=False)) <= set(large.itertuples(index=False))
+    assert mb_large < 3 * mb_small, (mb_small, mb_large)
+    whole = suffix_dedup.repeated_in_cells(shard(300), 400, 1 << 30)
+    assert sorted(map(tuple, whole.to_numpy().tolist())) == sorted(map(tuple, large.to_numpy().tolist()))
+
+
+@pytest.mark.parametrize("sizes, most, want", [([], 5, []), ([(1, 9)], 5, [(0, 1)]), ([(1, 2), (1, 2), (2, 1), (3, 4), (3, 9), (4, 1), (5, 1)], 5, [(0, 3), (3, 5), (5, 7)])])
+def test_cells_together(sizes, most, want):
+    cell, size = (np.array([x[k] for x in sizes], np.int64) for k in (0, 1))
+    assert list(suffix_dedup.cells_together(cell, size, most)) == want
+
+
 # queries
 
 
