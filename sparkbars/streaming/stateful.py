@@ -33,10 +33,6 @@ IDLE, STRETCH = 30 * 86_400, 3600
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _value(x):
-    return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x
-
-
 def typed_states(spark: SparkSession) -> None:
     """Typed states need the RocksDB store; a session that has chosen another of its own keeps it."""
     name = "spark.sql.streaming.stateStore.providerClass"
@@ -118,17 +114,26 @@ def run(df: DataFrame, keys: Sequence[str], step: Step, out: str, state: str, at
     names = [*keys, *T._parse_datatype_string(out).names]
 
     if not df.isStreaming:  # a stretch begins without a state
-        part = ["_stretch"] if "_stretch" in df.columns else []
-
-        def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            rows, now = [], {}
-            pdf = pdf.sort_values(at, kind="stable")
-            for values in zip(*(pdf[c] for c in pdf.columns)):
-                now, new = step(now, {k: _value(v) for k, v in zip(pdf.columns, values)})
-                rows += [(*key[: len(keys)], *x) for x in new]
-            return pd.DataFrame(rows, columns=names)
-
-        return df.groupBy(*keys, *part).applyInPandas(walk, schema)
+        own = [*keys, *(["_stretch"] if "_stretch" in df.columns else [])]
+        columns = [*own, *(c for c in df.columns if c not in own)]
+        whole = [k for k in keys if isinstance(df.schema[k].dataType, T.IntegralType)]  # text on the way: pandas has no missing integers
+
+        def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, now = None, {}
+            for pdf in parts:
+                rows = []
+                for values in zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in columns)):
+                    if values[: len(own)] != last:
+                        last, now = values[: len(own)], {}
+                    now, new = step(now, dict(zip(columns, values)))
+                    rows += [(*values[: len(keys)], *x) for x in new]
+                yield pd.DataFrame(rows, columns=names)
+
+        # stretches are many and short: a task has its own one after another, in one pass over its sorted rows
+        rows = df.select(*(F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in columns))
+        there = ", ".join(f"{k} {'string' if k in whole else kinds[k]}" for k in keys) + ", " + out
+        walked = rows.repartition(*own).sortWithinPartitions(*own, at).mapInPandas(walk, there)
+        return walked.select(*(F.col(c).cast(kinds[c]).alias(c) if c in whole else F.col(c) for c in names))
 
     typed_states(df.sparkSession)
     columns = T.StructType([f for f in df.schema.fields if f.name not in keys])
