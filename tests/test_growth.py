@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkbars.streaming import stateful
+from sparkbars.streaming import stateful, windows
 from tests.test_operators import START
 
 hours = lambda h: START + dt.timedelta(hours=h)
@@ -36,3 +37,18 @@ def test_throttle_walks_its_stretches_in_one_pass(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(got, key=str) == sorted(want, key=str)
     assert "FlatMapGroupsInPandas" not in plan(out)
+
+
+def test_first_outcomes_of_tables_make_no_pairs(spark):
+    """Many prices in the slack are not paired with each signal, and missing symbols meet nothing."""
+    rows = [(k, [None, "A", "B"][k % 3], START + dt.timedelta(seconds=7 * k), 10.0 + k) for k in range(900)]
+    frame = spark.createDataFrame(rows, "id long, symbol string, ts timestamp, price double")
+    out = windows.stream_first_outcomes(frame, frame, {"1min": 60, "1h": 3600}, 900)
+    want = {}
+    for i, s, t, p in rows:
+        for h, n in (("1min", 60), ("1h", 3600)):
+            later = [(u, q) for _, x, u, q in rows if x == s and s and n <= (u - t).total_seconds() <= n + 900]
+            want[i, h] = ((min(later)[1] / p - 1) * 100, min(later)[0]) if later else (None, None)
+    got = {(r.id, r.horizon): (r.outcome, r["at"]) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+    assert "at#" in plan(out) and not re.search(r"Join .*(>=|<=)", plan(out))
