@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sparkbars.plans import streams
 from sparkbars.streaming import stateful, windows
 from tests.test_operators import START
 
@@ -52,3 +53,16 @@ def test_first_outcomes_of_tables_make_no_pairs(spark):
     got = {(r.id, r.horizon): (r.outcome, r["at"]) for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
     assert "at#" in plan(out) and not re.search(r"Join .*(>=|<=)", plan(out))
+
+
+def test_outcomes_meet_by_cells(spark, small):
+    """Pairs have an equality on a cell of time, and the query makes none."""
+    at = lambda m: START + dt.timedelta(minutes=m)
+    frame = spark.createDataFrame([(k, "A" if k % 2 else "B", at(7 * k), 10.0 + k) for k in range(60)], "id long, symbol string, ts timestamp, price double")
+    pairs = windows.stream_outcomes(frame, frame, {"30min": 1800}, 1200)
+    assert pairs.count() == sum(1800 <= 420 * (b - a) <= 3000 for a in range(60) for b in range(60) if (a - b) % 2 == 0)
+    assert "pcell" in plan(pairs)
+    least = pairs.groupBy("id", "horizon").agg(F.min("at").alias("at"))
+    first = windows.stream_outcomes(frame, frame, {"30min": 1800}, 1200, first=True)
+    assert sorted(map(tuple, first.select("id", "horizon", "at").collect())) == sorted(map(tuple, least.collect()))
+    assert not re.search(r"Join .*(>=|<=)", plan(streams.QUERIES["stream_outcomes"](spark, small)))
