@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import series, yes
+from . import blocks
 
 
 def asof(left: DataFrame, right: DataFrame, values: Sequence[str], key: str = "symbol", at: str = "ts", right_at: str = "ts", forward: bool = False, strict: bool = False, cell: int = 86_400) -> DataFrame:
@@ -76,14 +77,21 @@ def resolve_barriers(trades: DataFrame, bars: DataFrame, max_bars: int = 48, tie
 def danger_zone(signals: DataFrame, events: DataFrame, seconds: int = 1800, at: str = "ts", key: str = "id") -> DataFrame:
     """Whether an event (``event_time``, ``title``) lies within so many seconds of a signal, and the nearest one's title.
 
-    Cells of that width: an event goes to its own and both neighbours', so equal cells hold all pairs that can match.
+    Rows don't grow with the events in a zone: those in it are the events up to its end less those before its begin, and the nearest
+    is the last up to the signal or the first from it on (at equal distance the earlier; at equal times the smallest title).
     """
-    cell = lambda c: F.floor(F.unix_timestamp(c) / seconds)
-    e = events.select("event_time", "title", F.explode(F.array(*(cell("event_time") + k for k in (-1, 0, 1)))).alias("_cell"))
-    near = signals.select(key, F.col(at).alias("_t"), cell(at).alias("_cell")).join(e, "_cell")
-    gap = F.abs(F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("event_time").cast("timestamp")))
-    near = near.withColumn("_gap", gap).filter(F.col("_gap") <= seconds * 1_000_000).groupBy(key).agg(F.min(F.struct("_gap", "event_time", "title")).alias("_e"), F.count(F.lit(1)).alias("events"))
-    return signals.join(near, key, "left").withColumn("blocked", F.col("_e").isNotNull()).withColumn("title", F.col("_e.title")).withColumn("events", F.coalesce("events", F.lit(0))).drop("_e")
+    us, width = lambda c: F.unix_micros(F.col(c).cast("timestamp")), seconds * 1_000_000
+    cell = max(width, 3_600_000_000)
+    times = events.filter("event_time IS NOT NULL").groupBy(us("event_time").alias("_at")).agg(F.min(F.struct("title")).alias("_l"), F.count(F.lit(1)).alias("_n")).select(F.lit(0).alias("_k"), "_at", "_l", "_n")
+    counted = blocks.running(times, "_k", "_at", sums={"_upto": F.col("_n")}, width=cell)
+    own = signals.select(key, F.lit(0).alias("_k"), us(at).alias("_t"))
+    ends = F.explode(F.array(*(F.struct(F.lit(sign).alias("sign"), (F.col("_t") + d).alias("p")) for sign, d in ((0, 0), (1, width), (-1, -width - 1)))))
+    before = asof(own.select("*", ends.alias("_s")).select(key, "_k", "_t", F.col("_s.sign").alias("_sign"), F.col("_s.p").alias("_p")), counted, ["_l", "_upto"], "_k", "_p", "_at", cell=cell)
+    after = asof(own, times, ["_l"], "_k", "_t", "_at", forward=True, cell=cell).select(key, "_t", "asof_ts", "_l", F.lit(0).alias("_sign"), F.lit(0).cast("long").alias("_upto"))
+    gap = F.abs(F.col("_t") - F.col("asof_ts"))
+    nearest = F.when((F.col("_sign") == 0) & (gap <= width), F.struct(gap.alias("gap"), F.col("asof_ts").alias("at"), F.col("_l.title").alias("title")))
+    found = before.select(*after.columns).unionByName(after).groupBy(key).agg(F.min(nearest).alias("_e"), F.sum(F.col("_sign") * F.col("_upto")).alias("events"))
+    return signals.join(found, key, "left").withColumn("blocked", F.col("_e").isNotNull()).withColumn("title", F.col("_e.title")).withColumn("events", F.coalesce("events", F.lit(0))).drop("_e")
 
 
 def upcoming_events(events: DataFrame, now: Column, n: int = 5, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sparkbars.operators import joins
 from sparkbars.plans import streams
 from sparkbars.streaming import stateful, windows
 from tests.test_operators import START
@@ -18,6 +19,22 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def most_rows(df) -> int:
+    """The most rows that an operator of the plan, run here, put out."""
+    def nodes(p):
+        if p.nodeName() == "AdaptiveSparkPlan":
+            return nodes(p.executedPlan())
+        if p.nodeName().endswith("QueryStage"):
+            return nodes(p.plan())
+        kids = p.children()
+        return [p, *(n for k in range(kids.size()) for n in nodes(kids.apply(k)))]
+
+    rows = df._jdf.queryExecution()
+    rows.toRdd().count()
+    counts = [n.metrics().get("numOutputRows") for n in nodes(rows.executedPlan())]
+    return max(c.get().value() for c in counts if c.isDefined())
+
+
 def test_throttle_walks_its_stretches_in_one_pass(spark):
     """Of stretches that are many and short none is a group of its own, and one goes on over batches; missing keys are keys."""
     rng = random.Random(3)
@@ -66,3 +83,24 @@ def test_outcomes_meet_by_cells(spark, small):
     first = windows.stream_outcomes(frame, frame, {"30min": 1800}, 1200, first=True)
     assert sorted(map(tuple, first.select("id", "horizon", "at").collect())) == sorted(map(tuple, least.collect()))
     assert not re.search(r"Join .*(>=|<=)", plan(streams.QUERIES["stream_outcomes"](spark, small)))
+
+
+def test_danger_zone_makes_no_pairs(spark):
+    """Counts and the nearest event's title against each pair, with equal times, ids that repeat, and missing times."""
+    rng = random.Random(5)
+    moment = lambda: rng.choice([None, *[START + dt.timedelta(seconds=rng.randrange(40_000), microseconds=rng.randrange(2)) for _ in range(9)]])
+    signals = [(rng.randrange(80), moment()) for _ in range(90)] + [(None, START)]
+    events = [(moment(), f"e{k}") for k in range(60)]
+    events += [(t, f"d{k}") for k, (t, _) in enumerate(events[:20])]
+    out = joins.danger_zone(spark.createDataFrame(signals, "id long, ts timestamp"), spark.createDataFrame(events, "event_time timestamp, title string"), 900)
+    near = {}
+    for i, t in signals:
+        if i is not None and t:
+            near.setdefault(i, []).extend((abs(u - t), u, x) for u, x in events if u and abs(u - t) <= dt.timedelta(seconds=900))
+    want = sorted(((i, t, bool(near.get(i)), min(near[i])[2] if near.get(i) else None, len(near.get(i, []))) for i, t in signals), key=str)
+    assert sorted(((r.id, r.ts, r.blocked, r.title, r.events) for r in out.collect()), key=str) == want and any(w[4] > 2 for w in want)
+    # 400 events in each of 400 zones: a join of theirs would have 160,000 rows
+    many = spark.range(400).select("id", (F.lit(START).cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("ts"))
+    dense = joins.danger_zone(many, many.select(F.col("ts").alias("event_time"), F.concat(F.lit("e"), "id").alias("title")))
+    assert {(r.events, r.title == f"e{r.id}") for r in dense.collect()} == {(400, True)}
+    assert most_rows(dense) < 4_000
