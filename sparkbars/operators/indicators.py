@@ -250,7 +250,8 @@ def barrier_label(df: DataFrame, n: int = 2, k: float = 0.7, normalize: bool = F
 
 
 def label_balance(df: DataFrame) -> DataFrame:
-    return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("label") == 1).cast("int")).alias("ones"), F.sum((F.col("label") == 0).cast("int")).alias("zeros"), F.sum(F.col("label").isNull().cast("int")).alias("neutral"))
+    n = lambda c: F.sum(yes(c).cast("int"))
+    return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), n(F.col("label") == 1).alias("ones"), n(F.col("label") == 0).alias("zeros"), n(F.col("label").isNull()).alias("neutral"))
 
 
 def rolling_corr(df: DataFrame, a: str, b: str, n: int, key: Sequence[str] | str, order: str = "ts") -> DataFrame:

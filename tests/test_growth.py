@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sparkbars.operators import joins
+from sparkbars.operators import indicators, joins
 from sparkbars.plans import streams
 from sparkbars.streaming import stateful, windows
 from tests.test_operators import START
@@ -104,3 +104,9 @@ def test_danger_zone_makes_no_pairs(spark):
     dense = joins.danger_zone(many, many.select(F.col("ts").alias("event_time"), F.concat(F.lit("e"), "id").alias("title")))
     assert {(r.events, r.title == f"e{r.id}") for r in dense.collect()} == {(400, True)}
     assert most_rows(dense) < 4_000
+
+
+def test_labels_without_a_move_count_as_none(spark):
+    """A symbol whose labels are all missing has 0 of each kind, not a missing count."""
+    frame = spark.createDataFrame([("A", None), ("A", None), ("B", 1), ("B", None)], "symbol string, label int")
+    assert {tuple(r) for r in indicators.label_balance(frame).collect()} == {("A", 2, 0, 0, 2), ("B", 2, 1, 0, 1)}
