@@ -285,8 +285,9 @@ def alert_throttle(df: DataFrame, worse: float = 0.15, late: str | None = None)
     return run(df, keys, step, "ts timestamp, pf double", "at double, pf double", late=late)
 
 
-def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, least: int = 5, alert: int = 10, late: str | None = None) -> DataFrame:
-    """Profit factor of the last n trades at each trade: null under ``least``; alert below 1 from ``alert`` trades on."""
+def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20, least: int = 5, alert: int = 10, late: str | None = None, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Profit factor of the last n trades at each trade: null under ``least``; alert below 1 from ``alert`` trades on. order: of a
+    finished table, by which trades of the same time follow one another."""
 
     def step(state, r):
         last = [*(state.get("last") or []), r["pnl"]][-n:]
@@ -296,7 +297,7 @@ def rolling_pf_state(df: DataFrame, keys: Sequence[str] = ("symbol",), n: int =
 
     df = df.filter("pnl IS NOT NULL")
     if not df.isStreaming:
-        w = last_rows(n, keys)
+        w = last_rows(n, keys, order)
         out = df.select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.count(F.lit(1)).over(w).cast("int").alias("trades"), profit_factor_over(F.col("pnl"), w, "null").alias("pf"))
         return out.withColumn("pf", F.when(F.col("trades") >= least, F.col("pf"))).withColumn("alert", yes((F.col("pf") < 1) & (F.col("trades") >= alert)))
     return run(df, keys, step, "ts timestamp, trades int, pf double, alert boolean", "last array<double>", late=late)

@@ -140,3 +140,14 @@ def test_results_do_not_depend_on_how_rows_are_dealt_out(spark, tmp_path):
     frame.repartition(9, F.rand(1)).write.parquet(f"{tmp_path}/b/events.parquet")
     a, b = (sorted(map(tuple, queries.results(spark, f"{tmp_path}/{x}").collect())) for x in "ab")
     assert a == b and len(a) == 150
+
+
+def test_rolling_factor_of_trades_at_the_same_time(spark, tmp_path):
+    """The query takes trades of one time by their numbers, whatever the order they are read in."""
+    rows = [(k, START, k, "view", 35.0 + (k * 37 % 23) - 11) for k in range(40)]
+    frame = spark.createDataFrame(rows[::-1], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    frame.repartition(3, "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.trades, r.pf) for r in streams.QUERIES["rolling_pf_state"](spark, str(tmp_path)).collect() if 5 <= r.trades < 20)
+    pnl = [r[4] - 35 for r in rows]
+    want = [(n, round(sum(x for x in pnl[:n] if x > 0) / -sum(x for x in pnl[:n] if x < 0), 5)) for n in range(5, 20)]
+    assert [n for n, _ in got] == [n for n, _ in want] and [p for _, p in got] == pytest.approx([p for _, p in want])
