@@ -4,12 +4,13 @@ import datetime as dt
 import math
 import random
 import re
+import unittest.mock
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkbars.operators import indicators, joins, metrics, regimes
+from sparkbars.operators import indicators, joins, metrics, ml, regimes
 from sparkbars.plans import queries, streams
 from sparkbars.streaming import stateful, windows
 from tests.test_operators import START
@@ -172,3 +173,18 @@ def test_bootstrap_of_few_values_shuffles_no_draws(spark):
     stretches = np.array([metrics.path_of_counts(v, c, np.random.default_rng(k), most=7) for k in range(2000)])
     once = np.array([metrics.path_of_counts(v, c, np.random.default_rng(k)) for k in range(2000)])
     assert np.abs(stretches.mean(0) - once.mean(0)).max() < 4 * once.std(0).max() * (2 / 2000) ** 0.5
+
+
+def test_neighbours_of_dense_cells_are_no_rows(spark):
+    """Blocks of many pairs are compared as arrays: the counts of every pair, with weights, and no join that puts out pairs."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.normal(0, 0.15, (1500, 2)), rng.normal(2, 1, (200, 2))])
+    xy = np.concatenate([xy, xy[:50]])
+    frame = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "k long, x double, y double")
+    want = {k: int(((xy - p) ** 2).sum(1).__le__(0.2 * 0.2).sum()) for k, p in enumerate(xy)}
+    with unittest.mock.patch.object(ml, "DENSE", 2000):
+        out = ml.neighbours(frame, ["x", "y"], 0.2, "k")
+        assert dict(map(tuple, out.collect())) == want
+        assert most_rows(out) < 100_000  # of 500,000 pairs and more in cells that are near in part
+        both = ml.dbscan_core(frame, ["x", "y"], 0.2, 4, "k")
+        assert {r.k: r.neighbours for r in both.collect()} == want
